@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
         if batch.nbytes <= chars or sizes is None:
             yield batch
             continue
-        lens = np.asarray(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0))
+        lens = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0))
         at, cum = 0, np.cumsum(lens, dtype=np.int64)
         while at < n:
             base = cum[at - 1] if at else 0

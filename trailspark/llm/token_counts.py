@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -160,6 +161,6 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
         m = merger(vocabulary)
         for batch in common.slices(batches, chars=2_000_000):
             texts = batch.column(1).to_pylist()
-            yield common.as_arrow(SPEC, {"doc_id": batch.column(0), "n_bytes": pa.compute.binary_length(batch.column(1)).cast(pa.int64()), "n_tokens": m.texts(texts)})
+            yield common.as_arrow(SPEC, {"doc_id": batch.column(0), "n_bytes": pc.binary_length(batch.column(1)).cast(pa.int64()), "n_tokens": m.texts(texts)})
 
     return common.id_text(docs, id_col, text_col).mapInArrow(run, SPEC)
