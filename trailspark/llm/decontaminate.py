@@ -235,13 +235,17 @@ def hits(docs: DataFrame, items: list[tuple[int, str]], score: float = SCORE) ->
     return common.id_text(docs).mapInArrow(run, SPEC)
 
 
+def shards(bench: DataFrame, shard: int = SHARD) -> Iterator[list[tuple[int, str]]]:
+    """The items that hold words, in lists of about ``shard``, each collected when it is needed."""
+    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("trim(coalesce(text, '')) <> ''")
+    n = max(1, -(-items.count() // shard))
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+
+
 def candidates(docs: DataFrame, bench: DataFrame, score: float = SCORE, shard: int = SHARD) -> DataFrame:
     """Every (row, item) above the BM25 threshold: ``doc_id, row, item_id, score, question_overlap, answer_overlap``."""
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("trim(coalesce(text, '')) <> ''")
-    shards = max(1, -(-items.count() // shard))
-    # each shard is collected alone; its expected size is the bound above
-    parts = [hits(docs, [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()], score) for k in range(shards)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [hits(docs, items, score) for items in shards(bench, shard)])
 
 
 def leaks(docs: DataFrame, bench: DataFrame, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
@@ -249,7 +253,24 @@ def leaks(docs: DataFrame, bench: DataFrame, question: float = QUESTION, answer:
     return candidates(docs, bench).where((F.col("question_overlap") >= question) & (F.col("answer_overlap") >= answer))
 
 
-def keep_uncontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without a verified leak, all columns as they were. Rows without an id are judged by their text all the same."""
-    bad = leaks(docs, bench).select("doc_id").distinct().withColumnRenamed("doc_id", "_leaked")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leaked"]), "left_anti")
+def keep_uncontaminated(docs: DataFrame, bench: DataFrame, question: float = QUESTION, answer: float = ANSWER, shard: int = SHARD) -> DataFrame:
+    """Rows of ``docs`` without a verified leak, all columns as they were; decided row by row, without a shuffle."""
+    common.ship(docs.sparkSession)
+    at = docs.columns.index("text")
+    for items in shards(bench, shard):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        built: dict[int, Index] = {}
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, built=built) -> Iterator[pa.RecordBatch]:
+            index = built.get(0) or built.setdefault(0, Index(shared.value, SCORE))
+            for batch in common.slices(batches):
+                keep = np.ones(batch.num_rows, bool)
+                for d, first, to, ws in passages(index, [t or "" for t in batch.column(at).to_pylist()]):
+                    if keep[d]:
+                        passage = ws[first:to]
+                        found = index.search(list({index.term[w] for w in passage if w in index.term}))
+                        keep[d] = not any(q >= question and a >= answer for q, a in (index.overlaps(i, passage) for i, _ in found))
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, media, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from . import decontaminate, html_text, media, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 TOKEN_LIMIT = 512
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verified leaks: document, item, score and overlaps."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -49,6 +53,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_pii, op4_packing, op5_substring_dedup, op6_media, op7_token_counts, op8_quality, op9_toxicity, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_pii, op4_packing, op5_substring_dedup, op6_media, op7_token_counts, op8_quality, op9_toxicity, op10_html_text)}
 #: None of these is expressible in SQL within reason; tests hold them to brute force instead.
 SQL: dict[str, str] = {}
