@@ -227,7 +227,7 @@ def hits(docs: DataFrame, items: list[tuple[int, str]], score: float = SCORE) ->
                 terms = list({index.term[w] for w in passage if w in index.term})
                 for item, s in index.search(terms):
                     q, a = index.overlaps(item, passage)
-                    found[d, item] = max(found.get((d, item), (0.0, 0.0, 0.0)), (min(q, a) + q + a, q, a, s), key=lambda x: x[0])
+                    found[d, item] = max(found.get((d, item), (-1.0,)), (min(q, a) + q + a, q, a, s))
             rows = [(ids[d], row + d, index.ids[i], s, q, a) for (d, i), (_, q, a, s) in found.items()]
             row += len(ids)
             yield common.as_arrow(SPEC, {f.split(" ")[0]: [r[k] for r in rows] for k, f in enumerate(SPEC.split(", "))})
