@@ -278,13 +278,15 @@ _STRETCHES = "bucket long, h binary, doc binary, th binary, start binary, anchor
 
 
 def doubled(joined: DataFrame, buckets: int) -> DataFrame:
-    """``th, owner, start, stop``: bytes of the representative texts that smaller documents have. Input: ``text, th, owner, hs``."""
+    """``th, owner, start, stop``: bytes of the representative texts that smaller documents have. Input: ``text, th, doc, hs, owner``; rows of the owner count."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, chars=8_000_000):
             least: dict[tuple[int, bytes], list[tuple]] = {}
             done: list[tuple[int, int, int, int]] = []
-            for text, th, doc, hs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, th, doc, hs, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc != owner:
+                    continue
                 raw = text.encode()
                 h, p, first, last = anchors(raw)
                 which = np.flatnonzero(np.isin(h & np.uint64((1 << 56) - 1), np.array(hs, np.int64).astype(np.uint64)))
@@ -330,7 +332,7 @@ def doubled(joined: DataFrame, buckets: int) -> DataFrame:
         out = np.concatenate(found)
         return pa.table({"th": out[:, 0], "owner": out[:, 1], "start": out[:, 2], "stop": out[:, 3]})
 
-    return joined.select("text", "th", "owner", "hs").mapInArrow(deal, _STRETCHES).groupBy("bucket").applyInArrow(meet, "th long, owner long, start long, stop long")
+    return joined.select("text", "th", "doc", "hs", "owner").mapInArrow(deal, _STRETCHES).groupBy("bucket").applyInArrow(meet, "th long, owner long, start long, stop long")
 
 
 def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -376,7 +378,8 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     owners = base.groupBy("th", "th2").agg(F.min("doc").alias("owner"))
     hints = shared_anchors(base, buckets).groupBy("t").agg(F.collect_list("h").alias("hs"))
     texts = owners.join(hints, F.col("th").bitwiseAND(F.lit((1 << 48) - 1)) == hints["t"], "inner").drop("t")
-    joined = base.join(texts, ["th", "th2"]).where(F.col("doc") == F.col("owner"))
+    # joined by text alone, like the last join, so that texts are dealt out once for both
+    joined = base.join(texts, ["th", "th2"])
     lost = doubled(joined, buckets).groupBy("th", "owner").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spec = SPEC + (", text string" if with_text else "")
 
