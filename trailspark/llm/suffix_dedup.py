@@ -218,11 +218,12 @@ def unpacked(raw: bytes, size: int) -> np.ndarray:
 
 
 _HASHES = "bucket long, decided binary, open_h binary, open_t binary, direct_h binary, direct_t binary"
-H_BYTES, T_BYTES = 7, 6
+H_BYTES, T_BYTES = 6, 5
+H_MASK, T_MASK = (1 << 8 * H_BYTES) - 1, (1 << 8 * T_BYTES) - 1
 
 
 def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
-    """``t, h``: for each text (by 48 bits of its hash) its anchors that another text has too."""
+    """``t, h``: for each text (by the low bits of its hash) its anchors that another text has too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, chars=8_000_000):
@@ -230,9 +231,9 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
             for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 if len(raw) >= LENGTH:
-                    u = np.unique(anchors(raw)[0] & np.uint64((1 << 56) - 1))
+                    u = np.unique(anchors(raw)[0] & np.uint64(H_MASK))
                     hs.append(u)
-                    ts.append(np.full(len(u), t & ((1 << 48) - 1), np.uint64))
+                    ts.append(np.full(len(u), t & (T_MASK), np.uint64))
             h, t = np.concatenate(hs), np.concatenate(ts)
             order = np.lexsort((t, h))
             h, t = h[order], t[order]
@@ -289,7 +290,7 @@ def doubled(joined: DataFrame, buckets: int) -> DataFrame:
                     continue
                 raw = text.encode()
                 h, p, first, last = anchors(raw)
-                which = np.flatnonzero(np.isin(h & np.uint64((1 << 56) - 1), np.array(hs, np.int64).astype(np.uint64)))
+                which = np.flatnonzero(np.isin(h & np.uint64(H_MASK), np.array(hs, np.int64).astype(np.uint64)))
                 for hh, pp, a, b in zip(h[which].tolist(), p[which].tolist(), first[which].tolist(), last[which].tolist(), strict=True):
                     stretch = raw[a : b + LENGTH]
                     key = (hh, stretch)
@@ -377,7 +378,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     buckets = max(4, -(-docs.count() // DOCS_PER_BUCKET))
     owners = base.groupBy("th", "th2").agg(F.min("doc").alias("owner"))
     hints = shared_anchors(base, buckets).groupBy("t").agg(F.collect_list("h").alias("hs"))
-    texts = owners.join(hints, F.col("th").bitwiseAND(F.lit((1 << 48) - 1)) == hints["t"], "inner").drop("t")
+    texts = owners.join(hints, F.col("th").bitwiseAND(F.lit(T_MASK)) == hints["t"], "inner").drop("t")
     # joined by text alone, like the last join, so that texts are dealt out once for both
     joined = base.join(texts, ["th", "th2"])
     lost = doubled(joined, buckets).groupBy("th", "owner").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
