@@ -121,12 +121,16 @@ class Suffixes:
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common extension of suffix pairs, at most ``LENGTH``."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH, np.int64)
+        out = np.full(len(a), LENGTH, np.int64)
+        differ = np.flatnonzero(self.hash(a, out) != self.hash(b, out))
+        a, b = a[differ], b[differ]
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH - 1, np.int64)
         while (low < high).any():
             mid = (low + high + 1) >> 1
             same = self.hash(a, mid) == self.hash(b, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+        out[differ] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = self.common(a, b)
@@ -338,11 +342,26 @@ def doubled(joined: DataFrame, buckets: int) -> DataFrame:
 
 def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> np.ndarray:
     """(text, document, start, stop) of what smaller documents hold, for stretches grouped by anchor hash."""
-    lone = np.unique(h, return_inverse=True, return_counts=True)
-    keep = lone[2][lone[1]] > 1
     at = np.cumsum(size) - size
+    suffixes = Suffixes(data)
+    # equal stretches whole: all but those of the smallest document go without a search
+    whole_hash = suffixes.hash(at, size)
+    order = np.lexsort((doc, anchor, size, whole_hash, h))
+    at, h, doc, th, start, anchor, size, whole_hash = (x[order] for x in (at, h, doc, th, start, anchor, size, whole_hash))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (whole_hash[1:] != whole_hash[:-1]) | (size[1:] != size[:-1]) | (anchor[1:] != anchor[:-1])
+    rep = np.flatnonzero(new)[np.cumsum(new) - 1]
+    raw = data.tobytes()
+    later = np.flatnonzero(doc > doc[rep])
+    same = np.fromiter((raw[at[k] : at[k] + size[k]] == raw[at[r] : at[r] + size[r]] for k, r in zip(later.tolist(), rep[later].tolist(), strict=True)), bool, len(later))
+    later = later[same]
+    settled = np.stack([th[later], doc[later], start[later], start[later] + size[later]], 1)
+    keep = np.ones(len(h), bool)
+    keep[later] = False
+    _, inverse, count = np.unique(h[keep], return_inverse=True, return_counts=True)
+    keep[np.flatnonzero(keep)[count[inverse] < 2]] = False
     if not keep.any():
-        return np.zeros((0, 4), np.int64)
+        return settled
     at, h, doc, th, start, anchor, size = (x[keep] for x in (at, h, doc, th, start, anchor, size))
     n = size - LENGTH + 1
     who = np.repeat(np.arange(len(h)), n)
@@ -356,8 +375,8 @@ def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start
     several = np.repeat(np.diff(np.r_[cut, len(group)]) > 1, np.diff(np.r_[cut, len(group)]))
     who, j, group = who[several], j[several], group[several]
     if not len(who):
-        return np.zeros((0, 4), np.int64)
-    perm, cls = Suffixes(data).classes(at[who] + j, group)
+        return settled
+    perm, cls = suffixes.classes(at[who] + j, group)
     who, j = who[perm], j[perm]
     first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
     least = np.minimum.reduceat(doc[who], first)[cls]
@@ -368,7 +387,7 @@ def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start
     head = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)]) if len(who) else np.zeros(0, np.int64)
     tail = np.r_[head[1:], len(who)] - 1
     w = who[head]
-    return np.stack([th[w], doc[w], start[w] + j[head], start[w] + j[tail] + LENGTH], 1)
+    return np.concatenate([settled, np.stack([th[w], doc[w], start[w] + j[head], start[w] + j[tail] + LENGTH], 1)])
 
 
 def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
