@@ -29,6 +29,7 @@ repeated rows get equal results.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,12 +144,20 @@ class Suffixes:
         perm = np.arange(n)
         if not n:
             return perm
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        # a radix step on the first eight bytes leaves only suffixes that share them to the mergesort
+        eight = self.bytes[items[:, None] + np.arange(8)].view(">u8").ravel()
+        perm = np.lexsort((eight, group))
+        group, eight = group[perm], eight[perm]
+        first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (eight[1:] != eight[:-1])])
         size = np.diff(np.r_[first, n])
         g0, gs = np.repeat(first, size), np.repeat(size, size)
         width = 1
         while width < size.max():
-            act = np.flatnonzero(gs > width)
+            # pairs of runs that are in order already need no merge
+            seam = np.flatnonzero((gs > width) & ((np.arange(n) - g0) % (2 * width) == width))
+            seam = seam[self.less(items[perm[seam]], items[perm[seam - 1]])]
+            run_of = g0 + (np.arange(n) - g0) // (2 * width) * (2 * width)
+            act = np.flatnonzero(np.isin(run_of, seam - width)) if len(seam) else seam
             local = act - g0[act]
             run = local // (2 * width) * (2 * width)
             left = local - run < width
@@ -279,20 +288,38 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
     return base.select("text", "th").mapInArrow(deal, _HASHES).groupBy("bucket").applyInArrow(meet, "t long, h long")
 
 
-_STRETCHES = "bucket long, h binary, doc binary, th binary, start binary, anchor binary, size binary, bytes binary, done binary"
+_STRETCHES = "bucket long, h binary, doc binary, t binary, start binary, anchor binary, size binary, bytes binary, done binary"
+#: A settled stretch of a text: low bits of its hash, its document, start and stop.
+_DONE = np.dtype([("t", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("stop", "<u4")])
+
+
+def merged(rows: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Stretches (t, doc, start, stop) with touching ones of a text joined."""
+    if not rows:
+        return np.zeros(0, _DONE)
+    d = np.array(rows, np.int64)
+    d = d[np.lexsort((d[:, 2], d[:, 1], d[:, 0]))]
+    # ends so far within a text: shift each text beyond the one before
+    key = np.cumsum(np.r_[0, (d[1:, :2] != d[:-1, :2]).any(1)]) << 33
+    reach = np.maximum.accumulate(d[:, 3] + key)
+    head = np.flatnonzero(np.r_[True, d[1:, 2] + key[1:] > reach[:-1]])
+    out = np.zeros(len(head), _DONE)
+    out["t"], out["doc"], out["start"] = d[head, 0], d[head, 1], d[head, 2]
+    out["stop"] = (reach - key)[np.r_[head[1:], len(d)] - 1]
+    return out
 
 
 def doubled(joined: DataFrame, buckets: int) -> DataFrame:
-    """``th, owner, start, stop``: bytes of the representative texts that smaller documents have. Input: ``text, th, doc, hs, owner``; rows of the owner count."""
+    """``t, owner, start, stop``: bytes of the representative texts that smaller documents have. Input: ``text, th, doc, hs, owner``; rows of the owner count."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, chars=8_000_000):
+        for batch in common.slices(batches, chars=24_000_000):
             least: dict[tuple[int, bytes], list[tuple]] = {}
             done: list[tuple[int, int, int, int]] = []
             for text, th, doc, hs, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc != owner:
                     continue
-                raw = text.encode()
+                raw, t = text.encode(), th & 0xFFFFFFFF
                 h, p, first, last = anchors(raw)
                 which = np.flatnonzero(np.isin(h & np.uint64(H_MASK), np.array(hs, np.int64).astype(np.uint64)))
                 for hh, pp, a, b in zip(h[which].tolist(), p[which].tolist(), first[which].tolist(), last[which].tolist(), strict=True):
@@ -301,43 +328,43 @@ def doubled(joined: DataFrame, buckets: int) -> DataFrame:
                     held = least.get(key)
                     if held is None or doc < held[0][0]:
                         done += [(o[1], o[0], o[2], o[2] + o[4]) for o in held or ()]
-                        least[key] = [(doc, th, a, pp - a, len(stretch))]
+                        least[key] = [(doc, t, a, pp - a, len(stretch))]
                     elif doc > held[0][0]:
-                        done.append((th, doc, a, a + len(stretch)))
+                        done.append((t, doc, a, a + len(stretch)))
                     else:  # the document repeats itself, or its row is repeated
-                        held.append((doc, th, a, pp - a, len(stretch)))
+                        held.append((doc, t, a, pp - a, len(stretch)))
             rows: dict[int, dict] = {}
-            blank = dict.fromkeys(("h", "doc", "th", "start", "anchor", "size", "bytes", "done"), b"")
+            blank = dict.fromkeys(("h", "doc", "t", "start", "anchor", "size", "bytes", "done"), b"")
             if least:
                 h = np.array([k[0] for k, held in least.items() for _ in held], np.uint64)
                 v = np.array([o for held in least.values() for o in held], np.int64)
                 b = (common.mix64(h) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(b, kind="stable")
                 strings = [k[1] for k, held in least.items() for _ in held]
-                fields = {"h": h, "doc": v[:, 0], "th": v[:, 1], "start": v[:, 2].astype(np.uint32), "anchor": v[:, 3].astype(np.uint8), "size": v[:, 4].astype(np.uint8)}
+                fields = {"h": packed(h & np.uint64(H_MASK), H_BYTES), "doc": v[:, 0], "t": v[:, 1].astype(np.uint32), "start": v[:, 2].astype(np.uint32), "anchor": v[:, 3].astype(np.uint8), "size": v[:, 4].astype(np.uint8)}
                 at = 0
                 for r in dealt(b, fields):
                     n = len(r["size"])
-                    rows[r["bucket"]] = dict(blank) | r | {"bytes": b"".join(strings[k] for k in order[at : at + n].tolist())}
+                    rows[r["bucket"]] = dict(blank) | r | {"bytes": zlib.compress(b"".join(strings[k] for k in order[at : at + n].tolist()), 1)}
                     at += n
-            if done:
-                d = np.array(done, np.int64)
-                for r in dealt((common.mix64(d[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), {"done": np.ascontiguousarray(d).view("V32").ravel()}):
-                    rows.setdefault(r["bucket"], dict(blank)).update(r)
+            d = merged(done)
+            for r in dealt((common.mix64(d["t"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), {"done": d.view(f"V{_DONE.itemsize}")}):
+                rows.setdefault(r["bucket"], dict(blank)).update(r)
             yield rows_of(_STRETCHES, list(rows.values()))
 
     def meet(table: pa.Table) -> pa.Table:
-        settled = whole(table["done"], "<i8").reshape(-1, 4)
-        found = [settled]
-        h = whole(table["h"], "<u8")
+        done = whole(table["done"], _DONE)
+        found = [np.stack([done[k].astype(np.int64) for k in ("t", "doc", "start", "stop")], 1)]
+        h = unpacked(b"".join(table["h"].to_pylist()), H_BYTES)
         if len(h):
-            doc, th, start = whole(table["doc"], "<i8"), whole(table["th"], "<i8"), whole(table["start"], "<u4").astype(np.int64)
+            doc, t, start = whole(table["doc"], "<i8"), whole(table["t"], "<u4").astype(np.int64), whole(table["start"], "<u4").astype(np.int64)
             anchor, size = whole(table["anchor"], "u1").astype(np.int64), whole(table["size"], "u1").astype(np.int64)
-            found.append(over(whole(table["bytes"], "u1"), h, doc, th, start, anchor, size))
+            data = np.frombuffer(b"".join(zlib.decompress(x) for x in table["bytes"].to_pylist() if x), np.uint8)
+            found.append(over(data, h, doc, t, start, anchor, size))
         out = np.concatenate(found)
-        return pa.table({"th": out[:, 0], "owner": out[:, 1], "start": out[:, 2], "stop": out[:, 3]})
+        return pa.table({"t": out[:, 0], "owner": out[:, 1], "start": out[:, 2], "stop": out[:, 3]})
 
-    return joined.select("text", "th", "doc", "hs", "owner").mapInArrow(deal, _STRETCHES).groupBy("bucket").applyInArrow(meet, "th long, owner long, start long, stop long")
+    return joined.select("text", "th", "doc", "hs", "owner").mapInArrow(deal, _STRETCHES).groupBy("bucket").applyInArrow(meet, "t long, owner long, start long, stop long")
 
 
 def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -400,7 +427,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = owners.join(hints, F.col("th").bitwiseAND(F.lit(T_MASK)) == hints["t"], "inner").drop("t")
     # joined by text alone, like the last join, so that texts are dealt out once for both
     joined = base.join(texts, ["th", "th2"])
-    lost = doubled(joined, buckets).groupBy("th", "owner").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    lost = doubled(joined, buckets).groupBy("t", "owner").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spec = SPEC + (", text string" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,6 +448,6 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 rows.append(row | ({"text": left.decode(errors="replace")} if with_text else {}))
             yield rows_of(spec, rows)
 
-    losses = owners.join(lost, ["th", "owner"], "left")
+    losses = owners.withColumn("t", F.col("th").bitwiseAND(F.lit(0xFFFFFFFF))).join(lost, ["t", "owner"], "left").drop("t")
     found = base.join(losses, ["th", "th2"])
     return found.select("doc", "text", "owner", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")).mapInArrow(cut, spec)
