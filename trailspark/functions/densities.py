@@ -36,7 +36,7 @@ def standard(name: str, shapes: list[float], y: Column) -> Column:
         return _levy(-y)
     if name == "foldnorm":
         (c,) = shapes
-        return F.when(y >= 0, math.sqrt(2 / math.pi) * F.cosh(c * y) * F.exp(-(y * y + c * c) / 2)).otherwise(0.0)
+        return F.when(y >= 0, (F.exp(-F.pow(y - c, 2) / 2) + F.exp(-F.pow(y + c, 2) / 2)) / math.sqrt(2 * math.pi)).otherwise(0.0)
     if name == "halfgennorm":
         (b,) = shapes
         return F.when(y >= 0, b / math.gamma(1 / b) * F.exp(-F.pow(F.abs(y), F.lit(b)))).otherwise(0.0)

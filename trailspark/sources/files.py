@@ -108,20 +108,20 @@ def experiments(spark: SparkSession, root: str, spots_name: str = "Spots 1.npz",
 
 def time_steps(spark: SparkSession, root: str, name: str = "time.time") -> DataFrame:
     """``path, spf``: the first line of each time file as seconds per frame."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("wholetext", True).text(root)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n")[0].cast("double").alias("spf"))
 
 
 def base_timestep_json(spark: SparkSession, path: str) -> DataFrame:
     """``timestep, exp_id`` of a map from timesteps to lists of experiments."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     each = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("k", "v"))
     return each.select(F.col("k").cast("double").alias("timestep"), F.explode("v").alias("exp_id"))
 
 
 def fit_json(spark: SparkSession, path: str) -> DataFrame:
     """``lag, dist, params, sse, sse_nbins`` of a fit file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lags = raw.select(F.explode(F.from_json("value", "map<string,map<string,struct<params:array<double>,sse:double,sse_nbins:int>>>")).alias("lag", "m"))
     each = lags.select(F.col("lag").cast("int").cast("double").alias("lag"), F.explode("m").alias("dist", "f"))
     return each.select("lag", "dist", "f.params", "f.sse", "f.sse_nbins")

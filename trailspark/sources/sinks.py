@@ -25,8 +25,8 @@ def means_csv(stats: DataFrame, path: str, mode: str = "error") -> None:
 
 def fit_document(fits: DataFrame) -> DataFrame:
     """One row with the nested JSON of fits by lag: a few lags times a few families."""
-    each = fits.where("params is not null").groupBy("lag").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dist", F.struct("params", "sse", "sse_nbins"))))).alias("m"))
-    return each.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("lag").cast("int").cast("string"), "m"))))).alias("value"))
+    each = fits.where("params is not null").groupBy("lag").agg(F.map_from_entries(F.collect_list(F.struct("dist", F.struct("params", "sse", "sse_nbins")))).alias("m"))
+    return each.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("lag").cast("int").cast("string"), "m")))).alias("value"))
 
 
 def fit_json(fits: DataFrame, path: str, mode: str = "error") -> None:
