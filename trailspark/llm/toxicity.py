@@ -5,8 +5,8 @@ borders), so an unseen misspelling shares most of its vectors with the words it
 was made from. A passage is the mean of its words' vectors; the softmax over
 (clean, toxic) reads that mean. A document is scored by passages of ``PASSAGE``
 words, half overlapping, and takes the highest passage score, so a long document
-is not diluted; the same pooling is used in training, where the passage with the
-highest score carries the gradient.
+is not diluted; the same pooling is used in training, where (after some rounds on
+whole texts) the passage with the highest score carries the gradient.
 
 As the softmax is linear, a word's share of a passage's margin is one number;
 whole texts are scored from those numbers with prefix sums.
@@ -36,7 +36,7 @@ BUCKETS = 1 << 15
 DIM = 8
 PASSAGE = 4
 MAX_TRAIN = 6000
-EPOCHS = 30
+EPOCHS = 45
 #: Documents a word must be in to have vectors of its own in training (fewer where there are under 1000 training rows for each).
 LEAST_DOCS = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -166,7 +166,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
         top = np.maximum.reduceat(z, doc_first)
         is_top = z == np.repeat(top, count)
         pick = doc_first + np.array([int(np.argmax(is_top[a : a + n])) for a, n in zip(doc_first, count, strict=True)])
-        at, n = start[pick], span[pick]
+        at, n = (base_at, length) if step <= epochs // 3 else (start[pick], span[pick])  # whole texts first, to find where to look
         word_at = np.repeat(at, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         w_id, d_id = stream[word_at], np.repeat(np.arange(len(at)), n)
         edge = np.r_[0, np.cumsum(n)[:-1]]
