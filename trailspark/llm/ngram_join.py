@@ -17,9 +17,10 @@ Blocks, so that each document meets all it can link with, once:
    the segment is empty, its contents say nothing, and a second cut refines it.
    Only such signatures are shuffled; a task that meets one in several classes
    ties these itself and passes on one.
-3. Classes tied by signatures form blocks (distributed components). Blocks up to
-   ``BLOCK`` are searched whole, in one task each. Larger ones (long families of
-   near copies) are searched in parts, then representatives of the parts'
+3. Classes tied by signatures form blocks (distributed components). Those over
+   ``BLOCK`` are cut again, by prefixes of their elements in order of exact
+   rarity. Blocks up to ``BLOCK`` are searched whole, in one task each. Larger
+   ones (long families of near copies) are searched in parts, then representatives of the parts'
    components, again in parts, until these no longer merge; only where a block
    is still in several components the rest is searched: documents outside the
    largest component are queries against all of the block, tile by tile.
@@ -36,50 +37,69 @@ no component's id unless it is alone in it.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components, written
-from .suffix_dedup import dealt, packed, rows_of, unpacked
+from .suffix_dedup import _BASE, _INVERSE, _VALUE, dealt, packed, rows_of, unpacked
 
 BLOCK = 1024
+#: Postings up to which short lists are merged by a heap, and long lists probed at a time.
+HEAP, PROBES = 4096, 64
 DOCS_PER_BUCKET = 4000
 BLOOM_BITS = 1 << 23
-REMEMBERED = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 
 
 class Shingler:
-    """Sets of hashed shingles; word hashes are remembered up to a bound."""
+    """Sets of hashed shingles. Words are hashed from the bytes of a whole slice: prefix sums of a polynomial, mixed with the length."""
 
     def __init__(self, words: int):
         self.n = words
-        self.memo: dict[bytes, int] = {}
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n + 1:
+            with np.errstate(over="ignore"):
+                self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)])
+                self.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _INVERSE, np.uint64)])
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word of all texts, and words of each text: A-Z lower-cased, ASCII white space between."""
+        raws = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        data = _LOWER[np.frombuffer(b"\n".join([*raws, b""]), np.uint8)]  # each text ends with white space
+        if not len(data):
+            return np.zeros(0, np.uint64), np.zeros(len(raws), np.int64)
+        self.powers(len(data))
+        letter = ~_SPACE[data]
+        edge = np.diff(np.r_[False, letter, False].astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        with np.errstate(over="ignore"):
+            prefix = np.r_[np.uint64(0), np.cumsum(_VALUE[data] * self.up[: len(data)], dtype=np.uint64)]
+            h = common.mix64((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64) * _STEP)
+        bounds = np.r_[0, np.cumsum(size + 1)]
+        return h, np.diff(np.searchsorted(start, bounds))
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [t.encode().lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        for w in set().union(*lists).difference(self.memo):
-            self.memo[w] = xxhash.xxh64_intdigest(w)
-        get, n, out = self.memo.__getitem__, self.n, []
-        size = [len(ws) for ws in lists]
-        flat = np.fromiter((h for ws in lists for h in map(get, ws)), np.uint64, sum(size))
+        flat, size = self.words(texts)
+        n, out, at = self.n, [], 0
         with np.errstate(over="ignore"):
             acc = np.full(max(len(flat) - n + 1, 0), n, np.uint64)
             for k in range(n):
                 acc = common.mix64(acc * _STEP + flat[k : k + len(acc)])
-            at = 0
-            for s in size:
+            for s in size.tolist():
                 if s >= n:
-                    out.append(np.unique(acc[at : at + s - n + 1]))
+                    out.append(_distinct(acc[at : at + s - n + 1]))
                 elif s:
                     h = np.full(1, s, np.uint64)
                     for k in range(s):
@@ -91,6 +111,13 @@ class Shingler:
         return out
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    keep = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=keep[1:])
+    return a[keep]
+
+
 def class_id(s: np.ndarray) -> int:
     """64 bits of a set, as a signed number."""
     with np.errstate(over="ignore"):
@@ -99,58 +126,89 @@ def class_id(s: np.ndarray) -> int:
 
 
 class Ladder:
-    """Steps of sizes by powers of two, and how many segments each step needs."""
+    """Steps of sizes (each half as large again), and how sets are cut in each step.
+
+    Linked sets, the smaller of which is in a step, differ in at most D elements,
+    so of m segments m - D are equal. A set with fewer empty segments than that
+    agrees with each partner in one that isn't empty; m leaves room for the empty
+    ones expected of hashed elements.
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        floor, self.floors = 1, [1]
+        while floor < 1 << 40:
+            floor = max(floor + 1, floor * 3 // 2)
+            self.floors.append(floor)
+        self.differ, self.cuts = [], []
+        for lo, hi in zip(self.floors, self.floors[1:], strict=False):
+            u = hi - 1
+            d = (u + u * den // num) * (den - num) // (den + num)
+            m = d + 1
+            while d and m < 3 * d + 4:
+                void = m * np.exp(-lo / m)
+                # large sets should hardly ever need the second cut, for small ones it is cheap
+                if m - d >= np.ceil(void + (0 if m < 16 else 2 if m < 64 else 4) * void**0.5):
+                    break
+                m += max(1, m // 50)
+            self.differ.append(d)
+            self.cuts.append(m)
+        self.tags = common.mix64(np.arange(1, len(self.cuts) + 1, dtype=np.uint64) * _STEP)
 
     def linked(self, overlap: int, a: int, b: int) -> bool:
         return self.den * overlap >= self.num * (a + b - overlap)
 
-    def segments(self, step: int) -> int:
-        """One more than the most elements in which linked sets differ when the smaller is in the step."""
-        u = (2 << step) - 1
-        return (u + u * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1
+    def own(self, size: np.ndarray) -> np.ndarray:
+        """Step of each size (1 or more)."""
+        return np.searchsorted(self.floors, size, side="right") - 1
 
-    def steps(self, size: int) -> list[int]:
-        own = size.bit_length() - 1
-        least = -(-self.num * size // self.den)
-        return [own] if least >= 1 << own or not own else [own, own - 1]
+    def lower(self, size: np.ndarray) -> np.ndarray:
+        """Lowest step in which a smaller partner can be."""
+        return self.own(np.maximum(-(-self.num * size // self.den), 1))
 
 
-def _fold(kind: int, *parts: int) -> np.uint64:
-    x = np.array([kind], np.uint64)
+def _segment_sums(s: np.ndarray, owner: np.ndarray, m: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, segment, signature) of the non-empty segments; elements ascend within owners, arrays are by element."""
     with np.errstate(over="ignore"):
-        for p in parts:
-            x = common.mix64(x * _STEP + np.uint64(p))
-    return x[0]
-
-
-def signatures(s: np.ndarray, ladder: Ladder) -> np.ndarray:
-    """Signatures of a sorted set; linked sets have one in common."""
-    out = []
-    with np.errstate(over="ignore"):
-        for step in ladder.steps(len(s)):
-            m = ladder.segments(step)
-            tag = _fold(1, step)
-            value = common.mix64(s + tag)
-            seg = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            total = np.add.reduceat(value, first)
-            out.append(common.mix64((total ^ tag) * _STEP + seg[first].astype(np.uint64)))
-            if len(first) < m:
-                other = np.sort(common.mix64(s + np.uint64(0x2545F4914F6CDD1D)))
-                seg2 = ((other >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-                first2 = np.flatnonzero(np.r_[True, seg2[1:] != seg2[:-1]])
-                inner = common.mix64((np.add.reduceat(common.mix64(other + tag), first2) ^ tag) * _STEP + seg2[first2].astype(np.uint64))
-                void = np.setdiff1d(np.arange(m), seg[first])
-                void2 = np.setdiff1d(np.arange(m), seg2[first2])
-                for e in void.tolist():
-                    mark = _fold(2, step, e)
-                    out.append(common.mix64(inner * _STEP + mark))
-                    if len(void2):
-                        out.append(common.mix64(void2.astype(np.uint64) * _STEP + common.mix64(np.array([mark]))))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        seg = (s >> np.uint64(32)) * m.astype(np.uint64) >> np.uint64(32)
+        new = np.r_[True, (seg[1:] != seg[:-1]) | (owner[1:] != owner[:-1])]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(common.mix64(s + tag), first)
+        return owner[first], seg[first].astype(np.int64), common.mix64((total ^ tag[first]) * _STEP + seg[first])
+
+
+def signatures(sets: list[np.ndarray], ladder: Ladder) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of its set) of all sets; linked sets have a signature in common."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    full = np.flatnonzero(size)
+    if not len(full):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    step, low = ladder.own(size[full]), ladder.lower(size[full])
+    # a set enters its own step and those of its smaller partners
+    reps = step - low + 1
+    who = np.repeat(full, reps)
+    at_step = np.repeat(step, reps) - (np.arange(len(who)) - np.repeat(np.cumsum(reps) - reps, reps))
+    flat = np.concatenate([sets[k] for k in who.tolist()])
+    owner = np.repeat(np.arange(len(who)), size[who])
+    cuts, differ = np.array(ladder.cuts), np.array(ladder.differ)
+    own, seg, sig = _segment_sums(flat, owner, cuts[at_step][owner], ladder.tags[at_step][owner])
+    sigs, owners = [sig], [who[own]]
+    filled = np.bincount(own, minlength=len(who))
+    void = cuts[at_step] - filled
+    for k in np.flatnonzero(void >= cuts[at_step] - differ[at_step]).tolist():
+        # too many empty segments to be sure of a common one: each of them is refined by a second cut
+        m, tag = int(cuts[at_step[k]]), ladder.tags[at_step[k]]
+        with np.errstate(over="ignore"):
+            other = np.sort(common.mix64(sets[who[k]] ^ np.uint64(0x2545F4914F6CDD1D)))
+            n = len(other)
+            _, seg2, inner = _segment_sums(other, np.zeros(n, np.int64), np.full(n, m), np.full(n, tag))
+            empty = np.setdiff1d(np.arange(m), seg[own == k]).astype(np.uint64)
+            marks = common.mix64(empty * _STEP ^ tag)
+            empty2 = np.setdiff1d(np.arange(m), seg2).astype(np.uint64)
+            found = np.r_[common.mix64(inner[None, :] * _STEP + marks[:, None]).ravel(), common.mix64(empty2[None, :] * _STEP + common.mix64(marks)[:, None]).ravel()]
+        sigs.append(found)
+        owners.append(np.full(len(found), who[k]))
+    return np.concatenate(sigs), np.concatenate(owners)
 
 
 class Lists:
@@ -165,6 +223,7 @@ class Lists:
         first = np.cumsum(count) - count
         self.docs, self.first, self.count = doc[order], first, count
         self.inverse, self.at = inverse, np.cumsum(size) - size
+        self.keys = inverse[order] * np.int64(len(sets)) + self.docs  # (list, document), ascending
         self.size = size
 
     def search(self, q: int, skip) -> list[int]:
@@ -185,27 +244,33 @@ class Lists:
         short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
         docs, first, count = self.docs, self.first, self.count
         least = need - aside
-        merged = heapq.merge(*(docs[first[k] : first[k] + count[k]].tolist() for k in short))
-        found, seen = [], {}
-        for d in merged:
-            seen[d] = seen.get(d, 0) + 1
-        size, ladder = self.size, self.ladder
-        for d, hits in seen.items():
-            v = int(size[d])
-            if d == q or hits < least or v * ladder.den < ladder.num * s or s * ladder.den < ladder.num * v or skip(d):
-                continue
-            want = -(-ladder.num * (s + v) // (ladder.den + ladder.num))
-            left = len(long_)
-            for k in long_.tolist():
-                if hits >= want or hits + left < want:
-                    break
-                a, b = int(first[k]), int(first[k] + count[k])
-                at = bisect_left(docs, d, a, b)
-                hits += at < b and docs[at] == d
-                left -= 1
-            if hits >= want:
-                found.append(d)
-        return found
+        if int(count[short].sum()) <= HEAP:
+            seen: dict[int, int] = {}
+            for d in heapq.merge(*(docs[first[k] : first[k] + count[k]].tolist() for k in short)):
+                seen[d] = seen.get(d, 0) + 1
+            cand, hits = np.fromiter(seen.keys(), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+        else:  # the same merge, by sorting
+            cand, hits = np.unique(np.concatenate([docs[first[k] : first[k] + count[k]] for k in short.tolist()]), return_counts=True)
+        num, den = self.ladder.num, self.ladder.den
+        v = self.size[cand]
+        ok = (hits >= least) & (cand != q) & (v * den >= num * s) & (s * den >= num * v)
+        ok[ok] = np.fromiter((not skip(d) for d in cand[ok].tolist()), bool, int(ok.sum()))
+        cand, hits, v = cand[ok], hits[ok], v[ok]
+        want = -(-num * (s + v) // (den + num))
+        found: list[int] = []
+        # binary probes of the long lists, some at a time; who has enough or can't reach it leaves
+        for at in range(0, len(long_), PROBES):
+            if not len(cand):
+                break
+            part = long_[at : at + PROBES]
+            key = part[:, None] * np.int64(len(self.size)) + cand[None, :]
+            place = np.minimum(np.searchsorted(self.keys, key.ravel()), len(self.keys) - 1)
+            hits = hits + (self.keys[place] == key.ravel()).reshape(key.shape).sum(0)
+            done = hits >= want
+            found += cand[done].tolist()
+            stay = ~done & (hits + (len(long_) - at - len(part)) >= want)
+            cand, hits, want = cand[stay], hits[stay], want[stay]
+        return found + cand[hits >= want].tolist()
 
 
 class Union:
@@ -236,48 +301,48 @@ def link_block(sets: list[np.ndarray], ladder: Ladder) -> list[int]:
     return [u.find(k) for k in range(len(sets))]
 
 
-_SIGS = "bucket long, sig binary, cid binary, a binary, b binary"
-SIG_BYTES = 7
+_SIGS = "bucket long, sig binary, cid binary, n binary, a binary, b binary"
+SIG_BYTES = 5
 
 
 def tied(docs: DataFrame, words: int, ladder: Ladder, buckets: int) -> DataFrame:
     """``a, b``: classes with a signature in common, as stars."""
 
+    def stars(sig: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which rows lead their signature, distinct pairs of leader and other)."""
+        order = np.lexsort((cid, sig))
+        sig, cid = sig[order], cid[order]
+        first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
+        hub = cid[first][np.cumsum(first) - 1] if len(sig) else cid
+        pairs = np.stack([hub[~first], cid[~first]], 1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).reshape(-1, 2)
+        return order[first], pairs
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(words)
         for batch in common.slices(batches, chars=8_000_000):
-            seen: set[int] = set()
-            sigs, cids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for s in make.sets(batch.column(0).to_pylist()):
-                if len(s) and (c := class_id(s)) not in seen:
-                    seen.add(c)
-                    g = signatures(s, ladder) & np.uint64((1 << 56) - 1)
-                    sigs.append(g)
-                    cids.append(np.full(len(g), c))
-            sig, cid = np.concatenate(sigs), np.concatenate(cids)
-            order = np.lexsort((cid, sig))
-            sig, cid = sig[order], cid[order]
-            first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-            hub = cid[first][np.cumsum(first) - 1] if len(sig) else cid
-            ends = np.unique(np.stack([hub[~first], cid[~first]], 1), axis=0).reshape(-1, 2)
-            sig, cid = sig[first], cid[first]
-            rows: dict[int, dict] = {}
-            for r in dealt((common.mix64(sig) % np.uint64(buckets)).astype(np.int64), {"sig": packed(sig, SIG_BYTES), "cid": cid}):
-                rows[r["bucket"]] = r | {"a": b"", "b": b""}
+            once = {class_id(s): s for s in make.sets(batch.column(0).to_pylist()) if len(s)}
+            sig, who = signatures(list(once.values()), ladder)
+            cid = np.fromiter(once, np.int64, len(once))[who]
+            bucket = (sig >> np.uint64(8 * SIG_BYTES)) % np.uint64(buckets)
+            lead, ends = stars(sig, cid)
+            # by bucket and class: a class's number stands once before its signatures
+            lead = lead[np.lexsort((cid[lead], bucket[lead]))]
+            b, c, g = bucket[lead].astype(np.int64), cid[lead], packed(sig[lead], SIG_BYTES)
+            new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) if len(b) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[new, len(b)])
+            rows = {r["bucket"]: r | {"a": b"", "b": b""} for r in dealt(b[new], {"cid": c[new], "n": n.astype(np.uint32)})}
+            for r in dealt(b, {"sig": g}):
+                rows[r["bucket"]].update(r)
             for r in dealt((common.mix64(ends[:, 1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), {"a": ends[:, 0], "b": ends[:, 1]}):
-                rows.setdefault(r["bucket"], {"bucket": r["bucket"], "sig": b"", "cid": b""}).update(r)
+                rows.setdefault(r["bucket"], {"bucket": r["bucket"], "sig": b"", "cid": b"", "n": b""}).update(r)
             yield rows_of(_SIGS, list(rows.values()))
 
     def meet(t: pa.Table) -> pa.Table:
         sig = unpacked(b"".join(t["sig"].to_pylist()), SIG_BYTES)
         cid, a, b = (np.frombuffer(b"".join(t[k].to_pylist()), "<i8") for k in ("cid", "a", "b"))
-        order = np.lexsort((cid, sig))
-        sig, cid = sig[order], cid[order]
-        first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-        hub = cid[first][np.cumsum(first) - 1] if len(sig) else cid
-        pairs = np.stack([np.r_[a, hub[~first]], np.r_[b, cid[~first]]], 1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        _, pairs = stars(sig, np.repeat(cid, np.frombuffer(b"".join(t["n"].to_pylist()), "<u4")))
+        return pa.table({"a": np.r_[a, pairs[:, 0]], "b": np.r_[b, pairs[:, 1]]})
 
     return docs.select("text").mapInArrow(deal, _SIGS).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
@@ -355,16 +420,107 @@ def search_tiles(queries: DataFrame, records: DataFrame, ladder: Ladder) -> Data
     return queries.groupBy("block", "qp", "rp").cogroup(records.groupBy("block", "qp", "rp")).applyInArrow(run, "a long, b long")
 
 
+_RARE = "bucket long, cid binary, n binary, h binary, often binary, direct_c binary, direct_h binary"
+H_BYTES = 6
+#: Classes of one slice from which on a shingle counts as frequent.
+OFTEN = 64
+
+
+def shared_shingles(sets: DataFrame, buckets: int) -> DataFrame:
+    """``cid, h, df`` of the shingles that two classes or more have; ``h`` by its low bits and bucket, ``df`` -1 for frequent ones.
+
+    A slice that finds a shingle in many classes says so once and passes these
+    classes on itself, so no task sees a hot shingle more than ``OFTEN`` times a slice.
+    """
+    mask = np.uint64((1 << 8 * H_BYTES) - 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, text="s", chars=16_000_000):
+            cids, lists = batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            h = np.concatenate(lists)
+            c = np.repeat(np.array(cids, np.int64), [len(x) for x in lists])
+            bucket = ((h >> np.uint64(8 * H_BYTES)) % np.uint64(buckets)).astype(np.int64)
+            kinds, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            often = count >= OFTEN
+            many = often[inverse]
+            rows: dict[int, dict] = {}
+            blank = dict.fromkeys(("cid", "n", "h", "often", "direct_c", "direct_h"), b"")
+            put = lambda found: [rows.setdefault(r["bucket"], dict(blank)).update(r) for r in found]  # noqa: B023, E731
+            order = np.lexsort((c[~many], bucket[~many]))
+            b1, c1, h1 = bucket[~many][order], c[~many][order], packed(h[~many][order] & mask, H_BYTES)
+            new = np.flatnonzero(np.r_[True, (b1[1:] != b1[:-1]) | (c1[1:] != c1[:-1])]) if len(b1) else np.zeros(0, np.int64)
+            put(dealt(b1[new], {"cid": c1[new], "n": np.diff(np.r_[new, len(b1)]).astype(np.uint32)}))
+            put(dealt(b1, {"h": h1}))
+            k = kinds[often]
+            put(dealt(((k >> np.uint64(8 * H_BYTES)) % np.uint64(buckets)).astype(np.int64), {"often": packed(k & mask, H_BYTES)}))
+            # settled rows keep their bucket's number in the hash, and go anywhere even
+            full = (h[many] & mask) | (bucket[many].astype(np.uint64) << np.uint64(8 * H_BYTES))
+            put(dealt((common.mix64(c[many].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), {"direct_c": c[many], "direct_h": full}))
+            yield rows_of(_RARE, list(rows.values()))
+
+    def meet(t: pa.Table) -> pa.Table:
+        own = np.uint64(t["bucket"][0].as_py()) << np.uint64(8 * H_BYTES)
+        whole = lambda k, kind: np.frombuffer(b"".join(t[k].to_pylist()), kind)
+        h = unpacked(b"".join(t["h"].to_pylist()), H_BYTES)
+        c = np.repeat(whole("cid", "<i8"), whole("n", "<u4"))
+        often = unpacked(b"".join(t["often"].to_pylist()), H_BYTES)
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        once = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+        h, c = h[once], c[once]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(h)])
+        df = np.where(np.isin(h[first], often), -1, n)
+        df = np.repeat(df, n)
+        keep = df != 1
+        direct_h = whole("direct_h", "<u8")
+        return pa.table({
+            "cid": np.r_[c[keep], whole("direct_c", "<i8")], "h": np.r_[h[keep] | own, direct_h].astype(np.int64),
+            "df": np.r_[df[keep], np.full(len(direct_h), -1)].astype(np.int64),
+        })
+
+    return sets.select("cid", "s").mapInArrow(deal, _RARE).groupBy("bucket").applyInArrow(meet, "cid long, h long, df long")
+
+
+def refined(members: DataFrame, ladder: Ladder, buckets: int) -> DataFrame:
+    """``cid, block``: smaller blocks of the members ``(cid, s)`` of large ones, by prefixes in order of exact rarity.
+
+    A set of n elements links only with sets that have one of its
+    n - ceil(num n / den) + 1 rarest elements among their own rarest; elements
+    that no other class has come first, so a set with enough of them links with
+    nothing and leaves.
+    """
+    n = F.length("s") / 8
+    prefix = (n - F.ceil(n * ladder.num / ladder.den) + 1).cast("long")
+    sizes = members.select("cid", n.cast("long").alias("n"), prefix.alias("p")).distinct()
+    rare = F.when(F.col("df") < 0, F.lit(1 << 40)).otherwise(F.col("df"))
+    lists = shared_shingles(members, buckets).select("cid", rare.alias("df"), "h").distinct().groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    left = F.col("p") - (F.col("n") - F.size("shared"))
+    keys = written(lists.join(sizes, "cid").where(left > 0).select("cid", F.explode(F.slice("shared", F.lit(1), left.cast("int"))).alias("e")).select(F.col("e.h").alias("h"), "cid"))
+    hubs = keys.groupBy("h").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub <> top").select("h", "hub")
+    found = components(keys.join(hubs, "h").select(F.col("hub").alias("a"), F.col("cid").alias("b")).where("a <> b").distinct())
+    return blocks_of(found)
+
+
+def blocks_of(found: DataFrame) -> DataFrame:
+    """``cid, block`` of components, their least members included."""
+    return found.unionByName(found.select(F.col("label").alias("node"), "label").distinct()).select(F.col("node").alias("cid"), F.col("label").alias("block"))
+
+
 def linked_classes(docs: DataFrame, words: int, num: int, den: int, n_docs: int) -> DataFrame:
     """``cid, label`` of every class that links with another: the least class of its component."""
     ladder = Ladder(num, den)
-    buckets = max(4, -(-n_docs // DOCS_PER_BUCKET))
-    blocks = components(tied(docs, words, ladder, buckets))
-    blocks = blocks.unionByName(blocks.select(F.col("label").alias("node"), "label").distinct()).select(F.col("node").alias("cid"), F.col("label").alias("block"))
-    sets = chosen_sets(docs, words, bloom(blocks.select("cid")))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    buckets, groups = max(4, -(-n_docs // DOCS_PER_BUCKET)), max(8, -(-n_docs // 2000))
+    blocks = blocks_of(components(tied(docs, words, ladder, buckets)))
+    # a class comes once from each task of the scan; texts are not read again after this
+    sets = written(chosen_sets(docs, words, bloom(blocks.select("cid"))).join(blocks.select("cid"), "cid", "left_semi"))
+    sizes = written(blocks.groupBy("block").agg(F.count("*").alias("n")))
+    if not sizes.where(F.col("n") > BLOCK).isEmpty():
+        large = blocks.join(sizes.where(F.col("n") > BLOCK), "block", "left_semi")
+        finer = refined(sets.join(large.select("cid"), "cid", "left_semi"), ladder, buckets)
+        blocks = written(blocks.join(sizes.where(F.col("n") > BLOCK), "block", "left_anti").select("cid", "block").unionByName(finer))
+        sizes = written(blocks.groupBy("block").agg(F.count("*").alias("n")))
     members = sets.join(blocks, "cid").join(sizes, "block").select("block", "cid", "s", "n")
-    groups = max(8, -(-n_docs // 2000))
     # one search over both: small blocks whole, large ones in parts by class
     part = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK))).otherwise(F.lit(-1))
     searched = search_blocks(members.select(F.when(F.col("n") > BLOCK, F.xxhash64("block", part)).otherwise(F.col("block")).alias("block"), "cid", "s"), ladder, groups)
@@ -387,7 +543,7 @@ def merge_large(labels: DataFrame, large: DataFrame, sets: DataFrame, ladder: La
         total = counts.where("n > 1").agg(F.sum("n")).first()[0] or 0
         if total == 0:
             return labels
-        if total == before:
+        if before is not None and 2 * total > before:
             break
         before, rounds = total, rounds + 1
         part = F.pmod(F.xxhash64("cid", F.lit(rounds)), F.ceil(F.col("n") / BLOCK))
