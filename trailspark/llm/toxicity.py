@@ -59,7 +59,7 @@ def grams(found: list[str], low: int = 3, high: int = 5) -> tuple[np.ndarray, np
         h = code.copy()
         for n in range(2, high + 1):
             nxt = np.zeros_like(code)
-            nxt[: len(code) - n + 1] = code[n - 1 :]
+            nxt[: max(len(code) - n + 1, 0)] = code[n - 1 :]
             h = h * step + nxt
             if n >= low:
                 ok = left >= n
@@ -125,15 +125,23 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     base = (labels.sum() + 1) / (len(labels) + 2)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(2 * BUCKETS), float(np.log(base / (1 - base))))
-    lists = [words(t) for t in texts]
-    keep = [i for i, ws in enumerate(lists) if ws]
-    labels, lists = labels[keep], [lists[i] for i in keep]
+    # words are taken twice rather than held: the driver keeps numbers only
+    shared: Counter = Counter()
+    keep = []
+    for i, t in enumerate(texts):
+        ws = set(words(t))
+        shared.update(ws)
+        if ws:
+            keep.append(i)
+    labels = labels[keep]
+    if len(set(labels.tolist())) < 2:
+        return Model(np.zeros(2 * BUCKETS), float(np.log(base / (1 - base))))
     # a word of too few documents has no vector of its own here: it stands as row 0, which stays zero
-    least = min(least, max(2, len(lists) // 1000 + 1))
-    shared = Counter(w for ws in lists for w in set(ws))
+    least = min(least, max(2, len(keep) // 1000 + 1))
     known = [w for w, n in shared.items() if n >= least]
+    del shared
     ids = {w: i + 1 for i, w in enumerate(known)}
-    seqs = [np.array([ids.get(w, 0) for w in ws], np.int64) for ws in lists]
+    seqs = [np.array([ids.get(w, 0) for w in words(texts[i])], np.int32) for i in keep]
     flat, size = grams(["\0", *known])
     n_words = len(known) + 1
     owner = np.repeat(np.arange(n_words), size)
@@ -142,7 +150,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     used, used_at = np.unique(flat[order], return_index=True)
     # passages of all documents over one word stream
     stream, length = np.concatenate(seqs), np.array([len(s) for s in seqs])
-    base_at = np.r_[0, np.cumsum(length)[:-1]]
+    base_at = np.cumsum(length) - length
+    doc_of = np.repeat(np.arange(len(seqs), dtype=np.int32), length)
     wins = [windows(n) for n in length]
     count = np.array([len(s) for s, _ in wins])
     start = np.concatenate([s + b for (s, _), b in zip(wins, base_at, strict=True)])
@@ -157,7 +166,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     m2 = [np.zeros_like(p) for p in params]
     weight = np.where(labels > 0, 0.5 / max(base, 1e-3), 0.5 / max(1 - base, 1e-3)) / len(labels)
     for step in range(1, epochs + 1):
-        vec = np.add.reduceat(emb[flat], first, axis=0) / size[:, None]
+        vec = np.stack([np.add.reduceat(emb[flat, k], first) for k in range(DIM)], 1) / size[:, None].astype(np.float32)
         vec[0] = 0
         # the passage with the highest margin stands for its document
         margin = (vec @ (soft[:, 1] - soft[:, 0])).astype(float)
@@ -166,17 +175,20 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
         top = np.maximum.reduceat(z, doc_first)
         is_top = z == np.repeat(top, count)
         pick = doc_first + np.array([int(np.argmax(is_top[a : a + n])) for a, n in zip(doc_first, count, strict=True)])
-        at, n = (base_at, length) if step <= epochs // 3 else (start[pick], span[pick])  # whole texts first, to find where to look
-        word_at = np.repeat(at, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        w_id, d_id = stream[word_at], np.repeat(np.arange(len(at)), n)
-        edge = np.r_[0, np.cumsum(n)[:-1]]
-        mean = np.add.reduceat(vec[w_id], edge, axis=0) / n[:, None]
+        if step <= epochs // 3:  # whole texts first, to find where to look
+            n, w_id, d_id = length, stream, doc_of
+        else:
+            at, n = start[pick], span[pick]
+            d_id = np.repeat(np.arange(len(at)), n)
+            w_id = stream[np.repeat(at, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
+        edge = np.cumsum(n) - n
+        mean = np.stack([np.add.reduceat(vec[w_id, k], edge) for k in range(DIM)], 1) / n[:, None]
         logit = mean @ soft + bias
         logit -= logit.max(1, keepdims=True)
         p = np.exp(logit)
         p /= p.sum(1, keepdims=True)
         err = p.copy()
-        err[np.arange(len(at)), labels.astype(int)] -= 1
+        err[np.arange(len(labels)), labels.astype(int)] -= 1
         err *= weight[:, None]
         g_mean = (err @ soft.T) / n[:, None]
         g_vec = np.zeros_like(vec)
@@ -185,7 +197,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
         g_vec[0] = 0
         g_vec /= size[:, None]
         g_emb = np.zeros_like(emb)
-        g_emb[used] = np.add.reduceat(g_vec[owner[order]], used_at, axis=0)
+        for k in range(DIM):
+            g_emb[used, k] = np.add.reduceat(g_vec[owner[order], k], used_at)
         grads = [g_emb, mean.T @ err, err.sum(0)]
         for k, g in enumerate(grads):
             m1[k] = 0.9 * m1[k] + 0.1 * g
