@@ -222,7 +222,7 @@ def test_misspellings_share_vectors():
             ws[rng.integers(40)] = str(rng.choice(["horrible", "despicable"]))
         texts.append(" ".join(ws))
         y.append(float(k % 4 == 0))
-    m = toxicity.fit(texts, np.array(y), epochs=30)
+    m = toxicity.fit(texts, np.array(y), epochs=60)
     clean = " ".join(filler * 4)
     bad, unseen, ok = m.scores([clean + " horrible " + clean, clean + " horribble " + clean, clean])
     assert bad > 0.5 > ok and unseen > ok
