@@ -25,8 +25,9 @@ Blocks, so that each document meets all it can link with, once:
    is still in several components the rest is searched: documents outside the
    largest component are queries against all of the block, tile by tile.
 
-A Bloom filter of fixed size spares the shuffle of sets that are in no block;
-false positives only cost time, and a full filter spares nothing.
+A Bloom filter of fixed size over one document of each class in a block spares
+the sets of all others; false positives only cost time, and a full filter spares
+nothing.
 
 Null and empty texts, and texts without words, have no shingles, link with
 nothing and are their own component. Texts with fewer words than a shingle are
@@ -348,9 +349,9 @@ def tied(docs: DataFrame, words: int, ladder: Ladder, buckets: int) -> DataFrame
 
 
 def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> bytes:
-    """Bits of the ids' remainders: at most ``bits / 64`` numbers come to the driver, however many ids there are."""
-    bit = F.pmod(F.col("cid"), F.lit(bits))
-    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(cid, {bits}L) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    """Bits of the ids' hashes: at most ``bits / 64`` numbers come to the driver, however many ids there are."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}L) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
     out = np.zeros(bits // 64, np.int64)
     for r in words.toLocalIterator():
         out[r.w] = r.v
@@ -358,26 +359,26 @@ def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> bytes:
 
 
 def chosen_sets(docs: DataFrame, words: int, filter_bits: bytes, bits: int = BLOOM_BITS) -> DataFrame:
-    """``cid, s``: sets of the classes that the filter lets pass, each once a task."""
+    """``cid, s``: sets of the documents whose id the filter lets pass, each class once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, given = Shingler(words), set()
         mask = np.frombuffer(shared.value, np.int64)
-        for batch in common.slices(batches):
-            cids, sets = [], []
-            for s in make.sets(batch.column(0).to_pylist()):
-                if not len(s):
-                    continue
-                c = class_id(s)
-                bit = c % bits
-                if c not in given and mask[bit >> 6] >> np.int64(bit & 63) & 1:
-                    given.add(c)
-                    cids.append(c)
-                    sets.append(s.tobytes())
-            yield common.as_arrow("cid long, s binary", {"cid": cids, "s": sets})
+        for batch in batches:
+            bit = batch.column(0).to_numpy()
+            for part in common.slices([batch.filter(pa.array((mask[bit >> 6] >> (bit & 63) & 1).astype(bool)))]):
+                found = {class_id(s): s for s in make.sets(part.column(1).to_pylist()) if len(s)}
+                fresh = [c for c in found if c not in given]
+                given.update(fresh)
+                yield common.as_arrow("cid long, s binary", {"cid": fresh, "s": [found[c].tobytes() for c in fresh]})
+
+    return docs.select(F.pmod(F.xxhash64(_key()), F.lit(bits)).alias("bit"), "text").mapInArrow(run, "cid long, s binary")
+
 
-    return docs.select("text").mapInArrow(run, "cid long, s binary")
+def _key():
+    """An id for every row; rows without one share it."""
+    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
 
 
 def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -507,24 +508,26 @@ def blocks_of(found: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("label").alias("node"), "label").distinct()).select(F.col("node").alias("cid"), F.col("label").alias("block"))
 
 
-def linked_classes(docs: DataFrame, words: int, num: int, den: int, n_docs: int) -> DataFrame:
-    """``cid, label`` of every class that links with another: the least class of its component."""
-    ladder = Ladder(num, den)
+def linked_classes(docs: DataFrame, rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``cid, label`` of every class that links with another: the least class of its component. ``rows``: ``doc_id, cid`` of ``docs``."""
+    ladder, n_docs = Ladder(num, den), rows.count()
     buckets, groups = max(4, -(-n_docs // DOCS_PER_BUCKET)), max(8, -(-n_docs // 2000))
-    blocks = blocks_of(components(tied(docs, words, ladder, buckets)))
-    # a class comes once from each task of the scan; texts are not read again after this
-    sets = written(chosen_sets(docs, words, bloom(blocks.select("cid"))).join(blocks.select("cid"), "cid", "left_semi"))
-    sizes = written(blocks.groupBy("block").agg(F.count("*").alias("n")))
+    blocks = written(blocks_of(components(tied(docs, words, ladder, buckets))))
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    members = blocks.join(sizes, "block")
+    # one document of each class in a block gives its set; texts are not read again after this
+    owners = rows.join(blocks, "cid", "left_semi").groupBy("cid").agg(F.min(_key()).alias("id"))
+    sets = chosen_sets(docs, words, bloom(owners.select("id")))
     if not sizes.where(F.col("n") > BLOCK).isEmpty():
-        large = blocks.join(sizes.where(F.col("n") > BLOCK), "block", "left_semi")
+        sets = written(sets.join(blocks.select("cid"), "cid", "left_semi"))
+        large = members.where(F.col("n") > BLOCK)
         finer = refined(sets.join(large.select("cid"), "cid", "left_semi"), ladder, buckets)
-        blocks = written(blocks.join(sizes.where(F.col("n") > BLOCK), "block", "left_anti").select("cid", "block").unionByName(finer))
-        sizes = written(blocks.groupBy("block").agg(F.count("*").alias("n")))
-    members = sets.join(blocks, "cid").join(sizes, "block").select("block", "cid", "s", "n")
+        blocks = written(members.where(F.col("n") <= BLOCK).select("cid", "block").unionByName(finer))
+        sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
+        members = blocks.join(sizes, "block")
     # one search over both: small blocks whole, large ones in parts by class
-    part = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK))).otherwise(F.lit(-1))
-    searched = search_blocks(members.select(F.when(F.col("n") > BLOCK, F.xxhash64("block", part)).otherwise(F.col("block")).alias("block"), "cid", "s"), ladder, groups)
-    labels = written(searched.select("cid", "label"))
+    part = F.when(F.col("n") > BLOCK, F.xxhash64("block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK)))).otherwise(F.col("block"))
+    labels = written(search_blocks(sets.join(members.select("cid", part.alias("block")), "cid"), ladder, groups).select("cid", "label"))
     large = sizes.where(F.col("n") > BLOCK)
     if large.isEmpty():
         return labels
@@ -579,7 +582,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     """``doc_id, n_shingles, component_id`` of every row."""
     d = common.id_text(docs)
     rows = written(class_rows(d, words))
-    labels = linked_classes(d, words, num, den, rows.count())
+    labels = linked_classes(d, rows, words, num, den)
     # least document of each class (partial sums first), then of each component
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")).join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"), "least")
     of = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cid", "component_id")
