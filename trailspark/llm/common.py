@@ -81,16 +81,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deal rows round robin when the scan has fewer partitions than the cluster has slots.
-
-    Python work then uses all cores on small inputs; large inputs, which already
-    come in many splits, are left alone.
-    """
-    slots = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def as_arrow(spec: str, columns: dict) -> pa.RecordBatch:
     """A record batch from ``name type, ...`` and lists or arrays."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}

@@ -21,7 +21,7 @@ score is the smoothed base rate.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 15
+#: Hashed counters of the words' training documents.
+COUNTERS = 1 << 22
 DIM = 8
 PASSAGE = 4
 MAX_TRAIN = 6000
@@ -125,22 +127,24 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     base = (labels.sum() + 1) / (len(labels) + 2)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(2 * BUCKETS), float(np.log(base / (1 - base))))
-    # words are taken twice rather than held: the driver keeps numbers only
-    shared: Counter = Counter()
-    keep = []
+    # words are taken twice rather than held, and counted by hash: the driver keeps numbers only
+    keep, counts = [], np.zeros(COUNTERS, np.uint16)
     for i, t in enumerate(texts):
-        ws = set(words(t))
-        shared.update(ws)
-        if ws:
+        at = np.array(sorted({zlib.crc32(w.encode()) % COUNTERS for w in words(t)}), np.int64)
+        counts[at] += 1
+        if len(at):
             keep.append(i)
     labels = labels[keep]
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(2 * BUCKETS), float(np.log(base / (1 - base))))
     # a word of too few documents has no vector of its own here: it stands as row 0, which stays zero
     least = min(least, max(2, len(keep) // 1000 + 1))
-    known = [w for w, n in shared.items() if n >= least]
-    del shared
-    ids = {w: i + 1 for i, w in enumerate(known)}
+    ids: dict[str, int] = {}
+    for i in keep:
+        for w in sorted(set(words(texts[i])).difference(ids)):
+            if counts[zlib.crc32(w.encode()) % COUNTERS] >= least:
+                ids[w] = len(ids) + 1
+    known = list(ids)
     seqs = [np.array([ids.get(w, 0) for w in words(texts[i])], np.int32) for i in keep]
     flat, size = grams(["\0", *known])
     n_words = len(known) + 1
@@ -168,16 +172,14 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     for step in range(1, epochs + 1):
         vec = np.stack([np.add.reduceat(emb[flat, k], first) for k in range(DIM)], 1) / size[:, None].astype(np.float32)
         vec[0] = 0
-        # the passage with the highest margin stands for its document
-        margin = (vec @ (soft[:, 1] - soft[:, 0])).astype(float)
-        c = np.r_[0.0, np.cumsum(margin[stream])]
-        z = (c[start + span] - c[start]) / span
-        top = np.maximum.reduceat(z, doc_first)
-        is_top = z == np.repeat(top, count)
-        pick = doc_first + np.array([int(np.argmax(is_top[a : a + n])) for a, n in zip(doc_first, count, strict=True)])
         if step <= epochs // 3:  # whole texts first, to find where to look
             n, w_id, d_id = length, stream, doc_of
-        else:
+        else:  # the passage with the highest margin stands for its document
+            margin = (vec @ (soft[:, 1] - soft[:, 0])).astype(float)
+            c = np.r_[0.0, np.cumsum(margin[stream])]
+            z = (c[start + span] - c[start]) / span
+            is_top = z == np.repeat(np.maximum.reduceat(z, doc_first), count)
+            pick = doc_first + np.array([int(np.argmax(is_top[a : a + n])) for a, n in zip(doc_first, count, strict=True)])
             at, n = start[pick], span[pick]
             d_id = np.repeat(np.arange(len(at)), n)
             w_id = stream[np.repeat(at, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
@@ -244,7 +246,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(shared.value[0].astype(float), shared.value[1])
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, chars=2_000_000):
             yield common.as_arrow(SPEC, {"doc_id": batch.column(0), "score": m.scores(batch.column(1).to_pylist())})
 
     return common.id_text(docs, id_col, text_col).mapInArrow(run, SPEC)
@@ -261,12 +263,11 @@ def keep_clean(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Dat
     """The rows of ``docs`` that the classifier does not reject, all columns as they were."""
     model = train(docs, labels, most)
     shared = docs.sparkSession.sparkContext.broadcast((model.margin.astype(np.float32), model.bias))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def worst(texts):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(shared.value[0].astype(float), shared.value[1])
-        return pd.Series(m.scores(texts.fillna("").tolist()), dtype=float)
+        for batch in common.slices(batches, chars=2_000_000):
+            yield batch.filter(pa.array([s < 0.5 for s in m.scores([t or "" for t in batch.column(at).to_pylist()])], pa.bool_()))
 
-    return docs.where(worst(F.col("text")) < 0.5)
+    return docs.mapInArrow(run, docs.schema)
