@@ -201,3 +201,12 @@ def test_leaks_hold_all_verbatim_items(spark, sf_dir, odd, empty):
     assert decontaminate.leaks(empty, bench).count() == 0
     none = spark.createDataFrame([(1, None), (2, ""), (None, " ! ")], "item_id long, text string")
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.leaks(docs, none.limit(0)).count() == 0
+
+
+def test_join_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(registry.SQL["op1_ngram_join"]).fetchall()
+    assert sorted(tuple(r) for r in registry.op1_ngram_join(spark, sf_dir).collect()) == sorted(want)

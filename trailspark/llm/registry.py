@@ -54,5 +54,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontamination, op3_pii, op4_packing, op5_substring_dedup, op6_media, op7_token_counts, op8_quality, op9_toxicity, op10_html_text)}
-#: None of these is expressible in SQL within reason; tests hold them to brute force instead.
-SQL: dict[str, str] = {}
+#: Of these only the join has a form in SQL; tests hold the others to brute force, round trips or held-out rows.
+SQL: dict[str, str] = {
+    "op1_ngram_join": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+meets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM meets JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS d, a AS c FROM both_ways UNION SELECT reach.d, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.c)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.c, w.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT d, min(c) AS c FROM reach GROUP BY 1) r ON r.d = w.doc_id
+""",
+}
