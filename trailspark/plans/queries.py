@@ -123,10 +123,10 @@ def remove_zeros(spark, sf_dir):
 
 
 @query(D + f"""SELECT {_ROW_SQL} FROM displacements d
-SEMI JOIN (SELECT date, experiment, track_id FROM displacements GROUP BY ALL HAVING max(disp) >= 480) m
+SEMI JOIN (SELECT date, experiment, track_id FROM displacements GROUP BY ALL HAVING max(disp) >= 300) m
 ON m.date = d.date AND m.experiment = d.experiment AND m.track_id = d.track_id""")
 def filter_short_tracks(spark, sf_dir):
-    return _rows(quality.moving_tracks(tables.displacements(spark, sf_dir), 480))
+    return _rows(quality.moving_tracks(tables.displacements(spark, sf_dir), 300))
 
 
 @query(D + f"SELECT {_ROW_SQL} FROM displacements WHERE num_points >= 60 AND duration >= 600")
@@ -500,9 +500,9 @@ def adjacency_list(spark, sf_dir):
     return graph.adjacency_text(graph.undirected(tables.tissue(spark, sf_dir)))
 
 
-@query(G + "SELECT a AS node, count(*) AS degree FROM arcs WHERE (a * b) % 11 = 1 GROUP BY 1 HAVING count(*) > 2")
+@query(G + "SELECT a AS node, count(*) AS degree FROM arcs WHERE (a + b) % 3 = 1 GROUP BY 1 HAVING count(*) > 2")
 def branch_points(spark, sf_dir):
-    return graph.branch_points(graph.undirected(tables.tissue(spark, sf_dir)).where("(a * b) % 11 = 1"))
+    return graph.branch_points(graph.undirected(tables.tissue(spark, sf_dir)).where("(a + b) % 3 = 1"))
 
 
 @query(G + """, f AS (SELECT b AS node, a AS prev FROM arcs WHERE a = 1) SELECT arcs.b AS node, f.node AS prev, count(*) AS n FROM f JOIN arcs ON arcs.a = f.node AND arcs.b <> f.prev GROUP BY 1, 2""")
