@@ -37,7 +37,7 @@ BUCKETS = 1 << 15
 COUNTERS = 1 << 22
 DIM = 8
 PASSAGE = 4
-MAX_TRAIN = 6000
+MAX_TRAIN = 5000
 EPOCHS = 45
 #: Documents a word must be in to have vectors of its own in training (fewer where there are under 1000 training rows for each).
 LEAST_DOCS = 5
