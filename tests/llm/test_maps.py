@@ -234,3 +234,17 @@ def test_classifiers_take_odd_rows(spark, odd, empty, run):
     assert run(odd, labels).count() == odd.count()
     assert run(empty, labels).count() == 0
     assert run(odd, labels.limit(0)).where("score between 0 and 1").count() == odd.count()
+
+
+def test_slices_keep_rows_in_order():
+    import pyarrow as pa
+
+    from trailspark.llm import common
+
+    texts = ["x" * n for n in (5, 0, 900, 3, 3, 2000, 1)] + [None, "é"]
+    batches = [pa.RecordBatch.from_pydict({"i": [k], "text": pa.array([t], pa.string())}) for k, t in enumerate(texts)] + [pa.RecordBatch.from_pydict({"i": [9, 10, 11], "text": ["a" * 40, "b" * 70, "c" * 70]})]
+    for chars in (1, 100, 10_000):
+        got = list(common.slices(batches, chars=chars))
+        assert [i for b in got for i in b.column(0).to_pylist()] == list(range(12))
+        assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= chars for b in got)
+    assert list(common.slices([])) == []

@@ -32,12 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator works on, null text as empty text."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: where the session has the default batch size for Python, hand over fewer rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; set one only where none is set (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,22 +59,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``chars`` bytes of text (one row at least)."""
+    """The rows in batches of about ``chars`` bytes of text (one row at least): small ones are joined, large ones cut."""
+    held, size = [], 0
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sizes = batch.column(batch.schema.get_field_index(text)).buffers()
-        if batch.nbytes <= chars or sizes is None:
-            yield batch
+        if not batch.num_rows:
             continue
-        lens = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0))
-        at, cum = 0, np.cumsum(lens, dtype=np.int64)
-        while at < n:
-            base = cum[at - 1] if at else 0
+        cum = np.cumsum(np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0)), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            base = int(cum[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(cum, base + chars, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+            n = int(cum[to - 1]) - base
+            if held and size + n > chars:
+                yield joined(held)
+                held, size = [], 0
+            held.append(batch.slice(at, to - at))
+            size, at = size + n, to
+    if held:
+        yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
