@@ -348,32 +348,46 @@ def tied(docs: DataFrame, words: int, ladder: Ladder, buckets: int) -> DataFrame
     return docs.select("text").mapInArrow(deal, _SIGS).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> bytes:
-    """Bits of the ids' hashes: at most ``bits / 64`` numbers come to the driver, however many ids there are."""
+def bloom_words(ids: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+    """``w, v``: 64-bit words of a Bloom filter of ``ids (id)``; at most ``bits / 64`` rows, however many ids there are."""
     bit = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}L) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    return ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}L) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+
+
+def bloom(ids: DataFrame, bits: int = BLOOM_BITS) -> bytes:
+    """The same as bytes for Python workers."""
     out = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
+    for r in bloom_words(ids, bits).toLocalIterator():
         out[r.w] = r.v
     return out.tobytes()
 
 
-def chosen_sets(docs: DataFrame, words: int, filter_bits: bytes, bits: int = BLOOM_BITS) -> DataFrame:
+def chosen(batches: Iterator[pa.RecordBatch], bits: bytes, make: Shingler, given: set) -> Iterator[dict[int, np.ndarray]]:
+    """Sets by class, a slice at a time, of rows ``bit, text`` whose bit is set; each class once."""
+    mask = np.frombuffer(bits, np.int64)
+    for batch in batches:
+        bit = batch.column(0).to_numpy()
+        for part in common.slices([batch.filter(pa.array((mask[bit >> 6] >> (bit & 63) & 1).astype(bool)))]):
+            found = {class_id(s): s for s in make.sets(part.column(1).to_pylist()) if len(s)}
+            found = {c: s for c, s in found.items() if c not in given}
+            given.update(found)
+            if found:
+                yield found
+
+
+def with_bit(docs: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+    return docs.select(F.pmod(F.xxhash64(_key()), F.lit(bits)).alias("bit"), "text")
+
+
+def chosen_sets(docs: DataFrame, words: int, filter_bits: bytes) -> DataFrame:
     """``cid, s``: sets of the documents whose id the filter lets pass, each class once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, given = Shingler(words), set()
-        mask = np.frombuffer(shared.value, np.int64)
-        for batch in batches:
-            bit = batch.column(0).to_numpy()
-            for part in common.slices([batch.filter(pa.array((mask[bit >> 6] >> (bit & 63) & 1).astype(bool)))]):
-                found = {class_id(s): s for s in make.sets(part.column(1).to_pylist()) if len(s)}
-                fresh = [c for c in found if c not in given]
-                given.update(fresh)
-                yield common.as_arrow("cid long, s binary", {"cid": fresh, "s": [found[c].tobytes() for c in fresh]})
+        for found in chosen(batches, shared.value, Shingler(words), set()):
+            yield common.as_arrow("cid long, s binary", {"cid": list(found), "s": [x.tobytes() for x in found.values()]})
 
-    return docs.select(F.pmod(F.xxhash64(_key()), F.lit(bits)).alias("bit"), "text").mapInArrow(run, "cid long, s binary")
+    return with_bit(docs).mapInArrow(run, "cid long, s binary")
 
 
 def _key():
@@ -427,19 +441,19 @@ H_BYTES = 6
 OFTEN = 64
 
 
-def shared_shingles(sets: DataFrame, buckets: int) -> DataFrame:
-    """``cid, h, df`` of the shingles that two classes or more have; ``h`` by its low bits and bucket, ``df`` -1 for frequent ones.
+def shared_shingles(docs: DataFrame, words: int, filter_bits: bytes, buckets: int) -> DataFrame:
+    """``cid, h, df`` of the shingles that two classes or more of the chosen documents have; ``h`` by its low bits and bucket, ``df`` -1 for frequent ones.
 
     A slice that finds a shingle in many classes says so once and passes these
     classes on itself, so no task sees a hot shingle more than ``OFTEN`` times a slice.
     """
     mask = np.uint64((1 << 8 * H_BYTES) - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text="s", chars=16_000_000):
-            cids, lists = batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            h = np.concatenate(lists)
-            c = np.repeat(np.array(cids, np.int64), [len(x) for x in lists])
+        for found in chosen(batches, shared.value, Shingler(words), set()):
+            h = np.concatenate(list(found.values()))
+            c = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
             bucket = ((h >> np.uint64(8 * H_BYTES)) % np.uint64(buckets)).astype(np.int64)
             kinds, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
             often = count >= OFTEN
@@ -480,27 +494,25 @@ def shared_shingles(sets: DataFrame, buckets: int) -> DataFrame:
             "df": np.r_[df[keep], np.full(len(direct_h), -1)].astype(np.int64),
         })
 
-    return sets.select("cid", "s").mapInArrow(deal, _RARE).groupBy("bucket").applyInArrow(meet, "cid long, h long, df long")
+    return with_bit(docs).mapInArrow(deal, _RARE).groupBy("bucket").applyInArrow(meet, "cid long, h long, df long")
 
 
-def refined(members: DataFrame, ladder: Ladder, buckets: int) -> DataFrame:
-    """``cid, block``: smaller blocks of the members ``(cid, s)`` of large ones, by prefixes in order of exact rarity.
+def refined(docs: DataFrame, words: int, members: DataFrame, ladder: Ladder, buckets: int) -> DataFrame:
+    """``cid, block``: smaller blocks of the ``members (cid, id, n)`` of large ones, by prefixes in order of exact rarity.
 
-    A set of n elements links only with sets that have one of its
-    n - ceil(num n / den) + 1 rarest elements among their own rarest; elements
-    that no other class has come first, so a set with enough of them links with
-    nothing and leaves.
+    ``id``: a document of the class, ``n``: its shingles. A set of n elements
+    links only with sets that have one of its n - ceil(num n / den) + 1 rarest
+    elements among their own rarest; elements that no other class has come first,
+    so a set with enough of them links with nothing and leaves.
     """
-    n = F.length("s") / 8
-    prefix = (n - F.ceil(n * ladder.num / ladder.den) + 1).cast("long")
-    sizes = members.select("cid", n.cast("long").alias("n"), prefix.alias("p")).distinct()
+    found = shared_shingles(docs, words, bloom(members.select("id")), buckets)
     rare = F.when(F.col("df") < 0, F.lit(1 << 40)).otherwise(F.col("df"))
-    lists = shared_shingles(members, buckets).select("cid", rare.alias("df"), "h").distinct().groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    left = F.col("p") - (F.col("n") - F.size("shared"))
-    keys = written(lists.join(sizes, "cid").where(left > 0).select("cid", F.explode(F.slice("shared", F.lit(1), left.cast("int"))).alias("e")).select(F.col("e.h").alias("h"), "cid"))
+    lists = found.select("cid", rare.alias("df"), "h").groupBy("cid").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("shared"))
+    left = F.col("n") - F.ceil(F.col("n") * ladder.num / ladder.den) + 1 - (F.col("n") - F.size("shared"))
+    keys = lists.join(members.select("cid", "n"), "cid").where(left > 0).select("cid", F.explode(F.slice("shared", F.lit(1), left.cast("int"))).alias("e"))
+    keys = written(keys.select(F.col("e.h").alias("h"), "cid"))
     hubs = keys.groupBy("h").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub <> top").select("h", "hub")
-    found = components(keys.join(hubs, "h").select(F.col("hub").alias("a"), F.col("cid").alias("b")).where("a <> b").distinct())
-    return blocks_of(found)
+    return blocks_of(components(keys.join(hubs, "h").select(F.col("hub").alias("a"), F.col("cid").alias("b")).where("a <> b").distinct()))
 
 
 def blocks_of(found: DataFrame) -> DataFrame:
@@ -515,16 +527,14 @@ def linked_classes(docs: DataFrame, rows: DataFrame, words: int, num: int, den:
     blocks = written(blocks_of(components(tied(docs, words, ladder, buckets))))
     sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
     members = blocks.join(sizes, "block")
-    # one document of each class in a block gives its set; texts are not read again after this
-    owners = rows.join(blocks, "cid", "left_semi").groupBy("cid").agg(F.min(_key()).alias("id"))
-    sets = chosen_sets(docs, words, bloom(owners.select("id")))
     if not sizes.where(F.col("n") > BLOCK).isEmpty():
-        sets = written(sets.join(blocks.select("cid"), "cid", "left_semi"))
-        large = members.where(F.col("n") > BLOCK)
-        finer = refined(sets.join(large.select("cid"), "cid", "left_semi"), ladder, buckets)
+        large = written(owners(rows, members.where(F.col("n") > BLOCK)))
+        finer = refined(docs, words, large, ladder, buckets)
         blocks = written(members.where(F.col("n") <= BLOCK).select("cid", "block").unionByName(finer))
         sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
         members = blocks.join(sizes, "block")
+    # one document of each class in a block gives its set; texts are not read again after this
+    sets = chosen_sets(docs, words, bloom(owners(rows, blocks).select("id")))
     # one search over both: small blocks whole, large ones in parts by class
     part = F.when(F.col("n") > BLOCK, F.xxhash64("block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK)))).otherwise(F.col("block"))
     labels = written(search_blocks(sets.join(members.select("cid", part.alias("block")), "cid"), ladder, groups).select("cid", "label"))
@@ -534,6 +544,11 @@ def linked_classes(docs: DataFrame, rows: DataFrame, words: int, num: int, den:
     return merge_large(labels, blocks.join(large, "block").select("block", "cid"), sets, ladder, groups)
 
 
+def owners(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cid, id, n``: the least document of each class and its shingles."""
+    return rows.join(classes.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(_key()).alias("id"), F.max("n_shingles").alias("n"))
+
+
 def merge_large(labels: DataFrame, large: DataFrame, sets: DataFrame, ladder: Ladder, groups: int) -> DataFrame:
     """Labels of large blocks, merged over their parts."""
     large = written(large)
@@ -597,7 +612,14 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     """
     found = written(ngram_join(docs, words, num, den))
     gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # only rows that a filter of fixed size can't clear are dealt out for the exact check; texts of the others stay where they are
+    words_of = F.broadcast(bloom_words(gone.select(F.col("_gone").alias("id"))).select(F.col("w").alias("_w"), F.col("v").alias("_v")))
+    bit = f"pmod(xxhash64(cast(doc_id as bigint)), {BLOOM_BITS}L)"
+    marked = docs.withColumn("_at", F.expr(f"shiftright({bit}, 6)")).join(words_of, F.col("_at") == F.col("_w"), "left")
+    maybe = F.expr(f"coalesce(_v, 0L) & shiftleft(1L, cast({bit} & 63 as int))") != 0
+    clear = marked.where(~maybe).select(*docs.columns)
+    doubted = marked.where(maybe).select(*docs.columns)
+    kept = clear.unionByName(doubted.join(gone, doubted["doc_id"] == gone["_gone"], "left_anti"))
     again = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("component_id").alias("k")).where("n > 1 and k = 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return kept
