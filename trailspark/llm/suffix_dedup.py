@@ -313,7 +313,7 @@ def doubled(joined: DataFrame, buckets: int) -> DataFrame:
     """``t, owner, start, stop``: bytes of the representative texts that smaller documents have. Input: ``text, th, doc, hs, owner``; rows of the owner count."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, chars=24_000_000):
+        for batch in common.slices(batches, chars=16_000_000):
             least: dict[tuple[int, bytes], list[tuple]] = {}
             done: list[tuple[int, int, int, int]] = []
             for text, th, doc, hs, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
