@@ -149,6 +149,23 @@ def test_fits_by_lag(spark):
     assert c.count() == 600 and c.where("density < 0").count() == 0
 
 
+def test_fits_take_all_values(spark):
+    from trailspark.operators import stats
+    from trailspark.plans.queries import QUERIES
+    from trailspark.sources import tables
+
+    at = "/root/testdata/sf0.01"
+    s = stats.samples_over_time(tables.displacements(spark, at), "disp", 30, 60).toPandas()
+    for r in QUERIES["fit_mixture"](spark, at).collect():
+        x = s["value"][s["lag"] == r.lag].to_numpy()
+        (_, params, error), = fitting.fit_all(x, {})
+        assert len(x) > 2000 and r.params == pytest.approx(params, rel=1e-3, abs=0.05) and r.sse == pytest.approx(error, rel=1e-3)
+    many = spark.range(120_000).selectExpr("10d AS lag", "sqrt(id % 40) AS value")
+    (got,) = fitting.fit_by_lag(many, {"gamma": "gamma"}, mixture=False).collect()
+    (_, params, error), = fitting.fit_all(np.sqrt(np.arange(120_000) % 40), {"gamma": "gamma"}, mixture=False)
+    assert got.params == pytest.approx(params, rel=1e-3) and got.sse == pytest.approx(error, rel=1e-3)
+
+
 def test_walkers(spark):
     path = spark.createDataFrame([(0, 1, 1.0)], "a long, b long, weight double")
     for mover, params in (("brownian", (0.3,)), ("simple_forward", (0.3, 0.2)), ("normal", (0.2, 0.5, 0.1)), ("normal_mixture", (0.2, 0.5, 0.5, 0.1, 0.2, 0.1))):

@@ -1,6 +1,8 @@
 """Distribution fits by lag: maximum likelihood with free location and scale, folded normals, and their mixture by EM.
 
-One lag is one Arrow group; numpy only. ``s`` of folded normals is a variance.
+One lag is one Arrow group of its distinct values with their counts; numpy only.
+A fit of values with counts is that of the values so often repeated. ``s`` of
+folded normals is a variance.
 A fit that fails has NULL parameters. Components of a mixture come with
 m1 >= m2 and as (p, m1, s1, m2, s2).
 """
@@ -93,27 +95,34 @@ def log_density(family: str, params: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(ok, out, -np.inf) - math.log(scale)
 
 
-def density_bins(x: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+def moments(x: np.ndarray, count: np.ndarray) -> tuple[float, float]:
+    """Mean and standard deviation."""
+    mean = float(np.average(x, weights=count))
+    return mean, math.sqrt(float(np.average((x - mean) ** 2, weights=count)))
+
+
+def density_bins(x: np.ndarray, bins: int = BINS, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Centres and densities of equal bins, the last closed."""
-    n, edges = np.histogram(x, bins)
+    n, edges = np.histogram(x, bins, weights=count)
     w = edges[1] - edges[0]
-    return (edges[:-1] + edges[1:]) / 2, n / (len(x) * w)
+    return (edges[:-1] + edges[1:]) / 2, n / (n.sum() * w)
 
 
-def sse(x: np.ndarray, pdf: Callable, bins: int = BINS) -> float:
-    at, y = density_bins(x, bins)
+def sse(x: np.ndarray, pdf: Callable, bins: int = BINS, count: np.ndarray | None = None) -> float:
+    at, y = density_bins(x, bins, count)
     return float(((y - pdf(at)) ** 2).sum())
 
 
-def fit_family(x: np.ndarray, family: str) -> np.ndarray | None:
+def fit_family(x: np.ndarray, family: str, count: np.ndarray | None = None) -> np.ndarray | None:
     """Maximum likelihood from a few starts; None where none is finite."""
-    spread = float(x.std()) or 1.0
+    w = np.ones(len(x)) if count is None else count
+    spread = moments(x, w)[1] or 1.0
     lo, hi = float(x.min()), float(x.max())
     loc = hi + 0.05 * spread if family == "levy_l" else lo - 0.05 * spread
     best = (None, np.inf)
     for shape in ([], ) if not SHAPES[family] else ([1.0] * SHAPES[family], [2.0] * SHAPES[family]):
         with np.errstate(all="ignore"):
-            cost = lambda p: v if np.isfinite(v := -log_density(family, p, x).sum()) else 1e300
+            cost = lambda p: v if np.isfinite(v := -(w * log_density(family, p, x)).sum()) else 1e300
             p, v = nelder_mead(cost, np.array([*shape, loc, spread]))
         if v < min(best[1], 1e299):
             best = (p, v)
@@ -123,37 +132,39 @@ def fit_family(x: np.ndarray, family: str) -> np.ndarray | None:
 def fit_folded(x: np.ndarray, weight: np.ndarray | None = None, start: tuple[float, float] | None = None) -> tuple[float, float]:
     """(m, s) of one folded normal."""
     w = np.ones(len(x)) if weight is None else weight
-    first = start or (float(x.mean()) / 3, float(x.std()) or 1e-3)
+    mean, spread = moments(x, w) if start is None else (0.0, 0.0)
+    first = start or (mean / 3, spread or 1e-3)
     (m, s), _ = nelder_mead(lambda p: -float((w * log_folded(x, p[0], p[1])).sum()) / max(w.sum(), 1e-300), np.array(first), 500)
     return abs(float(m)), abs(float(s))
 
 
-def start_mixture(x: np.ndarray, bins: int = BINS, least: int = 1) -> tuple[float, float, float, float, float]:
+def start_mixture(x: np.ndarray, bins: int = BINS, least: int = 1, count: np.ndarray | None = None) -> tuple[float, float, float, float, float]:
     """Start values: what the first bin holds above the second is one component, the rest the other.
 
-    The excess is drawn in a hashed order. With fewer bins it is retried while
-    there is no excess; at two bins a single component is split in half.
+    Each value of the first bin gives the excess its share. With fewer bins it is
+    retried while there is no excess; at two bins a single component is split in half.
     """
+    w = np.ones(len(x)) if count is None else count
+    total = float(w.sum())
     while True:
-        counts, edges = np.histogram(x, bins)
+        counts, edges = np.histogram(x, bins, weights=w)
         excess = int(counts[0] - counts[1])
-        if excess >= max(least, 2) and len(x) - excess >= 2:
+        if excess >= max(least, 2) and total - excess >= 2:
             break
         if bins <= 2:
-            m, s = fit_folded(x)
+            m, s = fit_folded(x, w)
             return 0.5, m, s, m / 4, s / 4
         bins = max(2, int(0.75 * bins))
-    first = np.flatnonzero(x <= edges[1])
-    key = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    near = np.zeros(len(x), bool)
-    near[first[np.argsort(key, kind="stable")][:excess]] = True
-    m1, s1 = fit_folded(x[~near])
-    m2, s2 = fit_folded(x[near])
-    return 1 - excess / len(x), m1, s1, m2, s2
+    near = np.where(x < edges[1], w, 0.0)
+    near *= excess / max(near.sum(), 1e-300)
+    m1, s1 = fit_folded(x, w - near)
+    m2, s2 = fit_folded(x, near)
+    return 1 - excess / total, m1, s1, m2, s2
 
 
-def em(x: np.ndarray, start: tuple, tol: float = 1e-5, most: int = 200) -> tuple[float, float, float, float, float]:
+def em(x: np.ndarray, start: tuple, tol: float = 1e-5, most: int = 200, count: np.ndarray | None = None) -> tuple[float, float, float, float, float]:
     """Mixture of two folded normals from start values; stops when memberships settle, or after ``most`` rounds."""
+    w = np.ones(len(x)) if count is None else count
     p, m1, s1, m2, s2 = start
     old = None
     for _ in range(most):
@@ -162,53 +173,51 @@ def em(x: np.ndarray, start: tuple, tol: float = 1e-5, most: int = 200) -> tuple
         g = np.exp(a - np.logaddexp(a, b))
         if old is not None and np.all(np.abs(g - old) <= tol + 1e-5 * np.abs(old)):
             break
-        old, p = g, float(g.mean())
-        m1, s1 = fit_folded(x, g, (m1, s1))
-        m2, s2 = fit_folded(x, 1 - g, (m2, s2))
+        old, p = g, float(np.average(g, weights=w))
+        m1, s1 = fit_folded(x, w * g, (m1, s1))
+        m2, s2 = fit_folded(x, w * (1 - g), (m2, s2))
     return (p, m1, s1, m2, s2) if m1 >= m2 else (1 - p, m2, s2, m1, s1)
 
 
-def fit_mixture(x: np.ndarray, bins: int = BINS) -> tuple[float, float, float, float, float]:
-    return em(x, start_mixture(x, bins))
+def fit_mixture(x: np.ndarray, bins: int = BINS, count: np.ndarray | None = None) -> tuple[float, float, float, float, float]:
+    return em(x, start_mixture(x, bins, count=count), count=count)
 
 
-def fit_all(x: np.ndarray, candidates: dict[str, str], bins: int = BINS, mixture: bool = True) -> list[tuple[str, list[float] | None, float | None]]:
+def fit_all(x: np.ndarray, candidates: dict[str, str], bins: int = BINS, mixture: bool = True, count: np.ndarray | None = None) -> list[tuple[str, list[float] | None, float | None]]:
     """(name, parameters, SSE) of each candidate and the mixture."""
     out, done = [], {}
-    enough = len(x) >= 5 and float(x.max()) > float(x.min())
+    enough = (len(x) if count is None else count.sum()) >= 5 and float(x.max()) > float(x.min())
     for name, family in candidates.items():
         if family not in done:
-            done[family] = fit_family(x, family) if enough else None
+            done[family] = fit_family(x, family, count) if enough else None
         p = done[family]
-        out.append((name, None, None) if p is None else (name, [float(v) for v in p], sse(x, lambda at, f=family, p=p: np.exp(log_density(f, p, at)), bins)))
+        out.append((name, None, None) if p is None else (name, [float(v) for v in p], sse(x, lambda at, f=family, p=p: np.exp(log_density(f, p, at)), bins, count)))
     if mixture:
         if enough:
-            p = fit_mixture(x, bins)
-            out.append(("folded_normal_mixture", list(p), sse(x, lambda at: p[0] * np.exp(log_folded(at, p[1], p[2])) + (1 - p[0]) * np.exp(log_folded(at, p[3], p[4])), bins)))
+            p = fit_mixture(x, bins, count)
+            out.append(("folded_normal_mixture", list(p), sse(x, lambda at: p[0] * np.exp(log_folded(at, p[1], p[2])) + (1 - p[0]) * np.exp(log_folded(at, p[3], p[4])), bins, count)))
         else:
             out.append(("folded_normal_mixture", None, None))
     return out
 
 
-def fit_by_lag(samples: DataFrame, candidates: dict[str, str] | None = None, bins: int = BINS, mixture: bool = True, most: int = 100_000, seed: int = 0) -> DataFrame:
+def fit_by_lag(samples: DataFrame, candidates: dict[str, str] | None = None, bins: int = BINS, mixture: bool = True) -> DataFrame:
     """``lag, dist, params, sse, sse_nbins`` of ``samples (lag, value)``.
 
-    A likelihood sums over all of a lag's values; a lag with more than ``most``
-    (a stated bound on what one task holds) is fitted on the ``most`` values of
-    lowest hash, chosen by a partial aggregation of hash ranges.
+    A likelihood sums over all of a lag's values: they come to one task as
+    distinct values with counts, all of them.
     """
     families = {**STABLE, **GAMMA} if candidates is None else candidates
-    counts = samples.groupBy("lag").agg(F.count("*").alias("n"))
-    keyed = samples.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "value"), F.lit(1 << 30)))
-    bounded = keyed.join(counts, "lag").where((F.col("n") <= most) | (F.col("h") < F.lit(1 << 30) * (most / F.col("n")))).select("lag", "value")
+    counted = samples.groupBy("lag", "value").agg(F.count("*").alias("n"))
 
     def run(pdf):
         import pandas as pd
 
-        rows = [(pdf["lag"].iloc[0], name, p, e, bins) for name, p, e in fit_all(np.sort(pdf["value"].to_numpy(float)), families, bins, mixture)]
-        return pd.DataFrame(rows, columns=["lag", "dist", "params", "sse", "sse_nbins"])
+        pdf = pdf.sort_values("value")
+        fits = fit_all(pdf["value"].to_numpy(float), families, bins, mixture, pdf["n"].to_numpy(float))
+        return pd.DataFrame([(pdf["lag"].iloc[0], name, p, e, bins) for name, p, e in fits], columns=["lag", "dist", "params", "sse", "sse_nbins"])
 
-    return bounded.groupBy("lag").applyInPandas(run, SPEC)
+    return counted.groupBy("lag").applyInPandas(run, SPEC)
 
 
 def parameter_series(fits: DataFrame) -> DataFrame:

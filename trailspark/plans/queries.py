@@ -687,13 +687,13 @@ def curve_displacements(spark, sf_dir):
 @query()
 def fit_distributions(spark, sf_dir):
     s = stats.samples_over_time(tables.displacements(spark, sf_dir), "disp", 30, 60)
-    return fitting.fit_by_lag(s, mixture=False, most=2000)
+    return fitting.fit_by_lag(s, mixture=False)
 
 
 @query()
 def fit_mixture(spark, sf_dir):
     s = stats.samples_over_time(tables.displacements(spark, sf_dir), "disp", 30, 60)
-    return fitting.fit_by_lag(s, {}, most=2000)
+    return fitting.fit_by_lag(s, {})
 
 
 @query()
