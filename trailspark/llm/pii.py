@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents whose candidates fit the trees and set the threshold; a bound, those of lowest hashed id.
-MAX_TRAIN = 5000
 PRECISION = 0.95
 KINDS = ("email", "ip", "card", "phone")
 #: Gate (cheap, for whole texts), pattern and check of each kind.
@@ -213,11 +211,9 @@ def calibrate(cells: list, base: float, stages: list[Stage], precision: float =
     return at - 1e-9
 
 
-def train(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """Fit on candidates of a bounded sample. Weak labels: told by a telling word or a known prefix, and not digits alone."""
-    d = common.id_text(docs)
-    chosen = d.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = d.join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike("[0-9]"))  # ids only, of a stated bound
+def train(docs: DataFrame) -> Model:
+    """Fit and calibrate on the candidates of all documents. Weak labels: told by a telling word or a known prefix, and not digits alone."""
+    rows = common.id_text(docs).where(F.col("text").rlike("[0-9]"))
     each = rows.select("text", F.explode(proposals(F.col("text"))["token"]).alias("s"))
     bins = features(F.col("text"), F.col("s"), False)
     names = [f"f{k}" for k in range(len(bins))]
