@@ -167,6 +167,16 @@ def test_repeats_equal_brute_force():
         assert (want == g).all()
 
 
+def test_repeats_are_counted_across_parts_of_a_host(spark):
+    notice = "all the rights of this small page are kept"
+    rows = [(k % 9 if k != 4 else None, f"http://a.b/{k}", f"<div>{notice if k < 3 or k == 4 else 'x'} {k} own words</div><p>{' '.join(f'w{k + j}' for j in range(9))}</p>") for k in range(12)]
+    df = spark.createDataFrame([*rows, (1, None, "<p>"), (None, None, None)], "page_id long, url string, html string")
+    want = sorted(html_text.extract(df, part=100).collect(), key=str)
+    assert sum(r.n_repeated >= 9 for r in want) == 4 and not any(notice in r.text for r in want)
+    for part in (1, 5):
+        assert sorted(html_text.extract(df, part=part).collect(), key=str) == want
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a.b/c", "<article><p>x</p></article>", 1, "h"), (2, None, None, 2, "h"), (None, "junk", "<p>y", 3, "h"), (1, "http://a.b/c", "<article><p>x</p></article>", 1, "h")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, part long, host string")
