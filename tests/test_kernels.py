@@ -166,6 +166,31 @@ def test_fits_take_all_values(spark):
     assert got.params == pytest.approx(params, rel=1e-3) and got.sse == pytest.approx(error, rel=1e-3)
 
 
+def test_kernel_queries_take_whole_tracks(spark, sf_dir):
+    from trailspark.plans.queries import QUERIES
+    from trailspark.sources import tables
+
+    t = tables.tracks(spark, sf_dir)
+    sizes = {r.track_id: (r.points, r.n, r.last * r.spf) for r in t.groupBy("track_id").agg(F.count_distinct("x", "y", "z").alias("points"), F.count("*").alias("n"), F.max("t").alias("last"), F.max("spf").alias("spf")).collect()}
+    assert max(n for _, n, _ in sizes.values()) > 40
+    assert {r.track_id: r["count"] + 1 for r in QUERIES["mst"](spark, sf_dir).groupBy("track_id").count().collect()} == {k: p for k, (p, _, _) in sizes.items()}
+    for name in ("simplify_points", "project_track"):
+        assert {r.track_id for r in QUERIES[name](spark, sf_dir).select("track_id").distinct().collect()} <= set(sizes)
+    lags = QUERIES["curve_displacements"](spark, sf_dir).groupBy("track_id").agg(F.max("lag").alias("lag")).collect()
+    assert {int(r.track_id) for r in lags} <= set(sizes) and max(r.lag / sizes[int(r.track_id)][2] for r in lags) > 0.6
+
+
+def test_registered_walk_has_all_steps(monkeypatch):
+    from trailspark.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries.tables, "tissue", lambda *_: None)
+    monkeypatch.setattr(simulate, "walk_visits", lambda edges, cells, steps, *_: seen.append(steps) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        queries.QUERIES["walk_coverage"](None, "")
+    assert seen == [simulate.STEPS]
+
+
 def test_walkers(spark):
     path = spark.createDataFrame([(0, 1, 1.0)], "a long, b long, weight double")
     for mover, params in (("brownian", (0.3,)), ("simple_forward", (0.3, 0.2)), ("normal", (0.2, 0.5, 0.1)), ("normal_mixture", (0.2, 0.5, 0.5, 0.1, 0.2, 0.1))):

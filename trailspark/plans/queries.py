@@ -659,29 +659,24 @@ def base_timestep_json(spark, sf_dir):
 # --- kernels without a form in SQL (tests hold them to brute force) -----------
 
 
-def _small(spark, sf_dir):
-    """Tracks of a few tens of points, over all events."""
-    return tables.tracks(spark, sf_dir).withColumn("track_id", F.concat_ws("/", F.col("track_id").cast("string"), F.floor(F.col("t") / 40).cast("string")))
-
-
 @query()
 def mst(spark, sf_dir):
-    return graph.track_trees(_small(spark, sf_dir), None)
+    return graph.track_trees(tables.tracks(spark, sf_dir), None)
 
 
 @query()
 def simplify_points(spark, sf_dir):
-    return graph.track_trees(_small(spark, sf_dir), 6.0)
+    return graph.track_trees(tables.tracks(spark, sf_dir), 6.0)
 
 
 @query()
 def project_track(spark, sf_dir):
-    return curves.project_tracks(_small(spark, sf_dir))
+    return curves.project_tracks(tables.tracks(spark, sf_dir))
 
 
 @query()
 def curve_displacements(spark, sf_dir):
-    return curves.curve_displacements(_small(spark, sf_dir), lags=3)
+    return curves.curve_displacements(tables.tracks(spark, sf_dir))
 
 
 @query()
@@ -708,4 +703,4 @@ def mixture_walk(spark, sf_dir):
 
 @query()
 def walk_coverage(spark, sf_dir):
-    return simulate.coverage_sweep(tables.tissue(spark, sf_dir), 10, 40, 10, steps=200)
+    return simulate.coverage_sweep(tables.tissue(spark, sf_dir), 10, 40, 10)
