@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -203,6 +206,20 @@ def test_leaks_hold_all_verbatim_items(spark, sf_dir, odd, empty):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.leaks(docs, none.limit(0)).count() == 0
 
 
+def test_a_leak_is_not_hidden_by_a_passage_that_fails(spark, monkeypatch):
+    at = iter([(1.0, 0.45), (0.6, 0.5)])
+    index = SimpleNamespace(term={"word": 0}, ids=[7], search=lambda _: [(0, 1.0)], overlaps=lambda *_: next(at))
+    monkeypatch.setattr(decontaminate, "Index", lambda *_: index)
+    monkeypatch.setattr(decontaminate, "passages", lambda *_: iter([(0, 0, 1, ["word"]), (0, 0, 1, ["word"])]))
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    kept = {}
+    frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, spec: kept.update(run=run))
+    monkeypatch.setattr(decontaminate.common, "id_text", lambda docs: frame)
+    decontaminate.hits(frame, [(7, "word")])
+    (out,) = kept["run"](iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["word"]})]))
+    assert [(r["question_overlap"], r["answer_overlap"]) for r in out.to_pylist()] == [(0.6, 0.5)]
+
+
 def test_join_equals_its_sql(spark, sf_dir):
     import duckdb
 

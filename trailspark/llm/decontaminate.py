@@ -210,8 +210,8 @@ def passages(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, li
         yield d, at, min(at + 2 * step, int(size[d])), lists[d]
 
 
-def hits(docs: DataFrame, items: list[tuple[int, str]], score: float = SCORE) -> DataFrame:
-    """Candidates of one shard with their overlaps, the best passage of each row and item."""
+def hits(docs: DataFrame, items: list[tuple[int, str]], score: float = SCORE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
+    """Candidates of one shard with their overlaps, the best passage of each row and item: one that passes both thresholds, if any does."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     built: dict[int, Index] = {}
 
@@ -227,8 +227,8 @@ def hits(docs: DataFrame, items: list[tuple[int, str]], score: float = SCORE) ->
                 terms = list({index.term[w] for w in passage if w in index.term})
                 for item, s in index.search(terms):
                     q, a = index.overlaps(item, passage)
-                    found[d, item] = max(found.get((d, item), (-1.0,)), (min(q, a) + q + a, q, a, s))
-            rows = [(ids[d], row + d, index.ids[i], s, q, a) for (d, i), (_, q, a, s) in found.items()]
+                    found[d, item] = max(found.get((d, item), (False,)), (q >= question and a >= answer, min(q, a) + q + a, q, a, s))
+            rows = [(ids[d], row + d, index.ids[i], s, q, a) for (d, i), (_, _, q, a, s) in found.items()]
             row += len(ids)
             yield common.as_arrow(SPEC, {f.split(" ")[0]: [r[k] for r in rows] for k, f in enumerate(SPEC.split(", "))})
 
@@ -243,14 +243,14 @@ def shards(bench: DataFrame, shard: int = SHARD) -> Iterator[list[tuple[int, str
         yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
 
 
-def candidates(docs: DataFrame, bench: DataFrame, score: float = SCORE, shard: int = SHARD) -> DataFrame:
+def candidates(docs: DataFrame, bench: DataFrame, score: float = SCORE, shard: int = SHARD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """Every (row, item) above the BM25 threshold: ``doc_id, row, item_id, score, question_overlap, answer_overlap``."""
-    return reduce(DataFrame.unionByName, [hits(docs, items, score) for items in shards(bench, shard)])
+    return reduce(DataFrame.unionByName, [hits(docs, items, score, question, answer) for items in shards(bench, shard)])
 
 
 def leaks(docs: DataFrame, bench: DataFrame, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """The verified (row, item) pairs."""
-    return candidates(docs, bench).where((F.col("question_overlap") >= question) & (F.col("answer_overlap") >= answer))
+    return candidates(docs, bench, question=question, answer=answer).where((F.col("question_overlap") >= question) & (F.col("answer_overlap") >= answer))
 
 
 def keep_uncontaminated(docs: DataFrame, bench: DataFrame, question: float = QUESTION, answer: float = ANSWER, shard: int = SHARD) -> DataFrame:
