@@ -150,6 +150,11 @@ def test_repeated_runs_leave_pages_without_an_article():
     assert html_text.main_texts(pages, [1, 1, 1, 1])[0][0].startswith(chrome)
 
 
+def test_an_empty_article_leaves_the_open_blocks():
+    pages = [f"<main> <!-- later --></main><div>{'all the rights of this small page are kept' if k < 3 else 'x'}</div><p>{k} is told</p>" for k in range(4)]
+    assert [t for t, _, _ in html_text.main_texts(pages, list(range(4)))] == ["0 is told", "1 is told", "2 is told", "x\n\n3 is told"]
+
+
 def test_repeats_equal_brute_force():
     rng = np.random.default_rng(3)
     pages = [rng.integers(0, 3, rng.integers(0, 40)) for _ in range(9)]
