@@ -6,11 +6,13 @@ Conventions that hold for every operator of this subpackage
   and clashing names never matter.
 * A null text is an empty text; a null id stays null and is a row of its own.
 * Rows are never dropped, capped or sampled to escape skew.
-* Nothing uses local disks: lineage is cut through ``spark.checkpoint.dir`` only.
+* Lineage is cut through ``spark.checkpoint.dir`` only. A session without it may
+  run on a local master alone, where a folder of this machine stands in.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from trailspark.plans.session import ship
 
 #: Python-side working set: texts are handled in slices of about this many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,15 +49,22 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; set one only where none is set (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or "/tmp/trailspark-checkpoints")
+    """Use the folder the cluster names; set one only on a local master where none is named (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or "/tmp/trailspark-checkpoints")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -77,6 +86,18 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = S
             size, at = size + n, to
     if held:
         yield joined(held)
+        held.clear()
+    give_back()
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of strings without nulls as one array, and each string's start and size in it."""
+    n = len(column)
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(offsets, kind, n + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64) if n else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return flat, at[:-1] - at[0], np.diff(at)
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

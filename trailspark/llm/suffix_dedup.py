@@ -10,7 +10,8 @@ byte against collisions; all but the class's smallest document lose the bytes.
 
 Only suffixes that can matter are sorted, and each in one task:
 
-1. Equal texts are settled by their digests: all but the smallest id go whole.
+1. Equal texts are one text, told by SHA-256: all but the smallest id go whole.
+   Map-side sums leave one copy of a text for each task of the scan.
 2. Each window of ``LENGTH`` bytes has an anchor, its ``GRAM``-byte string of
    least hash (the first of equals), a choice that depends on the window's bytes
    alone. Anchor hashes alone are dealt out first; those of one text only drop.
@@ -20,6 +21,10 @@ Only suffixes that can matter are sorted, and each in one task:
 Hot passages: a task that meets an anchor in several texts, or a stretch in
 several documents, settles that itself and passes on one row for all, so a
 task downstream sees a hot key at most once a slice. No pairs are formed.
+Buckets are sized by the bytes of all texts, so long texts make more of them.
+
+Texts are told apart by 48 bits of a hash where only candidates depend on it: a
+passage of two texts alone is missed if these agree in all 48.
 
 Empty and null texts, and those under ``LENGTH`` bytes, lose nothing. A null id
 is larger than any other. Rows of equal id never remove bytes of each other;
@@ -29,7 +34,6 @@ repeated rows get equal results.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,20 +42,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .components import written
 
 LENGTH, GRAM = 50, 16
-#: Documents for each bucket of anchors.
-DOCS_PER_BUCKET = 800
+#: Bytes of text for each bucket of anchors and of stretches, and for a slice in Python.
+ANCHOR_BYTES, STRETCH_BYTES, SLICE = 3_000_000, 500_000, 2_000_000
+#: Windows hashed at a time, and the low bits of their keys that hold positions.
+CHUNK, POSITION = 1 << 17, 18
 NULL_ID = (1 << 63) - 1
-SPEC = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def gram_hashes(raw: bytes) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from each position on (GRAM is two words of eight bytes)."""
-    n = len(raw) - GRAM + 1
-    words = np.ndarray((len(raw) - 7,), np.uint64, buffer=raw, strides=(1,))
+def gram_hashes(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes from each position on, or from those at ``at`` (GRAM is two words of eight bytes)."""
+    words = np.ndarray((len(data) - 7,), np.uint64, buffer=data, strides=(1,))
+    n = len(data) - GRAM + 1
+    a, b = (words[:n], words[8 : 8 + n]) if at is None else (words[at], words[at + 8])
     with np.errstate(over="ignore"):
-        h = (words[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ ((words[8 : 8 + n] + np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9))
+        h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ ((b + np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9))
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
@@ -68,35 +75,42 @@ def slide_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:n], out[w - span : w - span + n])
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hashes and positions, and the first and last window that chose each."""
-    h = gram_hashes(raw)
-    w = LENGTH - GRAM + 1
-    least = slide_min(h, w)
-    n = len(least)
-    change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    lens = np.diff(np.r_[change, n])
-    # candidates: positions whose hash is the least of some window that holds them
-    out, span = np.r_[np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)], 1
-    while span * 2 <= w:
-        out = np.maximum(out[: len(out) - span], out[span:])
-        span *= 2
-    top = np.maximum(out[: len(h)], out[w - span : w - span + len(h)])
-    cand = np.flatnonzero(h == top)
-    # for each run of windows of one least hash, the first candidate with it
-    cur, value = np.searchsorted(cand, change), least[change]
-    while len(wrong := np.flatnonzero(h[cand[cur]] != value)):
-        cur[wrong] += 1
-    pos = np.repeat(cand[cur], lens)
-    late = np.flatnonzero(pos < np.arange(n))
-    if len(late):  # the hash repeats within the run: its next position at or after the window
-        kinds, rank = np.unique(h[cand], return_inverse=True)
-        keys = np.sort(rank * np.int64(len(h) + 1) + cand)
-        pos[late] = keys[np.searchsorted(keys, np.searchsorted(kinds, least[late]) * np.int64(len(h) + 1) + late)] % (len(h) + 1)
-    first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
-    last = np.r_[first[1:], n] - 1
-    p = pos[first]
-    return h[p], p, first, last
+def anchors(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hashes and positions, the first and last window that chose each, and the text of each; ``data``: texts in a row, by start and size."""
+    total, w = len(data) - LENGTH + 1, LENGTH - GRAM + 1
+    inside = np.zeros(max(total, 0), bool)
+    for a, n in zip(start.tolist(), size.tolist(), strict=True):
+        if n >= LENGTH:
+            inside[a : a + n - LENGTH + 1] = True
+    found = []
+    low = np.uint64((1 << POSITION) - 1)
+    for a in range(0, total, CHUNK):
+        window = np.flatnonzero(inside[a : a + CHUNK])
+        if len(window):
+            # the high bits of a hash, then its place: the least key is the first string of least hash
+            key = gram_hashes(data[a : min(a + CHUNK, total) + LENGTH - 1]) & ~low
+            key |= np.arange(len(key), dtype=np.uint64)
+            pos = (slide_min(key, w)[window] & low).astype(np.int64)
+            head = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+            tail = np.r_[head[1:], len(pos)] - 1
+            found.append(np.stack([pos[head], window[head], window[tail]]) + a)
+    if not found:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none, none
+    p, first, last = np.concatenate(found, 1)
+    new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])  # an anchor whose windows lie in two chunks
+    p, first, last = p[new], first[new], last[np.r_[new[1:], len(p)] - 1]
+    return gram_hashes(data, p), p, first, last, np.searchsorted(start, p, side="right") - 1
+
+
+def stretch_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each stretch, of ``GRAM`` bytes or more."""
+    out = common.mix64(size.astype(np.uint64))
+    for k in range(0, 2 * LENGTH, GRAM):
+        open_ = np.flatnonzero(size > k)
+        with np.errstate(over="ignore"):
+            out[open_] = common.mix64(out[open_] * np.uint64(0x9E3779B97F4A7C15) + gram_hashes(data, at[open_] + np.minimum(k, size[open_] - GRAM)))
+    return out
 
 
 # Byte values of the polynomial, and its odd base with its inverse mod 2**64.
@@ -231,7 +245,7 @@ def unpacked(raw: bytes, size: int) -> np.ndarray:
 
 
 _HASHES = "bucket long, decided binary, open_h binary, open_t binary, direct_h binary, direct_t binary"
-H_BYTES, T_BYTES = 6, 5
+H_BYTES, T_BYTES = 6, 6
 H_MASK, T_MASK = (1 << 8 * H_BYTES) - 1, (1 << 8 * T_BYTES) - 1
 
 
@@ -239,15 +253,9 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
     """``t, h``: for each text (by the low bits of its hash) its anchors that another text has too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, chars=8_000_000):
-            hs, ts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode()
-                if len(raw) >= LENGTH:
-                    u = np.unique(anchors(raw)[0] & np.uint64(H_MASK))
-                    hs.append(u)
-                    ts.append(np.full(len(u), t & (T_MASK), np.uint64))
-            h, t = np.concatenate(hs), np.concatenate(ts)
+        for batch in common.slices(batches, chars=SLICE):
+            h, _, _, _, who = anchors(*common.text_bytes(batch.column(0)))
+            h, t = h & np.uint64(H_MASK), (batch.column(1).to_numpy().astype(np.uint64) & np.uint64(T_MASK))[who]
             order = np.lexsort((t, h))
             h, t = h[order], t[order]
             keep = np.ones(len(h), bool)
@@ -293,11 +301,10 @@ _STRETCHES = "bucket long, h binary, doc binary, t binary, start binary, anchor
 _DONE = np.dtype([("t", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("stop", "<u4")])
 
 
-def merged(rows: list[tuple[int, int, int, int]]) -> np.ndarray:
+def merged(d: np.ndarray) -> np.ndarray:
     """Stretches (t, doc, start, stop) with touching ones of a text joined."""
-    if not rows:
+    if not len(d):
         return np.zeros(0, _DONE)
-    d = np.array(rows, np.int64)
     d = d[np.lexsort((d[:, 2], d[:, 1], d[:, 0]))]
     # ends so far within a text: shift each text beyond the one before
     key = np.cumsum(np.r_[0, (d[1:, :2] != d[:-1, :2]).any(1)]) << 33
@@ -309,44 +316,56 @@ def merged(rows: list[tuple[int, int, int, int]]) -> np.ndarray:
     return out
 
 
-def doubled(joined: DataFrame, buckets: int) -> DataFrame:
-    """``t, owner, start, stop``: bytes of the representative texts that smaller documents have. Input: ``text, th, doc, hs, owner``; rows of the owner count."""
+def later_copies(data: np.ndarray, at: np.ndarray, size: np.ndarray, h: np.ndarray, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which stretches equal one of a smaller document, anchor included; verified byte by byte."""
+    hashed = stretch_hashes(data, at, size)
+    order = np.lexsort((doc, anchor, size, hashed, h))
+    new = np.ones(len(h), bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (h[a] != h[b]) | (hashed[a] != hashed[b]) | (size[a] != size[b]) | (anchor[a] != anchor[b])
+    rep = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = np.flatnonzero(doc[order] > doc[rep])
+    mine, other = order[later], rep[later]
+    raw = data.tobytes()
+    same = np.fromiter((raw[x : x + n] == raw[y : y + n] for x, y, n in zip(at[mine].tolist(), at[other].tolist(), size[mine].tolist(), strict=True)), bool, len(mine))
+    out = np.zeros(len(h), bool)
+    out[mine[same]] = True
+    return out
+
+
+def doubled(texts: DataFrame, buckets: int) -> DataFrame:
+    """``t, owner, start, stop``: bytes of ``texts (text, th, owner, hs)`` that texts of smaller owners have."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, chars=16_000_000):
-            least: dict[tuple[int, bytes], list[tuple]] = {}
-            done: list[tuple[int, int, int, int]] = []
-            for text, th, doc, hs, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc != owner:
-                    continue
-                raw, t = text.encode(), th & 0xFFFFFFFF
-                h, p, first, last = anchors(raw)
-                which = np.flatnonzero(np.isin(h & np.uint64(H_MASK), np.array(hs, np.int64).astype(np.uint64)))
-                for hh, pp, a, b in zip(h[which].tolist(), p[which].tolist(), first[which].tolist(), last[which].tolist(), strict=True):
-                    stretch = raw[a : b + LENGTH]
-                    key = (hh, stretch)
-                    held = least.get(key)
-                    if held is None or doc < held[0][0]:
-                        done += [(o[1], o[0], o[2], o[2] + o[4]) for o in held or ()]
-                        least[key] = [(doc, t, a, pp - a, len(stretch))]
-                    elif doc > held[0][0]:
-                        done.append((t, doc, a, a + len(stretch)))
-                    else:  # the document repeats itself, or its row is repeated
-                        held.append((doc, t, a, pp - a, len(stretch)))
+        for batch in common.slices(batches, chars=SLICE):
+            data, text_at, text_size = common.text_bytes(batch.column(0))
+            t32 = batch.column(1).to_numpy().astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            owner, hints = batch.column(2).to_numpy(), batch.column(3)
+            # (text, anchor) pairs as numbers: the texts of a slice are under 2 ** 16
+            n_hints = np.diff(np.asarray(hints.offsets))
+            wanted = np.sort(hints.flatten().to_numpy().astype(np.uint64) | (np.repeat(np.arange(len(owner), dtype=np.uint64), n_hints) << np.uint64(8 * H_BYTES)))
+            h, p, first, last, who = anchors(data, text_at, text_size)
+            h &= np.uint64(H_MASK)
+            mine = h | (who.astype(np.uint64) << np.uint64(8 * H_BYTES))
+            hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, mine), max(len(wanted) - 1, 0))] == mine) if len(wanted) else np.zeros(0, np.int64)
+            h, p, first, last, who = (x[hit] for x in (h, p, first, last, who))
+            size, doc, t, start = last - first + LENGTH, owner[who], t32[who].astype(np.int64), first - text_at[who]
+            gone = later_copies(data, first, size, h, p - first, doc)
+            done = np.stack([t[gone], doc[gone], start[gone], start[gone] + size[gone]], 1)
             rows: dict[int, dict] = {}
             blank = dict.fromkeys(("h", "doc", "t", "start", "anchor", "size", "bytes", "done"), b"")
-            if least:
-                h = np.array([k[0] for k, held in least.items() for _ in held], np.uint64)
-                v = np.array([o for held in least.values() for o in held], np.int64)
-                b = (common.mix64(h) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(b, kind="stable")
-                strings = [k[1] for k, held in least.items() for _ in held]
-                fields = {"h": packed(h & np.uint64(H_MASK), H_BYTES), "doc": v[:, 0], "t": v[:, 1].astype(np.uint32), "start": v[:, 2].astype(np.uint32), "anchor": v[:, 3].astype(np.uint8), "size": v[:, 4].astype(np.uint8)}
-                at = 0
-                for r in dealt(b, fields):
-                    n = len(r["size"])
-                    rows[r["bucket"]] = dict(blank) | r | {"bytes": zlib.compress(b"".join(strings[k] for k in order[at : at + n].tolist()), 1)}
-                    at += n
+            k = np.flatnonzero(~gone)
+            b = (common.mix64(h[k]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            k, b = k[order], b[order]
+            fields = {"h": packed(h[k], H_BYTES), "doc": doc[k], "t": t[k].astype(np.uint32), "start": start[k].astype(np.uint32), "anchor": (p - first)[k].astype(np.uint8), "size": size[k].astype(np.uint8)}
+            raw, at = data.tobytes(), 0
+            for r in dealt(b, fields):
+                n = len(r["size"])
+                part = k[at : at + n]
+                strings = b"".join(raw[x : x + m] for x, m in zip(first[part].tolist(), size[part].tolist(), strict=True))
+                rows[r["bucket"]] = dict(blank) | r | {"bytes": pa.compress(strings, codec="zstd", asbytes=True)}
+                at += n
             d = merged(done)
             for r in dealt((common.mix64(d["t"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), {"done": d.view(f"V{_DONE.itemsize}")}):
                 rows.setdefault(r["bucket"], dict(blank)).update(r)
@@ -359,37 +378,31 @@ def doubled(joined: DataFrame, buckets: int) -> DataFrame:
         if len(h):
             doc, t, start = whole(table["doc"], "<i8"), whole(table["t"], "<u4").astype(np.int64), whole(table["start"], "<u4").astype(np.int64)
             anchor, size = whole(table["anchor"], "u1").astype(np.int64), whole(table["size"], "u1").astype(np.int64)
-            data = np.frombuffer(b"".join(zlib.decompress(x) for x in table["bytes"].to_pylist() if x), np.uint8)
+            long = [int(np.frombuffer(x, np.uint8).sum()) for x in table["size"].to_pylist()]
+            data = np.frombuffer(b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(table["bytes"].to_pylist(), long, strict=True) if n), np.uint8)
             found.append(over(data, h, doc, t, start, anchor, size))
         out = np.concatenate(found)
         return pa.table({"t": out[:, 0], "owner": out[:, 1], "start": out[:, 2], "stop": out[:, 3]})
 
-    return joined.select("text", "th", "doc", "hs", "owner").mapInArrow(deal, _STRETCHES).groupBy("bucket").applyInArrow(meet, "t long, owner long, start long, stop long")
+    return texts.select("text", "th", "owner", "hs").mapInArrow(deal, _STRETCHES).groupBy("bucket").applyInArrow(meet, "t long, owner long, start long, stop long")
 
 
 def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> np.ndarray:
     """(text, document, start, stop) of what smaller documents hold, for stretches grouped by anchor hash."""
     at = np.cumsum(size) - size
-    suffixes = Suffixes(data)
     # equal stretches whole: all but those of the smallest document go without a search
-    whole_hash = suffixes.hash(at, size)
-    order = np.lexsort((doc, anchor, size, whole_hash, h))
-    at, h, doc, th, start, anchor, size, whole_hash = (x[order] for x in (at, h, doc, th, start, anchor, size, whole_hash))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (whole_hash[1:] != whole_hash[:-1]) | (size[1:] != size[:-1]) | (anchor[1:] != anchor[:-1])
-    rep = np.flatnonzero(new)[np.cumsum(new) - 1]
-    raw = data.tobytes()
-    later = np.flatnonzero(doc > doc[rep])
-    same = np.fromiter((raw[at[k] : at[k] + size[k]] == raw[at[r] : at[r] + size[r]] for k, r in zip(later.tolist(), rep[later].tolist(), strict=True)), bool, len(later))
-    later = later[same]
-    settled = np.stack([th[later], doc[later], start[later], start[later] + size[later]], 1)
-    keep = np.ones(len(h), bool)
-    keep[later] = False
+    gone = later_copies(data, at, size, h, anchor, doc)
+    settled = np.stack([th[gone], doc[gone], start[gone], start[gone] + size[gone]], 1)
+    keep = np.flatnonzero(~gone)
     _, inverse, count = np.unique(h[keep], return_inverse=True, return_counts=True)
-    keep[np.flatnonzero(keep)[count[inverse] < 2]] = False
-    if not keep.any():
+    keep = keep[count[inverse] > 1]
+    if not len(keep):
         return settled
-    at, h, doc, th, start, anchor, size = (x[keep] for x in (at, h, doc, th, start, anchor, size))
+    raw = data.tobytes()
+    data = np.frombuffer(b"".join(raw[x : x + m] for x, m in zip(at[keep].tolist(), size[keep].tolist(), strict=True)), np.uint8)
+    h, doc, th, start, anchor, size = (x[keep] for x in (h, doc, th, start, anchor, size))
+    at = np.cumsum(size) - size
+    suffixes = Suffixes(data)
     n = size - LENGTH + 1
     who = np.repeat(np.arange(len(h)), n)
     j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -419,35 +432,44 @@ def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start
 
 def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Every row with what it loses; ``with_text`` adds the remaining text (bytes that are no whole characters are replaced)."""
-    d = common.id_text(docs)
-    base = d.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"))
-    buckets = max(4, -(-docs.count() // DOCS_PER_BUCKET))
-    owners = base.groupBy("th", "th2").agg(F.min("doc").alias("owner"))
-    hints = shared_anchors(base, buckets).groupBy("t").agg(F.collect_list("h").alias("hs"))
-    texts = owners.join(hints, F.col("th").bitwiseAND(F.lit(T_MASK)) == hints["t"], "inner").drop("t")
-    # joined by text alone, like the last join, so that texts are dealt out once for both
-    joined = base.join(texts, ["th", "th2"])
-    lost = doubled(joined, buckets).groupBy("t", "owner").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spec = SPEC + (", text string" if with_text else "")
+    d = common.id_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    base = d.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text", "n_bytes", F.xxhash64("text").alias("th"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    total = d.agg(F.sum("n_bytes")).first()[0] or 0
+    # one row for each text that can lose bytes; a task of the scan hands on each text once
+    texts = base.where(F.col("n_bytes") >= LENGTH).groupBy("th", "sha").agg(F.min("doc").alias("owner"), F.first("text").alias("text"))
+    keys = base.where(F.col("n_bytes") >= LENGTH).groupBy("th", "sha").agg(F.min("doc").alias("owner"))
+    hints = shared_anchors(base, max(4, -(-total // ANCHOR_BYTES))).groupBy("t").agg(F.collect_list("h").alias("hs"))
+    hinted = keys.join(hints, F.col("th").bitwiseAND(F.lit(T_MASK)) == hints["t"]).select("th", "sha", "hs")
+    lost = doubled(texts.join(hinted, ["th", "sha"]), max(4, -(-total // STRETCH_BYTES)))
+    spans = lost.groupBy("t", "owner").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = keys.join(spans, (F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)) == spans["t"]) & (keys["owner"] == spans["owner"])).select("th", "sha", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    spec = "th long, sha binary, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, chars=SLICE):
             rows = []
-            for doc, text, owner, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            for th, sha, text, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
                 gone = np.zeros(len(raw) + 1, np.int32)
-                if doc > owner and len(raw) >= LENGTH:
-                    gone[0] = 1
-                elif starts:
-                    np.add.at(gone, np.array(starts), 1)
-                    np.add.at(gone, np.array(stops), -1)
+                np.add.at(gone, np.array(starts), 1)
+                np.add.at(gone, np.array(stops), -1)
                 mask = np.cumsum(gone)[:-1] > 0
-                left = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-                runs = int((mask[1:] & ~mask[:-1]).sum() + mask[0]) if len(mask) else 0
-                row = {"doc_id": None if doc == NULL_ID else doc, "n_bytes": len(raw), "n_removed": int(mask.sum()), "n_spans": runs, "kept_sha256": hashlib.sha256(left).hexdigest()}
-                rows.append(row | ({"text": left.decode(errors="replace")} if with_text else {}))
+                left = raw[~mask].tobytes()
+                runs = int((mask[1:] & ~mask[:-1]).sum() + mask[0])
+                row = {"th": th, "sha": sha, "n_removed": int(mask.sum()), "n_spans": runs, "kept_sha256": hashlib.sha256(left).hexdigest()}
+                rows.append(row | ({"kept": left.decode(errors="replace")} if with_text else {}))
             yield rows_of(spec, rows)
 
-    losses = owners.withColumn("t", F.col("th").bitwiseAND(F.lit(0xFFFFFFFF))).join(lost, ["t", "owner"], "left").drop("t")
-    found = base.join(losses, ["th", "th2"])
-    return found.select("doc", "text", "owner", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")).mapInArrow(cut, spec)
+    cuts = texts.join(spans, ["th", "sha"]).select("th", "sha", "text", "starts", "stops").mapInArrow(cut, spec)
+    # a table of texts as numbers, written so that both sides of the last join can be split where a text is hot
+    settled = written(keys.join(cuts, ["th", "sha"], "left"))
+    copy = F.col("doc") > F.col("owner")
+    out = {
+        "n_removed": F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)).cast("long")),
+        "n_spans": F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long"),
+        "kept_sha256": F.when(copy, hashlib.sha256().hexdigest()).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))),
+    }
+    if with_text:
+        out["text"] = F.when(copy, "").otherwise(F.coalesce("kept", "text"))
+    rows = base if with_text else base.drop("text")
+    return rows.join(settled, ["th", "sha"], "left").select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", *(c.alias(k) for k, c in out.items()))
