@@ -45,8 +45,8 @@ from . import common
 from .components import written
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text for each bucket of anchors and of stretches, and for a slice in Python.
-ANCHOR_BYTES, STRETCH_BYTES, SLICE = 3_000_000, 500_000, 2_000_000
+#: Bytes of text for each bucket of anchors and of stretches, and for a slice in Python; slices that deal stretches are larger, for fewer rows.
+ANCHOR_BYTES, STRETCH_BYTES, SLICE = 3_000_000, 2_000_000, 2_000_000
 #: Windows hashed at a time, and the low bits of their keys that hold positions.
 CHUNK, POSITION = 1 << 17, 18
 NULL_ID = (1 << 63) - 1
@@ -337,16 +337,16 @@ def doubled(texts: DataFrame, buckets: int) -> DataFrame:
     """``t, owner, start, stop``: bytes of ``texts (text, th, owner, hs)`` that texts of smaller owners have."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, chars=SLICE):
+        for batch in common.slices(batches, chars=3 * SLICE):
             data, text_at, text_size = common.text_bytes(batch.column(0))
             t32 = batch.column(1).to_numpy().astype(np.uint64) & np.uint64(0xFFFFFFFF)
             owner, hints = batch.column(2).to_numpy(), batch.column(3)
-            # (text, anchor) pairs as numbers: the texts of a slice are under 2 ** 16
+            # (text, anchor) pairs as numbers; anchors by 46 bits, as a slice has under 2 ** 18 texts of LENGTH bytes
             n_hints = np.diff(np.asarray(hints.offsets))
-            wanted = np.sort(hints.flatten().to_numpy().astype(np.uint64) | (np.repeat(np.arange(len(owner), dtype=np.uint64), n_hints) << np.uint64(8 * H_BYTES)))
+            wanted = np.sort((hints.flatten().to_numpy().astype(np.uint64) << np.uint64(18)) | np.repeat(np.arange(len(owner), dtype=np.uint64), n_hints))
             h, p, first, last, who = anchors(data, text_at, text_size)
             h &= np.uint64(H_MASK)
-            mine = h | (who.astype(np.uint64) << np.uint64(8 * H_BYTES))
+            mine = (h << np.uint64(18)) | who.astype(np.uint64)
             hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, mine), max(len(wanted) - 1, 0))] == mine) if len(wanted) else np.zeros(0, np.int64)
             h, p, first, last, who = (x[hit] for x in (h, p, first, last, who))
             size, doc, t, start = last - first + LENGTH, owner[who], t32[who].astype(np.int64), first - text_at[who]
@@ -437,18 +437,18 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = d.agg(F.sum("n_bytes")).first()[0] or 0
     # one row for each text that can lose bytes; a task of the scan hands on each text once
     texts = base.where(F.col("n_bytes") >= LENGTH).groupBy("th", "sha").agg(F.min("doc").alias("owner"), F.first("text").alias("text"))
-    keys = base.where(F.col("n_bytes") >= LENGTH).groupBy("th", "sha").agg(F.min("doc").alias("owner"))
+    keys = written(base.where(F.col("n_bytes") >= LENGTH).groupBy("th", "sha").agg(F.min("doc").alias("owner")))
     hints = shared_anchors(base, max(4, -(-total // ANCHOR_BYTES))).groupBy("t").agg(F.collect_list("h").alias("hs"))
     hinted = keys.join(hints, F.col("th").bitwiseAND(F.lit(T_MASK)) == hints["t"]).select("th", "sha", "hs")
     lost = doubled(texts.join(hinted, ["th", "sha"]), max(4, -(-total // STRETCH_BYTES)))
     spans = lost.groupBy("t", "owner").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = keys.join(spans, (F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)) == spans["t"]) & (keys["owner"] == spans["owner"])).select("th", "sha", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-    spec = "th long, sha binary, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+    spec = "th long, sha binary, owner long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, chars=SLICE):
             rows = []
-            for th, sha, text, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for th, sha, owner, text, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 gone = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(gone, np.array(starts), 1)
@@ -456,13 +456,14 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 mask = np.cumsum(gone)[:-1] > 0
                 left = raw[~mask].tobytes()
                 runs = int((mask[1:] & ~mask[:-1]).sum() + mask[0])
-                row = {"th": th, "sha": sha, "n_removed": int(mask.sum()), "n_spans": runs, "kept_sha256": hashlib.sha256(left).hexdigest()}
+                row = {"th": th, "sha": sha, "owner": owner, "n_removed": int(mask.sum()), "n_spans": runs, "kept_sha256": hashlib.sha256(left).hexdigest()}
                 rows.append(row | ({"kept": left.decode(errors="replace")} if with_text else {}))
             yield rows_of(spec, rows)
 
-    cuts = texts.join(spans, ["th", "sha"]).select("th", "sha", "text", "starts", "stops").mapInArrow(cut, spec)
+    # the same columns of ``texts`` as above, so that they are dealt out once for both
+    cuts = texts.join(spans, ["th", "sha"]).select("th", "sha", "owner", "text", "starts", "stops").mapInArrow(cut, spec)
     # a table of texts as numbers, written so that both sides of the last join can be split where a text is hot
-    settled = written(keys.join(cuts, ["th", "sha"], "left"))
+    settled = written(keys.join(cuts.drop("owner"), ["th", "sha"], "left"))
     copy = F.col("doc") > F.col("owner")
     out = {
         "n_removed": F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)).cast("long")),
