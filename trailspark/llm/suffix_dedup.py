@@ -23,8 +23,8 @@ several documents, settles that itself and passes on one row for all, so a
 task downstream sees a hot key at most once a slice. No pairs are formed.
 Buckets are sized by the bytes of all texts, so long texts make more of them.
 
-Texts are told apart by 48 bits of a hash where only candidates depend on it: a
-passage of two texts alone is missed if these agree in all 48.
+Texts are told apart by 40 bits of a hash where only candidates depend on it: a
+passage of two texts alone is missed if these agree in all 40.
 
 Empty and null texts, and those under ``LENGTH`` bytes, lose nothing. A null id
 is larger than any other. Rows of equal id never remove bytes of each other;
@@ -245,7 +245,8 @@ def unpacked(raw: bytes, size: int) -> np.ndarray:
 
 
 _HASHES = "bucket long, decided binary, open_h binary, open_t binary, direct_h binary, direct_t binary"
-H_BYTES, T_BYTES = 6, 6
+#: Bytes of an anchor's hash beside its bucket, which comes from all of it, and of a text's hash.
+H_BYTES, T_BYTES = 5, 5
 H_MASK, T_MASK = (1 << 8 * H_BYTES) - 1, (1 << 8 * T_BYTES) - 1
 
 
@@ -255,7 +256,7 @@ def shared_anchors(base: DataFrame, buckets: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, chars=SLICE):
             h, _, _, _, who = anchors(*common.text_bytes(batch.column(0)))
-            h, t = h & np.uint64(H_MASK), (batch.column(1).to_numpy().astype(np.uint64) & np.uint64(T_MASK))[who]
+            t = (batch.column(1).to_numpy().astype(np.uint64) & np.uint64(T_MASK))[who]
             order = np.lexsort((t, h))
             h, t = h[order], t[order]
             keep = np.ones(len(h), bool)
@@ -341,12 +342,11 @@ def doubled(texts: DataFrame, buckets: int) -> DataFrame:
             data, text_at, text_size = common.text_bytes(batch.column(0))
             t32 = batch.column(1).to_numpy().astype(np.uint64) & np.uint64(0xFFFFFFFF)
             owner, hints = batch.column(2).to_numpy(), batch.column(3)
-            # (text, anchor) pairs as numbers; anchors by 46 bits, as a slice has under 2 ** 18 texts of LENGTH bytes
+            # (anchor, text) pairs as numbers: a slice has under 2 ** 18 texts of LENGTH bytes
             n_hints = np.diff(np.asarray(hints.offsets))
             wanted = np.sort((hints.flatten().to_numpy().astype(np.uint64) << np.uint64(18)) | np.repeat(np.arange(len(owner), dtype=np.uint64), n_hints))
             h, p, first, last, who = anchors(data, text_at, text_size)
-            h &= np.uint64(H_MASK)
-            mine = (h << np.uint64(18)) | who.astype(np.uint64)
+            mine = ((h & np.uint64(H_MASK)) << np.uint64(18)) | who.astype(np.uint64)
             hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, mine), max(len(wanted) - 1, 0))] == mine) if len(wanted) else np.zeros(0, np.int64)
             h, p, first, last, who = (x[hit] for x in (h, p, first, last, who))
             size, doc, t, start = last - first + LENGTH, owner[who], t32[who].astype(np.int64), first - text_at[who]
@@ -364,7 +364,7 @@ def doubled(texts: DataFrame, buckets: int) -> DataFrame:
                 n = len(r["size"])
                 part = k[at : at + n]
                 strings = b"".join(raw[x : x + m] for x, m in zip(first[part].tolist(), size[part].tolist(), strict=True))
-                rows[r["bucket"]] = dict(blank) | r | {"bytes": pa.compress(strings, codec="zstd", asbytes=True)}
+                rows[r["bucket"]] = dict(blank) | r | {"bytes": pa.Codec("zstd", 5).compress(strings, asbytes=True)}
                 at += n
             d = merged(done)
             for r in dealt((common.mix64(d["t"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), {"done": d.view(f"V{_DONE.itemsize}")}):
