@@ -422,9 +422,11 @@ def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start
     least = np.minimum.reduceat(doc[who], first)[cls]
     gone = doc[who] > least
     who, j = who[gone], j[gone]
+    if not len(who):
+        return settled
     order = np.lexsort((j, who))
     who, j = who[order], j[order]
-    head = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)]) if len(who) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)])
     tail = np.r_[head[1:], len(who)] - 1
     w = who[head]
     return np.concatenate([settled, np.stack([th[w], doc[w], start[w] + j[head], start[w] + j[tail] + LENGTH], 1)])
