@@ -129,30 +129,43 @@ def test_pages_equal_their_articles(spark):
     assert all(r.text == plain(page[r.page_id]) and r.n_chars == len(r.text) for r in got)
 
 
+def texts(pages, owners=None):
+    return html_text.main_texts([html_text.blocks(p) for p in pages], owners or list(range(len(pages))))
+
+
 def test_page_structure():
     page = (
         '<html><head><title>T</title></head><body><header>Site</header><div id="sidebar-left">x<div>y</div></div><div class="cookie-notice">ok?</div><main><header><h1>A</h1></header>'
         '<p>One<p class="ad">Buy<p>Two &amp; <b>t</b>hree<br>four &lt;x&gt;</p><form>f<input></form><script>if (a < b) "</p>"</script><div class="comments"><article>c1</article></div><ul><li>i<li>j</ul></main><p>out</p><footer>f</footer></body>'
     )
-    text = html_text.main_texts([page], [1])[0][0]
+    text = texts([page])[0][0]
     assert text == "A\n\nOne\n\nTwo & three four <x>\n\ni\n\nj"
     inner = "<main><div>note</div><article class='post'><div class='article-header'><h1>A</h1></div><p>x</p></article></main>"
-    assert html_text.main_texts([inner], [1])[0][0] == "A\n\nx"
-    assert html_text.main_texts(["", "<p", "plain", "<!-- x", "<p>a < b & c &am"], list(range(5))) == [("", 0, 0), ("", 0, 0), ("plain", 2, 0), ("", 0, 0), ("a < b & c &am", 7, 0)]
+    assert texts([inner])[0][0] == "A\n\nx"
+    assert texts(["", "<p", "plain", "<!-- x", "<p>a < b & c &am"]) == [("", 0), ("", 0), ("plain", 0), ("", 0), ("a < b & c &am", 0)]
 
 
 def test_repeated_runs_leave_pages_without_an_article():
     chrome = "read our daily letter and write to us at the desk below"
     pages = [f"<body><div>{chrome}</div><div>s{k} story of its own with words {k * 7} and more {k}</div><div>tail {k}</div></body>" for k in range(4)]
-    for k, (text, _, n) in enumerate(html_text.main_texts(pages, list(range(4)))):
+    for k, (text, n) in enumerate(texts(pages)):
         assert text == f"s{k} story of its own with words {k * 7} and more {k}\n\ntail {k}" and n
-    assert html_text.main_texts(pages[:2], [1, 2])[0][0].startswith(chrome)
-    assert html_text.main_texts(pages, [1, 1, 1, 1])[0][0].startswith(chrome)
+    assert texts(pages[:2])[0][0].startswith(chrome)
+    assert texts(pages, [1, 1, 1, 1])[0][0].startswith(chrome)
+
+
+def test_teasers_go_and_a_single_article_stays():
+    teaser = "<article>read more about the new bridge over the river today</article>"
+    own = [" ".join(f"{word}{k}" for word in ("a", "story", "of", "its", "own")) for k in range(3)]
+    assert [t for t, _ in texts([f"{teaser}<article>{x}</article>" for x in own])] == own
+    assert [t for t, _ in texts([teaser] * 4)] == ["read more about the new bridge over the river today"] * 4
+    both = [teaser + "<article>and a second one that all the pages of it have</article>"] * 3
+    assert all(t.count("\n\n") == 1 for t, _ in texts(both))
 
 
 def test_an_empty_article_leaves_the_open_blocks():
     pages = [f"<main> <!-- later --></main><div>{'all the rights of this small page are kept' if k < 3 else 'x'}</div><p>{k} is told</p>" for k in range(4)]
-    assert [t for t, _, _ in html_text.main_texts(pages, list(range(4)))] == ["0 is told", "1 is told", "2 is told", "x\n\n3 is told"]
+    assert [t for t, _ in texts(pages)] == ["0 is told", "1 is told", "2 is told", "x\n\n3 is told"]
 
 
 def test_repeats_equal_brute_force():
@@ -177,11 +190,50 @@ def test_repeats_are_counted_across_parts_of_a_host(spark):
     rows = [(k % 9 if k != 4 else None, f"http://a.b/{k}", f"<div>{notice if k < 3 or k == 4 else 'x'} {k} own words</div><p>{' '.join(f'w{k + j}' for j in range(9))}</p>") for k in range(12)]
     df = spark.createDataFrame([*rows, (1, None, "<p>"), (None, None, None)], "page_id long, url string, html string")
     want = sorted(html_text.extract(df, part=100).collect(), key=str)
-    assert sum(r.n_repeated >= 9 for r in want) == 4 and not any(notice in r.text for r in want)
+    assert sum((r.n_repeated or 0) >= 9 for r in want) == 4 and not any(notice in r.text for r in want)
     for part in (1, 5):
         assert sorted(html_text.extract(df, part=part).collect(), key=str) == want
 
 
+def test_extraction_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    notices = [" ".join(f"n{k}{j}" for j in range(8 + k)) for k in range(6)]
+    rows = []
+    for k in range(90):
+        own = " ".join(f"o{k}x{j}" for j in range(int(rng.integers(1, 12))))
+        say = [f"<div>{notices[j]}</div>" for j in rng.choice(6, 2, replace=False)]
+        body = rng.choice([f"<p>{own}</p>", f"<article>{own}</article>", f"<article>{notices[0]}</article><article>{own}</article>", f"<main>{own}</main><nav>menu</nav>"])
+        rows.append((int(rng.integers(0, 80)), f"http://h{k % 3 if k < 60 else 9}.org/{k}", say[0] + body + say[1]))
+    parsed = [html_text.blocks(h) for _, _, h in rows]
+    pages_of = {}
+    for (i, u, _), found in zip(rows, parsed, strict=True):
+        ws = [w for t in html_text.rest(found) for w in (*t.split(" "), "\n")]
+        for a in range(len(ws) - 7):
+            pages_of.setdefault((u.split("/")[2], tuple(ws[a : a + 8])), set()).add(i)
+    want = []
+    for (i, u, _), found in zip(rows, parsed, strict=True):
+        whole = html_text.vouched(found)
+        kept = [b.text for b in whole or ()]
+        if whole is None:
+            ws = [(w, n) for n, b in enumerate(found) for w in (*b.text.split(" "), "\n")]
+            gone = {a + x for a in range(len(ws) - 7) for x in range(8) if len(pages_of[u.split("/")[2], tuple(w for w, _ in ws[a : a + 8])]) >= 3}
+            left = [" ".join(w for k, (w, m) in enumerate(ws) if m == n and w != "\n" and k not in gone) for n in range(len(found))]
+            best = max(b.standing for b in found)
+            if best == 1:
+                kept = [t for t, b in zip(left, found, strict=True) if b.standing == 1 and t]
+            else:
+                n_all = {b.region: len(b.text.split(" ")) for b in found if b.standing == best}
+                n_left = {b.region: len(t.split()) for t, b in zip(left, found, strict=True) if b.standing == best}
+                own = {r for r in n_all if 2 * (n_all[r] - n_left[r]) < n_all[r]} or set(n_all)
+                kept = [b.text for b in found if b.standing == best and b.region in own]
+        want.append((i, u, "\n\n".join(kept), len("\n\n".join(kept))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for part in (1000, 7):
+        assert sorted(tuple(r)[:4] for r in html_text.extract(df, part=part).collect()) == sorted(want)
+    plain_texts = sorted((i, u, "\n\n".join(b.text for b in found if b.standing == max(x.standing for x in found))) for (i, u, _), found in zip(rows, parsed, strict=True))
+    assert sum(a[2] != b[2] for a, b in zip(plain_texts, sorted(want), strict=True)) > 30  # what the runs decide
+
+
 def test_odd_pages(spark):
     rows = [(1, "http://a.b/c", "<article><p>x</p></article>", 1, "h"), (2, None, None, 2, "h"), (None, "junk", "<p>y", 3, "h"), (1, "http://a.b/c", "<article><p>x</p></article>", 1, "h")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, part long, host string")
