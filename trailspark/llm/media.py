@@ -1,6 +1,7 @@
 """Media columns: GIF frames as binary columns, decoded with numpy.
 
-``encode`` stores bytes as the palette indices of an animated GIF; ``decode``
+``encode`` stores bytes as the palette indices of an animated GIF, compressed by
+LZW with a clear code where the table is full; ``decode``
 reads any GIF: code streams (LZW with clear and end codes, width 3 to 12,
 interlace), global and local palettes, transparency, disposal methods and frame
 delays. ``frames`` turns a table of GIFs into timed frames with colour-histogram
@@ -34,7 +35,7 @@ from . import common
 UNIT = 64
 #: Image width in samples, and the most rows of a frame.
 WIDTH, ROWS = 64, 1024
-SPEC = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int"
+SPEC = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration int"
 
 
 @dataclass
@@ -53,21 +54,49 @@ def pad(payload: bytes, unit: int = UNIT) -> bytes:
     return payload + bytes(size - len(payload))
 
 
-def _codes_out(data: np.ndarray) -> bytes:
-    """An LZW code stream of 8-bit samples whose codes keep nine bits: a clear code before each 254 samples."""
-    n = len(data)
-    k = -(-n // 254)
-    codes = np.full(n + k + 1, 256, np.uint16)
-    at = np.arange(n)
-    codes[at + at // 254 + 1] = data
-    codes[-1] = 257
-    codes = np.r_[codes, np.zeros(-len(codes) % 8, np.uint16)].reshape(-1, 8)
-    # eight codes of nine bits are nine bytes
-    out = np.zeros((len(codes), 9), np.uint16)
-    for i in range(8):
-        out[:, i] |= (codes[:, i] << i) & 255
-        out[:, i + 1] |= codes[:, i] >> (8 - i)
-    return out.astype(np.uint8).tobytes()[: -(-(n + k + 1) * 9 // 8)]
+def _schedule(min_size: int, n: int) -> np.ndarray:
+    """Bits of the i-th code (from 0) after a clear code."""
+    i = np.arange(n)
+    table = np.minimum((1 << min_size) + 2 + np.maximum(i - 1, 0), 4096)  # entries known to the decoder when it reads code i
+    bits = np.full(n, min_size + 1)
+    for w in range(min_size + 1, 12):
+        bits[table >= (1 << w)] = w + 1
+    return np.minimum(bits, 12)
+
+
+#: Bits of the codes of 8-bit samples, by their place after a clear code.
+_WIDTHS = _schedule(8, 4096)
+
+
+def _codes_out(data: bytes) -> bytes:
+    """An LZW code stream of 8-bit samples; the table starts anew when it is full."""
+    out: list[int] = [256]
+    at = [0]  # place of each code after its clear code; the first clear code stands like one
+    table: dict[int, int] = {}
+    get, put = table.get, out.append
+    cur, free, begun = data[0], 258, 1
+    for b in data[1:]:
+        key = cur << 8 | b
+        code = get(key)
+        if code is not None:
+            cur = code
+            continue
+        put(cur)
+        table[key] = free
+        free += 1
+        cur = b
+        if free == 4096:
+            put(256)
+            at += range(len(out) - begun)
+            begun = len(out)
+            table.clear()
+            free = 258
+    out += [cur, 257]
+    at += range(len(out) - begun)
+    # bits of all codes, least first
+    wide = _WIDTHS[np.array(at)]
+    bits = (np.array(out, np.uint16)[:, None] >> np.arange(12, dtype=np.uint16) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(12) < wide[:, None]], bitorder="little").tobytes()
 
 
 def _blocks(stream: bytes) -> bytes:
@@ -90,23 +119,12 @@ def encode(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = 10
         raise ValueError("samples must fill whole rows")
     height = min(rows, len(samples) // width)
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), PALETTE.tobytes()]
-    data = np.frombuffer(samples, np.uint8)
-    for at in range(0, len(data), width * rows):
-        part = data[at : at + width * rows]
+    for at in range(0, len(samples), width * rows):
+        part = samples[at : at + width * rows]
         out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(_codes_out(part))]
     return b"".join([*out, b"\x3b"])
 
 
-def _schedule(min_size: int, n: int) -> np.ndarray:
-    """Bits of the i-th code (from 0) after a clear code."""
-    i = np.arange(n)
-    table = np.minimum((1 << min_size) + 2 + np.maximum(i - 1, 0), 4096)  # entries known to the decoder when it reads code i
-    bits = np.full(n, min_size + 1)
-    for w in range(min_size + 1, 12):
-        bits[table >= (1 << w)] = w + 1
-    return np.minimum(bits, 12)
-
-
 _schedules: dict[int, np.ndarray] = {}
 
 
@@ -161,11 +179,13 @@ def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
     n = len(codes)
     if (codes - first >= np.minimum(np.arange(n), 4096 - first)).any() or codes[0] >= clear:
         raise ValueError("code before its entry")
-    # length of each code's string: one more than that of the code its entry was made from
-    size = [1] * n
-    for i in np.flatnonzero(codes >= first).tolist():
-        size[i] = size[int(codes[i]) - first] + 1
-    size_a = np.array(size)
+    # length of each code's string: one more than that of the code its entry was made from, by pointer doubling
+    parent = np.r_[np.where(codes >= first, codes - first, n), n]
+    size_a = np.r_[np.ones(n, np.int64), 0]
+    while (parent < n).any():
+        size_a += size_a[parent]
+        parent = parent[parent]
+    size_a = size_a[:n]
     start = np.r_[0, np.cumsum(size_a)]
     source = np.arange(start[-1])
     ref = np.flatnonzero(codes >= first)
@@ -197,6 +217,12 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def decode(data: bytes) -> tuple[int, int, list[Frame]]:
     """Canvas width and height, and the frames in order; canvases are RGBA."""
+    width, height, found = opened(data)
+    return width, height, list(found)
+
+
+def opened(data: bytes) -> tuple[int, int, Iterator[Frame]]:
+    """The same with one frame at a time."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF")
     width, height, flags, back, _ = struct.unpack("<HHBBB", data[6:13])
@@ -204,8 +230,19 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
     if flags & 0x80:
         n = 2 << (flags & 7)
         palette, at = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3), at + n * 3
-    canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
+    return width, height, _frames(data, at, palette, width, height)
+
+
+def _rgba(colours: np.ndarray) -> np.ndarray:
+    """Opaque colours as one number each, of 256 entries; indices beyond a palette show its last colour."""
+    full = np.full((256, 4), 255, np.uint8)
+    full[: len(colours), :3] = colours
+    full[len(colours) :, :3] = colours[-1]
+    return full.view(np.uint32).ravel()
+
+
+def _frames(data: bytes, at: int, palette: np.ndarray | None, width: int, height: int) -> Iterator[Frame]:
+    canvas = np.zeros((height, width), np.uint32)
     clock, delay, disposal, clear_index = 0, 0, 0, -1
     while at < len(data):
         kind = data[at]
@@ -236,29 +273,28 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
             indices = straight
         before = canvas.copy() if disposal == 3 else None
         if colours is not None:
-            shown = np.concatenate([colours[np.minimum(indices, len(colours) - 1)], np.full((h, w, 1), 255, np.uint8)], 2)
             area = canvas[top : top + h, left : left + w]
-            shown = shown[: area.shape[0], : area.shape[1]]
-            mask = indices[: area.shape[0], : area.shape[1]] != clear_index
-            area[mask] = shown[mask]
-        frames.append(Frame(clock, delay, indices, canvas.copy()))
+            seen = indices[: area.shape[0], : area.shape[1]]
+            shown = _rgba(colours)[seen]
+            if clear_index < 0:
+                area[:] = shown
+            else:
+                area[seen != clear_index] = shown[seen != clear_index]
+        yield Frame(clock, delay, indices, canvas.view(np.uint8).reshape(height, width, 4).copy())
         clock += delay
         if disposal == 2:
             canvas[top : top + h, left : left + w] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, clear_index = 0, 0, -1
-    return width, height, frames
 
 
 def histogram(frame: Frame, bins: int = 4) -> list[int]:
     """Visible pixels by ``bins`` levels of red, green and blue each: ``bins ** 3`` counts."""
-    pixels = frame.canvas[frame.canvas[..., 3] > 0][:, :3] // (256 // bins)
-    return np.bincount(pixels[:, 0].astype(int) * bins * bins + pixels[:, 1] * bins + pixels[:, 2], minlength=bins**3).tolist()
-
-
-def stored_bytes(frames: list[Frame]) -> bytes:
-    return b"".join(f.indices.tobytes() for f in frames)
+    pixels = frame.canvas.reshape(-1, 4)
+    red, green, blue = (pixels[:, k] // np.uint8(256 // bins) for k in range(3))
+    level = (red.astype(np.int32) * bins + green) * bins + blue
+    return np.bincount(level[pixels[:, 3] > 0], minlength=bins**3).tolist()
 
 
 def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -294,20 +330,25 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return common.id_text(docs, id_col, text_col).mapInArrow(run, spec)
 
 
+def read_back(data: bytes) -> tuple[bytes, list[int], int, int]:
+    """What a stored file holds: payload, pixels of all frames by colour, frames, and hundredths of a second."""
+    parts, hist, count, length = [], np.zeros(64, np.int64), 0, 0
+    for f in opened(data)[2]:
+        parts.append(f.indices.tobytes())
+        hist += histogram(f)
+        count, length = count + 1, f.start + f.delay
+    return b"".join(parts), hist.tolist(), count, length
+
+
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored files hold, read back from them: payload and file digests and the colour histogram."""
+    """What the stored files hold, decoded from them: payload and file digests, the colour histogram of the canvases, frames and their time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text="media"):
             rows = {k.split(" ")[0]: [] for k in SPEC.split(", ")}
             for i, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, _, found = decode(data)
-                payload = stored_bytes(found)
-                # every pixel of these files is opaque, so counts by index are counts by colour
-                by_index = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                colour = PALETTE.astype(int) // 64
-                hist = np.bincount(colour[:, 0] * 16 + colour[:, 1] * 4 + colour[:, 2], weights=by_index, minlength=64).astype(int)
-                for name, v in zip(rows, (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, hist.tolist())), len(found)), strict=True):
+                payload, hist, count, length = read_back(data)
+                for name, v in zip(rows, (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, hist)), count, length), strict=True):
                     rows[name].append(v)
             yield common.as_arrow(SPEC, rows)
 

@@ -7,6 +7,12 @@ and all its occurrences (left to right, not overlapping) merge at once, over
 all sequences together. A sequence without a mergeable pair leaves; its
 surviving symbols are its count.
 
+Pre-tokens follow the library's Unicode tables. Texts whose code points are all
+below ``SAFE`` are cut by the pattern; for these the tables of the pattern engine
+and of the library agree (held by the tests). All others are cut by the library's own
+pre-tokenizer, long ones in stretches that end before a space, where a pre-token
+ends in any case.
+
 Special tokens: the library matches their strings inside texts by default, each
 as one token; texts are split on them first.
 Empty or null text: no tokens. Ties cannot arise: ranks are unique.
@@ -22,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
 from . import common
 
@@ -29,7 +36,11 @@ from . import common
 VOCABULARY = "byte_bpe_50k.json"
 SPEC = "doc_id long, n_bytes long, n_tokens long"
 #: Pre-tokens remembered by a worker; the memory bound, not a limit on inputs.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Code points below this are letters, numbers or spaces to the pattern engine and the library alike; in UTF-8 their bytes are below ``SAFE_BYTE``.
+SAFE, SAFE_BYTE = 0x540, 0xD5
+#: Characters from which on the library's pre-tokenizer gets a text in stretches.
+STRETCH = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,6 +55,10 @@ def byte_alphabet() -> dict[str, int]:
     return names
 
 
+#: A letter before a space: between them a pre-token ends.
+EDGE = regex.compile(r"[A-Za-z](?= )")
+
+
 class Merger:
     """Merge table of a vocabulary as sorted arrays, and the memo of counted pre-tokens."""
 
@@ -63,8 +78,10 @@ class Merger:
         for ch, b in byte_alphabet().items():
             self.base[b] = vocab[ch]
         self.pattern = regex.compile(pattern)
+        cutter = spec["pre_tokenizer"]
+        self.library = pre_tokenizers.ByteLevel(add_prefix_space=cutter["add_prefix_space"], use_regex=cutter["use_regex"])
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t.get("content")]
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.special_cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.memo: dict[str, int] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,17 +139,27 @@ class Merger:
             rank[t[same]] = self.rank_of(sym[t[same]], sym[t[same] + 1])
         return out
 
+    def cut_up(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if not len(raw) or raw.max() < SAFE_BYTE:
+            return self.pattern.findall(text)
+        out, at = [], 0
+        while at < len(text):
+            end = EDGE.search(text, at + STRETCH)
+            to = end.start() + 1 if end else len(text)
+            part = text[at:to]
+            out += [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
+            at = to
+        return out
+
     def texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         parts, extra = [], []
         for text in texts:
-            if self.cut is not None and any(s in text for s in self.special):
-                pieces = self.cut.split(text)
-                extra.append(len(pieces) - 1)
-                parts.append([t for p in pieces for t in self.pattern.findall(p)])
-            else:
-                extra.append(0)
-                parts.append(self.pattern.findall(text))
+            pieces = self.special_cut.split(text) if self.special_cut is not None and any(s in text for s in self.special) else [text]
+            extra.append(len(pieces) - 1)
+            parts.append([t for p in pieces for t in self.cut_up(p)])
         if len(self.memo) > REMEMBERED:
             self.memo.clear()
         fresh = list(set().union(*parts) - self.memo.keys())
