@@ -70,32 +70,32 @@ _WIDTHS = _schedule(8, 4096)
 
 def _codes_out(data: bytes) -> bytes:
     """An LZW code stream of 8-bit samples; the table starts anew when it is full."""
-    out: list[int] = [256]
+    # codes are held with eight free bits, so that a code and the next sample make a key at once
+    out: list[int] = [256 << 8]
     at = [0]  # place of each code after its clear code; the first clear code stands like one
     table: dict[int, int] = {}
     get, put = table.get, out.append
-    cur, free, begun = data[0], 258, 1
+    cur, free, full, begun = data[0] << 8, 258 << 8, 4096 << 8, 1
     for b in data[1:]:
-        key = cur << 8 | b
-        code = get(key)
-        if code is not None:
+        code = get(cur | b)
+        if code:
             cur = code
             continue
         put(cur)
-        table[key] = free
-        free += 1
-        cur = b
-        if free == 4096:
-            put(256)
+        table[cur | b] = free
+        free += 256
+        cur = b << 8
+        if free == full:
+            put(256 << 8)
             at += range(len(out) - begun)
             begun = len(out)
             table.clear()
-            free = 258
-    out += [cur, 257]
+            free = 258 << 8
+    out += [cur, 257 << 8]
     at += range(len(out) - begun)
     # bits of all codes, least first
     wide = _WIDTHS[np.array(at)]
-    bits = (np.array(out, np.uint16)[:, None] >> np.arange(12, dtype=np.uint16) & 1).astype(np.uint8)
+    bits = ((np.array(out, np.uint32) >> 8).astype(np.uint16)[:, None] >> np.arange(12, dtype=np.uint16) & 1).astype(np.uint8)
     return np.packbits(bits[np.arange(12) < wide[:, None]], bitorder="little").tobytes()
 
 
@@ -140,7 +140,7 @@ def lzw_decode(stream: bytes, min_size: int, expected: int) -> np.ndarray:
     if min_size not in _schedules:
         _schedules[min_size] = np.cumsum(np.r_[0, _schedule(min_size, 4200)])
     ladder = _schedules[min_size]
-    guess = 512
+    guess = min(max(total // (min_size + 1) + 1, 16), 4096)
     while bit < total and made < expected:
         n = guess
         while True:
@@ -161,7 +161,7 @@ def lzw_decode(stream: bytes, min_size: int, expected: int) -> np.ndarray:
             part = _expand(codes[:k], clear)
             out.append(part)
             made += len(part)
-        guess = max(512, min(k + 2, 4096))
+        guess = max(16, min(guess, (total - bit) // (min_size + 1) + 1))
         if finished:
             break
         bit = int(at[k] + wide[k])
@@ -180,21 +180,28 @@ def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
     if (codes - first >= np.minimum(np.arange(n), 4096 - first)).any() or codes[0] >= clear:
         raise ValueError("code before its entry")
     # length of each code's string: one more than that of the code its entry was made from, by pointer doubling
-    parent = np.r_[np.where(codes >= first, codes - first, n), n]
-    size_a = np.r_[np.ones(n, np.int64), 0]
+    refers = codes >= first
+    ref = np.flatnonzero(refers)
+    parent = np.full(n + 1, n, np.int32)
+    parent[ref] = codes[ref] - first
+    size_a = np.ones(n + 1, np.int32)
+    size_a[n] = 0
     while (parent < n).any():
         size_a += size_a[parent]
         parent = parent[parent]
     size_a = size_a[:n]
-    start = np.r_[0, np.cumsum(size_a)]
-    source = np.arange(start[-1])
-    ref = np.flatnonzero(codes >= first)
+    start = np.zeros(n + 1, np.int32)
+    np.cumsum(size_a, out=start[1:])
+    source = np.arange(start[-1], dtype=np.int32)
     lens = size_a[ref]
-    within = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-    source[np.repeat(start[ref], lens) + within] = np.repeat(start[codes[ref] - first], lens) + within
+    if len(ref):
+        # each sample of a string that was seen before comes from where that one began
+        back = np.repeat(start[codes[ref] - first] - start[ref], lens)
+        mine = np.repeat(refers, size_a)
+        source[mine] += back
     while True:
         nxt = source[source]
-        if (nxt == source).all():
+        if np.array_equal(nxt, source):
             break
         source = nxt
     literal = np.zeros(start[-1], np.uint8)
