@@ -170,7 +170,7 @@ def test_anchors(n, letters, seed):
 def test_block_max_wand_equals_scoring_all(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     for threshold in (0.1, 0.3, 0.5):
-        index = decontaminate.Index(items, threshold)
+        index = decontaminate.Index(decontaminate.as_shard(items), threshold)
         rng = random.Random(1)
         vocabulary = list(index.term)
         for _ in range(60):
@@ -188,12 +188,12 @@ def test_block_max_wand_equals_scoring_all(spark, sf_dir):
 def test_no_passage_is_set_aside_that_reaches_the_threshold(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    index = decontaminate.Index(items)
+    index = decontaminate.Index(decontaminate.as_shard(items))
     kept = {(d, at) for d, at, _, _ in decontaminate.passages(index, texts)}
     for d, t in enumerate(texts):
         ws = decontaminate.words(t)
-        for at in range(0, max(len(ws), 1), index.longest):
-            found = index.search(list({index.term[w] for w in ws[at : at + 2 * index.longest] if w in index.term}))
+        for at in range(0, max(len(ws), 1), index.step):
+            found = index.search(list({index.term[w] for w in ws[at : at + 2 * index.step] if w in index.term}))
             assert not found or (d, at) in kept
 
 
@@ -205,7 +205,7 @@ def test_leaks_hold_all_verbatim_items(spark, sf_dir, odd, empty):
     want = {(d, i) for d, t in texts for i, x in items if x in t}
     got = {(r.doc_id, r.item_id) for r in registry.op2_decontamination(spark, sf_dir).collect()}
     assert want and want <= got and len(got) <= 1.1 * len(want)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.candidates(docs, bench, shard=9).where("question_overlap >= 0.6 and answer_overlap >= 0.5").collect()} == got
+    assert {(r.doc_id, r.item_id) for r in decontaminate.candidates(docs, bench, shard=300).where("question_overlap >= 0.6 and answer_overlap >= 0.5").collect()} == got
     kept = {r.doc_id for r in decontaminate.keep_uncontaminated(docs, bench).collect()}
     assert kept == {d for d, _ in texts} - {d for d, _ in got}
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.keep_uncontaminated(odd, bench).count() == odd.count()
@@ -214,6 +214,56 @@ def test_leaks_hold_all_verbatim_items(spark, sf_dir, odd, empty):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.leaks(docs, none.limit(0)).count() == 0
 
 
+def scored(texts, items, score):
+    """Every (document, item) whose best passage reaches the score, by scoring all passages."""
+    lists = [decontaminate.words(t or "") for _, t in items]
+    held = [k for k, ws in enumerate(lists) if ws]
+    n, mean = len(held), sum(len(lists[k]) for k in held) / len(held)
+    df = {}
+    for k in held:
+        for w in set(lists[k]):
+            df[w] = df.get(w, 0) + 1
+    out = {}
+    for k in held:
+        ws, step = lists[k], 64
+        while step < len(ws):
+            step *= 2
+        weight = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in set(ws)}
+        q, a = decontaminate.halves(items[k][1])
+        for d, t in texts:
+            doc = decontaminate.words(t or "")
+            for at in range(0, max(len(doc), 1), step):
+                part = doc[at : at + 2 * step]
+                s = sum(weight.get(w, 0) for w in set(part)) / sum(weight.values())
+                if s >= score - 1e-9:
+                    share = []
+                    for half in (q, a):
+                        m = min(5, len(half))
+                        grams = {tuple(half[i : i + m]) for i in range(len(half) - m + 1)} if m else set()
+                        share.append(len(grams & {tuple(part[i : i + m]) for i in range(len(part) - m + 1)}) / len(grams) if grams else 1.0)
+                    key = (share[0] >= 0.6 and share[1] >= 0.5, min(share) + sum(share), *share, s)
+                    out[d, items[k][0]] = max(out.get((d, items[k][0]), (False,)), key)
+    return sorted((d, i, round(v[4], 9), round(v[2], 9), round(v[3], 9)) for (d, i), v in out.items())
+
+
+def test_candidates_equal_scoring_all_whatever_the_shards(spark, sf_dir):
+    rng = random.Random(2)
+    base = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    items = [*base[:25], (100, " ".join(t for _, t in base[25:29])), (101, base[3][1]), (102, None), (103, "one")]
+    texts = []
+    for d in range(60):
+        ws = " ".join(rng.choice(items[:27])[1] for _ in range(rng.randint(1, 4))).split()
+        for _ in range(rng.randint(0, len(ws) // 3)):
+            ws[rng.randrange(len(ws))] = "other"
+        texts.append((d, " ".join(ws)))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = scored(texts, items, 0.5)
+    assert any(w[1] == 100 for w in want) and len(want) > 100
+    for shard in (10**6, 300):
+        got = decontaminate.candidates(docs, bench, shard=shard).collect()
+        assert sorted((r.doc_id, r.item_id, round(r.score, 9), round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in got) == want
+
+
 def test_a_leak_is_not_hidden_by_a_passage_that_fails(spark, monkeypatch):
     at = iter([(1.0, 0.45), (0.6, 0.5)])
     index = SimpleNamespace(term={"word": 0}, ids=[7], search=lambda _: [(0, 1.0)], overlaps=lambda *_: next(at))
@@ -223,7 +273,7 @@ def test_a_leak_is_not_hidden_by_a_passage_that_fails(spark, monkeypatch):
     kept = {}
     frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, spec: kept.update(run=run))
     monkeypatch.setattr(decontaminate.common, "id_text", lambda docs: frame)
-    decontaminate.hits(frame, [(7, "word")])
+    decontaminate.hits(frame, decontaminate.as_shard([(7, "word")]))
     (out,) = kept["run"](iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["word"]})]))
     assert [(r["question_overlap"], r["answer_overlap"]) for r in out.to_pylist()] == [(0.6, 0.5)]
 

@@ -2,10 +2,11 @@
 
 Test items are indexed once (lower-cased words, BM25 weights divided by the
 item's score for its own text, so a passage that holds all of an item scores 1
-or more). Every passage of every document is a query: passages are twice as long
-as the longest item and overlap by half, so each copy of an item lies whole in
-one. Block-max WAND retrieves every item that scores above ``SCORE``; nothing is
-cut at a top k. Before that, passages are set aside whose words cannot reach the
+or more). Every passage of every document is a query: passages of an item are
+twice as long as its step (``STEP`` words, doubled until the item fits) and
+overlap by half, so each copy of an item lies whole in one, and no item changes
+another's passages. Block-max WAND retrieves every item that scores above
+``SCORE``; nothing is cut at a top k. Before that, passages are set aside whose words cannot reach the
 threshold whatever the item: words common among the items are grouped so that
 they never reach it alone, and the block maxima of the other words bound the
 rest. That is block-max WAND's own bound, taken for all passages of a slice at
@@ -15,8 +16,10 @@ A candidate counts when the shares of the item's question and answer found in
 the passage are high enough: ``WORDS``-word shingles of the item but its last
 sentence, and of its last sentence (single words where it is shorter).
 
-The index is sent to every task in shards of at most ``SHARD`` items, a bound
-that does not grow with the input: more items mean more shards, each a pass.
+The index is sent to every task in shards: items of one step, at most ``SHARD``
+words, a bound that does not grow with the input: more items mean more shards,
+each a pass. Document frequencies, their number and mean length are those of
+all items, so shards change no score.
 
 Null or empty items match nothing; null or empty texts are clean. Repeated
 items or rows give their own rows. Ties need no rule: all above the threshold
@@ -26,8 +29,10 @@ are kept.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -36,12 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .components import written
 
 K1, B = 1.2, 0.75
 SCORE = 0.5
 WORDS = 5
 QUESTION, ANSWER = 0.6, 0.5
-SHARD = 20_000
+STEP = 64
+#: Words of the items of a shard (one item at least).
+SHARD = 800_000
 BLOCK = 16
 #: Items in a range of the bounds taken for all passages.
 RANGE = 2
@@ -68,15 +76,39 @@ def halves(text: str) -> tuple[list[str], list[str]]:
     return ws[:cut], ws[cut:]
 
 
+@dataclass(frozen=True)
+class Shard:
+    """Items of one step, and what holds for all items: their number, mean length, and the document frequencies of the shard's words."""
+
+    items: list[tuple[int, str]]
+    step: int
+    n: int
+    mean: float
+    df: dict[str, int]
+
+
+def as_shard(items: list[tuple[int, str]]) -> Shard:
+    """A shard that is all there is."""
+    lists = [words(t or "") for _, t in items]
+    return Shard(items, step_of(max(map(len, lists), default=0)), len(lists), sum(map(len, lists)) / max(len(lists), 1), Counter(w for ws in lists for w in set(ws)))
+
+
+def step_of(n: int) -> int:
+    step = STEP
+    while step < n:
+        step *= 2
+    return step
+
+
 class Index:
     """Inverted lists with block maxima. Weights are shares of an item's own score."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = SCORE):
-        self.threshold = threshold
+    def __init__(self, shard: Shard, threshold: float = SCORE):
+        self.threshold, self.step = threshold, shard.step
+        items, df = shard.items, shard.df
         self.ids = [i for i, _ in items]
         lists = [words(t or "") for _, t in items]
-        n, mean = max(len(lists), 1), max(1.0, sum(map(len, lists)) / max(len(lists), 1))
-        df = Counter(w for ws in lists for w in set(ws))
+        n, mean = max(shard.n, 1), max(1.0, shard.mean)
         self.term = {w: k for k, w in enumerate(df)}
         idf = {w: float(np.log(1 + (n - c + 0.5) / (c + 0.5))) for w, c in df.items()}
         posts: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -119,7 +151,6 @@ class Index:
         self.range_at, self.range_max = np.array(flat_r, np.int64), np.array(flat_w, float)
         self.range_n = np.bincount(np.array(flat_t, np.int64), minlength=len(df))
         self.range_first = np.cumsum(self.range_n) - self.range_n
-        self.longest = max(map(len, lists), default=0)
         parts = [halves(t or "") for _, t in items]
         self.question = [shingles(q) for q, _ in parts]
         self.answer = [shingles(a) for _, a in parts]
@@ -148,9 +179,7 @@ class Index:
             upper, until = 0.0, last
             for c in cursors[: pivot + 1]:
                 lst, p = docs[c[2]], c[1]
-                b = p // BLOCK
-                while (b + 1) * BLOCK <= len(lst) and lst[min((b + 1) * BLOCK, len(lst)) - 1] < d:
-                    b += 1
+                b = bisect_left(lst, d, p) // BLOCK
                 if b < len(blocks[c[2]]):
                     upper += blocks[c[2]][b]
                     until = min(until, lst[min((b + 1) * BLOCK, len(lst)) - 1] + 1)
@@ -170,8 +199,7 @@ class Index:
             for k in moved:
                 c = cursors[k]
                 lst, p = docs[c[2]], c[1]
-                while p < len(lst) and lst[p] < target:
-                    p += 1
+                p = bisect_left(lst, target, p)
                 c[0], c[1] = (lst[p], p) if p < len(lst) else (last, p)
             cursors = sorted(c for c in cursors if c[0] < last)
         return found
@@ -187,7 +215,7 @@ def passages(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, li
     get = index.term.get
     lists = [words(t) for t in texts]
     size = np.array([len(ws) for ws in lists], np.int64)
-    step = max(index.longest, 1)
+    step = index.step
     terms = np.fromiter((get(w, -1) for ws in lists for w in ws), np.int64, int(size.sum()))
     owner = np.repeat(np.arange(len(lists)), size)
     first = np.cumsum(size) - size
@@ -210,7 +238,7 @@ def passages(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, li
         yield d, at, min(at + 2 * step, int(size[d])), lists[d]
 
 
-def hits(docs: DataFrame, items: list[tuple[int, str]], score: float = SCORE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
+def hits(docs: DataFrame, items: Shard, score: float = SCORE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """Candidates of one shard with their overlaps, the best passage of each row and item: one that passes both thresholds, if any does."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     built: dict[int, Index] = {}
@@ -235,17 +263,50 @@ def hits(docs: DataFrame, items: list[tuple[int, str]], score: float = SCORE, qu
     return common.id_text(docs).mapInArrow(run, SPEC)
 
 
-def shards(bench: DataFrame, shard: int = SHARD) -> Iterator[list[tuple[int, str]]]:
-    """The items that hold words, in lists of about ``shard``, each collected when it is needed."""
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("trim(coalesce(text, '')) <> ''")
-    n = max(1, -(-items.count() // shard))
-    for k in range(n):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+def shards(bench: DataFrame, most: int = SHARD) -> Iterator[Shard]:
+    """The items that hold words, each shard collected when it is needed."""
+    spark = bench.sparkSession
+    common.ship(spark)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            n = [len(words(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([step_of(x) for x in n], pa.int64())], ["item_id", "text", "n", "step"])
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            found = [(s, p, w) for t, s, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in sorted(set(words(t)))]
+            yield common.as_arrow("step long, part long, w string", {"step": [f[0] for f in found], "part": [f[1] for f in found], "w": [f[2] for f in found]})
+
+    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = items.mapInArrow(measured, "item_id long, text string, n long, step long").where("n > 0")
+    # a row for each step: as many as the logarithm of the longest item
+    steps = items.groupBy("step").agg(F.count("*").alias("items"), F.sum("n").alias("words")).orderBy("step").collect()
+    n, total = sum(r["items"] for r in steps), sum(r["words"] for r in steps)
+    parts = {r["step"]: max(1, -(-r["words"] // most)) for r in steps}
+    part = F.pmod(F.xxhash64("item_id", "text"), F.coalesce(*(F.when(F.col("step") == s, k) for s, k in parts.items()), F.lit(1)))
+    collected = lambda rows: [(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()]
+    if sum(parts.values()) <= 1:
+        if steps:
+            yield as_shard(collected(items))
+        return
+    dealt = written(items.withColumn("part", part))
+    terms = written(dealt.select("text", "step", "part").mapInArrow(worded, "step long, part long, w string"))
+    df = written(terms.groupBy("w").agg(F.count("*").alias("df")))
+    for step, k in parts.items():
+        for p in range(k):
+            mine = (F.col("step") == step) & (F.col("part") == p)
+            own = terms.where(mine).select("w").distinct().join(df, "w").collect()
+            found = collected(dealt.where(mine))
+            if found:
+                yield Shard(found, step, n, total / n, {r.w: r.df for r in own})
 
 
 def candidates(docs: DataFrame, bench: DataFrame, score: float = SCORE, shard: int = SHARD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """Every (row, item) above the BM25 threshold: ``doc_id, row, item_id, score, question_overlap, answer_overlap``."""
-    return reduce(DataFrame.unionByName, [hits(docs, items, score, question, answer) for items in shards(bench, shard)])
+    none = docs.sparkSession.createDataFrame([], SPEC)
+    found = [hits(docs, items, score, question, answer) for items in shards(bench, shard)]
+    return reduce(DataFrame.unionByName, found) if found else none
 
 
 def leaks(docs: DataFrame, bench: DataFrame, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
