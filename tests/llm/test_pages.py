@@ -89,6 +89,8 @@ def test_redaction(spark):
     rows = [(1, "mail a.b@c.dd or +1 (555) 123-4567!", 5), (2, None, 0), (3, "nothing", 7), (4, "é 10.0.0.1 é", 1)]
     model = pii.Model(0.0, (), float("inf"))
     got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, spans long"), model).collect()}
+    clash = spark.createDataFrame([(1, "a.b@c.dd", "x", "y")], "row long, text string, email string, m_ip string")
+    assert [tuple(r) for r in pii.redact(clash, model).collect()] == [(1, "[EMAIL]", "x", "y")]
     assert got == {1: "mail [EMAIL] or [PHONE]!", 2: None, 3: "nothing", 4: "é [IP] é"}
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     done = pii.redact(docs).cache()
@@ -96,6 +98,37 @@ def test_redaction(spark):
     assert not any(base(r.text) for r in done.collect())
 
 
+def test_planted_secrets_are_learnt_and_calibrated_on_other_documents(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert model.stages and model.precision >= 0.95 and model.recall >= 0.9
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_redaction_equals_cutting(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "BLOCK", block)
+    model = pii.Model(0.0, (), float("inf"))
+    texts = [*(t for t in TRAPS if t is None or len(t) < 6000), "+1 234 567 8901@x.yz and 1.2.3.4" * 30, "é 日本 " * 50 + "a@b.cc 10.0.0.1 4111 1111 1111 1111" * 9]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for kind, a, b in sorted(base(t), key=lambda s: (s[1], -s[2])):
+            if a >= at:
+                out += [t[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert got[i] == (None if t is None else "".join(out) + t[at:])
+
+
+def test_redaction_is_near_linear(spark):
+    import time
+
+    text = "write to a.b@c.dd or 10.0.0.1, card 4111 1111 1111 1111, token = 0a1b2c3d4e5f60718293 and +1 (555) 123-4567; " * 1500
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pii.train(spark.createDataFrame([(k, f"words {k} of a text") for k in range(200)], "doc_id long, text string"))
+    began = time.time()
+    (row,) = pii.redact(df, model).collect()
+    assert row.text.count("[EMAIL]") == 1500 and row.text.count("[CARD]") == 1500 and row.text.count("[SECRET]") == 1500 and time.time() - began < 30
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = registry.op3_pii(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -8,18 +8,24 @@ trees score them from binned format and context features; a threshold calibrated
 for precision selects. Of overlapping added spans the longer-reaching first one
 stands.
 
+There are no labels of personal data, so the trees learn from planted examples
+whose label is known because they were made: for each document, keys, hex
+digests and passwords, and decoys (numbers, dates, identifiers of words), before
+and after the document's own words. Three quarters of the documents fit the
+trees; the threshold and the recall that is reported come from the others.
+
 All work on rows is in built-in functions. Positions come from lengths: what
 ``split`` leaves between matches and the matches themselves alternate, so starts
 are running sums (taken in blocks, to stay near linear). The trees are fitted
 from a table of counts by feature bins, of bounded size, and are applied as a
-sum of CASE expressions.
+sum of CASE expressions. Redaction goes by blocks of ``BLOCK`` characters.
 
 Patterns carry a guard against rescans: a match starts after a character of
 another class or where the last match ended, which cannot change the leftmost
 match but keeps long runs linear.
 
 Null text: no spans, digest of the empty string. Repeated rows get equal
-results. No candidates or one kind of candidate only: nothing is added.
+results. An empty table has no model and no spans.
 """
 
 from __future__ import annotations
@@ -50,6 +56,8 @@ GENERATORS = {
     "told": (r"[=:]", r"(?i)(?:" + "|".join(TELLING) + r")\s{0,2}[=:]\s{0,2}[\"']?[^\s\"'<>]{6,}+"),
 }
 CONTEXT = 24
+#: Characters of a text that redaction rewrites at a time.
+BLOCK = 4096
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 _NONE = f"CAST(array() AS array<{SPAN}>)"
 
@@ -63,12 +71,31 @@ def running(lens: Column, block: int = 64) -> Column:
     return F.flatten(F.zip_with(blocks, F.slice(base, 1, F.size(sums)), lambda x, b0: F.slice(F.aggregate(x, F.array(b0), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))), 2, F.size(x))))
 
 
-def located(text: Column, pattern: str, kind: str) -> Column:
-    """All matches as spans, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
-    ends = running(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.length(a) + F.length(b)))
-    return F.zip_with(found, ends, lambda m, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).cast("int").alias("start"), e.cast("int").alias("end"), m.alias("value")))
+def _span(kind: str, match: Column, end: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (end - F.length(match)).cast("int").alias("start"), end.cast("int").alias("end"), match.alias("value"))
+
+
+def located(d: DataFrame, kept: list[str], asked: dict[str, tuple[str, str, str]], before: bool = False) -> DataFrame:
+    """Columns ``kept`` and one of all matches, in order, for each name in ``asked`` (gate, pattern, kind); ``before`` adds what stands before each: the text since the last match, and that match.
+
+    In steps, so that no match or length is taken twice.
+    """
+    text, strings = F.col("text"), F.expr("CAST(array() AS array<string>)")
+    found = {n: F.when(text.contains(gate) if gate == "@" else text.rlike(gate), F.regexp_extract_all(text, F.lit(p), 0)).otherwise(strings) for n, (gate, p, _) in asked.items()}
+    d = d.select(*kept, *(c.alias(f"m_{n}") for n, c in found.items()))
+    between = {n: F.when(F.size(f"m_{n}") > 0, F.slice(F.split(text, p, -1), F.lit(1), F.size(f"m_{n}"))).otherwise(strings) for n, (_, p, _) in asked.items()}
+    d = d.select("*", *(c.alias(f"b_{n}") for n, c in between.items()))
+    lens = {n: F.zip_with(f"b_{n}", f"m_{n}", lambda a, b: F.length(a) + F.length(b)) for n in asked}
+    d = d.select("*", *(c.alias(f"l_{n}") for n, c in lens.items()))
+    d = d.select("*", *(F.when(F.size(f"m_{n}") > 0, running(F.col(f"l_{n}"))).otherwise(F.expr("CAST(array() AS array<int>)")).alias(f"e_{n}") for n in asked))
+    out = []
+    for n, (_, _, kind) in asked.items():
+        spans = F.zip_with(f"m_{n}", f"e_{n}", partial(_span, kind))
+        if before:
+            last = F.zip_with(f"b_{n}", F.slice(F.concat(F.array(F.lit("")), F.col(f"m_{n}")), F.lit(1), F.size(f"m_{n}")), lambda b, m: F.right(F.concat(m, b), F.lit(CONTEXT)))
+            spans = F.zip_with(spans, last, lambda s, b: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), b.alias("before")))
+        out.append(spans.alias(n))
+    return d.select(*kept, *out)
 
 
 def valid(kind: str, span: Column) -> Column:
@@ -83,28 +110,24 @@ def valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Valid spans of each kind."""
-    out = {}
-    for kind, (gate, pattern) in PATTERNS.items():
-        spans = F.filter(located(text, pattern, kind), partial(valid, kind))
-        opened = text.contains(gate) if kind == "email" else text.rlike(gate)
-        out[kind] = F.when(opened & text.rlike(pattern), spans).otherwise(F.expr(_NONE))
-    return out
+def base_spans(d: DataFrame, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` and the valid spans of each kind."""
+    found = located(d, kept, {k: (gate, p, k) for k, (gate, p) in PATTERNS.items()})
+    return found.select(*kept, *(F.filter(F.col(k), partial(valid, k)).alias(k) for k in KINDS))
 
 
-def proposals(text: Column) -> dict[str, Column]:
-    return {g: F.when(text.rlike(gate) & text.rlike(pattern), located(text, pattern, "secret")).otherwise(F.expr(_NONE)) for g, (gate, pattern) in GENERATORS.items()}
+def proposals(d: DataFrame, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` and the candidates of each generator."""
+    return located(d, kept, {g: (gate, p, "secret") for g, (gate, p) in GENERATORS.items()}, before=True)
 
 
-def features(text: Column, span: Column, told: bool) -> list[Column]:
-    """Small integers: bins of format and context."""
+def features(span: Column, told: bool) -> list[Column]:
+    """Small integers: bins of format and context of a candidate."""
     v = span["value"]
     value = F.regexp_replace(v, r"(?i)^.*?[=:]\s{0,2}[\"']?", "") if told else v
     n = F.greatest(F.length(value), F.lit(1))
     share = lambda p: F.floor(F.length(F.regexp_replace(value, p, "")) * 8 / n).cast("int")
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(F.lit(CONTEXT), span["start"])))
-    context = F.lit(1) if told else before.rlike("(?:" + "|".join(TELLING) + r")\W*$").cast("int")
+    context = F.lit(1) if told else F.lower(span["before"]).rlike("(?:" + "|".join(TELLING) + r")\W*$").cast("int")
     return [
         F.least(F.floor(n / 4), F.lit(12)).cast("int"),
         share("[^0-9]"),
@@ -190,13 +213,17 @@ def margin_column(bins: list[Column], base: float, stages: list[Stage]) -> Colum
 
 @dataclass(frozen=True)
 class Model:
+    """Trees, threshold, and the precision and recall on planted examples that the trees did not see."""
+
     base: float
     stages: tuple[Stage, ...]
     threshold: float
+    precision: float = 0.0
+    recall: float = 0.0
 
 
-def selected(model: Model, text: Column, told: bool, span: Column) -> Column:
-    return margin_column(features(text, span, told), model.base, list(model.stages)) >= model.threshold
+def selected(model: Model, told: bool, span: Column) -> Column:
+    return margin_column(features(span, told), model.base, list(model.stages)) >= model.threshold
 
 
 def calibrate(cells: list, base: float, stages: list[Stage], precision: float = PRECISION) -> float:
@@ -211,42 +238,76 @@ def calibrate(cells: list, base: float, stages: list[Stage], precision: float =
     return at - 1e-9
 
 
+EXAMPLES = 6
+
+
+def examples(docs: DataFrame) -> DataFrame:
+    """``s, secret, held``: planted candidates, ``EXAMPLES`` for each document; ``held``: of the documents for calibration."""
+    d = common.id_text(docs).select(F.xxhash64("doc_id", "text").alias("seed"), F.substring("text", 1, 64).alias("head"))
+    d = d.select("seed", "head", F.explode(F.sequence(F.lit(0), F.lit(EXAMPLES - 1))).alias("i"))
+    d = d.select("head", "i", F.pmod("seed", F.lit(4)).alias("part"), F.sha2(F.concat_ws(":", F.col("seed").cast("string"), F.col("i").cast("string")), 256).alias("hex"), F.pmod(F.xxhash64("seed", "i"), F.lit(1 << 20)).cast("int").alias("r"))
+    pick = lambda by, *values: F.element_at(F.array(*(F.lit(v) for v in values)), F.pmod(F.floor(F.col("r") / by), F.lit(len(values))).cast("int") + 1)
+    upto = lambda c, low, high: F.substring(c, F.lit(1), F.lit(low) + F.pmod(F.col("r"), F.lit(high - low + 1)))
+    hex_, mixed = F.col("hex"), F.regexp_replace(F.base64(F.unhex("hex")), "[^A-Za-z0-9]", "")
+    digits = F.translate(hex_, "abcdef", "749135")
+    word = F.lower(F.regexp_extract("head", "([A-Za-z]{4,12})", 1))
+    named = F.concat_ws("-", F.when(word == "", "chapter").otherwise(word), pick(7, "section", "figure", "release", "appendix", "edition"), F.substring(digits, F.lit(1), 1 + F.pmod(F.col("r"), F.lit(3))))
+    secrets = [upto(hex_, 16, 64), F.upper(upto(hex_, 16, 64)), upto(mixed, 16, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), F.concat(F.lit("ghp_"), upto(mixed, 30, 36))]
+    decoys = [upto(digits, 12, 20), named, F.upper(named), F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.concat(F.substring(digits, 7, 2), F.lit("T"), F.substring(digits, 9, 4))), F.concat_ws("/", F.lit("v2"), named, F.substring(digits, 1, 6))]
+    secret = F.col("i") < EXAMPLES // 2
+    choose = lambda made: F.element_at(F.array(*made), F.pmod(F.floor(F.col("r") / 11), F.lit(len(made))).cast("int") + 1)
+    # most secrets follow a telling word, few decoys do
+    told = F.pmod(F.floor(F.col("r") / 64), F.lit(10)) < F.when(secret, 7).otherwise(1)
+    lead = F.when(told, F.concat(pick(3, *TELLING), pick(5, "=", ": ", ' = "'))).otherwise(F.concat(F.right("head", F.lit(CONTEXT)), F.lit(" ")))
+    span = F.struct(F.when(secret, choose(secrets)).otherwise(choose(decoys)).alias("value"), lead.alias("before"))
+    return d.select(span.alias("s"), secret.alias("secret"), (F.col("part") == 0).alias("held"))
+
+
 def train(docs: DataFrame) -> Model:
-    """Fit and calibrate on the candidates of all documents. Weak labels: told by a telling word or a known prefix, and not digits alone."""
-    rows = common.id_text(docs).where(F.col("text").rlike("[0-9]"))
-    each = rows.select("text", F.explode(proposals(F.col("text"))["token"]).alias("s"))
-    bins = features(F.col("text"), F.col("s"), False)
+    """Fit and calibrate on the examples planted for all documents."""
+    bins = features(F.col("s"), False)
     names = [f"f{k}" for k in range(len(bins))]
-    labelled = each.select(*(b.alias(n) for b, n in zip(bins, names, strict=True)))
-    y = (F.col("f3") + F.col("f4") > 0) & (F.col("f1") < 8)
+    labelled = examples(docs).where(F.col("s.value").rlike("[0-9]")).select(*(b.alias(n) for b, n in zip(bins, names, strict=True)), "secret", "held")
     # rows of this table: at most the product of the bins
-    table = labelled.groupBy(*names).agg(F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg")).orderBy(*names).collect()
-    cells = [(tuple(r[n] for n in names), float(r.pos), float(r.neg)) for r in table]
-    if not cells:
+    table = labelled.groupBy(*names, "held").agg(F.count_if("secret").alias("pos"), F.count_if(~F.col("secret")).alias("neg")).orderBy(*names, "held").collect()
+    every = [(r.held, tuple(r[n] for n in names), float(r.pos), float(r.neg)) for r in table]
+    if not every:
         return Model(0.0, (), math.inf)
-    base, stages = boost(cells)
-    return Model(base, tuple(stages), calibrate(cells, base, stages) if stages else math.inf)
+    base, stages = boost([c[1:] for c in every if not c[0]] or [c[1:] for c in every])
+    held = [c[1:] for c in every if c[0]] or [c[1:] for c in every]
+    if not stages:
+        return Model(base, (), math.inf)
+    threshold = calibrate(held, base, stages)
+    taken = [(p, n) for b, p, n in held if margin_of(b, base, stages) >= threshold]
+    pos, neg = sum(p for p, _ in taken), sum(n for _, n in taken)
+    return Model(base, tuple(stages), threshold, pos / max(pos + neg, 1), pos / max(sum(p for _, p, _ in held), 1))
 
 
 def without_overlaps(spans: Column) -> Column:
     """Of spans sorted by start and falling end, those that start at or after the end of the last one kept."""
-    return F.aggregate(spans, F.expr(_NONE), lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.element_at(F.concat(F.transform(a, lambda x: x["end"]), F.array(F.lit(0))), F.greatest(F.size(a), F.lit(1)))), a).otherwise(F.concat(a, F.array(s))))
+    state = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("kept"))
+    return F.aggregate(spans, state, lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["kept"], F.array(s)).alias("kept"))), lambda a: a["kept"])
+
+
+def in_order(spans: Column) -> Column:
+    return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+
+
+def chosen(d: DataFrame, kept: list[str], model: Model) -> DataFrame:
+    """Columns ``kept`` and ``secret``: the selected candidates in order, overlapping ones included."""
+    if math.isinf(model.threshold):
+        return d.select(*kept, F.expr(_NONE).alias("secret"))
+    plain = lambda s: F.struct(*(s[k].alias(k) for k in ("kind", "start", "end", "value")))
+    picked = [F.transform(F.filter(F.col(g), partial(selected, model, g == "told")), plain) for g in GENERATORS]
+    return proposals(d, kept).select(*kept, in_order(F.concat(*picked)).alias("secret"))
 
 
 def spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, text`` and arrays of spans: ``email, ip, card, phone, secret``; offsets in code points, ends exclusive."""
-    d = common.id_text(docs)
     model = model or train(docs)
-    text = F.col("text")
-    d = d.select("doc_id", "text", *(c.alias(k) for k, c in base_spans(text).items()), *(c.alias(f"by_{g}") for g, c in proposals(text).items()))
-    if math.isinf(model.threshold):
-        return d.select("doc_id", "text", *KINDS, F.expr(_NONE).alias("secret"))
-    chosen = [
-        F.filter(F.col(f"by_{g}"), partial(selected, model, text, g == "told"))
-        for g in GENERATORS
-    ]
-    both = F.array_sort(F.concat(*chosen), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    return d.select("doc_id", "text", *KINDS, F.when(F.size(F.col("by_token")) + F.size(F.col("by_told")) > 0, without_overlaps(both)).otherwise(F.expr(_NONE)).alias("secret"))
+    kept = ["doc_id", "text"]
+    found = chosen(base_spans(common.id_text(docs), kept), [*kept, *KINDS], model)
+    return found.select(*kept, *KINDS, F.when(F.size("secret") > 0, without_overlaps(F.col("secret"))).otherwise(F.expr(_NONE)).alias("secret"))
 
 
 def joined(found: Column) -> Column:
@@ -264,25 +325,40 @@ def digests(docs: DataFrame, model: Model | None = None) -> DataFrame:
     )
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """The text with each stretch of touching or overlapping spans replaced by the kind of its first."""
-    order = F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("parts"))
-    done = F.aggregate(
-        order, start,
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["parts"].alias("parts"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"))
-        ),
-    )
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+def redacted(found: DataFrame, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` and ``done``: ``text`` with each stretch of overlapping ``spans``, which are in order, replaced by the kind of its first.
+
+    Block by block: in each the spans that start there are cut out; a stretch that
+    began before reaches in by its end.
+    """
+    text = F.col("text")
+    d = found.select(*kept, "spans", F.when(F.size("spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)).alias("blocks"))
+    d = d.select("*", F.transform("blocks", lambda b, k: F.struct(
+        b.alias("b"), (k * BLOCK).alias("from"),
+        F.filter("spans", lambda s: (s["start"] >= k * BLOCK) & (s["start"] < (k + 1) * BLOCK)).alias("own"),
+        F.greatest(F.array_max(F.transform(F.filter("spans", lambda s: s["start"] < k * BLOCK), lambda s: s["end"])), k * BLOCK).alias("at"),
+    )).alias("cut"))
+    label = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+    def rewritten(c: Column) -> Column:
+        piece = lambda a, z: F.substring(c["b"], a - c["from"] + 1, F.greatest(z - a, F.lit(0)))
+        state = F.struct(c["at"].alias("at"), F.expr("CAST(array() AS array<string>)").alias("parts"))
+        step = lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["parts"].alias("parts"))).otherwise(
+            F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(piece(a["at"], s["start"]), label(s))).alias("parts"))
+        )
+        end = c["from"] + F.length(c["b"])
+        return F.aggregate(c["own"], state, step, lambda a: F.concat(F.array_join(a["parts"], ""), piece(F.least(a["at"], end), end)))
+
+    return d.select(*kept, F.when(F.size("spans") == 0, text).otherwise(F.array_join(F.transform("cut", rewritten), "")).alias("done"))
 
 
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with spans replaced in the text; null stays null, other columns as they are."""
-    model = model or train(docs)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = F.concat(*base_spans(text).values())
-    if not math.isinf(model.threshold):
-        for g, c in proposals(text).items():
-            every = F.concat(every, F.filter(c, partial(selected, model, text, g == "told")))
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(redacted(text, every)))
+    common.ship(docs.sparkSession)
+    model = model or train(docs.select(F.lit(None).cast("long").alias("doc_id") if "doc_id" not in docs.columns else F.col("doc_id"), F.col(text_col).alias("text")))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = chosen(base_spans(d, ["row", "text"]), ["row", "text", *KINDS], model)
+    found = found.select("row", "text", in_order(F.concat(*KINDS, "secret")).alias("spans"))
+    done = redacted(found, ["row", "text"])
+    whole = F.when(F.col("row")[text_col].isNotNull(), F.col("done"))
+    return done.select(*((whole if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
