@@ -11,8 +11,8 @@ whole texts) the passage with the highest score carries the gradient.
 As the softmax is linear, a word's share of a passage's margin is one number;
 whole texts are scored from those numbers with prefix sums.
 
-Fitted on at most ``MAX_TRAIN`` labelled rows (a documented bound; those of
-lowest hashed id); scores cover every row. Empty or null texts, and texts
+Fitted on at most ``MAX_TRAIN`` labelled rows of at most ``MAX_CHARS`` characters
+(a documented bound; those of lowest hashed id, texts over ``MAX_TEXT`` left out); scores cover every row. Empty or null texts, and texts
 without words, get the score of the bias alone. Repeated rows get equal scores;
 there are no ties to break. Without training rows, or with one class only, every
 score is the smoothed base rate.
@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -38,6 +38,8 @@ COUNTERS = 1 << 22
 DIM = 8
 PASSAGE = 4
 MAX_TRAIN = 5000
+#: Characters of all training texts, and of one of them.
+MAX_CHARS, MAX_TEXT = 40_000_000, 4_000_000
 EPOCHS = 45
 #: Documents a word must be in to have vectors of its own in training (fewer where there are under 1000 training rows for each).
 LEAST_DOCS = 5
@@ -146,6 +148,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
                 ids[w] = len(ids) + 1
     known = list(ids)
     seqs = [np.array([ids.get(w, 0) for w in words(texts[i])], np.int32) for i in keep]
+    del ids
     flat, size = grams(["\0", *known])
     n_words = len(known) + 1
     owner = np.repeat(np.arange(n_words), size)
@@ -155,12 +158,34 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     # passages of all documents over one word stream
     stream, length = np.concatenate(seqs), np.array([len(s) for s in seqs])
     base_at = np.cumsum(length) - length
-    doc_of = np.repeat(np.arange(len(seqs), dtype=np.int32), length)
     wins = [windows(n) for n in length]
     count = np.array([len(s) for s, _ in wins])
-    start = np.concatenate([s + b for (s, _), b in zip(wins, base_at, strict=True)])
-    span = np.concatenate([z for _, z in wins])
+    start = np.concatenate([(s + b).astype(np.int32) for (s, _), b in zip(wins, base_at, strict=True)])
+    span = np.concatenate([z.astype(np.int32) for _, z in wins])
+    del wins
     doc_first = np.r_[0, np.cumsum(count)[:-1]]
+    # whole texts as distinct words with their shares
+    kinds = [np.unique(s, return_counts=True) for s in seqs]
+    whole_n = np.array([len(k) for k, _ in kinds])
+    whole = np.concatenate([k for k, _ in kinds]), np.repeat(np.arange(len(seqs), dtype=np.int32), whole_n), np.concatenate([(c / c.sum()).astype(np.float32) for _, c in kinds]), np.cumsum(whole_n) - whole_n
+    del seqs, kinds
+    common.give_back()
+
+    def worst(margin: np.ndarray) -> np.ndarray:
+        """The passage of highest margin of each document, the first of equals; some documents at a time."""
+        out = []
+        for a in range(0, len(length), 200):
+            b = min(a + 200, len(length))
+            lo, hi = doc_first[a], doc_first[b - 1] + count[b - 1]
+            t0, t1 = base_at[a], base_at[b - 1] + length[b - 1]
+            c = np.r_[0.0, np.cumsum(margin[stream[t0:t1]])]
+            at, n = start[lo:hi] - t0, span[lo:hi]
+            z = (c[at + n] - c[at]) / n
+            top = np.flatnonzero(z == np.repeat(np.maximum.reduceat(z, doc_first[a:b] - lo), count[a:b]))
+            whose, nth = np.unique(np.searchsorted(doc_first, top + lo, side="right"), return_index=True)
+            out.append(top[nth] + lo)
+        return np.concatenate(out)
+
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (2 * BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -173,18 +198,15 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
         vec = np.stack([np.add.reduceat(emb[flat, k], first) for k in range(DIM)], 1) / size[:, None].astype(np.float32)
         vec[0] = 0
         if step <= epochs // 3:  # whole texts first, to find where to look
-            n, w_id, d_id = length, stream, doc_of
+            w_id, d_id, part, edge = whole
         else:  # the passage with the highest margin stands for its document
-            margin = (vec @ (soft[:, 1] - soft[:, 0])).astype(float)
-            c = np.r_[0.0, np.cumsum(margin[stream])]
-            z = (c[start + span] - c[start]) / span
-            is_top = z == np.repeat(np.maximum.reduceat(z, doc_first), count)
-            pick = doc_first + np.array([int(np.argmax(is_top[a : a + n])) for a, n in zip(doc_first, count, strict=True)])
-            at, n = start[pick], span[pick]
-            d_id = np.repeat(np.arange(len(at)), n)
-            w_id = stream[np.repeat(at, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))]
-        edge = np.cumsum(n) - n
-        mean = np.stack([np.add.reduceat(vec[w_id, k], edge) for k in range(DIM)], 1) / n[:, None]
+            pick = worst((vec @ (soft[:, 1] - soft[:, 0])).astype(float))
+            n = span[pick]
+            edge = np.cumsum(n) - n
+            d_id = np.repeat(np.arange(len(pick)), n)
+            w_id = stream[np.repeat(start[pick], n) + (np.arange(n.sum()) - np.repeat(edge, n))]
+            part = np.repeat((1 / n).astype(np.float32), n)
+        mean = np.stack([np.add.reduceat(vec[w_id, k] * part, edge) for k in range(DIM)], 1)
         logit = mean @ soft + bias
         logit -= logit.max(1, keepdims=True)
         p = np.exp(logit)
@@ -192,10 +214,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
         err = p.copy()
         err[np.arange(len(labels)), labels.astype(int)] -= 1
         err *= weight[:, None]
-        g_mean = (err @ soft.T) / n[:, None]
+        g_mean = err @ soft.T
         g_vec = np.zeros_like(vec)
         for k in range(DIM):
-            g_vec[:, k] = np.bincount(w_id, weights=g_mean[d_id, k], minlength=n_words)
+            g_vec[:, k] = np.bincount(w_id, weights=g_mean[d_id, k] * part, minlength=n_words)
         g_vec[0] = 0
         g_vec /= size[:, None]
         g_emb = np.zeros_like(emb)
@@ -215,7 +237,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, most: int) -> list:
-    """At most ``most`` labelled rows (text, target) whose crc32 remainder isn't ``held``: those of lowest hashed id."""
+    """At most ``most`` labelled rows (text, target) whose crc32 remainder isn't ``held``, and at most ``MAX_CHARS`` characters: those of lowest hashed id."""
     crc = F.crc32(F.col("doc_id").cast("string")) % modulus
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
@@ -224,7 +246,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, modulus: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     # at most ``most`` rows of two numbers: a broadcast of a proven bound
-    found = common.id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    found = common.id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).where(F.length("text") <= MAX_TEXT)
+    # one task has ``most`` rows at most
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    found = found.withColumn("sum", F.sum(F.length("text")).over(before)).where(F.col("sum") <= MAX_CHARS).drop("sum")
     return found.orderBy("doc_id").collect()
 
 
