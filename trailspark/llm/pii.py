@@ -238,7 +238,7 @@ def calibrate(cells: list, base: float, stages: list[Stage], precision: float =
     return at - 1e-9
 
 
-EXAMPLES = 6
+EXAMPLES = 2
 
 
 def examples(docs: DataFrame) -> DataFrame:
