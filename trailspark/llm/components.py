@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node join the least of its neighbourhood
         both = pairs.unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))  # lo: centre, hi: neighbour
-        least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"))
+        # a table of its own, so that both sides of the join can be split where a node has many neighbours
+        least = written(both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m")))
         large = both.where("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), F.col("hi")).where("lo <> hi").distinct()
         # small star: a node and its lower neighbours join the least of them
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
