@@ -36,7 +36,7 @@ BUCKETS = 1 << 15
 #: Hashed counters of the words' training documents.
 COUNTERS = 1 << 22
 DIM = 8
-PASSAGE = 4
+PASSAGE = 2
 MAX_TRAIN = 5000
 #: Characters of all training texts, and of one of them.
 MAX_CHARS, MAX_TEXT = 40_000_000, 4_000_000
@@ -115,7 +115,7 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the passages of n words; the last is moved back to be full."""
     if n <= PASSAGE:
         return np.zeros(1, int), np.array([max(n, 1)])
-    starts = np.unique(np.r_[np.arange(0, n - PASSAGE, PASSAGE // 2), n - PASSAGE])
+    starts = np.unique(np.r_[np.arange(0, n - PASSAGE, max(PASSAGE // 2, 1)), n - PASSAGE])
     return starts, np.full(len(starts), PASSAGE)
 
 
