@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trailspark.operators import curves, fitting, graph, simulate
+from trailspark.operators import curves, fitting, graph, simulate, streams32, tracks
 
 
 def test_moves():
@@ -214,3 +214,61 @@ def test_hops(spark):
     assert {(r.node, r.hops) for r in graph.hop_distances(e, 0).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
     f = graph.forests(e.select(F.lit(1).alias("track_id"), "a", "b"), ["track_id"]).first()
     assert (f.nodes, f.edges, f.is_tree) == (6, 4, False)
+
+
+def test_random_streams_equal_the_published_first_draws():
+    # fixed values: the first numbers of the generator's demo, seed 42, sequence 54
+    want = [0xA15C02B7, 0x7B47F409, 0xBA1D3330, 0x83D2F293, 0xBFA4784B, 0xCBED606E]
+    s, i = streams32.seeded(np.array([42]), np.array([54]))
+    out, after = streams32.draws(s, i, 6)
+    assert out[0].tolist() == want
+    assert streams32.ahead(s, i, np.array([6])).tolist() == after.tolist()
+    assert streams32.draws(streams32.ahead(s, i, np.array([4])), i, 2)[0][0].tolist() == want[4:]
+    state, seen = int(s[0]), []
+    for _ in range(200):
+        x, state = streams32.bounded(state, int(i[0]), 6)
+        seen.append(x)
+    assert set(seen) == set(range(6)) and seen[:6] == [w % 6 for w in want]
+
+
+def test_random_streams_come_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(streams32, "CHUNK", 7)
+    df = spark.createDataFrame([(1, 42, 54), (2, None, -3)], "stream long, seed long, sequence long")
+    got = {}
+    for r in streams32.streams(df, 20).collect():
+        got.setdefault(r.stream, {})[r.draw] = r.value
+    for k, seed, seq in ((1, 42, 54), (2, 0, -3)):
+        s, i = streams32.seeded(np.array([seed]), np.array([seq]))
+        assert [got[k][d] for d in range(20)] == streams32.draws(s, i, 20)[0][0].tolist()
+    assert streams32.streams(df, 0).count() == 0
+
+
+def test_simplify_equals_comparing_all_points():
+    rng = np.random.default_rng(8)
+    for n in (1, 40, 300):
+        pts = rng.uniform(-20, 20, (n, 3))
+        every = np.unique(pts, axis=0)
+        near = ((every[:, None] - every[None]) ** 2).sum(2) < 36
+        left, want = np.ones(len(every), bool), []
+        while left.any():
+            members = near[int((near & left).sum(1).argmax())] & left
+            want.append(every[members].mean(0))
+            left &= ~members
+        assert np.allclose(graph.simplify(pts, 6.0), np.array(want))
+
+
+def test_nodes_are_numbered_in_order(spark):
+    nodes = spark.range(0, 500, 3).select((F.col("id") * 7 % 1000).alias("node")).distinct().repartition(5)
+    got = sorted((r.idx, r.node) for r in graph.numbered(nodes).collect())
+    assert [i for i, _ in got] == list(range(len(got))) and [n for _, n in got] == sorted(n for _, n in got)
+
+
+def test_an_edge_of_gaps(spark):
+    """Gaps in tracks, thin graphs and far nodes, which the whole tables do not have."""
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (10, 11), (2, 4)], "a long, b long")
+    assert {tuple(r) for r in graph.hop_distances(e, 0).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3)}
+    assert {tuple(r) for r in graph.branch_points(graph.undirected(e)).collect()} == {(2, 3)}
+    p = spark.createDataFrame([(1, 0, 0.0), (1, 1, 1.0), (1, 3, 0.5), (1, 4, 2.0), (1, 5, 2.0)], "track_id long, t long, x double")
+    pairs = tracks.all_lags(p, ["x"]).withColumn("dir", F.signum(F.col("x2") - F.col("x1")))
+    got = {(r.t1, r.delta): r.reldir for r in tracks.arrivals(pairs).collect()}
+    assert got[(1, 2)] is None and got[(3, 1)] is None and got[(4, 1)] == -1.0 and got[(3, 2)] == -1.0

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Callable, Sequence
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -63,10 +64,24 @@ def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or "/tmp/trailspark-checkpoints")
     return df.checkpoint()
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """``node, idx``: places from 0 in ascending order, without bringing the nodes into one task: rows of a sorted partition count on from those before."""
+    rows = _cut(nodes.select("node").orderBy("node")).select("node", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_r"))
+    sizes = {r["_p"]: r["count"] for r in rows.groupBy("_p").count().collect()}  # a row for each partition
+    before, offsets = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(before)
+        before += sizes.get(p, 0)
+    start = F.element_at(F.array(*(F.lit(o).cast("long") for o in offsets or [0])), F.col("_p") + 1)
+    return rows.select("node", (start + F.col("_r")).alias("idx"))
+
+
 def forests(edges: DataFrame, key: Sequence[str]) -> DataFrame:
     """``key, nodes, edges, is_tree`` of small graphs: a tree is connected and has one edge less than nodes."""
     each = edges.select(*key, "a", "b").distinct()
@@ -202,14 +217,27 @@ def simplify(points: np.ndarray, d: float = 6.0) -> np.ndarray:
     pts = np.unique(np.asarray(points, float), axis=0)
     if not len(pts):
         return pts
-    near = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(2) < d * d
-    left, out = np.ones(len(pts), bool), []
+    # neighbours by grid cells of side d: only points of adjoining cells are compared
+    cell = np.floor(pts / d).astype(np.int64)
+    cells: dict[tuple, list[int]] = defaultdict(list)
+    for k, c in enumerate(map(tuple, cell.tolist())):
+        cells[c].append(k)
+    near: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pts)
+    for c, own in cells.items():
+        around = np.sort(np.concatenate([cells[n] for o in product((-1, 0, 1), repeat=len(c)) if (n := tuple(a + b for a, b in zip(c, o, strict=True))) in cells]))
+        for at in range(0, len(own), 256):  # some at a time: a cell may hold most points
+            part = own[at : at + 256]
+            hit = ((pts[part][:, None, :] - pts[around][None, :, :]) ** 2).sum(2) < d * d
+            for k, h in zip(part, hit, strict=True):
+                near[k] = around[h]
+    size, left, out = np.array([len(n) for n in near]), np.ones(len(pts), bool), []
     while left.any():
-        size = (near & left).sum(1)
         k = int(size.argmax())
-        members = near[k] & left
+        members = near[k][left[near[k]]]
         out.append(pts[members].mean(0))
-        left &= ~members
+        left[members] = False
+        for m in members.tolist():
+            size[near[m]] -= 1
     return np.array(out)
 
 

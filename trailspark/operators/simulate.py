@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import undirected
+from .graph import _cut, numbered, undirected
 
 #: Most arcs that are broadcast as adjacency lists.
 BROADCAST_ARCS = 5_000_000
@@ -32,21 +32,20 @@ def lcg_steps(spark: SparkSession, arcs: DataFrame, walkers: int, steps: int, re
 
     The next neighbour is entry ``state % n`` of the sorted neighbours; without
     ``reverse`` the node just left is no choice, but at a dead end. This form
-    takes graphs of any size; nothing is broadcast.
+    takes graphs of any size: nothing is broadcast, no task has all nodes, and
+    lineage is cut at each step.
     """
-    lists = arcs.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list("b")).alias("next"))
+    lists = _cut(arcs.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list("b")).alias("next")))
     n = lists.count()
     mul, inc, mod = LCG
-    from pyspark.sql import Window
-
-    numbered = lists.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("idx"))
-    cur = spark.range(walkers).select(F.col("id").alias("walker"), (F.col("id") % n).alias("idx")).join(numbered, "idx").select("walker", "node", F.lit(None).cast("long").alias("prev"), ((F.col("walker") * 7919 + 1) % mod).alias("state"))
+    cur = spark.range(walkers).select(F.col("id").alias("walker"), (F.col("id") % n).alias("idx")).join(numbered(lists), "idx").select("walker", "node", F.lit(None).cast("long").alias("prev"), ((F.col("walker") * 7919 + 1) % mod).alias("state"))
     out = cur.select("walker", F.lit(0).alias("step"), "node")
     for s in range(1, steps + 1):
         j = cur.join(lists, "node").withColumn("state", (F.col("state") * mul + inc) % mod)
         choices = F.col("next") if reverse else F.when(F.col("prev").isNull() | (F.size("next") == 1), F.col("next")).otherwise(F.array_except("next", F.array("prev")))
         j = j.withColumn("choices", choices)
         cur = j.select("walker", F.element_at("choices", (F.col("state") % F.size("choices") + 1).cast("int")).alias("nn"), F.col("node").alias("prev"), "state").select("walker", F.col("nn").alias("node"), "prev", "state")
+        cur = _cut(cur)
         out = out.unionByName(cur.select("walker", F.lit(s).alias("step"), "node"))
     return out
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.functions import densities, text, vectors
-from trailspark.operators import curves, fitting, graph, hist, joins, quality, simulate, stats, surfaces, tracks
+from trailspark.operators import curves, fitting, graph, hist, joins, quality, simulate, stats, streams32, surfaces, tracks
 from trailspark.sources import sinks, tables
 from trailspark.sources.tables import DISPLACEMENTS_SQL, TISSUE_SQL, TRACKS_SQL, VOXELS_SQL, table
 
@@ -144,6 +144,25 @@ def filter_simulated(spark, sf_dir):
     return _rows(quality.filter_simulated(tables.displacements(spark, sf_dir), zeros=False), "exp_id")
 
 
+def _summed(name: str) -> None:
+    """Registers the rows of a query as sums by track and lag, beside the query itself."""
+    sql = f"""SELECT track_id, lag, count(*) AS n, round(sum(disp), 3) AS disp, round(max(strt_disp), 6) AS far, round(min(strt_disp), 6) AS near,
+sum(coalesce(reldir, 0))::DOUBLE AS reldir, sum(t1)::BIGINT AS t1, max(num_points) AS num_points, max(duration) AS duration FROM ({SQL[name]}) GROUP BY 1, 2"""
+
+    def run(spark, sf_dir):
+        return QUERIES[name](spark, sf_dir).groupBy("track_id", "lag").agg(
+            F.count("*").alias("n"), r(F.sum("disp"), 3).alias("disp"), r(F.max("strt_disp")).alias("far"), r(F.min("strt_disp")).alias("near"),
+            F.sum(F.coalesce("reldir", F.lit(0.0))).alias("reldir"), F.sum("t1").alias("t1"), F.max("num_points").alias("num_points"), F.max("duration").alias("duration"),
+        )
+
+    run.__name__ = f"{name}_sums"
+    query(sql)(run)
+
+
+for _name in ("displacement_table", "date_filter", "remove_zeros", "long_tracks", "filter_simulated"):
+    _summed(_name)
+
+
 BASES = ", bases AS (SELECT DISTINCT CAST(spf AS DOUBLE) AS timestep, date || '/' || experiment AS exp_id FROM tracks)"
 
 
@@ -193,14 +212,17 @@ def all_lags(spark, sf_dir):
     return rounded(p.groupBy("track_id", "delta").agg(F.count("*").alias("n"), F.sum(F.col("x2") - F.col("x1")).alias("dx")), "dx", digits=4)
 
 
-@query("WITH " + TRACKS_SQL + """, p AS (SELECT a.track_id, a.t AS t1, b.t AS t2, b.t - a.t AS delta, sign(b.x - a.x) AS dir FROM tracks a JOIN tracks b ON a.track_id = b.track_id AND b.t > a.t AND b.t <= a.t + 4 WHERE a.t % 7 <> 3 AND b.t % 7 <> 3)
-SELECT p.track_id, p.t1, p.delta, CASE WHEN q.dir IS NULL THEN NULL WHEN p.dir = q.dir THEN 1.0 ELSE -1.0 END AS reldir
-FROM p LEFT JOIN p q ON q.track_id = p.track_id AND q.delta = p.delta AND q.t2 = p.t1""")
+@query("WITH " + TRACKS_SQL + """, p AS (SELECT a.track_id, a.t AS t1, b.t AS t2, b.t - a.t AS delta, sign(b.x - a.x) AS dir FROM tracks a JOIN tracks b ON a.track_id = b.track_id AND b.t > a.t),
+d AS (SELECT p.track_id, p.t1, p.delta, CASE WHEN q.dir IS NULL THEN NULL WHEN p.dir = q.dir THEN 1.0 ELSE -1.0 END AS reldir
+FROM p LEFT JOIN p q ON q.track_id = p.track_id AND q.delta = p.delta AND q.t2 = p.t1)
+SELECT track_id, delta, count(*) AS n, count(reldir) AS known, sum(CASE WHEN reldir = -1 THEN 1 ELSE 0 END)::BIGINT AS reversals, sum(CASE WHEN reldir = -1 THEN t1 ELSE 0 END)::BIGINT AS at FROM d GROUP BY 1, 2""")
 def arrival_direction(spark, sf_dir):
-    """On tracks with gaps."""
-    t = tables.tracks(spark, sf_dir).where("t % 7 <> 3")
-    p = tracks.all_lags(t, ["x"], 4).withColumn("dir", F.signum(F.col("x2") - F.col("x1")))
-    return tracks.arrivals(p).select("track_id", "t1", "delta", "reldir")
+    """All pairs of all tracks, summed by track and lag."""
+    p = tracks.all_lags(tables.tracks(spark, sf_dir), ["x"]).withColumn("dir", F.signum(F.col("x2") - F.col("x1")))
+    back = F.col("reldir") == -1
+    return tracks.arrivals(p).groupBy("track_id", "delta").agg(
+        F.count("*").alias("n"), F.count("reldir").alias("known"), F.sum(F.when(back, 1).otherwise(0)).alias("reversals"), F.sum(F.when(back, F.col("t1")).otherwise(0)).alias("at")
+    )
 
 
 @query("""SELECT user_id AS track_id, CAST(epoch(date_trunc('day', ts)) // 86400 AS BIGINT) AS t, arg_max(value, event_id) AS x FROM events GROUP BY 1, 2""")
@@ -266,12 +288,13 @@ def radius_join(spark, sf_dir):
     return joins.radius_pairs(tables.tracks(spark, sf_dir), 6.0, ["track_id"])
 
 
-@query("""WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS pos FROM embeddings), c AS (SELECT label, vec_id AS cand, pos AS cpos FROM p WHERE vec_id % 10 = 0),
+@query("""WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS pos FROM embeddings), c AS (SELECT (label + 1) % 10 AS label, vec_id AS cand, pos AS cpos FROM p),
 d AS (SELECT p.label, p.vec_id, c.cand, round(list_sum(list_transform(list_zip(pos, cpos), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 9) AS d2 FROM p JOIN c ON p.label = c.label)
 SELECT label, vec_id, arg_min(cand, d2) AS cand, round(min(d2), 6) AS d2 FROM d GROUP BY 1, 2""")
 def nearest_point(spark, sf_dir):
     p = tables.points(spark, sf_dir)
-    c = p.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("cand"), F.col("pos").alias("cpos"))
+    # each point's nearest of the label before its own
+    c = p.select(((F.col("label") + 1) % 10).alias("label"), F.col("vec_id").alias("cand"), F.col("pos").alias("cpos"))
     return rounded(joins.nearest(p, c, ["label"], "vec_id", "pos", "cand", "cpos"), "d2")
 
 
@@ -311,9 +334,9 @@ def ordinal_histogram(spark, sf_dir):
     return hist.ordinal_histogram(table(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag", "l_linestatus"])
 
 
-@query("""WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer WHERE c_nationkey % 3 <> length(c_mktsegment) % 3 GROUP BY ALL) SELECT c_mktsegment, count(*) AS bins FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT c_mktsegment, count(*) AS bins FROM c GROUP BY 1""")
 def stacking_order(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_nationkey % 3 <> length(c_mktsegment) % 3")
+    c = table(spark, sf_dir, "customer")
     return hist.stacking_order(hist.ordinal_histogram(c, "c_nationkey", ["c_mktsegment"]), ["c_mktsegment"])
 
 
@@ -500,9 +523,9 @@ def adjacency_list(spark, sf_dir):
     return graph.adjacency_text(graph.undirected(tables.tissue(spark, sf_dir)))
 
 
-@query(G + "SELECT a AS node, count(*) AS degree FROM arcs WHERE (a + b) % 3 = 1 GROUP BY 1 HAVING count(*) > 2")
+@query(G + "SELECT a AS node, count(*) AS degree FROM arcs GROUP BY 1 HAVING count(*) > 2")
 def branch_points(spark, sf_dir):
-    return graph.branch_points(graph.undirected(tables.tissue(spark, sf_dir)).where("(a + b) % 3 = 1"))
+    return graph.branch_points(graph.undirected(tables.tissue(spark, sf_dir)))
 
 
 @query(G + """, f AS (SELECT b AS node, a AS prev FROM arcs WHERE a = 1) SELECT arcs.b AS node, f.node AS prev, count(*) AS n FROM f JOIN arcs ON arcs.a = f.node AND arcs.b <> f.prev GROUP BY 1, 2""")
@@ -513,19 +536,19 @@ def adjacency_expansion(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE steps AS (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
-edges AS (SELECT DISTINCT least(s, n) AS a, greatest(s, n) AS b FROM steps WHERE n IS NOT NULL AND s <> n AND (s + n) % 13 = 5),
+edges AS (SELECT DISTINCT least(s, n) AS a, greatest(s, n) AS b FROM steps WHERE n IS NOT NULL AND s <> n),
 arcs AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
-reach AS (SELECT 5 AS node, 0 AS hops UNION SELECT arcs.b, hops + 1 FROM reach JOIN arcs ON arcs.a = reach.node WHERE hops < 12)
+reach AS (SELECT 5 AS node, 0 AS hops UNION SELECT arcs.b, hops + 1 FROM reach JOIN arcs ON arcs.a = reach.node WHERE hops < 90)
 SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS BIGINT) AS hops FROM reach GROUP BY 1""")
 def hop_distance(spark, sf_dir):
-    return graph.hop_distances(tables.tissue(spark, sf_dir).where("(a + b) % 13 = 5"), 5, 12)
+    return graph.hop_distances(tables.tissue(spark, sf_dir), 5)
 
 
-@query("""WITH g AS (SELECT DISTINCT user_id AS track_id, event_id % 9 AS a, (event_id + 1) % 9 AS b FROM events WHERE event_id % 4 <> 0),
+@query("""WITH g AS (SELECT DISTINCT user_id AS track_id, event_id % 9 AS a, (event_id + 1) % 9 AS b FROM events),
 e AS (SELECT DISTINCT track_id, least(a, b) AS a, greatest(a, b) AS b FROM g)
 SELECT track_id, count(DISTINCT node) AS nodes, max(n) AS edges FROM (SELECT track_id, a AS node FROM e UNION ALL SELECT track_id, b FROM e) JOIN (SELECT track_id, count(*) AS n FROM e GROUP BY 1) USING (track_id) GROUP BY 1""")
 def graph_sizes(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 4 <> 0").select(F.col("user_id").alias("track_id"), (F.col("event_id") % 9).alias("a"), ((F.col("event_id") + 1) % 9).alias("b"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), (F.col("event_id") % 9).alias("a"), ((F.col("event_id") + 1) % 9).alias("b"))
     return graph.forests(e, ["track_id"]).select("track_id", "nodes", "edges")
 
 
@@ -572,6 +595,16 @@ def coverage_sweep(spark, sf_dir):
     return stats.coverage(v.join(F.broadcast(n), F.col("walker") < F.col("cells")), by=["cells"])
 
 
+@query("""WITH RECURSIVE s AS (SELECT n_nationkey AS stream, (n_nationkey * 2 + 1)::UHUGEINT AS inc, (n_regionkey * 1000003 + 42)::UHUGEINT AS seed FROM nation),
+st AS (SELECT stream, inc, 0 AS draw, (((inc + seed) % 18446744073709551616::UHUGEINT) * 6364136223846793005::UHUGEINT % 18446744073709551616::UHUGEINT + inc) % 18446744073709551616::UHUGEINT AS state FROM s
+  UNION ALL SELECT stream, inc, draw + 1, (state * 6364136223846793005::UHUGEINT % 18446744073709551616::UHUGEINT + inc) % 18446744073709551616::UHUGEINT FROM st WHERE draw < 99),
+x AS (SELECT stream, draw, xor(state::UBIGINT // 262144::UBIGINT, state::UBIGINT) // 134217728::UBIGINT % 4294967296::UBIGINT AS m, (state::UBIGINT // 576460752303423488::UBIGINT)::BIGINT AS turn FROM st)
+SELECT stream::BIGINT AS stream, draw::BIGINT AS draw, ((m::BIGINT >> turn) | ((m::BIGINT << ((32 - turn) % 32)::INTEGER) % 4294967296))::BIGINT AS value FROM x""")
+def random_streams(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return streams32.streams(n.select(F.col("n_nationkey").alias("stream"), (F.col("n_regionkey") * 1000003 + 42).alias("seed"), F.col("n_nationkey").alias("sequence")), 100)
+
+
 # --- voxels ------------------------------------------------------------------
 
 _LOW, _SIZE = (0.0, 1.0, -2.0), (0.5, 1.0, 2.0)
@@ -600,14 +633,14 @@ def voxel_points(spark, sf_dir):
     return surfaces.interior_points(tables.voxels(spark, sf_dir), _LOW, _SIZE)
 
 
-@query("WITH " + VOXELS_SQL + """, c AS (SELECT t, i, j, bool_or(v > 0) AS s FROM voxels WHERE (i + j) % 5 <> 2 OR t = 1 GROUP BY 1, 2, 3),
+@query("WITH " + VOXELS_SQL + """, c AS (SELECT t, i, j, bool_or(v > 0) AS s FROM voxels GROUP BY 1, 2, 3),
 g AS (SELECT t, i, gs AS j, coalesce(c.s, false) AS s FROM (SELECT DISTINCT t, i FROM c) CROSS JOIN (SELECT unnest(range(-1, 12)) AS gs) LEFT JOIN c USING (t, i) WHERE c.j = gs OR c.j IS NULL),
 full_grid AS (SELECT k.t, k.i, n.gs AS j, coalesce(c.s, false) AS s FROM (SELECT DISTINCT t, i FROM c) k CROSS JOIN (SELECT unnest(range(0, 12)) AS gs) n LEFT JOIN c ON c.t = k.t AND c.i = k.i AND c.j = n.gs),
 edge AS (SELECT t, min(j) AS lo, max(j) AS hi FROM c GROUP BY 1),
 ch AS (SELECT f.t, f.i, CASE WHEN s <> lag(s, 1, false) OVER (PARTITION BY f.t, f.i ORDER BY j) AND NOT (j = e.lo AND s) THEN 1 ELSE 0 END AS change FROM full_grid f JOIN edge e USING (t) WHERE j BETWEEN e.lo AND e.hi)
 SELECT t, max(n) < 3 AS is_function FROM (SELECT t, i, sum(change) AS n FROM ch GROUP BY 1, 2) GROUP BY 1""")
 def vertical_line_test(spark, sf_dir):
-    return surfaces.vertical_line_test(tables.voxels(spark, sf_dir).where("(i + j) % 5 <> 2 or t = 1"))
+    return surfaces.vertical_line_test(tables.voxels(spark, sf_dir))
 
 
 @query("WITH " + VOXELS_SQL + "SELECT t, min(i) AS i_min, max(i) AS i_max, min(j) AS j_min, max(j) AS j_max, min(k) AS k_min, max(k) AS k_max FROM voxels GROUP BY t")
@@ -637,11 +670,16 @@ def params_pivot(spark, sf_dir):
 
 @query("WITH " + TRACKS_SQL + "SELECT track_id, round(regr_slope(x, CAST(t AS DOUBLE)), 6) AS slope, round(regr_intercept(x, CAST(t AS DOUBLE)), 6) AS intercept FROM tracks GROUP BY 1")
 def least_squares_line(spark, sf_dir):
-    t = tables.tracks(spark, sf_dir)
-    x, y = F.col("t").cast("double"), F.col("x")
-    s = t.groupBy("track_id").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
-    slope = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return s.select("track_id", r(slope).alias("slope"), r((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
+    t = tables.tracks(spark, sf_dir).select("track_id", F.col("t").cast("double").alias("t"), "x")
+
+    def run(pdf):
+        import pandas as pd
+
+        line = curves.least_squares(pdf[["t", "x"]].to_numpy(), 0, 1).coef[1]
+        flat = len(pdf) < 2
+        return pd.DataFrame({"track_id": pdf["track_id"].iloc[:1], "slope": [None if flat else round(float(line[1]), 6)], "intercept": [None if flat else round(float(line[0]), 6)]})
+
+    return t.groupBy("track_id").applyInPandas(run, "track_id long, slope double, intercept double")
 
 
 @query(D + "SELECT lag, round(avg(disp) / 3, 6) AS m, round(stddev_pop(disp), 6) AS s, count(*) AS n FROM displacements GROUP BY 1")
