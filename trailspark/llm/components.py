@@ -19,6 +19,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked(pairs: DataFrame) -> tuple:
+    """Rows, and 128 bits that tell tables of distinct pairs apart."""
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi")), F.bit_xor(F.xxhash64("hi", F.lit(7), "lo"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges (a, b)``: the smallest node it reaches.
 
@@ -27,20 +32,20 @@ def components(edges: DataFrame) -> DataFrame:
     diameter.
     """
     pairs = written(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-    if pairs.isEmpty():
+    before = marked(pairs)
+    if not before[0]:
         return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
     while True:
         # large star: neighbours above a node join the least of its neighbourhood
         both = pairs.unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))  # lo: centre, hi: neighbour
-        # a table of its own, so that both sides of the join can be split where a node has many neighbours
-        least = written(both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m")))
+        least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"))
         large = both.where("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), F.col("hi")).where("lo <> hi").distinct()
         # small star: a node and its lower neighbours join the least of them
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(small_least, "hi").select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")))).alias("e")).select("e.lo", "e.hi").where("lo <> hi").distinct()
-        nxt = written(small)
-        same = nxt.exceptAll(pairs).isEmpty() and nxt.count() == pairs.count()
-        pairs = nxt
-        # finished when every upper node has one label and no label is an upper node
-        if same:
+        pairs = written(small)
+        after = marked(pairs)
+        # finished when nothing changes: every upper node has one label and no label is an upper node
+        if after == before:
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
+        before = after
