@@ -262,7 +262,10 @@ SPEC = "doc_id long, score double"
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     rows = training_rows(docs, labels, "toxic", 5, 0, most)
-    return fit([r.text for r in rows], np.array([r.y for r in rows], float))
+    model = fit([r.text for r in rows], np.array([r.y for r in rows], float))
+    del rows
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
