@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trailspark.operators import curves, fitting, graph, simulate, streams32, tracks
+from tests import fits_by_hand as hand
+from trailspark.operators import curves, fitting, graph, likelihood, mixture, simulate, streams32, tracks
 
 
 def test_moves():
@@ -122,21 +123,21 @@ def folded(seed, n, m, s):
 
 
 def test_folded_normal_is_recovered():
-    m, s = fitting.fit_folded(folded(42, 10_000, 0.4, 0.2))
+    m, s = hand.fit_folded(folded(42, 10_000, 0.4, 0.2))
     assert m == pytest.approx(0.4, abs=0.02) and s == pytest.approx(0.04, abs=0.004)
 
 
 def test_mixture_is_recovered():
     x = np.r_[folded(1, 6000, 0.5, 0.2), folded(2, 4000, 0.02, 0.02)]
-    p, m1, s1, m2, s2 = fitting.fit_mixture(x)
+    p, m1, s1, m2, s2 = hand.fit_mixture(x)
     assert p == pytest.approx(0.6, abs=0.03) and m1 == pytest.approx(0.5, abs=0.03) and s1 == pytest.approx(0.04, abs=0.01) and s2 < 0.003
 
 
 def test_families_are_recovered():
     rng = np.random.default_rng(5)
-    shape, loc, scale = fitting.fit_family(rng.gamma(3, 2, 4000), "gamma")
+    shape, loc, scale = hand.fit_family(rng.gamma(3, 2, 4000), "gamma")
     assert shape * scale + loc == pytest.approx(6, abs=0.2)
-    assert fitting.fit_all(np.zeros(3), fitting.STABLE)[0][1] is None
+    assert hand.fit_all(np.zeros(3), fitting.STABLE)[0][1] is None
 
 
 def test_fits_by_lag(spark):
@@ -158,12 +159,85 @@ def test_fits_take_all_values(spark):
     s = stats.samples_over_time(tables.displacements(spark, at), "disp", 30, 60).toPandas()
     for r in QUERIES["fit_mixture"](spark, at).collect():
         x = s["value"][s["lag"] == r.lag].to_numpy()
-        (_, params, error), = fitting.fit_all(x, {})
-        assert len(x) > 2000 and r.params == pytest.approx(params, rel=1e-3, abs=0.05) and r.sse == pytest.approx(error, rel=1e-3)
-    many = spark.range(120_000).selectExpr("10d AS lag", "sqrt(id % 40) AS value")
+        loglik = lambda p: float(np.log(fitting.mixture_density(p, x)).sum())
+        # the simplex search stops about a hundredth before the optimum; from the optimum it goes nowhere
+        (_, params, _), = hand.fit_all(x, {})
+        assert len(x) > 2000 and r.params == pytest.approx(params, rel=2e-2, abs=0.05) and loglik(r.params) > loglik(params) - 1e-6
+        assert list(hand.em(x, r.params)) == pytest.approx(r.params, rel=1e-3, abs=0.05) and r.sse == pytest.approx(hand.sse(x, lambda at, p=r.params: fitting.mixture_density(p, at)), rel=1e-3)
+    many, x = spark.range(120_000).selectExpr("10d AS lag", "sqrt(id % 40) AS value"), np.sqrt(np.arange(120_000) % 40)
     (got,) = fitting.fit_by_lag(many, {"gamma": "gamma"}, mixture=False).collect()
-    (_, params, error), = fitting.fit_all(np.sqrt(np.arange(120_000) % 40), {"gamma": "gamma"}, mixture=False)
-    assert got.params == pytest.approx(params, rel=1e-3) and got.sse == pytest.approx(error, rel=1e-3)
+    (_, params, error), = hand.fit_all(x, {"gamma": "gamma"}, mixture=False)
+    # no inner optimum: both only approach a normal
+    assert fitting.log_density("gamma", np.asarray(got.params), x).mean() == pytest.approx(fitting.log_density("gamma", np.asarray(params), x).mean(), abs=1e-4) and got.sse == pytest.approx(error, rel=1e-2)
+
+
+def test_distributed_fits_equal_the_kernels(spark):
+    rng = np.random.default_rng(7)
+    lags = {10.0: rng.gamma(3, 2, 1500), 20.0: 1.5 + 1 / rng.gamma(4, 1, 1500), 30.0: np.abs(rng.normal(3, 1, 1500)), 40.0: 2 + rng.gamma(2.5, 1, 1500) ** 0.7}
+    s = spark.createDataFrame([(k, float(v)) for k, x in lags.items() for v in x], "lag double, value double").repartition(7)
+    got = {(r.lag, r.dist): r for r in fitting.fit_by_lag(s, mixture=False).collect()}
+    loglik = lambda f, p, x: float(fitting.log_density(f, np.asarray(p), x).sum())
+    for lag, x in lags.items():
+        for name, family in {**fitting.STABLE, **fitting.GAMMA}.items():
+            want, r = hand.fit_family(x, family), got[lag, name]
+            # as likely as the simplex search's, and the same wherever that has an inner optimum
+            assert loglik(family, r.params, x) >= loglik(family, want, x) - 1e-4 * len(x)  # an optimum at infinity is only approached
+            if abs(loglik(family, r.params, x) - loglik(family, want, x)) < 1e-7 * len(x) and family not in ("foldnorm", "gengamma"):
+                assert r.params == pytest.approx(list(want), rel=1e-3, abs=1e-3)
+    assert got[10.0, "gamma"].params == pytest.approx(list(hand.fit_family(lags[10.0], "gamma")), rel=1e-3, abs=1e-3)
+
+
+def test_gradients_and_second_derivatives():
+    rng = np.random.default_rng(3)
+    x = rng.gamma(3, 2, 60)
+    for family, shape in (("levy", []), ("levy_l", []), ("foldnorm", [0.7]), ("halfgennorm", [1.3]), ("gamma", [2.2]), ("gengamma", [1.4, 1.7]), ("invgamma", [2.5])):
+        start = [v if family == "foldnorm" else math.log(v) for v in shape]
+        at = np.array([*start, -x.max() - 1 if family == "levy_l" else x.min() - 1, 0.4])
+
+        def of(p, family=family):
+            return likelihood.assembled(family, p, 1.0, len(x), likelihood.family_sums((family, *likelihood.plain(family, p, 1.0)), x, np.ones(len(x))))
+
+        value, g, h = of(at)
+        s, loc, scale = likelihood.plain(family, at, 1.0)
+        assert value == pytest.approx(float(fitting.log_density(family, np.array([*s, loc, scale]), x).mean()), rel=1e-9)
+        for k in range(len(at)):
+            e = np.eye(len(at))[k] * 1e-5
+            assert g[k] == pytest.approx((of(at + e)[0] - of(at - e)[0]) / 2e-5, rel=1e-4, abs=1e-7)
+            assert h[k] == pytest.approx((of(at + e)[1] - of(at - e)[1]) / 2e-5, rel=1e-4, abs=1e-5)
+    z = np.array([0.3, 0.9, -1.0, 0.2, -3.0])
+
+    def mixed(z):
+        return mixture.in_free(mixture.newton_sums(tuple(mixture.bound(z, 2.0)), x / 4, np.ones(len(x))), z, 2.0, len(x))
+
+    for k in range(5):
+        e = np.eye(5)[k] * 1e-5
+        assert mixed(z)[1][k] == pytest.approx((mixed(z + e)[0] - mixed(z - e)[0]) / 2e-5, rel=1e-4, abs=1e-6)
+        assert mixed(z)[2][k] == pytest.approx((mixed(z + e)[1] - mixed(z - e)[1]) / 2e-5, rel=1e-4, abs=1e-4)
+
+
+def test_newton_reaches_the_optimum_of_em_in_fewer_passes(spark):
+    """The demos of the two-component fit: 4000 values of known components, three lags at once."""
+    data = {}
+    for lag, (p, m1, s1, m2, s2) in {10.0: (0.6, 0.5, 0.2, 0.02, 0.02), 20.0: (0.3, 0.4, 0.3, 0.08, 0.03), 30.0: (0.7, 0.25, 0.15, 0.03, 0.01)}.items():
+        n = round(4000 * p)
+        data[lag] = np.r_[folded(int(lag), n, m1, s1), folded(int(lag) + 1, 4000 - n, m2, s2)]
+    values = likelihood.counted(spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x], "lag double, value double")).persist()
+    about = likelihood.summaries(values)
+    first = mixture.starts(values, about, 50)
+    em, newton = mixture.fit_em(values, about, first, 1e-9), mixture.fit_newton(values, about, {lag: p for lag, (p, _, _) in mixture.fit_em(values, about, first, passes=8).items()})
+    for lag, x in data.items():
+        assert newton[lag][1] == pytest.approx(em[lag][1], rel=1e-7) and newton[lag][2] + 8 < em[lag][2]
+        assert mixture.ordered(newton[lag][0]) == pytest.approx(mixture.ordered(em[lag][0]), rel=2e-3, abs=2e-3)
+        assert newton[lag][1] >= float(np.log(fitting.mixture_density(hand.fit_mixture(x), x)).mean()) - 1e-7
+        assert list(hand.em(x, mixture.ordered(newton[lag][0]))) == pytest.approx(mixture.ordered(newton[lag][0]), rel=2e-3, abs=1e-3)
+
+
+def test_fits_of_odd_lags(spark):
+    rows = [(1.0, 2.0)] * 9 + [(2.0, 1.0), (2.0, 2.0)] + [(3.0, None), (3.0, float("nan"))] + [(None, 1.0)] + [(4.0, float(v)) for v in (0, 0, 0, 1, 2, 3, 4)]
+    got = {(r.lag, r.dist): r.params for r in fitting.fit_by_lag(spark.createDataFrame(rows, "lag double, value double"), {"gamma": "gamma"}).collect()}
+    assert {k for k, p in got.items() if p is None} == {(k, d) for k in (1.0, 2.0) for d in ("gamma", "folded_normal_mixture")}
+    assert {k for k, _ in got} == {1.0, 2.0, 4.0}
+    assert fitting.fit_by_lag(spark.createDataFrame([], "lag double, value double")).count() == 0
 
 
 def test_kernel_queries_take_whole_tracks(spark, sf_dir):
