@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests import fits_by_hand as hand
-from trailspark.operators import curves, fitting, graph, likelihood, mixture, simulate, streams32, tracks
+from trailspark.operators import curves, fitting, forest, graph, likelihood, mixture, regression, simulate, streams32, tracks
 
 
 def test_moves():
@@ -46,6 +46,54 @@ def test_spanning_trees(points):
     assert sorted(tuple(sorted(e)) for s in segments for e in zip(s, s[1:], strict=False)) == sorted(tuple(sorted(e)) for e in edges)
 
 
+def test_trees_by_rounds_equal_those_of_one_task(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, *map(float, p)) for k, n in ((1, 40), (None, 1), (4, 25)) for p in (rng.integers(0, 4, (n, 3)) if k == 1 else rng.normal(size=(n, 3)))] + [(4, None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "track_id long, x double, y double, z double")
+    near, far = (sorted(map(tuple, forest.spanning_trees(points, local=n).collect())) for n in (2000, 0))
+    assert near == far and len(near) == len({r for r in rows if r[0] == 1}) - 1 + 24
+    assert forest.spanning_trees(points.limit(0)).count() == 0
+
+
+def test_contraction_equals_walks(spark):
+    rng = np.random.default_rng(2)
+    trees = {1: [(i - 1, i) for i in range(1, 25)], 2: [(0, i) for i in range(1, 12)], 3: [(int(rng.integers(0, i)), i) for i in range(1, 40)], 4: [(max(0, i - int(rng.integers(1, 4))), i) for i in range(1, 30)], 5: [(3, 9)], None: [(0, 1), (1, 2)]}
+    others = {6: [(0, 1), (2, 3)], 7: [(0, 1), (1, 2), (2, 0)], 8: [(1, 1), (1, 2), (2, 1)]}
+    e = spark.createDataFrame([(k, a, b) for k, t in {**trees, **others}.items() for a, b in t], "k long, a long, b long")
+    for local in (2000, 0):
+        got = {r.k: r.hops for r in forest.diameters(e.where("k is null or k < 6"), ["k"], local).collect()}
+        assert got == {k: len(graph.Tree.of(t).longest_path()) - 1 for k, t in trees.items()}
+        sizes = {r.k: (r.nodes, r.edges, r.is_tree) for r in forest.forest_sizes(e.where("a <> b"), ["k"], local).collect()}
+        assert sizes == {**{k: (len(t) + 1, len(t), True) for k, t in trees.items()}, 6: (4, 2, False), 7: (3, 3, False), 8: (2, 1, True)}
+
+
+def test_long_chains_are_searched_to_their_end(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LAYERS", 3)
+    e = spark.createDataFrame([(k, k + 1) for k in range(12)] + [(12, 3)], "a long, b long")
+    assert {(r.node, r.hops) for r in graph.hop_distances(e, 0).collect()} == {(k, min(k, 4 + 12 - k)) for k in range(13)}
+
+
+def test_tiles_give_all_pairs(spark):
+    rows = [(k, t, float(t * k)) for k in (1, 2) for t in range(-5, 23, k)]
+    points = spark.createDataFrame(rows, "track_id long, t long, x double")
+    want = sorted((k, t, u, u - t) for k, t, _ in rows for j, u, _ in rows if j == k and u > t)
+    for tile in (4, 256):
+        got = tracks.all_lags(points, ["x"], tile=tile)
+        assert sorted((r.track_id, r.t1, r.t2, r.delta) for r in got.collect()) == want
+        assert "_i" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_polynomials_by_sums(spark):
+    rng = np.random.default_rng(4)
+    data = {k: (t := rng.uniform(-50, 900, 60), 3 + 0.5 * t - 0.01 * k * t**2 + rng.normal(0, 1, 60)) for k in (1, 2)} | {3: (np.array([1.0, 1.0]), np.array([2.0, 4.0]))}
+    df = spark.createDataFrame([(k, float(t), float(x), float(-x)) for k, (ts, xs) in data.items() for t, x in zip(ts, xs, strict=True)] + [(1, None, 1.0, 1.0)], "k long, t double, x double, y double")
+    got = {r.k: r for r in regression.polynomials(df, ["k"], "t", ["x", "y"], 3).collect()}
+    assert got[3].x_coef is None and got[3].n == 2
+    for k in (1, 2):
+        want = curves.least_squares(np.stack([data[k][0], data[k][1]], 1), 0, 3).coef[1]
+        assert got[k].x_coef == pytest.approx(list(want), rel=1e-6) and got[k].y_coef == pytest.approx([-v for v in want], rel=1e-6)
+
+
 def test_simplify_covers():
     rng = np.random.default_rng(1)
     p = rng.uniform(0, 40, (200, 3))
@@ -286,7 +334,7 @@ def test_walkers(spark):
 def test_hops(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (7, 8)], "a long, b long")
     assert {(r.node, r.hops) for r in graph.hop_distances(e, 0).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
-    f = graph.forests(e.select(F.lit(1).alias("track_id"), "a", "b"), ["track_id"]).first()
+    f = forest.forest_sizes(e.select(F.lit(1).alias("track_id"), "a", "b"), ["track_id"]).first()
     assert (f.nodes, f.edges, f.is_tree) == (6, 4, False)
 
 

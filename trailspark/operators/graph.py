@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -43,21 +44,29 @@ def expand(frontier: DataFrame, arcs: DataFrame) -> DataFrame:
     return frontier.join(arcs, frontier["node"] == arcs["a"]).where("prev is null or b <> prev").select(F.col("b").alias("node"), F.col("a").alias("prev"))
 
 
-def hop_distances(edges: DataFrame, start: int, most: int = 90) -> DataFrame:
-    """``node, hops`` from a start node: breadth-first layers by joins, each layer only the new nodes.
+#: Layers of a search that are kept as tables of their own before they become one.
+LAYERS = 16
 
-    Bounded by ``most`` layers; ends when a layer is empty.
+
+def hop_distances(edges: DataFrame, start: int) -> DataFrame:
+    """``node, hops`` from a start node: breadth-first layers by joins until one is empty.
+
+    Neighbours of a layer are in it, in the one before or in the next, so only two
+    layers are held against the new nodes, however many there are.
     """
-    arcs = undirected(edges).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "node long, hops long")
-    layer = seen
-    for h in range(1, most + 1):
-        nxt = layer.join(arcs, layer["node"] == arcs["a"]).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(h).cast("long"))
-        nxt = _cut(nxt)
-        if nxt.isEmpty():
-            break
-        seen, layer = seen.unionByName(nxt), nxt
-    return seen
+    arcs = _cut(undirected(edges).distinct())
+    layer = _cut(edges.sparkSession.createDataFrame([(start, 0)], "node long, hops long"))
+    before, layers, h = layer, [layer], 0
+    while True:
+        h += 1
+        near = layer.select("node").unionByName(before.select("node"))
+        reached = _cut(layer.join(arcs, layer["node"] == arcs["a"]).select(F.col("b").alias("node")).distinct().join(near, "node", "left_anti").withColumn("hops", F.lit(h).cast("long")))
+        if reached.isEmpty():
+            return reduce(DataFrame.unionByName, layers)
+        layers.append(reached)
+        if len(layers) > LAYERS:
+            layers = [_cut(reduce(DataFrame.unionByName, layers).coalesce(arcs.rdd.getNumPartitions()))]
+        before, layer = layer, reached
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -82,21 +91,6 @@ def numbered(nodes: DataFrame) -> DataFrame:
     return rows.select("node", (start + F.col("_r")).alias("idx"))
 
 
-def forests(edges: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``key, nodes, edges, is_tree`` of small graphs: a tree is connected and has one edge less than nodes."""
-    each = edges.select(*key, "a", "b").distinct()
-    spec = ", ".join(f"{k} {dict(each.dtypes)[k]}" for k in key) + ", nodes long, edges long, is_tree boolean"
-
-    def run(pdf):
-        import pandas as pd
-
-        t = Tree.of(zip(pdf["a"], pdf["b"], strict=True))
-        n = sum(map(len, t.adj.values())) // 2
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in key), len(t.adj), n, t.is_tree()]], columns=[*key, "nodes", "edges", "is_tree"])
-
-    return each.groupBy(*key).applyInPandas(run, spec)
-
-
 class Tree:
     """An undirected graph over hashable nodes; edges keep their order of insertion."""
 
@@ -191,19 +185,24 @@ def split_segment(segment: Sequence, is_branch: Callable) -> list[list]:
 
 
 def spanning_tree(points: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum spanning tree of distinct points by Prim on squared distances, from the last point; edges in order of joining."""
+    """Minimum spanning tree of distinct points by Prim, edges by (squared length, smaller index, larger index); in order of joining."""
     n = len(points)
     if n < 2:
         return []
     best, parent = np.full(n, np.inf), np.full(n, -1)
-    inside = np.zeros(n, bool)
+    inside, index = np.zeros(n, bool), np.arange(n)
     cur, edges = n - 1, []
     inside[cur] = True
     for _ in range(n - 1):
-        d = ((points - points[cur]) ** 2).sum(1)
-        nearer = ~inside & (d < best)
+        d = reduce(np.add, ((points[:, k] - points[cur, k]) ** 2 for k in range(points.shape[1])))
+        # a tie goes to the edge whose smaller, then larger end is smaller
+        lo, hi, low, high = np.minimum(index, cur), np.maximum(index, cur), np.minimum(index, parent), np.maximum(index, parent)
+        nearer = ~inside & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
         best[nearer], parent[nearer] = d[nearer], cur
-        cur = int(np.argmin(np.where(inside, np.inf, best)))
+        some = np.flatnonzero(~inside)
+        some = some[best[some] == best[some].min()]
+        ends = sorted((min(k, parent[k]), max(k, parent[k]), k) for k in some.tolist())
+        cur = ends[0][2]
         inside[cur] = True
         edges.append((int(parent[cur]), cur))
     return edges
@@ -241,16 +240,13 @@ def simplify(points: np.ndarray, d: float = 6.0) -> np.ndarray:
     return np.array(out)
 
 
-def track_trees(points: DataFrame, d: float | None = 6.0, key: str = "track_id") -> DataFrame:
-    """``track_id, a_x.., b_x..``: spanning tree edges of each track's (simplified) points."""
-    spec = f"{key} {dict(points.dtypes)[key]}, ax double, ay double, az double, bx double, by double, bz double"
+def simplified(points: DataFrame, d: float = 6.0, key: str = "track_id") -> DataFrame:
+    """``track_id, x, y, z``: the cover of each track's points."""
 
     def run(pdf):
         import pandas as pd
 
-        p = pdf[["x", "y", "z"]].to_numpy(float)
-        p = np.unique(p, axis=0) if d is None else simplify(p, d)
-        rows = [[pdf[key].iloc[0], *p[a], *p[b]] for a, b in spanning_tree(p)]
-        return pd.DataFrame(rows, columns=[key, "ax", "ay", "az", "bx", "by", "bz"])
+        q = simplify(pdf[["x", "y", "z"]].to_numpy(float), d)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(q), "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]})
 
-    return points.groupBy(key).applyInPandas(run, spec)
+    return points.groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, x double, y double, z double")

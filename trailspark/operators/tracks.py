@@ -72,16 +72,27 @@ def pairwise(points: DataFrame, delta: int, cols: Sequence[str], key: Sequence[s
     return a.join(b, [*key, "_t"]).drop("_t")
 
 
-def all_lags(points: DataFrame, cols: Sequence[str], lags: int | None = None, key: Sequence[str] = KEY) -> DataFrame:
+#: Frames of a side of a tile of pairs.
+TILE = 256
+
+
+def all_lags(points: DataFrame, cols: Sequence[str], lags: int | None = None, key: Sequence[str] = KEY, tile: int = TILE) -> DataFrame:
     """Pairs of a track at every lag (up to ``lags`` frames).
 
     Bounded, the range join becomes an equi-join on (track, frame): each point is
-    repeated once for each lag, so long tracks spread over partitions.
+    repeated once for each lag. Unbounded, frames are dealt in blocks of ``tile``
+    and the join is on (track, earlier block, later block): a point goes to the
+    tiles of its block, up to the track's last block and down to its first. Either
+    way long tracks spread over partitions.
     """
     b = points.select(*key, F.col("t").alias("t2"), *(F.col(c).alias(f"{c}2") for c in cols))
     a = points.select(*key, F.col("t").alias("t1"), *(F.col(c).alias(f"{c}1") for c in cols))
     if lags is None:
-        return a.join(b, list(key)).where("t2 > t1").withColumn("delta", F.col("t2") - F.col("t1"))
+        block = lambda c: F.floor(F.col(c) / tile).cast("long")
+        ends = points.groupBy(*key).agg(F.floor(F.min("t") / tile).cast("long").alias("_first"), F.floor(F.max("t") / tile).cast("long").alias("_last"))
+        a = a.join(ends, list(key)).withColumn("_i", block("t1")).withColumn("_j", F.explode(F.sequence("_i", "_last"))).drop("_first", "_last")
+        b = b.join(ends, list(key)).withColumn("_j", block("t2")).withColumn("_i", F.explode(F.sequence("_first", "_j"))).drop("_first", "_last")
+        return a.join(b, [*key, "_i", "_j"]).where("t2 > t1").withColumn("delta", F.col("t2") - F.col("t1")).drop("_i", "_j")
     steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(lags).cast("long")))
     a = a.withColumn("delta", steps).withColumn("t2", F.col("t1") + F.col("delta"))
     return a.join(b, [*key, "t2"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.functions import densities, text, vectors
-from trailspark.operators import curves, fitting, graph, hist, joins, quality, simulate, stats, streams32, surfaces, tracks
+from trailspark.operators import curves, fitting, forest, graph, hist, joins, quality, regression, simulate, stats, streams32, surfaces, tracks
 from trailspark.sources import sinks, tables
 from trailspark.sources.tables import DISPLACEMENTS_SQL, TISSUE_SQL, TRACKS_SQL, VOXELS_SQL, table
 
@@ -192,6 +192,14 @@ def derived_columns(spark, sf_dir):
     return rounded(rounded(d, "signed_disp"), "disp_sq", "strt_disp_sq", digits=4)
 
 
+@query(f"""SELECT track_id, lag, count(*) AS n, sum(CAST(disp_sq AS DECIMAL(18, 4)))::DOUBLE AS disp_sq, sum(CAST(strt_disp_sq AS DECIMAL(18, 4)))::DOUBLE AS strt_disp_sq,
+coalesce(sum(CAST(signed_disp AS DECIMAL(18, 6))), 0)::DOUBLE AS signed_disp, count(signed_disp) AS n_signed FROM ({SQL['derived_columns']}) GROUP BY 1, 2""")
+def derived_columns_sums(spark, sf_dir):
+    exact = lambda c, digits: F.coalesce(F.sum(F.col(c).cast(f"decimal(18,{digits})")), F.lit(0)).cast("double").alias(c)
+    d = derived_columns(spark, sf_dir).groupBy("track_id", "lag")
+    return d.agg(F.count("*").alias("n"), exact("disp_sq", 4), exact("strt_disp_sq", 4), exact("signed_disp", 6), F.count("signed_disp").alias("n_signed"))
+
+
 @query(D + "SELECT lag, count(*) AS n FROM displacements WHERE lag = 30 OR (lag <= 20 AND reldir IS NOT NULL) GROUP BY lag")
 def lag_bounds(spark, sf_dir):
     d = tables.displacements(spark, sf_dir)
@@ -535,21 +543,39 @@ def adjacency_expansion(spark, sf_dir):
     return graph.expand(f, arcs).groupBy("node", "prev").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE steps AS (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
-edges AS (SELECT DISTINCT least(s, n) AS a, greatest(s, n) AS b FROM steps WHERE n IS NOT NULL AND s <> n),
-arcs AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
-reach AS (SELECT 5 AS node, 0 AS hops UNION SELECT arcs.b, hops + 1 FROM reach JOIN arcs ON arcs.a = reach.node WHERE hops < 90)
-SELECT CAST(node AS BIGINT) AS node, CAST(min(hops) AS BIGINT) AS hops FROM reach GROUP BY 1""")
+@query("""WITH RECURSIVE """ + TISSUE_SQL + """,
+reach(node, hops) USING KEY (node) AS (SELECT CAST(5 AS BIGINT), CAST(0 AS BIGINT)
+  UNION SELECT DISTINCT arcs.b, reach.hops + 1 FROM reach JOIN arcs ON arcs.a = reach.node LEFT JOIN recurring.reach AS r ON r.node = arcs.b WHERE r.node IS NULL)
+SELECT node, hops FROM reach""")
 def hop_distance(spark, sf_dir):
     return graph.hop_distances(tables.tissue(spark, sf_dir), 5)
 
 
-@query("""WITH g AS (SELECT DISTINCT user_id AS track_id, event_id % 9 AS a, (event_id + 1) % 9 AS b FROM events),
-e AS (SELECT DISTINCT track_id, least(a, b) AS a, greatest(a, b) AS b FROM g)
-SELECT track_id, count(DISTINCT node) AS nodes, max(n) AS edges FROM (SELECT track_id, a AS node FROM e UNION ALL SELECT track_id, b FROM e) JOIN (SELECT track_id, count(*) AS n FROM e GROUP BY 1) USING (track_id) GROUP BY 1""")
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT user_id AS track_id, event_id % 9 AS a, (event_id + 1) % 9 AS b FROM events),
+e AS (SELECT DISTINCT track_id, least(a, b) AS a, greatest(a, b) AS b FROM g),
+arcs AS (SELECT track_id, a, b FROM e UNION ALL SELECT track_id, b, a FROM e),
+reach AS (SELECT track_id, min(a) AS node FROM arcs GROUP BY 1 UNION SELECT arcs.track_id, arcs.b FROM reach JOIN arcs ON arcs.track_id = reach.track_id AND arcs.a = reach.node),
+sizes AS (SELECT track_id, count(DISTINCT a) AS nodes, count(*) // 2 AS edges FROM arcs GROUP BY 1)
+SELECT track_id, any_value(nodes) AS nodes, any_value(edges) AS edges, count(*) = any_value(nodes) AND any_value(edges) = any_value(nodes) - 1 AS is_tree FROM sizes JOIN reach USING (track_id) GROUP BY 1""")
 def graph_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), (F.col("event_id") % 9).alias("a"), ((F.col("event_id") + 1) % 9).alias("b"))
-    return graph.forests(e, ["track_id"]).select("track_id", "nodes", "edges")
+    return forest.forest_sizes(e, ["track_id"])
+
+
+#: The events of a user as a path, as a binary heap, or as a star around the first: diameters are known in closed form.
+@query("WITH " + TRACKS_SQL + """, n AS (SELECT track_id, count(*) AS n, CAST(floor(log2(count(*))) AS BIGINT) AS h FROM tracks GROUP BY 1)
+SELECT track_id, CASE track_id % 3 WHEN 0 THEN n - 1 WHEN 1 THEN 2 * h - CASE WHEN n >= 3 * (1 << (h - 1)) THEN 0 ELSE 1 END ELSE least(2, n - 1) END AS hops FROM n WHERE n > 1""")
+def tree_diameters(spark, sf_dir):
+    parent = F.when(F.col("track_id") % 3 == 0, F.col("t") - 1).when(F.col("track_id") % 3 == 1, F.floor((F.col("t") - 1) / 2)).otherwise(F.lit(0)).cast("long")
+    return forest.diameters(tables.tracks(spark, sf_dir).where("t > 0").select("track_id", F.col("t").alias("a"), parent.alias("b")), ["track_id"])
+
+
+#: Two paths a user, of even and of odd frames: components are known in closed form.
+@query("WITH " + TRACKS_SQL + "SELECT track_id, min(t) AS first, count(*) AS nodes FROM tracks GROUP BY track_id, t % 2 HAVING count(*) > 1")
+def graph_components(spark, sf_dir):
+    e = tables.tracks(spark, sf_dir).where("t > 1").select("track_id", "t", (F.col("t") - 2).alias("u"))
+    found = forest.components(e.select("track_id", F.col("t").alias("a"), F.col("u").alias("b")), ["track_id"])
+    return found.groupBy("track_id", "comp").agg(F.min("node").alias("first"), F.count("*").alias("nodes")).drop("comp")
 
 
 _WALK = """WITH RECURSIVE """ + TISSUE_SQL + """,
@@ -671,15 +697,19 @@ def params_pivot(spark, sf_dir):
 @query("WITH " + TRACKS_SQL + "SELECT track_id, round(regr_slope(x, CAST(t AS DOUBLE)), 6) AS slope, round(regr_intercept(x, CAST(t AS DOUBLE)), 6) AS intercept FROM tracks GROUP BY 1")
 def least_squares_line(spark, sf_dir):
     t = tables.tracks(spark, sf_dir).select("track_id", F.col("t").cast("double").alias("t"), "x")
+    return rounded(regression.lines(t, ["track_id"], "t", "x"), "slope", "intercept")
 
-    def run(pdf):
-        import pandas as pd
-
-        line = curves.least_squares(pdf[["t", "x"]].to_numpy(), 0, 1).coef[1]
-        flat = len(pdf) < 2
-        return pd.DataFrame({"track_id": pdf["track_id"].iloc[:1], "slope": [None if flat else round(float(line[1]), 6)], "intercept": [None if flat else round(float(line[0]), 6)]})
 
-    return t.groupBy("track_id").applyInPandas(run, "track_id long, slope double, intercept double")
+@query("WITH " + TRACKS_SQL + """, s AS (SELECT track_id, CAST(t AS DOUBLE) AS t, x FROM tracks),
+m AS (SELECT track_id, avg(t) AS mt, avg(x) AS mx, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT s.track_id, any_value(n) AS n, sum(power(t - mt, 2)) AS s2, sum(power(t - mt, 3)) AS s3, sum(power(t - mt, 4)) AS s4, sum((t - mt) * (x - mx)) AS c1, sum(power(t - mt, 2) * (x - mx)) AS c2, any_value(mt) AS mt, any_value(mx) AS mx FROM s JOIN m USING (track_id) GROUP BY 1),
+q AS (SELECT *, (c2 * s2 - c1 * s3) / ((s4 - s2 * s2 / n) * s2 - s3 * s3) AS b FROM p),
+f AS (SELECT *, (c1 - b * s3) / s2 AS a FROM q)
+SELECT track_id, n, round(mx - b * s2 / n - a * mt + b * mt * mt, 4) AS c0, round(a - 2 * b * mt, 4) AS c1, round(b, 6) AS c2 FROM f""")
+def least_squares_parabola(spark, sf_dir):
+    fit = regression.polynomials(tables.tracks(spark, sf_dir), ["track_id"], "t", ["x"], 2)
+    c = lambda k: F.element_at("x_coef", k + 1)
+    return fit.select("track_id", "n", r(c(0), 4).alias("c0"), r(c(1), 4).alias("c1"), r(c(2)).alias("c2"))
 
 
 @query(D + "SELECT lag, round(avg(disp) / 3, 6) AS m, round(stddev_pop(disp), 6) AS s, count(*) AS n FROM displacements GROUP BY 1")
@@ -699,12 +729,12 @@ def base_timestep_json(spark, sf_dir):
 
 @query()
 def mst(spark, sf_dir):
-    return graph.track_trees(tables.tracks(spark, sf_dir), None)
+    return forest.spanning_trees(tables.tracks(spark, sf_dir))
 
 
 @query()
 def simplify_points(spark, sf_dir):
-    return graph.track_trees(tables.tracks(spark, sf_dir), 6.0)
+    return forest.spanning_trees(graph.simplified(tables.tracks(spark, sf_dir), 6.0))
 
 
 @query()

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 
 def deduplicated(points: DataFrame, event_time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """One row for each track and frame within the watermark."""
-    return points.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["track_id", "t"])
+    """One row for each track and frame, the last written: a frame that comes again within ``late`` replaces what is held.
+
+    Rows of a frame no further than ``late`` apart are one session, whose state is
+    the latest row (equal times: the largest); it is emitted when the watermark
+    passes its end.
+    """
+    rest = [c for c in points.columns if c not in ("track_id", "t", event_time)]
+    at = F.col(event_time)
+    last = points.withWatermark(event_time, late).groupBy(F.session_window(event_time, late), "track_id", "t").agg(F.max(F.struct(at, *rest)).alias("last"))
+    return last.select("track_id", "t", "last.*")
 
 
 def window_means(displacements: DataFrame, event_time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
