@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests import fits_by_hand as hand
-from trailspark.operators import curves, fitting, forest, graph, likelihood, mixture, regression, simulate, streams32, tracks
+from trailspark.operators import curves, fitting, forest, graph, likelihood, mixture, regression, simulate, streams32, tracks, triangles
 
 
 def test_moves():
@@ -83,6 +83,26 @@ def test_tiles_give_all_pairs(spark):
         assert "_i" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_triangles_close_around_a_block(spark):
+    block = [(0, i, j, k, 1.0 if all(1 <= c <= 3 for c in (i, j, k)) else -1.0) for i in range(5) for j in range(5) for k in range(5)]
+    ring = [(1, i, j, 0, 1.0) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+    two = [(2, 0, 0, 0, 2.0), (2, 5, 5, 5, 2.0), (2, 5, 5, 5, None)]
+    v = spark.createDataFrame(block + ring + two, "t int, i int, j int, k int, v double")
+    got = {r.t: r for r in triangles.shape(triangles.triangles(v, around=-1.0)).collect()}
+    assert {t: (r.euler, r.open_edges) for t, r in got.items()} == {0: (2, 0), 1: (0, 0), 2: (4, 0)}
+    assert 8 < got[0].volume < 27 and got[0].area > 24
+    # without a value around it, only cubes between eight voxels count: the block is inside, the ring has none
+    assert {r.t: r.euler for r in triangles.shape(triangles.triangles(v)).collect()} == {0: 2}
+    # a sphere: vertices lie on it, normals point outwards
+    n = 9
+    ball = spark.createDataFrame([(0, i, j, k, 3.2 - math.dist((i, j, k), (4, 4, 4))) for i in range(n) for j in range(n) for k in range(n)], "t int, i int, j int, k int, v double")
+    faces = triangles.triangles(ball, (-4, -4, -4))
+    (r,) = triangles.shape(faces).collect()
+    assert (r.euler, r.open_edges) == (2, 0) and r.volume == pytest.approx(4 / 3 * math.pi * 3.2**3, rel=0.06)
+    for p in triangles.vertices(faces).collect():
+        assert math.hypot(p.x, p.y, p.z) == pytest.approx(3.2, abs=0.1) and (p.x * p.nx + p.y * p.ny + p.z * p.nz) / 3.2 > 0.8
+
+
 def test_polynomials_by_sums(spark):
     rng = np.random.default_rng(4)
     data = {k: (t := rng.uniform(-50, 900, 60), 3 + 0.5 * t - 0.01 * k * t**2 + rng.normal(0, 1, 60)) for k in (1, 2)} | {3: (np.array([1.0, 1.0]), np.array([2.0, 4.0]))}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.functions import densities, text, vectors
-from trailspark.operators import curves, fitting, forest, graph, hist, joins, quality, regression, simulate, stats, streams32, surfaces, tracks
+from trailspark.operators import curves, fitting, forest, graph, hist, joins, quality, regression, simulate, stats, streams32, surfaces, tracks, triangles
 from trailspark.sources import sinks, tables
 from trailspark.sources.tables import DISPLACEMENTS_SQL, TISSUE_SQL, TRACKS_SQL, VOXELS_SQL, table
 
@@ -674,6 +674,21 @@ def voxel_boxes(spark, sf_dir):
     return surfaces.boxes(tables.voxels(spark, sf_dir))
 
 
+#: Voxels that are not there are outside, so surfaces are closed: vertices are edges that leave the inside, faces follow from how many corners of a tetrahedron are inside, every edge has two faces.
+@query("WITH " + VOXELS_SQL + """, solid AS (SELECT t, i, j, k FROM voxels WHERE v > 0),
+offsets AS (SELECT a.o AS di, b.o AS dj, c.o AS dk FROM (SELECT unnest([0, 1]) AS o) a, (SELECT unnest([0, 1]) AS o) b, (SELECT unnest([0, 1]) AS o) c),
+crossed AS (SELECT s.t FROM solid s, offsets f, (SELECT unnest([-1, 1]) AS sign) g WHERE di + dj + dk > 0
+  AND NOT EXISTS (SELECT 1 FROM solid n WHERE n.t = s.t AND n.i = s.i + sign * di AND n.j = s.j + sign * dj AND n.k = s.k + sign * dk)),
+points AS (SELECT t, count(*) AS vertices FROM crossed GROUP BY 1),
+cubes AS (SELECT t, i - di AS i, j - dj AS j, k - dk AS k, CAST(sum(1 << (di + 2 * dj + 4 * dk)) AS INTEGER) AS mask FROM solid, offsets GROUP BY ALL),
+tets AS (SELECT t, bit_count(mask & m) AS n FROM cubes, (SELECT unnest([1 + 2 + 8 + 128, 1 + 2 + 32 + 128, 1 + 4 + 8 + 128, 1 + 4 + 64 + 128, 1 + 16 + 32 + 128, 1 + 16 + 64 + 128]) AS m)),
+sides AS (SELECT t, CAST(sum(CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END) AS BIGINT) AS faces FROM tets GROUP BY 1)
+SELECT t, vertices, faces * 3 // 2 AS edges, faces, CAST(0 AS BIGINT) AS open_edges, vertices - faces * 3 // 2 + faces AS euler FROM points JOIN sides USING (t)""")
+def surface_triangles(spark, sf_dir):
+    found = triangles.triangles(tables.voxels(spark, sf_dir), (0, 1, -2), _SIZE, around=-1.0)
+    return triangles.shape(found).drop("area", "volume")
+
+
 # --- fits in closed form -----------------------------------------------------
 
 
