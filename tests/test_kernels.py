@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests import fits_by_hand as hand
+from tests.curves_by_hand import displacements_by_hand
 from trailspark.operators import curves, fitting, forest, graph, likelihood, mixture, regression, simulate, streams32, tracks, triangles
 
 
@@ -176,6 +177,48 @@ def test_curve_parts():
     assert len(ts) == 2 and d == pytest.approx(0.75)
 
 
+def test_displacements_along_branches_equal_those_pair_by_pair(spark):
+    rng = np.random.default_rng(6)
+    data = {"y": [(3.0 * t, 0.0, 0.0) for t in range(12)] + [(15.0, 3.0 * t, 1.0) for t in range(1, 9)] + [(24.0, -4.0 * t, 0.0) for t in range(1, 6)], "walk": np.cumsum(rng.normal(0, 4, (35, 3)), 0).tolist(), "one": [(1.0, 1.0, 1.0)]}
+    data["y"] = (np.array(data["y"]) + rng.normal(0, 0.2, (len(data["y"]), 3))).tolist()
+    rows = [("191205", "e", k, t + (t > 7), *map(float, p), 10) for k, ps in data.items() for t, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "date string, experiment string, track_id string, t long, x double, y double, z double, spf int").repartition(3)
+    for ends in (True, False):
+        got = curves.curve_displacements(df, exclude_ends=ends).collect()
+        want = {k: displacements_by_hand({t + (t > 7): p for t, p in enumerate(ps)}, 10.0, exclude_ends=ends) for k, ps in data.items()}
+        order = lambda r: (r[0], round(r[2], 6), round(r[1], 6))
+        for k in data:
+            mine = sorted(((r.lag, r.disp, r.strt_disp, r.reldir) for r in got if r.track_id == k), key=order)
+            for a, b in zip(mine, sorted(want[k], key=order), strict=True):
+                assert a[:3] == pytest.approx(b[:3], rel=1e-6, abs=1e-6) and a[3] == b[3]
+        assert len({r.track_id for r in got}) == 2 and len(curves.branching(np.array(data["y"], float)).branches) > 1
+
+
+def test_smoothed_splines():
+    rng = np.random.default_rng(11)
+    for n in (6, 30, 300):
+        t = np.linspace(0, 12, n)
+        p = np.stack([6 * t, 9 * np.sin(t), 4 * np.cos(t / 2)], 1) + rng.normal(0, 0.55, (n, 3))
+        c = curves.spline(p, smooth=True)
+        u = curves.chord_parameters(p)
+        rss = sum(((c(x) - q) ** 2).sum() for x, q in zip(u, p, strict=True))
+        target = n - math.sqrt(2 * n)
+        assert rss <= target * (1 + 1e-6) and (len(c.pieces) == 1 or rss >= 0.99 * target) and len(c.pieces) <= n - 3
+        for a, b in zip(c.pieces, c.pieces[1:], strict=False):  # two derivatives go on
+            for f, g in ((a, b), (a.deriv(), b.deriv()), (a.deriv().deriv(), b.deriv().deriv())):
+                assert f(a.hi) == pytest.approx(g(a.hi), rel=1e-4, abs=1e-3 * 50)
+    # a cubic comes back as it is
+    s = np.linspace(0, 1, 40)
+    fit = curves.KnotSpline(s, np.stack([s**3 - s, 2 - s * s], 1), np.array([0.25, 0.6]))
+    c, rest = fit.solved()
+    assert rest.sum() < 1e-16 and fit.curve(c)(0.4) == pytest.approx([0.4**3 - 0.4, 2 - 0.16], abs=1e-7)
+    # banded systems equal dense ones
+    bands = np.c_[rng.uniform(8, 9, 200), rng.normal(size=(200, 4))]
+    dense = sum((np.diag(bands[: 200 - d, d], d) + (np.diag(bands[: 200 - d, d], -d) if d else 0) for d in range(5)), np.zeros((200, 200))) + 8 * np.eye(200)
+    bands[:, 0] += 8
+    assert curves.banded(bands, np.ones((200, 2))) == pytest.approx(np.linalg.solve(dense, np.ones((200, 2))), rel=1e-9)
+
+
 def test_displacements_along_a_line(spark):
     rows = [("191205", "e", "a", t, 3.0 * t, 4.0 * t, 0.0, 10) for t in range(6)] + [("191205", "e", "b", 0, 1.0, 1.0, 1.0, 10)]
     df = spark.createDataFrame(rows, "date string, experiment string, track_id string, t long, x double, y double, z double, spf int")

@@ -98,15 +98,16 @@ def all_lags(points: DataFrame, cols: Sequence[str], lags: int | None = None, ke
     return a.join(b, [*key, "t2"])
 
 
-def arrivals(pairs: DataFrame, direction: str = "dir", key: Sequence[str] = KEY) -> DataFrame:
+def arrivals(pairs: DataFrame, direction: str = "dir", key: Sequence[str] = KEY, arriving: str | None = None) -> DataFrame:
     """Adds ``reldir``: 1 where a pair leaves as the pair of equal lag before it arrived, -1 where not, NULL without one.
 
     The pair before is found by a window over frames of equal remainder, so there
     is no second join; a gap in the track shows as another end frame. A leaving
-    direction of 0 equals neither sign and counts as a reversal.
+    direction of 0 equals neither sign and counts as a reversal. ``arriving``: the
+    direction at a pair's end, where it is not that at its start.
     """
     w = Window.partitionBy(*key, "delta", F.pmod("t1", "delta")).orderBy("t1")
-    before = F.when(F.lag("t2").over(w) == F.col("t1"), F.lag(direction).over(w))
+    before = F.when(F.lag("t2").over(w) == F.col("t1"), F.lag(arriving or direction).over(w))
     return pairs.withColumn("_before", before).withColumn("reldir", F.when(F.col("_before").isNull(), None).when(F.col(direction) == F.col("_before"), 1.0).otherwise(-1.0)).drop("_before")
 
 
