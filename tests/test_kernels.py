@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests import fits_by_hand as hand
 from tests.curves_by_hand import displacements_by_hand
-from trailspark.operators import curves, fitting, forest, graph, likelihood, mixture, regression, simulate, streams32, tracks, triangles
+from trailspark.operators import curves, fitting, forest, graph, joins, likelihood, mixture, regression, simulate, streams32, tracks, triangles
 
 
 def test_moves():
@@ -194,6 +194,27 @@ def test_displacements_along_branches_equal_those_pair_by_pair(spark):
         assert len({r.track_id for r in got}) == 2 and len(curves.branching(np.array(data["y"], float)).branches) > 1
 
 
+def test_nearest_and_farthest_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    groups = {1: rng.normal(size=(60, 2)), 2: rng.integers(0, 3, (25, 3)).astype(float), 3: np.ones((1, 2)), 4: np.zeros((5, 2))}
+    rows = [(g, 100 * g + k, p.tolist()) for g, ps in groups.items() for k, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "g long, id long, pos array<double>").repartition(3)
+    monkeypatch.setattr(joins, "TILE", 7)
+    d2 = lambda p, q: float(((np.array(p) - np.array(q)) ** 2).sum())
+    far = {r.g: (r.d2, r.a, r.b) for r in joins.farthest_pair(df, ["g"], "id", "pos").collect()}
+    assert set(far) == {1, 2, 4}
+    for g in far:
+        own = [r for r in rows if r[0] == g]
+        want = max((d2(p, q), -a, -b) for _, a, p in own for _, b, q in own if a < b)
+        assert far[g] == (pytest.approx(want[0]), -want[1], -want[2])
+    queries = df.withColumn("pos", F.transform("pos", lambda x: x * 1.3 + 0.1)).withColumn("id", F.col("id") + 5000)
+    got = {r.qid: (r.d2, r.id) for r in joins.nearest(queries.select("g", F.col("id").alias("qid"), F.col("pos").alias("qpos")), df.where("id % 3 <> 1"), ["g"], "qid", "qpos", "id", "pos").collect()}
+    assert len(got) == len(rows)
+    for g, i, p in rows:
+        want = min((d2([x * 1.3 + 0.1 for x in p], q), j) for h, j, q in rows if h == g and j % 3 != 1)
+        assert got[i + 5000][0] == pytest.approx(want[0], abs=1e-12) and (got[i + 5000][1] == want[1] or g in (2, 4))
+
+
 def test_smoothed_splines():
     rng = np.random.default_rng(11)
     for n in (6, 30, 300):

@@ -1,4 +1,4 @@
-"""Geometric joins inside a group: radius, nearest, farthest, subtraction of sets."""
+"""Geometric joins inside a group: radius, nearest, farthest, subtraction of sets; no group is paired whole."""
 
 from __future__ import annotations
 
@@ -25,22 +25,62 @@ def radius_pairs(points: DataFrame, d: float, key: Sequence[str], cols: Sequence
     return a.join(b, [*key, *(f"_{c}" for c in cols)]).where(sq < d * d).select(*key, f"{by}1", f"{by}2")
 
 
+#: Points of a side of a tile, and rings of a group at most.
+TILE, RINGS = 512, 64
+
+
+def centres(points: DataFrame, key: Sequence[str], pos: str) -> DataFrame:
+    """``key, _centre``: the mean position of each group."""
+    each = points.select(*key, F.posexplode(pos).alias("_k", "_v")).groupBy(*key, "_k").agg(F.avg("_v").alias("_v"))
+    return each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("_centre"))
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, key: Sequence[str], query_id: str, pos: str, cand_id: str, cand_pos: str) -> DataFrame:
     """Nearest candidate of each query in its group; ties go to the smaller candidate id.
 
-    The minimum is a partial aggregation over the joined rows, so nothing is sorted.
+    Candidates lie in rings around their centre. A query first meets those of its
+    own ring and the one nearest to the centre, which bounds its distance; by the
+    triangle inequality only rings that this bound reaches from the query's own
+    distance can hold a nearer one, and these are met second. Joins are by group
+    and ring, minima are partial aggregations.
     """
+    key = list(key)
+    centre = centres(candidates.select(*key, F.col(cand_pos).alias("_p")), key, "_p")
+    c = candidates.select(*key, cand_id, cand_pos).join(centre, key).withColumn("_r", F.sqrt(V.distance_sq(F.col(cand_pos), F.col("_centre")))).drop("_centre")
+    of = c.groupBy(*key).agg(F.max("_r").alias("_far"), F.least(F.ceil(F.sqrt(F.count("*"))), F.lit(RINGS)).alias("_rings"), F.min_by(F.struct(cand_id, cand_pos), F.struct("_r", cand_id)).alias("_mid")).join(centre, key)
+    ring = lambda r: F.when(F.col("_far") > 0, F.least(F.floor(F.greatest(r, F.lit(0.0)) / F.col("_far") * F.col("_rings")), F.col("_rings") - 1)).otherwise(0).cast("int")
+    c = c.join(of.select(*key, "_far", "_rings"), key).withColumn("_ring", ring(F.col("_r"))).select(*key, cand_id, cand_pos, "_ring")
+    q = queries.select(*key, query_id, pos).join(of, key).withColumn("_r", F.sqrt(V.distance_sq(F.col(pos), F.col("_centre")))).withColumn("_ring", ring(F.col("_r")))
     d = F.struct(V.distance_sq(F.col(pos), F.col(cand_pos)).alias("d2"), F.col(cand_id).alias(cand_id))
-    best = queries.join(candidates, list(key)).groupBy(*key, query_id).agg(F.min(d).alias("best"))
+    mid = F.struct(V.distance_sq(F.col(pos), F.col(f"_mid.{cand_pos}")).alias("d2"), F.col(f"_mid.{cand_id}").alias(cand_id))
+    one = q.join(c, [*key, "_ring"], "left").groupBy(*key, query_id).agg(F.min(F.when(F.col(cand_id).isNotNull(), d)).alias("_one"))
+    bounded = q.join(one, [*key, query_id]).withColumn("_best", F.least(F.col("_one"), mid)).withColumn("_b", F.sqrt("_best.d2") * (1 + 1e-9) + 1e-12)
+    reach = F.filter(F.sequence(ring(F.col("_r") - F.col("_b")), ring(F.col("_r") + F.col("_b"))), lambda x: x != F.col("_ring"))
+    two = bounded.select(*key, query_id, pos, F.explode(reach).alias("_ring")).join(c, [*key, "_ring"]).groupBy(*key, query_id).agg(F.min(d).alias("_two"))
+    best = bounded.select(*key, query_id, "_best").join(two, [*key, query_id], "left").withColumn("best", F.least("_best", "_two"))
     return best.select(*key, query_id, F.col(f"best.{cand_id}").alias(cand_id), F.col("best.d2").alias("d2"))
 
 
 def farthest_pair(points: DataFrame, key: Sequence[str], point_id: str, pos: str) -> DataFrame:
-    """Diameter of each group: ``a, b, d2`` with a < b; ties go to the first pair. Groups of one point have none."""
-    a = points.select(*key, F.col(point_id).alias("a"), F.col(pos).alias("_pa"))
-    b = points.select(*key, F.col(point_id).alias("b"), F.col(pos).alias("_pb"))
-    d2 = V.distance_sq(F.col("_pa"), F.col("_pb"))
-    best = a.join(b, list(key)).where("a < b").groupBy(*key).agg(F.max(F.struct(d2.alias("d2"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("m"))
+    """Diameter of each group: ``a, b, d2`` with a < b; ties go to the first pair. Groups of one point have none.
+
+    The point farthest from the centre and the one farthest from it give a lower
+    bound; a point of the farthest pair is at least the bound less the radius away
+    from the centre. Those that are meet in tiles of ``TILE`` by ``TILE`` points, so
+    no group is joined as one.
+    """
+    key = list(key)
+    p = points.select(*key, F.col(point_id).alias("_id"), F.col(pos).alias("_p"))
+    p = p.join(centres(p, key, "_p"), key).withColumn("_r", F.sqrt(V.distance_sq(F.col("_p"), F.col("_centre")))).drop("_centre")
+    out = p.groupBy(*key).agg(F.max("_r").alias("_most"), F.max_by("_p", F.struct("_r", "_id")).alias("_end"))
+    bound = p.join(out, key).groupBy(*key).agg(F.sqrt(F.max(V.distance_sq(F.col("_p"), F.col("_end")))).alias("_least"), F.max("_most").alias("_most"))
+    left = p.join(bound, key).where(F.col("_r") >= (F.col("_least") - F.col("_most")) * (1 - 1e-9) - 1e-12).select(*key, "_id", "_p")
+    tiles = left.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_n"))
+    left = left.join(tiles, key).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    a = left.select(*key, F.col("_id").alias("_a"), F.col("_p").alias("_pa"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("_j"))
+    b = left.select(*key, F.col("_id").alias("_b"), F.col("_p").alias("_pb"), F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"))
+    pairs = a.join(b, [*key, "_i", "_j"]).where("_i < _j and _a <> _b or _a < _b").select(*key, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), V.distance_sq(F.col("_pa"), F.col("_pb")).alias("d2"))
+    best = pairs.groupBy(*key).agg(F.max(F.struct(F.col("d2"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("m"))
     return best.select(*key, (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"), F.col("m.d2").alias("d2"))
 
 
