@@ -43,8 +43,23 @@ def test_spanning_trees(points):
             parent[find(a)] = find(b)
             total += d
     assert sum((p[a] - p[b]) @ (p[a] - p[b]) for a, b in edges) == pytest.approx(total)
-    segments = graph.Tree.of(edges).segments()
-    assert sorted(tuple(sorted(e)) for s in segments for e in zip(s, s[1:], strict=False)) == sorted(tuple(sorted(e)) for e in edges)
+    tree = graph.Tree.of(edges)
+    segments = tree.segments()
+    seen = [n for s in segments for n in s]
+    assert {*seen} == {*tree.adj} and all(seen.count(n) == 1 for n in tree.adj if len(tree.adj[n]) <= 2)
+    # split where a point is on a path already, the parts hold every edge but those between such points, each once
+    owned, parts = set(), []
+    for s in segments:
+        parts += graph.split_segment(s, lambda x: x in owned)
+        owned |= {*s}
+    steps = [tuple(sorted(e)) for s in parts for e in zip(s, s[1:], strict=False)]
+    assert sorted(steps) == sorted(tuple(sorted(e)) for e in edges)
+
+
+def test_segments_peel_nodes():
+    t = graph.Tree.of([(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (2, 7), (3, 8)])
+    first, second = t.segments()[:2]
+    assert sorted((first, first[::-1]))[0] in ([0, 1, 2, 3, 4, 5], [0, 1, 2, 3, 8]) and len(first) == 6 and sorted((second, second[::-1]))[0] == [7, 2, 3, 8]
 
 
 def test_trees_by_rounds_equal_those_of_one_task(spark):

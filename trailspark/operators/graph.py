@@ -149,24 +149,20 @@ class Tree:
         return out
 
     def segments(self) -> list[list]:
-        """Longest paths peeled off one after the other; branch points stay for the paths that meet there."""
+        """Longest paths, peeled off one after the other: a path's nodes of two edges or fewer go, branch points stay for the paths that meet there.
+
+        Nodes of one or two edges are in one path each, every node is in at least one.
+        """
         rest = Tree()
         for a, others in self.adj.items():
             for b in others:
                 rest.link(a, b)
         out = []
-        while any(rest.adj.values()):
-            # the component of an edge that is still there
-            start = next(a for a, others in rest.adj.items() if others)
-            _, a = rest.walk(start)
-            before, b = rest.walk(a)
-            path = [b]
-            while before[path[-1]] is not None:
-                path.append(before[path[-1]])
+        while rest.adj:
+            path = rest.longest_path()
             out.append(path)
-            for a, b in zip(path, path[1:], strict=False):
-                rest.adj[a].pop(b, None)
-                rest.adj[b].pop(a, None)
+            for node in [n for n in path if len(rest.adj[n]) <= 2]:
+                rest.drop(node)
         return out
 
 
@@ -189,21 +185,21 @@ def spanning_tree(points: np.ndarray) -> list[tuple[int, int]]:
     n = len(points)
     if n < 2:
         return []
+    name = lambda k, p: (min(k, p), max(k, p))
+    axes = [np.ascontiguousarray(c) for c in points.T]
     best, parent = np.full(n, np.inf), np.full(n, -1)
-    inside, index = np.zeros(n, bool), np.arange(n)
+    inside = np.zeros(n, bool)
     cur, edges = n - 1, []
-    inside[cur] = True
     for _ in range(n - 1):
-        d = reduce(np.add, ((points[:, k] - points[cur, k]) ** 2 for k in range(points.shape[1])))
-        # a tie goes to the edge whose smaller, then larger end is smaller
-        lo, hi, low, high = np.minimum(index, cur), np.maximum(index, cur), np.minimum(index, parent), np.maximum(index, parent)
-        nearer = ~inside & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
+        inside[cur], best[cur] = True, np.inf
+        d = reduce(np.add, ((c - c[cur]) ** 2 for c in axes))
+        d[inside] = np.inf
+        nearer = d < best
+        for k in np.flatnonzero((d == best) & ~inside).tolist():  # a tie goes to the smaller name
+            nearer[k] = name(k, cur) < name(k, int(parent[k]))
         best[nearer], parent[nearer] = d[nearer], cur
-        some = np.flatnonzero(~inside)
-        some = some[best[some] == best[some].min()]
-        ends = sorted((min(k, parent[k]), max(k, parent[k]), k) for k in some.tolist())
-        cur = ends[0][2]
-        inside[cur] = True
+        least = np.flatnonzero(best == best.min()).tolist()
+        cur = least[0] if len(least) == 1 else min(least, key=lambda k: name(k, int(parent[k])))
         edges.append((int(parent[cur]), cur))
     return edges
 
