@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests import fits_by_hand as hand
 from tests.curves_by_hand import displacements_by_hand
-from trailspark.operators import curves, fitting, forest, graph, joins, likelihood, mixture, regression, simulate, streams32, tracks, triangles
+from trailspark.operators import cover, curves, fitting, forest, graph, joins, likelihood, mixture, regression, simulate, streams32, tracks, triangles
 
 
 def test_moves():
@@ -138,6 +138,16 @@ def test_simplify_covers():
     assert len(graph.simplify(np.zeros((5, 3)))) == 1
 
 
+def test_covers_by_rounds_equal_the_sequential_rule(spark):
+    rng = np.random.default_rng(8)
+    data = {1: rng.uniform(0, 20, (50, 3)), 2: rng.integers(0, 9, (40, 3)).astype(float), 3: np.zeros((4, 3))}
+    df = spark.createDataFrame([(k, *map(float, p)) for k, ps in data.items() for p in ps] + [(3, None, 1.0, 1.0)], "track_id long, x double, y double, z double").repartition(3)
+    near, far = (sorted(map(tuple, cover.covers(df, 6.0, local=n).collect())) for n in (2000, 0))
+    assert [r[0] for r in near] == [r[0] for r in far] and np.allclose(near, far, rtol=0, atol=1e-9)
+    for k, ps in data.items():
+        assert np.allclose(sorted(map(tuple, graph.simplify(ps, 6.0))), [r[1:] for r in near if r[0] == k], rtol=0, atol=1e-9)
+
+
 def test_longest_path():
     t = graph.Tree.of([(0, 1), (1, 2), (2, 3), (1, 9)])
     assert sorted((t.longest_path()[0], t.longest_path()[-1])) in ([0, 3], [3, 9])

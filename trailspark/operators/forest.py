@@ -222,13 +222,13 @@ def by_rounds(points: DataFrame, key: str) -> DataFrame:
 def spanning_trees(points: DataFrame, key: str = "track_id", local: int = LOCAL) -> DataFrame:
     """``key, ax, ay, az, bx, by, bz``: the minimum spanning tree of each key's distinct points, smaller end first.
 
-    Points with a null coordinate are left out. Keys of at most ``local`` points
+    Points without a key or a coordinate are left out. Keys of at most ``local`` points
     are spanned by one task each, larger ones by rounds.
     """
-    p = points.where(" and ".join(f"{c} is not null" for c in AXES)).select(key, *[F.col(c).cast("double").alias(c) for c in AXES]).distinct()
+    p = points.where(" and ".join(f"{c} is not null" for c in (key, *AXES))).select(key, *[F.col(c).cast("double").alias(c) for c in AXES]).distinct()
     p = _cut(p.orderBy(key, *AXES)).withColumn("id", F.monotonically_increasing_id())
     size = p.groupBy(key).agg(F.count("*").alias("n"))
-    small, large = (p.join(size.where(c).select(key), key, "left_semi") for c in (f"n <= {local}", f"n > {local}"))
+    small, large = (p.alias("l").join(size.where(c).alias("r"), same([key]), "left_semi") for c in (f"n <= {local}", f"n > {local}"))
     spec = f"{key} {dict(points.dtypes)[key]}, ax double, ay double, az double, bx double, by double, bz double"
 
     def run(pdf):

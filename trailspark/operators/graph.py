@@ -234,15 +234,3 @@ def simplify(points: np.ndarray, d: float = 6.0) -> np.ndarray:
         for m in members.tolist():
             size[near[m]] -= 1
     return np.array(out)
-
-
-def simplified(points: DataFrame, d: float = 6.0, key: str = "track_id") -> DataFrame:
-    """``track_id, x, y, z``: the cover of each track's points."""
-
-    def run(pdf):
-        import pandas as pd
-
-        q = simplify(pdf[["x", "y", "z"]].to_numpy(float), d)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(q), "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]})
-
-    return points.groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, x double, y double, z double")

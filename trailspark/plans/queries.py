@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.functions import densities, text, vectors
-from trailspark.operators import curves, fitting, forest, graph, hist, joins, quality, regression, simulate, stats, streams32, surfaces, tracks, triangles
+from trailspark.operators import cover, curves, fitting, forest, graph, hist, joins, quality, regression, simulate, stats, streams32, surfaces, tracks, triangles
 from trailspark.sources import sinks, tables
 from trailspark.sources.tables import DISPLACEMENTS_SQL, TISSUE_SQL, TRACKS_SQL, VOXELS_SQL, table
 
@@ -749,7 +749,7 @@ def mst(spark, sf_dir):
 
 @query()
 def simplify_points(spark, sf_dir):
-    return forest.spanning_trees(graph.simplified(tables.tracks(spark, sf_dir), 6.0))
+    return forest.spanning_trees(cover.covers(tables.tracks(spark, sf_dir), 6.0))
 
 
 @query()
