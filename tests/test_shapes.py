@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,3 +37,19 @@ def test_clouds_and_orders(spark):
     assert a == shapes.sinusoid(spark, 50, 3).collect() and a != shapes.sinusoid(spark, 50, 4).collect()
     ids = [r.id for r in shapes.shuffled(spark.range(30), "id", seed=1).collect()]
     assert sorted(ids) == list(range(30)) != ids == [r.id for r in shapes.shuffled(spark.range(30).repartition(5), "id", seed=1).collect()]
+
+
+def test_random_polynomials_and_normals(spark):
+    from trailspark.operators import curves, shapes
+
+    got = shapes.random_polynomials(spark, 300, 3, 1, 4, -2.0, 2.0).collect()
+    assert {len(r.coef) for r in got} == {1, 2, 3, 4} and all(-2 <= c < 2 for r in got for c in r.coef)
+    assert got == shapes.random_polynomials(spark, 300, 3, 1, 4, -2.0, 2.0).collect()
+    v = spark.createDataFrame([(1, [1.0, 2.0, -2.0]), (2, [0.0, 3.0]), (3, [0.0, 0.0, 0.0])], "id long, v array<double>")
+    n = {r.id: (r.v, r.n) for r in v.select("id", "v", shapes.random_normal(F.col("v"), 0.5, F.col("id")).alias("n")).collect()}
+    assert all(abs(sum(a * b for a, b in zip(*n[k], strict=True))) < 1e-12 and abs(sum(b * b for b in n[k][1]) - 0.25) < 1e-12 for k in (1, 2)) and n[3][1] == [0, 0, 0]
+    p = curves.Poly.of([([1.0], -5, 2), ([0.0, 1.0], 0, 3)])
+    assert (p.lo, p.hi, p(1.5).tolist()) == (0, 2, [1.0, 1.5])
+    assert curves.Poly.of([([0.0, 2.0], -1, 1)], 0)(0.5).tolist() == [0.5, 1.0]
+    with pytest.raises(ValueError, match="in common"):
+        curves.Poly.of([([1.0], 0, 1), ([1.0], 2, 3)])

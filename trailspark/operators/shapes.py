@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,25 @@ def sinusoid(spark: SparkSession, n: int, seed: int = 0, degree: int = 3, radius
     return spark.range(n).select("id", (50 * x).alias("x"), (10 * wave(c[0]) + r * F.cos(angle)).alias("y"), (10 * wave(c[1]) + r * F.sin(angle)).alias("z"))
 
 
+def uniform(low: float, high: float, *keys) -> Column:
+    """A number in [low, high) from a hash of the keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / float(1 << 30) * (high - low) + low
+
+
+def random_polynomials(spark: SparkSession, n: int, seed: int = 0, least: int = 1, most: int = 5, low: float = -20.0, high: float = 20.0) -> DataFrame:
+    """``id, coef``: from ``least`` to ``most`` coefficients by rising power, each in [low, high), from a hash of (seed, id, power)."""
+    size = F.floor(uniform(least, most + 1, F.lit(seed), F.lit(-1), F.col("id"))).cast("int")
+    return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), size - 1), lambda k: uniform(low, high, F.lit(seed), k, F.col("id"))).alias("coef"))
+
+
+def random_normal(v: Column, length: float, *keys) -> Column:
+    """A vector of this length at right angles to ``v`` (an array of two or more), in a direction from a hash of the keys; zeros for zeros."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    u = F.transform(v, lambda x, i: uniform(-1.0, 1.0, *keys, i))
+    w = F.zip_with(u, v, lambda x, y: x - y * dot(u, v) / dot(v, v))
+    return F.when(dot(v, v) == 0, v).otherwise(F.transform(w, lambda x: x * length / F.sqrt(dot(w, w))))
+
+
 def shuffled(df: DataFrame, *key: str, seed: int = 0) -> DataFrame:
     """Rows in an order that a hash of (seed, key) gives."""
     return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
