@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .forest import AXES, LOCAL, same
-from .graph import _cut, simplify
+from .graph import _cut, simplify, spread
 from .joins import radius_pairs
 
 
@@ -55,5 +55,5 @@ def covers(points: DataFrame, d: float = 6.0, key: str = "track_id", local: int
         q = simplify(pdf[list(AXES)].to_numpy(float), d)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(q), **{c: q[:, k] for k, c in enumerate(AXES)}})
 
-    near = small.groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, x double, y double, z double")
+    near = spread(small, key).groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, x double, y double, z double")
     return near if size.where(f"n > {local}").isEmpty() else near.unionByName(by_rounds(large, d, key))

@@ -26,7 +26,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Tree, _cut, spanning_tree
+from .graph import Tree, _cut, spanning_tree, spread
 
 #: Points of a key up to which one task spans them; results do not depend on it.
 LOCAL = 2000
@@ -239,7 +239,7 @@ def spanning_trees(points: DataFrame, key: str = "track_id", local: int = LOCAL)
         rows = [[pdf[key].iloc[0], *at[min(a, b)], *at[max(a, b)]] for a, b in spanning_tree(at)]
         return pd.DataFrame(rows, columns=[key, "ax", "ay", "az", "bx", "by", "bz"])
 
-    near = small.groupBy(key).applyInPandas(run, spec)
+    near = spread(small, key).groupBy(key).applyInPandas(run, spec)
     if size.where(f"n > {local}").isEmpty():
         return near
     ends = by_rounds(large, key)

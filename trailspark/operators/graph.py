@@ -79,6 +79,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by key over all shuffle partitions: groups that take long for their size should not be joined into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def numbered(nodes: DataFrame) -> DataFrame:
     """``node, idx``: places from 0 in ascending order, without bringing the nodes into one task: rows of a sorted partition count on from those before."""
     rows = _cut(nodes.select("node").orderBy("node")).select("node", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_r"))
