@@ -285,3 +285,29 @@ def test_join_equals_its_sql(spark, sf_dir):
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
     want = con.sql(registry.SQL["op1_ngram_join"]).fetchall()
     assert sorted(tuple(r) for r in registry.op1_ngram_join(spark, sf_dir).collect()) == sorted(want)
+
+
+def test_components_do_not_depend_on_what_a_task_takes(spark):
+    from trailspark.llm.components import components
+
+    rng = random.Random(5)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(260)]
+    edges += [(7, 7), (-5, 9), (9, -5), (1 << 62, 100)] + [(5000, 5001 + k) for k in range(50)]
+    rng.shuffle(edges)
+    least = {}
+    for a, b in edges:
+        if a != b:
+            least.setdefault(a, a), least.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a != b and least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    want = {(k, v) for k, v in least.items() if k != v}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for most in (1, 40, 1 << 19):
+        got = components(table, most).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert components(table.where("a = b")).count() == 0

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +27,63 @@ def marked(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi")), F.bit_xor(F.xxhash64("hi", F.lit(7), "lo"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, label`` for every node of ``edges (a, b)``: the smallest node it reaches.
+#: Edges that one task ties at a time, 16 bytes each.
+EDGES = 1 << 19
 
-    Alternates large-star and small-star steps; each round's table is written to
-    the shared folder. Rounds grow with the logarithm of the largest component's
-    diameter.
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and the least node that each reaches by these."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        apart = lo < hi
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, hi[apart], lo[apart])
+        while (label[label] < label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def tied(pairs: DataFrame, most: int) -> DataFrame:
+    """``lo, hi``: the same components by fewer pairs. A task ties ``most`` of its pairs at a time: every node to the least that it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def stars() -> pa.RecordBatch:
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+            node, least = least_reached(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(least[least < node]), pa.array(node[least < node])], ["lo", "hi"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= most:
+                yield stars()
+                held.clear()
+        if held:
+            yield stars()
+
+    return pairs.mapInArrow(run, "lo long, hi long")
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """``node, label`` for every node of ``edges (a, b)``, numbers without nulls: the smallest node it reaches.
+
+    Tasks tie their own edges first. Up to ``most`` pairs that are left go to one
+    task, a bounded one; more alternate large-star and small-star steps until as
+    few are left or nothing changes. Each round's table is written to the shared
+    folder. Rounds grow with the logarithm of the largest component's diameter.
+    Labels don't depend on ``most``.
     """
-    pairs = written(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-    before = marked(pairs)
-    if not before[0]:
-        return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
-    while True:
+    pairs = written(tied(edges.where("a <> b").select(F.col("a").cast("long").alias("lo"), F.col("b").cast("long").alias("hi")), most))
+    n = pairs.count()
+    before = None
+    while n > most:
+        if before is None:
+            pairs = written(pairs.distinct())
+            before = marked(pairs)
         # large star: neighbours above a node join the least of its neighbourhood
         both = pairs.unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))  # lo: centre, hi: neighbour
         least = both.groupBy("lo").agg(F.least(F.min("hi"), F.col("lo")).alias("m"))
@@ -48,4 +96,8 @@ def components(edges: DataFrame) -> DataFrame:
         # finished when nothing changes: every upper node has one label and no label is an upper node
         if after == before:
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
-        before = after
+        before, n = after, after[0]
+    if not n:
+        return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
+    # one task takes all that is left in one go
+    return written(tied(pairs.coalesce(1), most + 1)).select(F.col("hi").alias("node"), F.col("lo").alias("label"))
