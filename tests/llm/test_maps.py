@@ -92,6 +92,18 @@ def test_packing(spark, sf_dir, odd, odd_rows, empty, library):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_does_not_depend_on_the_order_of_a_task(spark):
+    rows = [(k % 60 if k % 7 else None, "some words of a text " * (k % 60 * 40)) for k in range(120)] + [(5, "again and again")] * 300
+    rows += [(1 << 62, "long " * 9000)]
+    each = []
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        each.append(sorted(map(str, packing.pack_documents(docs, group=20).collect())))
+    assert each[0] == each[1] == each[2]
+    rows = spark.createDataFrame([(5, "again and again")] * 300, "doc_id long, text string").coalesce(1)
+    assert packing.pieces(rows, 10).select("grp").distinct().count() == 10
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_first_fit_equals_a_scan(sizes):

@@ -2,8 +2,10 @@
 
 A document is its token ids and the id 1; it is cut into pieces of at most
 ``CAPACITY`` ids, whole ones from its start. Pieces are dealt at random (by a
-hash of their row's place in the scan, so repeated rows spread too) over groups
-of about ``GROUP`` documents; in a group the longest piece goes first, into the
+hash of document, start, checksum and task; of equal pieces of a task, which are
+interchangeable, by their number too, so repeated rows spread and a task that
+runs again deals the same whatever the order of its rows) over groups of about
+as many as ``GROUP`` documents have; in a group the longest piece goes first, into the
 first sequence with room, found in a tournament tree whose inner nodes hold the
 largest free capacity below them. Only sizes are shuffled, never texts.
 
@@ -12,7 +14,7 @@ faster of two implementations that give equal ids (held to each other in the
 tests); a text that this one can't take goes to the other.
 
 Empty or null texts are one piece of one id. Ties in length go by document,
-start and checksum. An empty table gives no pieces.
+start, checksum and the document's ids. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ CAPACITY = 2048
 GROUP = 4096
 END = 1
 VOCABULARY = "byte_bpe_50k"
+#: Stands for a missing id where pieces are dealt.
+NO_ID = (1 << 63) - 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long"
 SPEC = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -115,20 +119,25 @@ def pieces(docs: DataFrame, groups: int, capacity: int = CAPACITY, vocabulary: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, row = encoder(vocabulary), np.uint64(0)
-        salt = np.uint64(TaskContext.get().partitionId()) << np.uint64(40)
+        encode, seen = encoder(vocabulary), {}
+        task = common.mix64(np.array([TaskContext.get().partitionId()], np.uint64))
         for batch in common.slices(batches):
-            rows: list[list] = [[] for _ in range(6)]
-            n = batch.num_rows
-            group = (common.mix64(salt + row + np.arange(n, dtype=np.uint64)) % np.uint64(groups)).tolist()
-            row += np.uint64(n)
-            for i, text, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), group, strict=True):
+            rows: list[list] = [[] for _ in range(5)]
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text), END).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     part = ids[at : at + capacity]
-                    for col, v in zip(rows, (i, at, len(part), zlib.crc32(part.tobytes()), len(ids), g), strict=True):
+                    for col, v in zip(rows, (i, at, len(part), zlib.crc32(part.tobytes()), len(ids)), strict=True):
                         col.append(v)
-            yield common.as_arrow(PIECES, dict(zip((f.split(" ")[0] for f in PIECES.split(", ")), rows, strict=True)))
+            key = np.broadcast_to(task, len(rows[0]))
+            for values in ([NO_ID if i is None else i for i in rows[0]], *rows[1:]):
+                key = common.mix64(key + np.array(values, np.int64).astype(np.uint64))
+            turn = []
+            for k in key.tolist():
+                turn.append(seen.get(k, 0))
+                seen[k] = turn[-1] + 1
+            group = (common.mix64(key + np.array(turn, np.uint64)) % np.uint64(groups)).astype(np.int64)
+            yield common.as_arrow(PIECES, dict(zip((f.split(" ")[0] for f in PIECES.split(", ")), (*rows, group), strict=True)))
 
     return common.id_text(docs).mapInArrow(run, PIECES)
 
@@ -138,7 +147,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
     groups = max(1, -(-docs.count() // group))
 
     def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
         placed = np.array(pack(t["length"].to_pylist(), capacity), np.int64).reshape(-1, 2)
         g = t["grp"][0].as_py()
         return t.drop_columns(["grp"]).append_column("sequence_id", pa.array((g << 32) + placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
