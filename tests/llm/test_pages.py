@@ -178,6 +178,13 @@ def test_page_structure():
     assert texts(["", "<p", "plain", "<!-- x", "<p>a < b & c &am"]) == [("", 0), ("", 0), ("plain", 0), ("", 0), ("a < b & c &am", 0)]
 
 
+def test_formulas_stand_ins_and_hidden_elements_of_an_article_are_text():
+    inner = "<p>Let <math><mi>x</mi> <mo>=</mo> 2</math>.</p><p hidden>Later</p><video>no player</video><p><span aria-hidden=true>so</span> on</p><object>a plan</object><audio>a song</audio>"
+    page = f"<body><div hidden>menu</div><article>{inner}<svg><text>drawn</text></svg><script>x()</script></article><p aria-hidden='true'>end</p></body>"
+    kept = html_text.vouched(html_text.blocks(page))
+    assert [b.text for b in kept] == ["Let x = 2.", "Later", "no player", "so on", "a plana song"]
+
+
 def test_repeated_runs_leave_pages_without_an_article():
     chrome = "read our daily letter and write to us at the desk below"
     pages = [f"<body><div>{chrome}</div><div>s{k} story of its own with words {k * 7} and more {k}</div><div>tail {k}</div></body>" for k in range(4)]
