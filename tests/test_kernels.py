@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests import fits_by_hand as hand
 from tests.curves_by_hand import displacements_by_hand
+from tests.shuffled import shuffled
 from trailspark.operators import cover, curves, fitting, forest, graph, joins, likelihood, mixture, regression, simulate, streams32, tracks, triangles
 
 
@@ -503,3 +504,20 @@ def test_an_edge_of_gaps(spark):
     pairs = tracks.all_lags(p, ["x"]).withColumn("dir", F.signum(F.col("x2") - F.col("x1")))
     got = {(r.t1, r.delta): r.reldir for r in tracks.arrivals(pairs).collect()}
     assert got[(1, 2)] is None and got[(3, 1)] is None and got[(4, 1)] == -1.0 and got[(3, 2)] == -1.0
+
+
+def test_pairs_of_many_dimensions_are_sent_once_a_tile(spark):
+    """In many dimensions no bound by a centre holds: points go once to each tile of the other side, whatever their distances."""
+    rng = np.random.default_rng(31)
+    p = rng.normal(size=(600, 32)) + 1e6
+    df = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(p)], "g long, id long, pos array<double>").repartition(3).cache()
+    odd = spark.createDataFrame([(1, 900, [math.nan] * 32), (1, 901, None), (1, 902, [0.0]), (1, 903, [None] * 32)], df.schema)
+    d2 = ((p[:, None] - p) ** 2).sum(2)
+    sides = df.unionByName(odd), df.where("id % 2 = 1").unionByName(odd.where("id <> 902")).select("g", F.col("id").alias("c"), F.col("pos").alias("cpos"))
+    found = []
+    rows, _ = shuffled(spark, lambda: found.extend(joins.nearest(*sides, ["g"], "id", "pos", "c", "cpos").collect()))
+    assert {r.id: r.c for r in found} == {k: int(d2[k, 1::2].argmin()) * 2 + 1 for k in range(600)}
+    assert rows < 4000
+    far = joins.farthest_pair(df.unionByName(odd), ["g"], "id", "pos").collect()
+    a, b = divmod(int(d2.argmax()), 600)
+    assert [(r.a, r.b) for r in far] == [(a, b)]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions import vectors as V
 
+from .graph import spread
+
 
 def radius_pairs(points: DataFrame, d: float, key: Sequence[str], cols: Sequence[str] = ("x", "y", "z"), by: str = "t") -> DataFrame:
     """Ordered pairs of a group's points nearer than ``d`` (each point with itself too), as ``<by>1, <by>2``.
@@ -25,8 +30,8 @@ def radius_pairs(points: DataFrame, d: float, key: Sequence[str], cols: Sequence
     return a.join(b, [*key, *(f"_{c}" for c in cols)]).where(sq < d * d).select(*key, f"{by}1", f"{by}2")
 
 
-#: Points of a side of a tile, and rings of a group at most.
-TILE, RINGS = 512, 64
+#: Points of a side of a tile, and rows of it that are held against the other side at once.
+TILE, ROWS = 4096, 512
 
 
 def centres(points: DataFrame, key: Sequence[str], pos: str) -> DataFrame:
@@ -35,30 +40,74 @@ def centres(points: DataFrame, key: Sequence[str], pos: str) -> DataFrame:
     return each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("_centre"))
 
 
+def known(points: DataFrame, pos: str) -> DataFrame:
+    """Points all of whose coordinates are known and finite, with their number in ``_dim``; others are at no distance from any."""
+    whole = F.forall(pos, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return points.where(F.coalesce(whole, F.lit(False))).withColumn("_dim", F.size(pos))
+
+
+def positions(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length as rows."""
+    return np.concatenate([np.asarray(c.flatten()) for c in column.chunks]).reshape(len(column), -1)
+
+
+def squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, added up coordinate by coordinate."""
+    d2 = np.zeros(len(p))
+    for k in range(p.shape[1]):
+        d2 += (p[:, k] - q[:, k]) ** 2
+    return d2
+
+
+def products(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Some rows of ``p`` at a time: the first one's number, squared distances to all of ``q`` by one product of matrices, and how far off these may be, by row."""
+    middle = q.mean(0)
+    p, q = p - middle, q - middle
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    slack = np.finfo(float).eps * 4 * (p.shape[1] + 8)
+    for at in range(0, len(p), ROWS):
+        part = slice(at, at + ROWS)
+        yield at, pp[part, None] + qq - 2 * (p[part] @ q.T), slack * (pp[part] + qq.max())
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, key: Sequence[str], query_id: str, pos: str, cand_id: str, cand_pos: str) -> DataFrame:
     """Nearest candidate of each query in its group; ties go to the smaller candidate id.
 
-    Candidates lie in rings around their centre. A query first meets those of its
-    own ring and the one nearest to the centre, which bounds its distance; by the
-    triangle inequality only rings that this bound reaches from the query's own
-    distance can hold a nearer one, and these are met second. Joins are by group
-    and ring, minima are partial aggregations.
+    Queries and candidates meet in tiles of ``TILE`` by ``TILE``, so a point is sent
+    once for each tile of the other side. In a tile one product of matrices gives
+    all distances up to rounding; what rounding can't tell from the least is
+    measured exactly. Minima over tiles are partial aggregations.
     """
-    key = list(key)
-    centre = centres(candidates.select(*key, F.col(cand_pos).alias("_p")), key, "_p")
-    c = candidates.select(*key, cand_id, cand_pos).join(centre, key).withColumn("_r", F.sqrt(V.distance_sq(F.col(cand_pos), F.col("_centre")))).drop("_centre")
-    of = c.groupBy(*key).agg(F.max("_r").alias("_far"), F.least(F.ceil(F.sqrt(F.count("*"))), F.lit(RINGS)).alias("_rings"), F.min_by(F.struct(cand_id, cand_pos), F.struct("_r", cand_id)).alias("_mid")).join(centre, key)
-    ring = lambda r: F.when(F.col("_far") > 0, F.least(F.floor(F.greatest(r, F.lit(0.0)) / F.col("_far") * F.col("_rings")), F.col("_rings") - 1)).otherwise(0).cast("int")
-    c = c.join(of.select(*key, "_far", "_rings"), key).withColumn("_ring", ring(F.col("_r"))).select(*key, cand_id, cand_pos, "_ring")
-    q = queries.select(*key, query_id, pos).join(of, key).withColumn("_r", F.sqrt(V.distance_sq(F.col(pos), F.col("_centre")))).withColumn("_ring", ring(F.col("_r")))
-    d = F.struct(V.distance_sq(F.col(pos), F.col(cand_pos)).alias("d2"), F.col(cand_id).alias(cand_id))
-    mid = F.struct(V.distance_sq(F.col(pos), F.col(f"_mid.{cand_pos}")).alias("d2"), F.col(f"_mid.{cand_id}").alias(cand_id))
-    one = q.join(c, [*key, "_ring"], "left").groupBy(*key, query_id).agg(F.min(F.when(F.col(cand_id).isNotNull(), d)).alias("_one"))
-    bounded = q.join(one, [*key, query_id]).withColumn("_best", F.least(F.col("_one"), mid)).withColumn("_b", F.sqrt("_best.d2") * (1 + 1e-9) + 1e-12)
-    reach = F.filter(F.sequence(ring(F.col("_r") - F.col("_b")), ring(F.col("_r") + F.col("_b"))), lambda x: x != F.col("_ring"))
-    two = bounded.select(*key, query_id, pos, F.explode(reach).alias("_ring")).join(c, [*key, "_ring"]).groupBy(*key, query_id).agg(F.min(d).alias("_two"))
-    best = bounded.select(*key, query_id, "_best").join(two, [*key, query_id], "left").withColumn("best", F.least("_best", "_two"))
-    return best.select(*key, query_id, F.col(f"best.{cand_id}").alias(cand_id), F.col("best.d2").alias("d2"))
+    by = [*key, "_dim"]
+    q = known(queries, pos).select(*by, F.col(query_id).alias("_q"), F.col(pos).alias("_p"))
+    c = known(candidates, cand_pos).select(*by, F.col(cand_id).alias("_c"), F.col(cand_pos).alias("_p"))
+    tiles = lambda d, n: d.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias(n))
+    size = tiles(q, "_nq").join(tiles(c, "_nc"), by)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    q = q.join(size, by).select(*by, own("_q", "_nq").alias("_i"), every("_nc").alias("_j"), "_q", F.lit(None).alias("_c"), "_p")
+    c = c.join(size, by).select(*by, every("_nq").alias("_i"), own("_c", "_nc").alias("_j"), F.lit(None).alias("_q"), "_c", "_p")
+    both = spread(q.unionByName(c), *by, "_i", "_j")
+    out = both.select(*key, "_q", "_c").withColumn("_d2", F.lit(0.0)).schema
+
+    def meet(t: pa.Table) -> pa.Table:
+        of = pc.is_valid(t.column("_c"))
+        q, c = t.filter(pc.invert(of)), t.filter(of).sort_by("_c")
+        if not len(q) or not len(c):
+            return pa.table({n: t.column(n).slice(0, 0) if n != "_d2" else pa.array([], pa.float64()) for n in out.names})
+        p, x = positions(q.column("_p")), positions(c.column("_p"))
+        best, at = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
+        for first, d2, off in products(p, x):
+            rows, cols = np.nonzero(d2 <= (d2.min(1) + 2 * off)[:, None])
+            exact = squares(p[first + rows], x[cols])
+            order = np.lexsort((cols, exact, rows))
+            order = order[np.r_[True, rows[order][1:] != rows[order][:-1]]]
+            best[first + rows[order]], at[first + rows[order]] = exact[order], cols[order]
+        return pa.table([*(q.column(k) for k in key), q.column("_q"), c.column("_c").take(pa.array(at)), pa.array(best)], names=out.names)
+
+    found = both.groupBy(*by, "_i", "_j").applyInArrow(meet, out)
+    best = found.groupBy(*key, "_q").agg(F.min(F.struct(F.col("_d2").alias("d2"), F.col("_c").alias("c"))).alias("best"))
+    return best.select(*key, F.col("_q").alias(query_id), F.col("best.c").alias(cand_id), F.col("best.d2").alias("d2"))
 
 
 def farthest_pair(points: DataFrame, key: Sequence[str], point_id: str, pos: str) -> DataFrame:
@@ -67,21 +116,54 @@ def farthest_pair(points: DataFrame, key: Sequence[str], point_id: str, pos: str
     The point farthest from the centre and the one farthest from it give a lower
     bound; a point of the farthest pair is at least the bound less the radius away
     from the centre. Those that are meet in tiles of ``TILE`` by ``TILE`` points, so
-    no group is joined as one.
+    no group is joined as one. A tile gives its farthest pair: one product of
+    matrices finds what may be it, exact distances decide.
     """
-    key = list(key)
-    p = points.select(*key, F.col(point_id).alias("_id"), F.col(pos).alias("_p"))
+    groups, key = list(key), [*key, "_dim"]
+    p = known(points, pos).select(*key, F.col(point_id).alias("_id"), F.col(pos).alias("_p"))
     p = p.join(centres(p, key, "_p"), key).withColumn("_r", F.sqrt(V.distance_sq(F.col("_p"), F.col("_centre")))).drop("_centre")
     out = p.groupBy(*key).agg(F.max("_r").alias("_most"), F.max_by("_p", F.struct("_r", "_id")).alias("_end"))
     bound = p.join(out, key).groupBy(*key).agg(F.sqrt(F.max(V.distance_sq(F.col("_p"), F.col("_end")))).alias("_least"), F.max("_most").alias("_most"))
     left = p.join(bound, key).where(F.col("_r") >= (F.col("_least") - F.col("_most")) * (1 - 1e-9) - 1e-12).select(*key, "_id", "_p")
     tiles = left.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_n"))
     left = left.join(tiles, key).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
-    a = left.select(*key, F.col("_id").alias("_a"), F.col("_p").alias("_pa"), F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("_j"))
-    b = left.select(*key, F.col("_id").alias("_b"), F.col("_p").alias("_pb"), F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"))
-    pairs = a.join(b, [*key, "_i", "_j"]).where("_i < _j and _a <> _b or _a < _b").select(*key, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), V.distance_sq(F.col("_pa"), F.col("_pb")).alias("d2"))
-    best = pairs.groupBy(*key).agg(F.max(F.struct(F.col("d2"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("m"))
-    return best.select(*key, (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"), F.col("m.d2").alias("d2"))
+    up, down = F.explode(F.sequence("_own", F.col("_n") - 1)), F.explode(F.sequence(F.lit(0), "_own"))
+    a = left.select(*key, F.col("_own").alias("_i"), up.alias("_j"), F.lit(True).alias("_first"), "_id", "_p")
+    b = left.select(*key, down.alias("_i"), F.col("_own").alias("_j"), F.lit(False).alias("_first"), "_id", "_p")
+    both = spread(a.unionByName(b), *key, "_i", "_j")
+    out = both.select(*groups, F.col("_id").alias("a"), F.col("_id").alias("b")).withColumn("d2", F.lit(0.0)).schema
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_id")
+        a, b = t.filter(t.column("_first")), t.filter(pc.invert(t.column("_first")))
+        if not len(a) or not len(b):
+            return pa.table([*(t.column(k).slice(0, 0) for k in (*groups, "_id", "_id")), pa.array([], pa.float64())], names=out.names)
+        p, x = positions(a.column("_p")), positions(b.column("_p"))
+        ranks = pc.rank(pa.chunked_array([*a.column("_id").chunks, *b.column("_id").chunks]), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+        i, j = ranks[: len(p)], ranks[len(p) :]
+        best = None
+        for first, d2, off in products(p, x):
+            d2[i[first : first + ROWS, None] == j] = -np.inf  # a point and itself
+            most = (d2.max(1) - 2 * off).max()
+            if most == -np.inf or (best is not None and (d2.max(1) + 2 * off).max() < best[0]):
+                continue
+            rows, cols = np.nonzero(d2 + 2 * off[:, None] >= most)
+            exact = squares(p[first + rows], x[cols])
+            rows, cols = rows[exact == exact.max()] + first, cols[exact == exact.max()]
+            lo, hi = np.minimum(i[rows], j[cols]), np.maximum(i[rows], j[cols])
+            k = np.lexsort((hi, lo))[0]
+            found = (exact.max(), -lo[k], -hi[k], rows[k], cols[k])
+            best = found if best is None or found > best else best
+        if best is None:
+            return pa.table([*(t.column(k).slice(0, 0) for k in (*groups, "_id", "_id")), pa.array([], pa.float64())], names=out.names)
+        ends = [a.column("_id").slice(best[3], 1), b.column("_id").slice(best[4], 1)]
+        if i[best[3]] > j[best[4]]:
+            ends.reverse()
+        return pa.table([*(t.column(k).slice(0, 1) for k in groups), *ends, pa.array([best[0]])], names=out.names)
+
+    pairs = both.groupBy(*key, "_i", "_j").applyInArrow(meet, out)
+    best = pairs.groupBy(*groups).agg(F.max(F.struct(F.col("d2"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("m"))
+    return best.select(*groups, (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"), F.col("m.d2").alias("d2"))
 
 
 def unclaimed(surfaces: DataFrame, spots: DataFrame) -> tuple[DataFrame, DataFrame]:
