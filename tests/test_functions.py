@@ -125,3 +125,27 @@ def test_voxels(spark):
     p = spark.createDataFrame([(0, 2.0, 2.0, 2.0), (0, 0.4, 2.0, 2.0), (0, 9.0, 2.0, 2.0)], "t int, x double, y double, z double")
     assert [r.inside for r in surfaces.lookup(p, v, (0, 0, 0), (4, 4, 4), (1, 1, 1)).orderBy("x").collect()] == [False, True, False]
 
+
+
+def test_near_pairs_equal_pairs_at_every_lag(spark):
+    """Across blocks, with gaps and with more lags than a block has frames."""
+    rows = [(k, t, float((t * t * (k + 3)) % 17 - 8)) for k in range(3) for t in range(40) if (t * 7 + k) % 5 or k == 0]
+    d = spark.createDataFrame(rows, "track_id long, t long, x double")
+    pairs = tracks.arrivals(tracks.all_lags(d, ["x"], 6).withColumn("dir", F.signum(F.col("x2") - F.col("x1"))))
+    want = sorted((r.track_id, r.t1, r.t2, r.delta, r.x1, r.x2, r.reldir or 0) for r in pairs.collect())
+    for block in (4, 16, 4096):
+        near = tracks.near_pairs(d, 6, ["x"], block=block)
+        near = near.withColumn("reldir", F.when(F.col("before").isNotNull(), F.when(F.col("before") == F.col("dir"), 1.0).otherwise(-1.0)))
+        assert sorted((r.track_id, r.t1, r.t2, r.delta, r.x, r.x2, r.reldir or 0) for r in near.collect()) == want
+
+
+def test_displacements_send_a_point_a_few_times(spark, sf_dir):
+    """Not once for each lag; and no side is sent whole for its small file."""
+    from tests.shuffled import shuffled
+    from trailspark.sources import tables
+
+    d = tables.displacements(spark, sf_dir)
+    n = tables.table(spark, sf_dir, "events").count()
+    rows, _ = shuffled(spark, lambda: d.write.format("noop").mode("overwrite").save())
+    assert n <= rows < 4 * n
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
