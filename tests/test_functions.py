@@ -149,3 +149,12 @@ def test_displacements_send_a_point_a_few_times(spark, sf_dir):
     rows, _ = shuffled(spark, lambda: d.write.format("noop").mode("overwrite").save())
     assert n <= rows < 4 * n
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_tracks_are_not_broadcast(spark, sf_dir):
+    """A small file may hold many rows, which radius joins repeat 27 times."""
+    from trailspark.sources import tables
+
+    t = tables.tracks(spark, sf_dir)
+    for d in (joins.radius_pairs(t, 6.0, ["track_id"]), tracks.pairwise(t, 3, ["x"]), tracks.all_lags(t, ["x"], 3)):
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()

@@ -19,7 +19,8 @@ def radius_pairs(points: DataFrame, d: float, key: Sequence[str], cols: Sequence
     """Ordered pairs of a group's points nearer than ``d`` (each point with itself too), as ``<by>1, <by>2``.
 
     Points meet by grid cells of side ``d``: one side is repeated into its 3^k
-    neighbouring cells, so the join is an equi-join and no group is paired whole.
+    neighbouring cells, so the join is an equi-join and no group is paired whole. The
+    size of a file says little of those rows: neither side is sent whole.
     """
     cell = lambda c: F.floor(F.col(c) / d).cast("long")
     a = points.select(*key, F.col(by).alias(f"{by}1"), *(F.col(c).alias(f"{c}1") for c in cols), *(cell(c).alias(f"_{c}") for c in cols))
@@ -27,7 +28,7 @@ def radius_pairs(points: DataFrame, d: float, key: Sequence[str], cols: Sequence
     for c in cols:
         b = b.withColumn(f"_{c}", F.explode(F.array(*((F.floor(F.col(f"{c}2") / d) + o).cast("long") for o in (-1, 0, 1)))))
     sq = sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in cols), F.lit(0.0))
-    return a.join(b, [*key, *(f"_{c}" for c in cols)]).where(sq < d * d).select(*key, f"{by}1", f"{by}2")
+    return a.join(b.hint("merge"), [*key, *(f"_{c}" for c in cols)]).where(sq < d * d).select(*key, f"{by}1", f"{by}2")
 
 
 #: Points of a side of a tile, and rows of it that are held against the other side at once.

@@ -69,7 +69,7 @@ def pairwise(points: DataFrame, delta: int, cols: Sequence[str], key: Sequence[s
     """Points of a track ``delta`` frames apart: an equi-join on the shifted frame."""
     a = points.select(*key, F.col("t").alias("t1"), *(F.col(c).alias(f"{c}1") for c in cols), (F.col("t") + delta).alias("_t"))
     b = points.select(*key, F.col("t").alias("_t"), F.col("t").alias("t2"), *(F.col(c).alias(f"{c}2") for c in cols))
-    return a.join(b, [*key, "_t"]).drop("_t")
+    return a.join(b.hint("merge"), [*key, "_t"]).drop("_t")
 
 
 #: Frames of a side of a tile of pairs.
@@ -92,10 +92,10 @@ def all_lags(points: DataFrame, cols: Sequence[str], lags: int | None = None, ke
         ends = points.groupBy(*key).agg(F.floor(F.min("t") / tile).cast("long").alias("_first"), F.floor(F.max("t") / tile).cast("long").alias("_last"))
         a = a.join(ends, list(key)).withColumn("_i", block("t1")).withColumn("_j", F.explode(F.sequence("_i", "_last"))).drop("_first", "_last")
         b = b.join(ends, list(key)).withColumn("_j", block("t2")).withColumn("_i", F.explode(F.sequence("_first", "_j"))).drop("_first", "_last")
-        return a.join(b, [*key, "_i", "_j"]).where("t2 > t1").withColumn("delta", F.col("t2") - F.col("t1")).drop("_i", "_j")
+        return a.join(b.hint("merge"), [*key, "_i", "_j"]).where("t2 > t1").withColumn("delta", F.col("t2") - F.col("t1")).drop("_i", "_j")
     steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(lags).cast("long")))
     a = a.withColumn("delta", steps).withColumn("t2", F.col("t1") + F.col("delta"))
-    return a.join(b, [*key, "t2"])
+    return a.join(b.hint("merge"), [*key, "t2"])
 
 
 def arrivals(pairs: DataFrame, direction: str = "dir", key: Sequence[str] = KEY, arriving: str | None = None) -> DataFrame:
