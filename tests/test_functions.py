@@ -1,5 +1,7 @@
 """Column functions, filters and histograms on edge cases."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,18 @@ def test_pairs_of_tracks_are_not_broadcast(spark, sf_dir):
     t = tables.tracks(spark, sf_dir)
     for d in (joins.radius_pairs(t, 6.0, ["track_id"]), tracks.pairwise(t, 3, ["x"]), tracks.all_lags(t, ["x"], 3)):
         assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidate_pdfs_equal_sql_off_the_supports(spark, tmp_path):
+    """Large tables have values beyond 799, where one family ends, and unknown ones."""
+    import duckdb
+
+    from trailspark.plans.queries import QUERIES, SQL
+
+    values = [0.0, 560.21, 798.99, 799.0, 799.01, 900.0, 1e5, None, math.nan]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(SQL["candidate_pdfs"] + " ORDER BY event_id").fetchall()
+    got = [tuple(r) for r in QUERIES["candidate_pdfs"](spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert list(map(str, got)) == list(map(str, want))

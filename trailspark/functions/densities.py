@@ -53,5 +53,6 @@ def standard(name: str, shapes: list[float], y: Column) -> Column:
 
 
 def density(name: str, params: list[float], x: Column) -> Column:
+    """NULL where ``x`` is."""
     *shapes, loc, scale = params
-    return standard(name, shapes, (x - loc) / scale) / scale
+    return F.when(x.isNotNull(), standard(name, shapes, (x - loc) / scale) / scale)
