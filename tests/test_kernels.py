@@ -521,3 +521,19 @@ def test_pairs_of_many_dimensions_are_sent_once_a_tile(spark):
     far = joins.farthest_pair(df.unionByName(odd), ["g"], "id", "pos").collect()
     a, b = divmod(int(d2.argmax()), 600)
     assert [(r.a, r.b) for r in far] == [(a, b)]
+
+
+def test_walks_by_rounds_equal_walks_on_a_broadcast(spark, monkeypatch):
+    """Graphs beyond the bound are walked whole, with the same rows."""
+    rng = np.random.default_rng(41)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (110, 2)).tolist() if a != b} | {(100, 101), (101, 102)})
+    e = spark.createDataFrame([(a, b, 0.4 + (a + b) % 3) for a, b in pairs], "a long, b long, weight double").cache()
+    runs = {
+        "brownian": lambda: simulate.simulate(e, 8, 10),
+        "mixture": lambda: simulate.simulate(e, 8, 10, "normal_mixture", (0.1, 0.4, 1.0, 0.5, 0.2, 0.1)),
+        "visits": lambda: simulate.walk_visits(e, 8, 40),
+    }
+    want = {k: sorted(map(tuple, run().collect())) for k, run in runs.items()}
+    monkeypatch.setattr(simulate, "BROADCAST_ARCS", 10)
+    monkeypatch.setattr(simulate, "AHEAD", 3)
+    assert {k: sorted(map(tuple, run().collect())) for k, run in runs.items()} == want

@@ -2,8 +2,9 @@
 
 Every choice is a hash of (seed, walker, step), so results don't depend on
 partitions or retries. Walkers are independent: they are rows dealt over tasks,
-each with the graph as a broadcast (its size is checked; a larger graph walks by
-joins, one step each).
+each with the graph as a broadcast after a check of its size. On a larger graph a
+walker gets the neighbours of the nodes it comes to by joins, in rounds; both ways
+give the same rows.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import _cut, numbered, undirected
+from .graph import _cut, numbered, spread, undirected
 
 #: Most arcs that are broadcast as adjacency lists.
-BROADCAST_ARCS = 5_000_000
+BROADCAST_ARCS = 1_000_000
+#: Nodes whose neighbours a walker asks for beforehand in a round, and known nodes up to which it does.
+AHEAD, NEAR = 2048, 16_384
 #: Fixed values of the coverage simulation: minutes, minutes of a step.
 TOTAL_MINUTES, STEP_MINUTES = 2880.0, 0.1715
 STEPS = int(TOTAL_MINUTES / STEP_MINUTES)
@@ -93,6 +98,32 @@ class Graph:
         return Position(p.head, p.tail, 1 - p.loc)
 
 
+class Missing(LookupError):
+    """A node whose neighbours are not known yet."""
+
+
+class Lists(dict):
+    def __missing__(self, node):
+        raise Missing(node)
+
+
+class Weights(dict):
+    """Weights of arcs, known from either end."""
+
+    def __missing__(self, arc):
+        if arc[::-1] in self:
+            return self[arc[::-1]]
+        raise Missing(arc[0])
+
+
+class Part(Graph):
+    """What is known of a graph: sorted (neighbour, weight) of some nodes."""
+
+    def __init__(self, lists: dict[int, list[tuple[int, float]]]):
+        self.adj = Lists(lists)
+        self.weight = Weights(((a, b), w) for a, v in lists.items() for b, w in v)
+
+
 Uniform = Callable[[], float]
 
 
@@ -149,13 +180,91 @@ def collected(edges: DataFrame, most: int = BROADCAST_ARCS) -> list[tuple[int, i
     return [(r.a, r.b, float(r.weight)) for r in edges.select("a", "b", "weight").orderBy("a", "b").collect()]
 
 
-def simulate(edges: DataFrame, cells: int, iterations: int, mover: str | Callable = "brownian", params: tuple = (1.0,), seed: int = 0, most: int = BROADCAST_ARCS) -> DataFrame:
-    """``iteration, cell_id, tail_id, head_id, edge_loc``: positions of independent walkers; iteration 0 is the start."""
+def fits(edges: DataFrame, most: int | None) -> bool:
+    """Whether the graph is broadcast: up to ``BROADCAST_ARCS``, or whatever is asked for."""
+    return most is not None or 2 * edges.count() <= BROADCAST_ARCS
+
+
+def rounds(edges: DataFrame, starts: DataFrame, walk: Callable, spec: str) -> DataFrame:
+    """Rows of walkers on a graph of any size: ``walk(known, cell)`` goes from the start with the nodes known, until it needs another.
+
+    ``starts``: ``cell_id, node``. Walks depend on the graph and the cell alone, so a
+    round begins them anew. What is missing, and what is next to known nodes, comes
+    by a join with the lists of neighbours; a group holds the lists of one walker.
+    """
+    arcs = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    lists = _cut(arcs.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list(F.struct("b", F.col("weight").cast("double").alias("w")))).alias("next")))
+    names = [f.split(" ")[0] for f in spec.split(", ")]
+
+    def one(t: pa.Table) -> pa.Table:
+        cell, known = t.column("cell_id")[0].as_py(), {}
+        for node, of in zip(t.column("node").to_pylist(), t.column("next"), strict=True):
+            known[node] = list(zip(of.values.field("b").to_pylist(), of.values.field("w").to_pylist(), strict=True))
+        try:
+            cols = walk(known, cell)
+            return pa.table([*cols, pa.nulls(len(cols[0]), pa.int64())], names=[*names, "want"])
+        except Missing as e:
+            ahead = sorted({b for v in known.values() for b, _ in v} - known.keys() - {e.args[0]})[:AHEAD] if len(known) <= NEAR else []
+            want = pa.array([e.args[0], *ahead], pa.int64())
+            return pa.table([pa.array([cell] * len(want), pa.int64()), *(pa.nulls(len(want), pa.float64() if f.endswith("double") else pa.int64()) for f in spec.split(", ")[1:]), want], names=[*names, "want"])
+
+    known, wanted, done = None, starts, []
+    while True:
+        got = wanted.join(lists, "node").select("cell_id", "node", "next")
+        known = _cut(got if known is None else known.unionByName(got))
+        out = _cut(spread(known, "cell_id").groupBy("cell_id").applyInArrow(one, spec + ", want long"))
+        done.append(out.where("want is null").drop("want"))
+        wanted = out.where("want is not null").select("cell_id", F.col("want").alias("node"))
+        if wanted.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        known = known.join(wanted.select("cell_id").distinct(), "cell_id", "left_semi")
+
+
+def places(spark: SparkSession, cells: int, n: int, first: Callable[[int], float]) -> DataFrame:
+    """``cell_id, idx``: a place below ``n`` for each walker from its first draw."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"cell_id": pdf["id"], "idx": [int(first(c) * n) for c in pdf["id"].tolist()]})
+
+    return spark.range(cells).mapInPandas(run, "cell_id long, idx long")
+
+
+def simulate(edges: DataFrame, cells: int, iterations: int, mover: str | Callable = "brownian", params: tuple = (1.0,), seed: int = 0, most: int | None = None) -> DataFrame:
+    """``iteration, cell_id, tail_id, head_id, edge_loc``: positions of independent walkers; iteration 0 is the start.
+
+    ``most``: the graph is broadcast and has at most so many arcs; by default its size decides.
+    """
     spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(collected(edges, most))
     move = MOVERS[mover] if isinstance(mover, str) else mover
     spec = "iteration long, cell_id long, tail_id long, head_id long, edge_loc double"
 
+    def positions(g: Graph, cell: int, edge: Callable[[float], tuple[int, int]]) -> list[tuple]:
+        u = uniforms(seed, cell, 0)
+        a, b = edge(u())
+        at = Position(a, b, u()) if u() < 0.5 else Position(b, a, u())
+        rows = [(0, cell, at.tail, at.head, at.loc)]
+        for k in range(1, iterations + 1):
+            at = move(g, at, uniforms(seed, cell, k), *params)
+            rows.append((k, cell, at.tail, at.head, at.loc))
+        return rows
+
+    if not fits(edges, most):
+        edges = _cut(edges)
+        ends = edges.select(F.struct("a", "b").alias("node"))
+        first = _cut(places(spark, cells, ends.count(), lambda cell: uniforms(seed, cell, 0)()).join(numbered(ends), "idx").select("cell_id", "node.a", "node.b"))
+        start = {r.cell_id: (r.a, r.b) for r in first.collect()}  # two numbers a walker
+
+        def walk(known: dict, cell: int) -> list:
+            cols = list(zip(*positions(Part(known), cell, lambda _: start[cell]), strict=True))
+            return [*(pa.array(cols[k], pa.int64()) for k in (1, 0, 2, 3)), pa.array(cols[4], pa.float64())]
+
+        wanted = first.select("cell_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+        return rounds(edges, wanted, walk, "cell_id long, iteration long, tail_id long, head_id long, edge_loc double").select("iteration", "cell_id", "tail_id", "head_id", "edge_loc")
+    shared = spark.sparkContext.broadcast(collected(edges, BROADCAST_ARCS if most is None else most))
+
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
@@ -163,23 +272,44 @@ def simulate(edges: DataFrame, cells: int, iterations: int, mover: str | Callabl
         g = Graph(listed)
         for pdf in batches:
             for cell in pdf["id"].tolist():
-                u = uniforms(seed, cell, 0)
-                a, b, _ = listed[int(u() * len(listed))]
-                at = Position(a, b, u()) if u() < 0.5 else Position(b, a, u())
-                rows = [(0, cell, at.tail, at.head, at.loc)]
-                for k in range(1, iterations + 1):
-                    at = move(g, at, uniforms(seed, cell, k), *params)
-                    rows.append((k, cell, at.tail, at.head, at.loc))
-                yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in spec.split(", ")])
+                yield pd.DataFrame(positions(g, cell, lambda u: listed[int(u * len(listed))][:2]), columns=[f.split(" ")[0] for f in spec.split(", ")])
 
     return spark.range(cells).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, spec)
 
 
-def walk_visits(edges: DataFrame, cells: int, steps: int = STEPS, seed: int = 0, most: int = BROADCAST_ARCS) -> DataFrame:
+def walk_visits(edges: DataFrame, cells: int, steps: int = STEPS, seed: int = 0, most: int | None = None) -> DataFrame:
     """``cell_id, node, first_step``: distinct nodes of walkers that never turn back but at dead ends, the start at step 0."""
     spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(collected(edges.withColumn("weight", F.lit(1.0)), most))
     spec = "cell_id long, node long, first_step long"
+    draw = lambda cell, n: np.random.Generator(np.random.Philox(key=np.array([seed, cell], np.uint64))).random(n)
+
+    def visits(adj: dict, cell: int, start: Callable[[float], int]) -> dict[int, int]:
+        draws = draw(cell, steps + 1)
+        node, prev = start(draws[0]), None
+        seen = {node: 0}
+        for k, x in enumerate(draws[1:].tolist(), 1):
+            around = adj[node]
+            if prev is None or len(around) == 1:
+                nxt = around[int(x * len(around))]
+            else:
+                i = int(x * (len(around) - 1))
+                nxt = around[i + (i >= around.index(prev))]
+            node, prev = nxt, node
+            seen.setdefault(node, k)
+        return seen
+
+    if not fits(edges, most):
+        edges = _cut(edges)
+        nodes = _cut(undirected(edges).select(F.col("a").alias("node")).distinct())
+        first = _cut(places(spark, cells, nodes.count(), lambda cell: draw(cell, 1)[0]).join(numbered(nodes), "idx").select("cell_id", "node"))
+        start = {r.cell_id: r.node for r in first.collect()}  # a number a walker
+
+        def walk(known: dict, cell: int) -> list:
+            seen = visits(Lists((k, [n for n, _ in v]) for k, v in known.items()), cell, lambda _: start[cell])
+            return [pa.array(c, pa.int64()) for c in ([cell] * len(seen), list(seen), list(seen.values()))]
+
+        return rounds(edges.withColumn("weight", F.lit(1.0)), first, walk, spec)
+    shared = spark.sparkContext.broadcast(collected(edges.withColumn("weight", F.lit(1.0)), BROADCAST_ARCS if most is None else most))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -188,18 +318,7 @@ def walk_visits(edges: DataFrame, cells: int, steps: int = STEPS, seed: int = 0,
         nodes = sorted(adj)
         for pdf in batches:
             for cell in pdf["id"].tolist():
-                draws = np.random.Generator(np.random.Philox(key=np.array([seed, cell], np.uint64))).random(steps + 1)
-                node, prev = nodes[int(draws[0] * len(nodes))], None
-                seen = {node: 0}
-                for k, x in enumerate(draws[1:].tolist(), 1):
-                    around = adj[node]
-                    if prev is None or len(around) == 1:
-                        nxt = around[int(x * len(around))]
-                    else:
-                        i = int(x * (len(around) - 1))
-                        nxt = around[i + (i >= around.index(prev))]
-                    node, prev = nxt, node
-                    seen.setdefault(node, k)
+                seen = visits(adj, cell, lambda u: nodes[int(u * len(nodes))])
                 yield pd.DataFrame({"cell_id": cell, "node": list(seen), "first_step": list(seen.values())})
 
     return spark.range(cells).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, spec)
