@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .forest import AXES, LOCAL, same
-from .graph import _cut, simplify, spread
+from .graph import _cut, by_group, columns, keyed, simplify
 from .joins import radius_pairs
 
 
@@ -49,11 +50,8 @@ def covers(points: DataFrame, d: float = 6.0, key: str = "track_id", local: int
     size = p.groupBy(key).agg(F.count("*").alias("n"))
     small, large = (p.alias("l").join(size.where(c).alias("r"), same([key]), "left_semi") for c in (f"n <= {local}", f"n > {local}"))
 
-    def run(pdf):
-        import pandas as pd
+    def run(t: pa.Table) -> pa.Table:
+        return keyed(t, [key], dict(zip(AXES, simplify(columns(t, AXES), d).T, strict=True)))
 
-        q = simplify(pdf[list(AXES)].to_numpy(float), d)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(q), **{c: q[:, k] for k, c in enumerate(AXES)}})
-
-    near = spread(small, key).groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, x double, y double, z double")
+    near = by_group(small, [key], run, f"{key} {dict(points.dtypes)[key]}, x double, y double, z double")
     return near if size.where(f"n > {local}").isEmpty() else near.unionByName(by_rounds(large, d, key))

@@ -23,10 +23,12 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Tree, _cut, spanning_tree, spread
+from .graph import Tree, _cut, by_group, columns, keyed, spanning_tree
 
 #: Points of a key up to which one task spans them; results do not depend on it.
 LOCAL = 2000
@@ -231,15 +233,12 @@ def spanning_trees(points: DataFrame, key: str = "track_id", local: int = LOCAL)
     small, large = (p.alias("l").join(size.where(c).alias("r"), same([key]), "left_semi") for c in (f"n <= {local}", f"n > {local}"))
     spec = f"{key} {dict(points.dtypes)[key]}, ax double, ay double, az double, bx double, by double, bz double"
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("id")
-        at = pdf[list(AXES)].to_numpy(float)
-        rows = [[pdf[key].iloc[0], *at[min(a, b)], *at[max(a, b)]] for a, b in spanning_tree(at)]
-        return pd.DataFrame(rows, columns=[key, "ax", "ay", "az", "bx", "by", "bz"])
+    def run(t: pa.Table) -> pa.Table:
+        at = columns(t.sort_by("id"), AXES)
+        edges = np.array(spanning_tree(at), int).reshape(-1, 2)
+        return keyed(t, [key], {f"{end}{c}": at[pick(edges, 1), k] for end, pick in (("a", np.min), ("b", np.max)) for k, c in enumerate(AXES)})
 
-    near = spread(small, key).groupBy(key).applyInPandas(run, spec)
+    near = by_group(small, [key], run, spec)
     if size.where(f"n > {local}").isEmpty():
         return near
     ends = by_rounds(large, key)
