@@ -35,3 +35,23 @@ def test_cells_left_out_hold_no_nearest_place():
 def test_groups_that_lie_by_key_are_dealt_again(spark):
     rows = spark.range(400).withColumn("k", F.col("id") % 20).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
     assert graph.spread(rows, "k").rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_layers_are_those_of_one_partition_or_many(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (70, 2)) if a != b})
+    e = spark.createDataFrame(pairs, "a long, b long")
+    near = {n: {b for a, b in pairs if a == n} | {a for a, b in pairs if b == n} for n in range(60)}
+    want, layer, h = {0: 0}, {0}, 0
+    while layer:
+        h += 1
+        layer = {m for n in layer for m in near[n]} - set(want)
+        want |= dict.fromkeys(layer, h)
+    for most in (8, graph.ARCS):
+        assert {r.node: r.hops for r in graph.hop_distances(e, 0, most).collect()} == want
+
+
+def test_partitions_follow_the_rows(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(1)
+    assert (graph.sized(df, 0), graph.sized(df, 10, 10), graph.sized(df, 10 * n + 1, 10)) == (n, n, n + 1)
