@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailspark.operators import curves, graph
+from trailspark.operators import curves, graph, quality
+from trailspark.plans import queries
+from trailspark.sources import tables
 
 
 @pytest.mark.parametrize("whole", [True, False])
@@ -55,3 +57,17 @@ def test_partitions_follow_the_rows(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = spark.range(1)
     assert (graph.sized(df, 0), graph.sized(df, 10, 10), graph.sized(df, 10 * n + 1, 10)) == (n, n, n + 1)
+
+
+def test_filters_send_points_not_pairs(spark, sf_dir):
+    """Rows of pairs stay where their track is, however large the files look."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("filter_short_tracks", "base_timestep_filter", "reduce_data", "filter_displacements"):
+            plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(track_id" in plan and "hashpartitioning(date" not in plan and "SortMergeJoin [exp_id" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    d = tables.displacements(spark, sf_dir)
+    by_id, by_all = (sorted(map(str, quality.moving_tracks(d, 300, k).collect())) for k in (("track_id",), quality.TRACK))
+    assert by_id == by_all and 0 < len(by_id) < d.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +24,15 @@ def remove_zeros(df: DataFrame, col: str = "disp") -> DataFrame:
     return df.where(~F.col(col).eqNullSafe(F.lit(0.0)))
 
 
-def moving_tracks(df: DataFrame, threshold: float = DISPLACEMENT) -> DataFrame:
+def moving_tracks(df: DataFrame, threshold: float = DISPLACEMENT, key: Sequence[str] = TRACK) -> DataFrame:
     """Rows of tracks whose largest pair displacement reaches the threshold; NaN and NULL don't count.
 
     The maximum is a partial aggregation and comes back by a semi-join, so a
-    track of many rows isn't sorted in one task.
+    track of many rows isn't sorted in one task. A task holds the keys of its
+    tracks. Rows that lie by just the columns of ``key`` are not sent again.
     """
-    top = df.groupBy(*TRACK).agg(F.max(F.when(~F.isnan("disp"), F.col("disp"))).alias("top")).where(F.col("top") >= threshold)
-    return df.join(top.select(*TRACK), list(TRACK), "left_semi")
+    top = df.groupBy(*key).agg(F.max(F.when(~F.isnan("disp"), F.col("disp"))).alias("top")).where(F.col("top") >= threshold)
+    return df.join(top.select(*key).hint("shuffle_hash"), list(key), "left_semi").select(*df.columns)
 
 
 def long_tracks(df: DataFrame, points: int = POINTS, duration: float = DURATION) -> DataFrame:
@@ -44,15 +45,15 @@ def with_experiment_id(df: DataFrame) -> DataFrame:
 
 
 def on_base(df: DataFrame, base: float, base_timesteps: DataFrame) -> DataFrame:
-    """Lags that the base divides, of experiments whose own base divides it. ``base_timesteps``: ``timestep, exp_id``."""
+    """Lags that the base divides, of experiments whose own base divides it. ``base_timesteps``: ``timestep, exp_id``, a list of experiments, which is sent whole."""
     fits = base_timesteps.where(F.try_mod(F.lit(float(base)), F.col("timestep")) == 0).select("exp_id").distinct()
-    return df.where(F.try_mod(F.col("lag"), F.lit(float(base))) == 0).join(fits, "exp_id", "left_semi")
+    return df.where(F.try_mod(F.col("lag"), F.lit(float(base))) == 0).join(F.broadcast(fits), "exp_id", "left_semi")
 
 
-def filter_displacements(df: DataFrame, base: float | None = None, base_timesteps: DataFrame | None = None, zeros: bool = True, dates: Iterable[str] = DATES, threshold: float = DISPLACEMENT) -> DataFrame:
+def filter_displacements(df: DataFrame, base: float | None = None, base_timesteps: DataFrame | None = None, zeros: bool = True, dates: Iterable[str] = DATES, threshold: float = DISPLACEMENT, key: Sequence[str] = TRACK) -> DataFrame:
     """The whole chain for imaging data."""
     d = on_dates(df, dates)
-    d = moving_tracks(d if zeros else remove_zeros(d), threshold)
+    d = moving_tracks(d if zeros else remove_zeros(d), threshold, key)
     d = with_experiment_id(long_tracks(d))
     return d if base is None else on_base(d, base, base_timesteps)
 
@@ -67,9 +68,9 @@ def derived(df: DataFrame) -> DataFrame:
     return df.withColumns({"disp_sq": F.col("disp") * F.col("disp"), "strt_disp_sq": F.col("strt_disp") * F.col("strt_disp"), "signed_disp": F.col("disp") * F.col("reldir")})
 
 
-def reduced(df: DataFrame, base_timesteps: DataFrame, base: float = 10, most: float = 120) -> DataFrame:
+def reduced(df: DataFrame, base_timesteps: DataFrame, base: float = 10, most: float = 120, key: Sequence[str] = TRACK) -> DataFrame:
     """Filtered for one base and cut at a largest lag."""
-    return filter_displacements(df, base, base_timesteps).where(F.col("lag") <= most)
+    return filter_displacements(df, base, base_timesteps, key=key).where(F.col("lag") <= most)
 
 
 def known(df: DataFrame, col: str) -> DataFrame:
