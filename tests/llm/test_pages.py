@@ -280,3 +280,44 @@ def test_odd_pages(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(df, part=1).collect()), key=str)
     assert got == sorted([(1, "http://a.b/c", "x", 1), (2, None, "", 0), (None, "junk", "y", 1), (1, "http://a.b/c", "x", 1)], key=str)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_an_article_that_all_pages_have_is_a_teaser():
+    teaser = "<article>read more about the new bridge over the river today</article>"
+    own = [" ".join(f"{word}{k}" for word in "this is the story that a page of the host has for its own".split()) for k in range(4)]
+    assert [t for t, _ in texts([f"<div>{x}</div>{teaser}" for x in own])] == own
+    # few words around a copied article are none
+    assert {t for t, _ in texts([f"{teaser}<div>page {k} of 4</div>" for k in range(4)])} == {"read more about the new bridge over the river today"}
+
+
+def test_runs_are_looked_for_on_every_page_at_any_part_size(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = [sorted(map(tuple, html_text.extract(pages, part=part).collect())) for part in (10_000, 9)]
+    assert got[0] == got[1] and len(got[0]) == pages.count()
+    each = {}
+    for r in pages.collect():
+        each.setdefault(r.url.split("/")[2].lower(), []).append(r)
+    want = {}
+    for rows in each.values():
+        found, on = [[w for b in html_text.blocks(r.html) for w in (*b.text.split(" "), "\n")] for r in rows], {}
+        for r, ws in zip(rows, found, strict=True):
+            for a in range(len(ws) - 7):
+                on.setdefault(tuple(ws[a : a + 8]), set()).add(r.page_id)
+        for r, ws in zip(rows, found, strict=True):
+            want[r.page_id] = len({a + x for a in range(len(ws) - 7) if len(on[tuple(ws[a : a + 8])]) >= 3 for x in range(8)})
+    assert {r[0]: r[4] for r in got[0]} == want and sum(n > 0 for n in want.values()) > 9
+
+
+def test_anchors_of_equal_runs_are_equal():
+    rng = np.random.default_rng(8)
+    pages = [[" ".join(f"w{v}" for v in rng.integers(0, 3, rng.integers(0, 40)))] for _ in range(9)] + [[]]
+    streams, tokens = html_text.token_streams(pages)
+    seen = {}
+    for s, found in zip(streams, html_text.anchors(streams, tokens), strict=True):
+        assert len(found) == max(len(s) - 7, 0)
+        for a, h in enumerate(found.tolist()):
+            assert seen.setdefault(tuple(s[a : a + 8]), h) == h
+    all_runs, n = html_text.run_counts(pages, list(range(10)))
+    assert len(all_runs) == len(n) == len(seen) and n.max() > 1
+    v = rng.integers(0, 1 << 40, 50).astype(np.uint64)
+    assert (html_text.unpacked(html_text.packed(v)) == v).all() and len(html_text.packed(v)) == 250

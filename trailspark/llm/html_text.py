@@ -5,20 +5,23 @@ white space). Structure settles what it can: scripts, styles, menus, headers,
 footers, asides, forms, notices, adverts and reader comments go, by element,
 role, or the words of class and id. Inside an article formulas, what stands in
 for media, and hidden elements are text like any other. A page with text in one article (or else
-one main element) is vouched for: these blocks are its text, whatever repeats.
-
-All else is decided by what the pages of a host repeat. What structure does not
-vouch for is one token stream a page, with block marks; the host's suffix array,
-by prefix doubling, gives every run of ``RUN`` tokens or more that occurs on
-``PAGES`` distinct pages or more. Pages without an article lose the covered runs
-of their open blocks and keep the unique ones; of several articles (teasers, say)
-those go that are covered by half or more, unless all are.
-
-Hosts without such a page need no runs, and none are looked for. A large host is
-looked at in parts, dealt by host and page: each part counts the pages of its
-runs by 128-bit hashes, the counts of all parts are added, and each part marks
-its runs by the sums, so the part size changes no result (hashes stand for
-tokens; runs of equal hashes are not compared).
+one main element) is vouched for by structure.
+
+The runs of a host have their say on every page. A page is one token stream of
+all its blocks, with block marks; the host's suffix array, by prefix doubling,
+gives every run of ``RUN`` tokens or more that occurs on ``PAGES`` distinct pages
+or more. Of several articles (teasers, say) those go that are covered by half or
+more. Where all are, one or several, they are teasers if the uncovered words of
+the blocks around them outnumber theirs, which then are the text, and the text
+otherwise. Pages without an article lose the covered runs of their open blocks
+and keep the unique ones.
+
+A large host is looked at in parts, dealt by host and page; the part size changes
+no result. Each part has its suffix array, and classes of equal runs of the parts
+meet by 128-bit hashes, where their pages are added (hashes stand for tokens).
+Few runs need to meet: each has an anchor, the least hash of its strings of
+``ANCHOR`` tokens, which equal runs share. Parts first send their anchors, five
+bytes each, and then only runs whose anchor may lie on enough pages.
 
 Null or empty html: empty text. Pages cut short: an unfinished tag at the end is
 no text. Null urls form a host of their own. Repeated rows get equal results
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import written
 
-RUN, PAGES = 8, 3
+RUN, PAGES, ANCHOR = 8, 3, 4
 #: Pages of a host that are looked at together; results do not depend on it.
 HOST_PART = 1500
 SPEC = "page_id long, url string, text string, n_chars long, n_repeated long"
@@ -250,31 +253,84 @@ def token_streams(pages: list[list[str]]) -> tuple[list[np.ndarray], list[str]]:
     return streams, list(ids)
 
 
-def run_hashes(streams: list[np.ndarray], tokens: list[str]) -> list[np.ndarray]:
-    """For each page, the hashes (two columns) of its runs of ``RUN`` tokens, by start."""
+def run_hashes(streams: list[np.ndarray], tokens: list[str], size: int = RUN) -> list[np.ndarray]:
+    """For each page, the hashes (two columns) of its runs of ``size`` tokens, by start."""
     each = np.frombuffer(b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in tokens), np.uint64).reshape(-1, 2)
     out = []
     for stream in streams:
-        n = max(len(stream) - RUN + 1, 0)
+        n = max(len(stream) - size + 1, 0)
         found = np.zeros((n, 2), np.uint64)
-        for k in range(RUN if n else 0):
+        for k in range(size if n else 0):
             found += each[stream[k : k + n]] * FACTORS[:, k]
         out.append(found)
     return out
 
 
-def run_counts(pages: list[list[str]], owners: list) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of the pages as hashes, and how many distinct owners have each."""
-    hashes = run_hashes(*token_streams(pages))
-    ids = {o: k for k, o in enumerate(dict.fromkeys(owners))}
-    owner = np.repeat([ids[o] for o in owners], list(map(len, hashes))).astype(np.int64)
-    every = np.concatenate(hashes)
-    order = np.lexsort((owner, every[:, 1], every[:, 0]))
-    every, owner = every[order], owner[order]
-    new = np.r_[True, (every[1:] != every[:-1]).any(1)][: len(every)]
-    fresh = new | np.r_[True, owner[1:] != owner[:-1]][: len(every)]
+def anchors(streams: list[np.ndarray], tokens: list[str]) -> list[np.ndarray]:
+    """For each page, the anchors of its runs, by start: the least hash of a run's strings of ``ANCHOR`` tokens."""
+    out = []
+    for found in run_hashes(streams, tokens, ANCHOR):
+        each, n = found[:, 0], max(len(found) - RUN + ANCHOR, 0)
+        out.append(np.minimum.reduce([each[k : k + n] for k in range(RUN - ANCHOR + 1)]))
+    return out
+
+
+def owners_of(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and how many distinct owners have each."""
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]][: len(values)]
+    fresh = new | np.r_[True, owner[1:] != owner[:-1]][: len(values)]
     start = np.flatnonzero(new)
-    return every[start], np.add.reduceat(fresh.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    return values[start], np.add.reduceat(fresh.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+
+
+def numbered(owners: list) -> np.ndarray:
+    ids = {o: k for k, o in enumerate(dict.fromkeys(owners))}
+    return np.array([ids[o] for o in owners], np.int64)
+
+
+def run_counts(pages: list[list[str]], owners: list, wanted=None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of the pages as hashes, and how many distinct owners have each: the classes of the pages' suffix array.
+
+    ``wanted``: which of the given anchors' runs are asked for; all, where not given.
+    """
+    streams, tokens = token_streams(pages)
+    if sum(map(len, streams)) < RUN:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    size = np.array([len(p) + 1 for p in streams])
+    stream = np.concatenate([np.r_[p, -1 - k] for k, p in enumerate(streams)])
+    _, classes = suffix_array(stream, RUN)
+    # starts of runs that end on their page
+    at = np.cumsum(size) - size
+    starts = np.concatenate([np.arange(a, a + max(n - RUN, 0)) for a, n in zip(at, size, strict=True)])
+    hashes, owner = np.concatenate(run_hashes(streams, tokens)), np.repeat(numbered(owners), np.maximum(size - RUN, 0))
+    if wanted is not None:
+        asked = wanted(np.concatenate(anchors(streams, tokens)))
+        starts, hashes, owner = starts[asked], hashes[asked], owner[asked]
+    found, n = owners_of(classes[starts], owner)
+    _, first = np.unique(classes[starts], return_index=True)
+    return hashes[first], n
+
+
+LOW = np.uint64((1 << 40) - 1)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers below 2^40, five bytes each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
+def salted(values: np.ndarray, host: str) -> np.ndarray:
+    """Hashes of a host's strings, apart from those of other hosts."""
+    name = np.frombuffer(hashlib.blake2b(host.encode(), digest_size=16).digest(), np.uint64)
+    return common.mix64(values ^ (name if values.ndim == 2 else name[0]))
 
 
 def covered_by(hashes: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
@@ -288,44 +344,51 @@ def covered_by(hashes: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
     return np.cumsum(diff[:-1]) > 0
 
 
-def main_texts(pages: list[list[Block]], owners: list, known: np.ndarray | None = None) -> list[tuple[str, int]]:
-    """(text, repeated tokens) of the pages of one host; of a part of one, given the hashes of the host's repeated runs. Vouched pages are all theirs."""
+def main_texts(pages: list[list[Block]], owners: list, known: tuple[np.ndarray, str] | None = None) -> list[tuple[str, int]]:
+    """(text, repeated tokens) of the pages of one host; of a part of one, given the salted hashes of the host's repeated runs and its name."""
     streams, tokens = token_streams([rest(p) for p in pages])
     if known is None:
         marks = repeated(streams, owners)
     else:
-        known = known[np.lexsort((known[:, 1], known[:, 0]))]
-        marks = [covered_by(h, len(x), known) for h, x in zip(run_hashes(streams, tokens), streams, strict=True)]
-    out = []
-    for found, covered in zip(pages, marks, strict=True):
-        whole = vouched(found)
-        if whole is not None:
-            out.append((joined([b.text for b in whole]), int(covered.sum())))
-            continue
-        best, at = max((b.standing for b in found), default=0), 0
-        masks = []
-        for b in found:
-            n = b.text.count(" ") + 1
-            masks.append(covered[at : at + n])
-            at += n + 1
-        if best >= 2:  # several articles: those that other pages have too go, unless all are such
-            share: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-            for b, m in zip(found, masks, strict=True):
-                if b.standing == best:
-                    share[b.region][0] += int(m.sum())
-                    share[b.region][1] += len(m)
-            own = {r for r, (c, n) in share.items() if 2 * c < n} or set(share)
-            kept = [b.text for b in found if b.standing == best and b.region in own]
-        else:
-            kept = [" ".join(w for w, c in zip(b.text.split(" "), m.tolist(), strict=True) if not c) for b, m in zip(found, masks, strict=True) if b.standing == 1 and not m.all()]
-        out.append((joined(kept), int(covered.sum())))
-    return out
+        runs, name = known
+        runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+        marks = [covered_by(salted(h, name), len(x), runs) for h, x in zip(run_hashes(streams, tokens), streams, strict=True)]
+    return [(joined(decided(found, covered)), int(covered.sum())) for found, covered in zip(pages, marks, strict=True)]
+
+
+def decided(found: list[Block], covered: np.ndarray) -> list[str]:
+    """The texts that a page keeps, given which of its tokens repeat."""
+    best, at, masks = max((b.standing for b in found), default=0), 0, []
+    for b in found:
+        n = b.text.count(" ") + 1
+        masks.append(covered[at : at + n])
+        at += n + 1
+    around = [[w for w, c in zip(b.text.split(" "), m.tolist(), strict=True) if not c] for b, m in zip(found, masks, strict=True) if 1 <= b.standing and (b.standing < best or best == 1)]
+    around = [w for w in around if w]
+    if best >= 2:
+        share: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for b, m in zip(found, masks, strict=True):
+            if b.standing == best:
+                share[b.region][0] += int(m.sum())
+                share[b.region][1] += len(m)
+        own = {r for r, (c, n) in share.items() if 2 * c < n}
+        if own or sum(map(len, around)) <= sum(n for _, n in share.values()):
+            return [b.text for b in found if b.standing == best and b.region in (own or share)]
+    return [" ".join(w) for w in around]
 
 
 def rest(found: list[Block]) -> list[str]:
-    """What structure does not vouch for: the texts of all blocks, without those of the one article."""
-    whole = vouched(found)
-    return [b.text for b in found] if whole is None else [b.text for b in found if b.standing != whole[0].standing]
+    """What the runs are looked for in: the texts of all blocks."""
+    return [b.text for b in found]
+
+
+def stored(found: list[Block]) -> bytes:
+    return MARK.join(f"{b.standing} {b.region} {b.text}" for b in found).encode("utf-8", "surrogatepass")
+
+
+def restored(data: bytes) -> list[Block]:
+    each = (line.split(" ", 2) for line in data.decode("utf-8", "surrogatepass").split(MARK)) if data else ()
+    return [Block(text, int(standing), int(region)) for standing, region, text in each]
 
 
 def host(url):
@@ -333,62 +396,95 @@ def host(url):
 
 
 def extract(pages: DataFrame, part: int = HOST_PART) -> DataFrame:
-    """``page_id, url, text, n_chars, n_repeated`` of every row; ``n_repeated``: covered tokens outside a vouched article, null where no page of the host needed them."""
-    common.ship(pages.sparkSession)
-    common.small_batches(pages.sparkSession)
+    """``page_id, url, text, n_chars, n_repeated`` of every row; ``n_repeated``: tokens that lie in repeated runs of the host."""
+    spark = pages.sparkSession
+    common.ship(spark)
+    common.small_batches(spark)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("host", host(F.col("url")))
+    hosts = written(p.groupBy("host").agg(F.ceil(F.count("*") / part).alias("parts")))
+    n_parts = hosts.where("parts > 1").agg(F.sum("parts")).first()[0] or 0
+    # a page's rows stay together; one number stands for host and part, so that Spark deals by both
+    deal = F.when(F.col("page_id").isNotNull(), F.xxhash64("page_id")).otherwise(F.xxhash64("url", "html"))
+    p = p.join(hosts, "host").select(F.xxhash64("host", F.pmod(deal, F.col("parts"))).alias("grp"), "host", "page_id", "url", "parts", "html")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for batch in common.slices(batches, text="html"):
-            found = [blocks(h) for h in batch.column(2).to_pylist()]
-            whole = [vouched(f) for f in found]
-            texts = [None if w is None else joined([b.text for b in w]) for w in whole]
-            held = [MARK.join(rest(f)) if w is not None else h for f, w, h in zip(found, whole, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(texts, pa.string()), pa.array(held, pa.string())], ["page_id", "url", "host", "text", "held"])
-
-    # what is settled, with what these pages hold besides; the rest as it came
-    first = written(p.mapInArrow(parse, "page_id long, url string, host string, text string, held string"))
-    settled = first.where("text is not null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("long").alias("n_repeated"))
-    if first.where("text is null").isEmpty():
-        return settled
-    open_hosts = written(first.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("open")).where("open > 0").select("host", F.ceil(F.col("n") / part).alias("parts")))
-    # a page's rows stay together; one number stands for host and part, so that Spark deals by both
-    deal = F.when(F.col("page_id").isNotNull(), F.xxhash64("page_id")).otherwise(F.xxhash64("url", "held"))
-    dealt = first.join(open_hosts, "host").withColumn("grp", F.xxhash64("host", F.pmod(deal, F.col("parts"))))
-    dealt = dealt.select("grp", "host", "parts", "page_id", "url", F.col("text").isNull().alias("open"), "held")
+            held = [stored(blocks(h)) for h in batch.column(5).to_pylist()]
+            sizes = pa.array([len(h) for h in held], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sizes, pa.array([codec.compress(h, asbytes=True) if h else b"" for h in held], pa.binary())], ["grp", "host", "page_id", "url", "size", "held"])
+
+    def dealt(which: str) -> DataFrame:
+        return p.where(which).mapInArrow(parse, "grp long, host string, page_id long, url string, size long, held binary").groupBy("grp")
 
     def owners(t: pa.Table) -> list:
         return [i if i is not None else f"row {k}" for k, i in enumerate(t["page_id"].to_pylist())]
 
     def parsed(t: pa.Table) -> list[list[Block]]:
-        return [blocks(h) if o else [Block(x, 0, 0) for x in h.split(MARK) if x] for h, o in zip(t["held"].to_pylist(), t["open"].to_pylist(), strict=True)]
+        codec = pa.Codec("zstd")
+        return [restored(codec.decompress(h, n, asbytes=True)) if n else [] for h, n in zip(t["held"].to_pylist(), t["size"].to_pylist(), strict=True)]
 
-    def texts(t: pa.Table, known: np.ndarray | None = None) -> pa.Table:
+    def by_host(t: pa.Table) -> list[tuple[str, pa.Table]]:  # hosts whose numbers are equal stay apart
+        each: dict[str, list[int]] = defaultdict(list)
+        for k, name in enumerate(t["host"].to_pylist()):
+            each[name].append(k)
+        return [(name, t.take(rows)) for name, rows in each.items()]
+
+    def texts(t: pa.Table, known: tuple[np.ndarray, str] | None = None) -> pa.Table:
         found = main_texts(parsed(t), owners(t), known)
-        keep = np.flatnonzero(t["open"].to_numpy(zero_copy_only=False))
-        found, t = [found[k] for k in keep.tolist()], t.take(keep)
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array([f[0] for f in found], pa.string()), "n_chars": pa.array([len(f[0]) for f in found], pa.int64()), "n_repeated": pa.array([f[1] for f in found], pa.int64())})
 
-    def by_host(t: pa.Table) -> pa.Table:  # hosts whose numbers are equal stay apart
-        names = t["host"].to_pylist()
-        each: dict[str, list[int]] = defaultdict(list)
-        for k, name in enumerate(names):
-            each[name].append(k)
-        return pa.concat_tables([texts(t.take(rows)) for rows in each.values()])
+    def whole(t: pa.Table) -> pa.Table:
+        return pa.concat_tables([texts(of) for _, of in by_host(t)])
 
-    def counts(t: pa.Table) -> pa.Table:
-        found, n = run_counts([rest(f) for f in parsed(t)], owners(t))
-        name = np.frombuffer(hashlib.blake2b(t["host"][0].as_py().encode(), digest_size=16).digest(), np.uint64)
-        mixed = common.mix64(found ^ name)
-        return pa.table({"grp": np.full(len(n), t["grp"][0].as_py(), np.int64), "h1": mixed[:, 0].astype(np.int64), "h2": mixed[:, 1].astype(np.int64), "o1": found[:, 0].astype(np.int64), "o2": found[:, 1].astype(np.int64), "n": n})
+    settled = dealt("parts = 1").applyInArrow(whole, SPEC)
+    if not n_parts:
+        return settled
+    parted = dealt("parts > 1")
+    buckets = max(16, -(-n_parts // 16))  # some four million anchors each
+
+    def sent(t: pa.Table) -> pa.Table:
+        values, counts = [], []
+        for name, of in by_host(t):
+            found = anchors(*token_streams([rest(f) for f in parsed(of)]))
+            value, n = owners_of(np.concatenate(found), np.repeat(numbered(owners(of)), list(map(len, found))))
+            values.append(salted(value, name))
+            counts.append(np.minimum(n, PAGES))
+        value, n = np.concatenate(values), np.concatenate(counts)
+        bucket = (value >> np.uint64(40)).astype(np.int64) % buckets
+        at = [np.flatnonzero(bucket == b) for b in range(buckets)]
+        return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "grp": np.full(buckets, t["grp"][0].as_py(), np.int64), "anchors": pa.array([packed(value[i] & LOW) for i in at], pa.binary()), "counts": pa.array([n[i].astype(np.uint8).tobytes() for i in at], pa.binary())})
+
+    def often(t: pa.Table) -> pa.Table:
+        """Of each part, the anchors that lie on enough pages of all parts."""
+        each = [unpacked(a) for a in t["anchors"].to_pylist()]
+        value, at = np.unique(np.concatenate(each), return_inverse=True)
+        enough = np.bincount(at, np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8), len(value)) >= PAGES
+        marks = np.split(enough[at], np.cumsum([len(e) for e in each])[:-1])
+        return pa.table({"grp": t["grp"], "bucket": t["bucket"], "anchors": pa.array([packed(e[m]) for e, m in zip(each, marks, strict=True)], pa.binary())})
+
+    def counts(t: pa.Table, some: pa.Table) -> pa.Table:
+        kept = {b: np.sort(unpacked(a)) for b, a in zip(some["bucket"].to_pylist(), some["anchors"].to_pylist(), strict=True)}
+        known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(40)) | v for b, v in kept.items()]))
+        parts = []
+        for name, of in by_host(t):
+
+            def wanted(value: np.ndarray, name: str = name) -> np.ndarray:
+                value = salted(value, name)
+                return np.isin((((value >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40)) | (value & LOW), known)
+
+            found, n = run_counts([rest(f) for f in parsed(of)], owners(of), wanted)
+            mixed = salted(found, name)
+            parts.append(pa.table({"grp": np.full(len(n), t["grp"][0].as_py(), np.int64), "h1": mixed[:, 0].astype(np.int64), "h2": mixed[:, 1].astype(np.int64), "n": n}))
+        return pa.concat_tables(parts)
 
     def marked(t: pa.Table, runs: pa.Table) -> pa.Table:
-        return texts(t, np.stack([runs[c].to_numpy().astype(np.uint64) for c in ("o1", "o2")], 1))
+        known = np.stack([runs[c].to_numpy().astype(np.uint64) for c in ("h1", "h2")], 1)
+        return pa.concat_tables([texts(of, (known, name)) for name, of in by_host(t)])
 
-    small, parted = dealt.where("parts = 1"), dealt.where("parts > 1")
+    some = parted.applyInArrow(sent, "bucket int, grp long, anchors binary, counts binary").groupBy("bucket").applyInArrow(often, "grp long, bucket int, anchors binary")
     # a run of a host has at most one row of each part
     total = F.sum("n").over(Window.partitionBy("h1", "h2"))
-    runs = parted.groupBy("grp").applyInArrow(counts, "grp long, h1 long, h2 long, o1 long, o2 long, n long").withColumn("n", total).where(F.col("n") >= PAGES).select("grp", "o1", "o2")
-    late = parted.groupBy("grp").cogroup(runs.groupBy("grp")).applyInArrow(marked, SPEC)
-    return settled.unionByName(small.groupBy("grp").applyInArrow(by_host, SPEC)).unionByName(late)
+    runs = parted.cogroup(some.groupBy("grp")).applyInArrow(counts, "grp long, h1 long, h2 long, n long").withColumn("n", total).where(F.col("n") >= PAGES).select("grp", "h1", "h2")
+    return settled.unionByName(parted.cogroup(runs.groupBy("grp")).applyInArrow(marked, SPEC))
