@@ -153,6 +153,22 @@ def test_displacements_send_a_point_a_few_times(spark, sf_dir):
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["filter_simulated"])
+def test_queries_of_pairs_send_rows_in_proportion(spark, sf_dir, tmp_path, name):
+    """Twice a point at most, whatever the number of copies, and no pair."""
+    from tests.shuffled import shuffled
+    from trailspark.plans.queries import QUERIES
+    from trailspark.sources import tables
+
+    e = tables.table(spark, sf_dir, "events")
+    n, users = e.agg(F.count("*"), F.max("user_id") + 1).first()
+    for copies in (1, 4):
+        d = e.crossJoin(spark.range(copies).select(F.col("id").alias("k"))).withColumns({"user_id": F.col("user_id") + F.col("k") * users, "event_id": F.col("event_id") + F.col("k") * n}).drop("k")
+        d.write.parquet(str(tmp_path / str(copies) / "events.parquet"))
+        rows, _ = shuffled(spark, lambda: QUERIES[name](spark, str(tmp_path / str(copies))).write.format("noop").mode("overwrite").save())
+        assert n * copies <= rows <= 2 * n * copies
+
+
 def test_pairs_of_tracks_are_not_broadcast(spark, sf_dir):
     """A small file may hold many rows, which radius joins repeat 27 times."""
     from trailspark.sources import tables
