@@ -153,7 +153,7 @@ def test_displacements_send_a_point_a_few_times(spark, sf_dir):
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["filter_simulated"])
+@pytest.mark.parametrize("name", ["filter_simulated", "displacement_table"])
 def test_queries_of_pairs_send_rows_in_proportion(spark, sf_dir, tmp_path, name):
     """Twice a point at most, whatever the number of copies, and no pair."""
     from tests.shuffled import shuffled
