@@ -1,6 +1,7 @@
 """Trees, curves, fits and walkers on literal fixtures and by properties."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -537,3 +538,35 @@ def test_walks_by_rounds_equal_walks_on_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(simulate, "BROADCAST_ARCS", 10)
     monkeypatch.setattr(simulate, "AHEAD", 3)
     assert {k: sorted(map(tuple, run().collect())) for k, run in runs.items()} == want
+
+
+def test_ways_are_counted_as_moves_lists_them():
+    """The k-th way is the k-th move, with twin edges, edges without length and loops; counting holds no list of places."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(*rng.integers(0, 8, (2, 14)), rng.choice([0.5, 1.0, 1.7, 3.0], 14), strict=True)] + [(20, 21, 0.0), (21, 22, 1.0), (22, 20, 2.0)]
+    g = simulate.Graph(edges)
+    for a, b in list(g.weight):
+        for d in (0.3, 1.0, 2.6):
+            at = simulate.Position(a, b, 0.25)
+            found = [p for p, _ in g.moves(at, d, 6)]
+            assert [g.way(at, d, k, 6) for k in range(g.ways(at, d, 6))] == found
+    hub = simulate.Graph([(a, b, 1.0) for a in range(100) for b in range(a)])
+    tracemalloc.start()
+    n = hub.ways(simulate.Position(0, 1, 0.5), 2.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(hub.moves(simulate.Position(0, 1, 0.5), 2.6)) > 900_000 and peak < 3_000_000
+
+
+def test_large_graphs_are_sent_once_for_some_walkers(spark, monkeypatch):
+    """A graph beyond the bound passes each task of walkers once, however many steps they take, and is kept in a file there."""
+    n = 400
+    rng = np.random.default_rng(6)
+    e = spark.createDataFrame(sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (4000, 2)).tolist() if a != b}), "a long, b long").repartition(4).cache()
+    arcs = 2 * e.count()
+    want = sorted(map(tuple, simulate.walk_visits(e, 6, 300).collect()))
+    monkeypatch.setattr(simulate, "BROADCAST_ARCS", 10)
+    found = []
+    rows, size = shuffled(spark, lambda: found.extend(simulate.walk_visits(e, 6, 300).collect()))
+    assert sorted(map(tuple, found)) == want
+    assert rows <= arcs + 2 * n + 8 and size < 40 * arcs

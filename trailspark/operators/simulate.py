@@ -2,29 +2,31 @@
 
 Every choice is a hash of (seed, walker, step), so results don't depend on
 partitions or retries. Walkers are independent: they are rows dealt over tasks,
-each with the graph as a broadcast after a check of its size. On a larger graph a
-walker gets the neighbours of the nodes it comes to by joins, in rounds; both ways
-give the same rows.
+each with the graph as a broadcast after a check of its size. A larger graph goes
+past the tasks of the walkers as a stream of lists of neighbours, which lie in a
+file of the task while it walks; both ways give the same rows.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import _cut, numbered, spread, undirected
+from .graph import _cut, numbered, undirected
 
 #: Most arcs that are broadcast as adjacency lists.
 BROADCAST_ARCS = 1_000_000
-#: Nodes whose neighbours a walker asks for beforehand in a round, and known nodes up to which it does.
-AHEAD, NEAR = 2048, 16_384
+#: Lists of neighbours that a task keeps in memory beside its file, and walkers that share a file.
+AHEAD, WALKERS = 512, 16
 #: Fixed values of the coverage simulation: minutes, minutes of a step.
 TOTAL_MINUTES, STEP_MINUTES = 2880.0, 0.1715
 STEPS = int(TOTAL_MINUTES / STEP_MINUTES)
@@ -75,6 +77,7 @@ class Graph:
         for v in self.adj.values():
             v.sort()
         self.weight = {(a, b): w for a, v in self.adj.items() for b, w in v}
+        self._around: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def moves(self, at: Position, d: float, depth: int = 64) -> list[tuple[Position, list[int]]]:
         """Every place ``d`` ahead without turning back, with the nodes passed.
@@ -86,42 +89,134 @@ class Graph:
         out, stack = [], [(at, d, [])]
         while stack:
             p, rest, path = stack.pop()
-            w = self.weight[p.tail, p.head]
+            w = self.length(p)
             left = (1 - p.loc) * w
             if rest < left:
                 out.append((Position(p.tail, p.head, p.loc + rest / w), path))
             elif len(path) < depth:
-                stack += [(Position(p.head, n, 0.0), rest - left, [*path, p.head]) for n, _ in reversed(self.adj[p.head]) if n != p.tail]
+                stack += [(Position(p.head, n, 0.0), rest - left, [*path, p.head]) for n in reversed(self.around(p.head)[0].tolist()) if n != p.tail]
         return out
 
     def reverse(self, p: Position) -> Position:
         return Position(p.head, p.tail, 1 - p.loc)
 
+    def around(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted neighbours and the weights of the edges to them."""
+        if node not in self._around:
+            v = self.adj[node]
+            self._around[node] = np.array([b for b, _ in v], np.int64), np.array([self.weight[node, b] for b, _ in v], float)
+        return self._around[node]
 
-class Missing(LookupError):
-    """A node whose neighbours are not known yet."""
+    def sizes(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many neighbours nodes have, and the least weight to one."""
+        found = [self.around(n)[1] for n in nodes.tolist()]
+        return np.array([len(w) for w in found], np.int64), np.array([w.min() for w in found], float)
 
+    def length(self, p: Position) -> float:
+        """Weight of the edge that a place is on."""
+        b, w = self.around(p.tail)
+        return float(w[b.searchsorted(p.head)])
 
-class Lists(dict):
-    def __missing__(self, node):
-        raise Missing(node)
+    def beyond(self, node: int, tail: int, rest: float, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The neighbours but the tail, weights, and how many places lie ``rest`` behind the node by way of each.
 
-
-class Weights(dict):
-    """Weights of arcs, known from either end."""
-
-    def __missing__(self, arc):
-        if arc[::-1] in self:
-            return self[arc[::-1]]
-        raise Missing(arc[0])
-
-
-class Part(Graph):
-    """What is known of a graph: sorted (neighbour, weight) of some nodes."""
-
-    def __init__(self, lists: dict[int, list[tuple[int, float]]]):
-        self.adj = Lists(lists)
-        self.weight = Weights(((a, b), w) for a, v in lists.items() for b, w in v)
+        Neighbours whose edges are all longer than what is left are counted without their lists.
+        """
+        b, w = self.around(node)
+        on = b != tail
+        many = (on & (rest < w)).astype(np.int64)
+        far = np.flatnonzero(on & (rest >= w)) if depth > 0 else np.empty(0, np.int64)
+        if len(far):
+            degree, least = self.sizes(b[far])
+            short = rest - w[far] < least
+            twins = b.searchsorted(b[far], "right") - b.searchsorted(b[far])
+            many[far[short]] = (degree - twins)[short]
+            for k in far[~short].tolist():
+                many[k] = self.beyond(int(b[k]), node, float(rest - w[k]), depth - 1)[2].sum()
+        return b[on], w[on], many[on]
+
+    def ways(self, at: Position, d: float, depth: int = 64) -> int:
+        """How many places ``moves`` gives."""
+        left = (1 - at.loc) * self.length(at)
+        return 1 if d < left else int(self.beyond(at.head, at.tail, d - left, depth - 1)[2].sum())
+
+    def way(self, at: Position, d: float, k: int, depth: int = 64) -> Position:
+        """The place that ``moves`` gives at index ``k``; places are counted, not listed."""
+        w = self.length(at)
+        left = (1 - at.loc) * w
+        if d < left:
+            return Position(at.tail, at.head, at.loc + d / w)
+        node, tail, rest = at.head, at.tail, d - left
+        while True:
+            depth -= 1
+            b, w, many = self.beyond(node, tail, rest, depth)
+            before = np.cumsum(many)
+            i = int(before.searchsorted(k, "right"))
+            k -= int(before[i] - many[i])
+            if rest < w[i]:
+                return Position(node, int(b[i]), float(rest / w[i]))
+            node, tail, rest = int(b[i]), node, float(rest - w[i])
+
+
+class Filed(Graph):
+    """A graph whose lists of neighbours lie in a file of this task; in memory are where they begin, their sizes and the last few read."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        """``node, next``, with or without weights ``far``: sorted neighbours of each node once."""
+        self.file, at, found = tempfile.TemporaryFile(), 0, []
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                of, b = pc.list_value_length(part.column("next")).to_numpy().astype(np.int64), part.column("next").flatten().to_numpy()
+                small = len(b) and b.min() >= 0 and b.max() < 1 << 32
+                b = b.astype(np.uint32) if small else b.astype(np.int64)
+                self.file.write(b)
+                first = np.cumsum(of) - of
+                size, least, weights = np.full(len(of), b.itemsize), np.zeros(len(of)), np.zeros(len(of), np.int64)
+                if "far" in part.schema.names:
+                    w = part.column("far").flatten().to_numpy().astype(float)
+                    same = np.r_[False, b[1:] == b[:-1]]
+                    same[first] = False
+                    if same.any():  # of several edges between two nodes the longest counts
+                        run = np.cumsum(~same) - 1
+                        w = np.maximum.reduceat(w, np.flatnonzero(~same))[run]
+                    self.file.write(w)
+                    least, weights = np.minimum.reduceat(w, first), at + b.nbytes + first * 8
+                found.append((part.column("node").to_numpy().astype(np.int64), of, at + first * size, size, weights, least))
+                at += b.nbytes + (len(b) * 8 if "far" in part.schema.names else 0)
+        self.file.flush()
+        self.nodes, self.degree, self.at, self.size, self.weights, self.least = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64) for _ in range(6))
+        order = self.nodes.argsort()
+        self.nodes, self.degree, self.at, self.size, self.weights, self.least = (c[order] for c in (self.nodes, self.degree, self.at, self.size, self.weights, self.least))
+        self._around = {}
+
+    def read(self, at: int, n: int, kind: type) -> np.ndarray:
+        """Numbers of the file; a read may give fewer bytes than asked for."""
+        parts, size = [], n * np.dtype(kind).itemsize
+        while size:
+            parts.append(os.pread(self.file.fileno(), size, at))
+            at, size = at + len(parts[-1]), size - len(parts[-1])
+        return np.frombuffer(b"".join(parts), kind)
+
+    def _list(self, node: int, weighted: bool) -> tuple:
+        if (node, weighted) not in self._around:
+            k = self.nodes.searchsorted(node)
+            n = int(self.degree[k])
+            b = self.read(int(self.at[k]), n, np.uint32 if self.size[k] == 4 else np.int64).astype(np.int64)
+            if len(self._around) >= AHEAD:
+                self._around.pop(next(iter(self._around)))
+            self._around[node, weighted] = b, self.read(int(self.weights[k]), n, float) if weighted else None
+        return self._around[node, weighted]
+
+    def around(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        return self._list(node, True)
+
+    def neighbours(self, node: int) -> np.ndarray:
+        return self._list(node, False)[0]
+
+    def sizes(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = self.nodes.searchsorted(nodes)
+        return self.degree[k], self.least[k]
 
 
 Uniform = Callable[[], float]
@@ -145,18 +240,22 @@ def normal(u: Uniform, mean: float, std: float) -> float:
     return mean + std * math.sqrt(-2 * math.log(1 - u())) * math.cos(2 * math.pi * u())
 
 
-def pick(found: list, u: Uniform, g: Graph, at: Position) -> Position:
-    """One of the places, each path as likely as any other; a walker without a way on turns round where it is."""
-    return found[int(u() * len(found))][0] if found else g.reverse(at)
+def pick(g: Graph, at: Position, u: Uniform, d: float, turned: bool = False) -> Position:
+    """One of the places ``d`` ahead, or behind too, each path as likely as any other; a walker without a way on turns round where it is."""
+    ahead, back = g.ways(at, d), g.ways(g.reverse(at), d) if turned else 0
+    if not ahead + back:
+        return g.reverse(at)
+    k = int(u() * (ahead + back))
+    return g.way(at, d, k) if k < ahead else g.way(g.reverse(at), d, k - ahead)
 
 
 def brownian(g: Graph, at: Position, u: Uniform, d: float) -> Position:
-    return pick(g.moves(at, d) + g.moves(g.reverse(at), d), u, g, at)
+    return pick(g, at, u, d, True)
 
 
 def simple_forward(g: Graph, at: Position, u: Uniform, d: float, p: float) -> Position:
     at = g.reverse(at) if u() < p else at
-    return pick(g.moves(at, d), u, g, at)
+    return pick(g, at, u, d)
 
 
 def normal_mixture(g: Graph, at: Position, u: Uniform, turn: float, mix: float, m1: float, s1: float, m2: float, s2: float) -> Position:
@@ -185,39 +284,47 @@ def fits(edges: DataFrame, most: int | None) -> bool:
     return most is not None or 2 * edges.count() <= BROADCAST_ARCS
 
 
-def rounds(edges: DataFrame, starts: DataFrame, walk: Callable, spec: str) -> DataFrame:
-    """Rows of walkers on a graph of any size: ``walk(known, cell)`` goes from the start with the nodes known, until it needs another.
+def filed(edges: DataFrame, cells: int, walk: Callable[[Filed, int], list], spec: str) -> DataFrame:
+    """Rows ``walk(graph, cell)`` of walkers on a graph of any size, with or without a ``weight``.
 
-    ``starts``: ``cell_id, node``. Walks depend on the graph and the cell alone, so a
-    round begins them anew. What is missing, and what is next to known nodes, comes
-    by a join with the lists of neighbours; a group holds the lists of one walker.
+    A walk can't be cut: each step depends on the one before, and on a connected graph
+    leads anywhere. So lists of neighbours stream past each task of walkers, once for
+    ``WALKERS`` of them, into a file beside it; the task holds no list but the last few.
     """
-    arcs = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    lists = _cut(arcs.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list(F.struct("b", F.col("weight").cast("double").alias("w")))).alias("next")))
-    names = [f.split(" ")[0] for f in spec.split(", ")]
-
-    def one(t: pa.Table) -> pa.Table:
-        cell, known = t.column("cell_id")[0].as_py(), {}
-        for node, of in zip(t.column("node").to_pylist(), t.column("next"), strict=True):
-            known[node] = list(zip(of.values.field("b").to_pylist(), of.values.field("w").to_pylist(), strict=True))
-        try:
-            cols = walk(known, cell)
-            return pa.table([*cols, pa.nulls(len(cols[0]), pa.int64())], names=[*names, "want"])
-        except Missing as e:
-            ahead = sorted({b for v in known.values() for b, _ in v} - known.keys() - {e.args[0]})[:AHEAD] if len(known) <= NEAR else []
-            want = pa.array([e.args[0], *ahead], pa.int64())
-            return pa.table([pa.array([cell] * len(want), pa.int64()), *(pa.nulls(len(want), pa.float64() if f.endswith("double") else pa.int64()) for f in spec.split(", ")[1:]), want], names=[*names, "want"])
-
-    known, wanted, done = None, starts, []
-    while True:
-        got = wanted.join(lists, "node").select("cell_id", "node", "next")
-        known = _cut(got if known is None else known.unionByName(got))
-        out = _cut(spread(known, "cell_id").groupBy("cell_id").applyInArrow(one, spec + ", want long"))
-        done.append(out.where("want is null").drop("want"))
-        wanted = out.where("want is not null").select("cell_id", F.col("want").alias("node"))
-        if wanted.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        known = known.join(wanted.select("cell_id").distinct(), "cell_id", "left_semi")
+    weight = ["weight"] if "weight" in edges.columns else []
+    arcs = edges.select("a", "b", *weight).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *weight))
+    entry = F.struct("b", F.col("weight").cast("double").alias("w")) if weight else F.struct("b")
+    lists = arcs.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list(entry)).alias("next"))
+    copies = max(1, min(-(-cells // WALKERS), edges.sparkSession.sparkContext.defaultParallelism))
+    sent = lists.select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "node", F.col("next.b").alias("next"), *([F.col("next.w").alias("far")] if weight else []))
+    kinds = [pa.float64() if f.endswith("double") else pa.int64() for f in spec.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copy = []
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    copy.append(batch.column("copy")[0].as_py()) if not copy else None
+                    yield batch
+
+        g = Filed(seen())
+        for cell in range(copy[0], cells, copies) if copy else ():
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(walk(g, cell), kinds, strict=True)], names=[f.split(" ")[0] for f in spec.split(", ")])
+
+    return sent.repartitionById(copies, "copy").mapInArrow(run, spec)
+
+
+def edges_at(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``cell_id, a, b``: of edges in order of their ends, those at the places ``cell_id, idx``; only ends are sorted, not edges."""
+    per = _cut(edges.groupBy("a").count().orderBy("a")).withColumn("_p", F.spark_partition_id())
+    sizes = {r["_p"]: r["n"] for r in per.groupBy("_p").agg(F.sum("count").alias("n")).collect()}  # a row for each partition
+    offsets = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=0)))]).tolist()
+    start = F.element_at(F.array(*(F.lit(o).cast("long") for o in offsets)), F.col("_p") + 1)
+    per = per.select("a", "count", (start + F.sum("count").over(Window.partitionBy("_p").orderBy("a")) - F.col("count")).alias("_from"))
+    hit = _cut(per.join(F.broadcast(wanted), (F.col("idx") >= F.col("_from")) & (F.col("idx") < F.col("_from") + F.col("count"))).select("cell_id", "a", (F.col("idx") - F.col("_from") + 1).cast("int").alias("_j")))
+    ends = edges.join(F.broadcast(hit.select("a").distinct()), "a").groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("_b"))
+    return hit.join(ends, "a").select("cell_id", "a", F.element_at("_b", F.col("_j")).alias("b"))
 
 
 def places(spark: SparkSession, cells: int, n: int, first: Callable[[int], float]) -> DataFrame:
@@ -251,18 +358,11 @@ def simulate(edges: DataFrame, cells: int, iterations: int, mover: str | Callabl
             rows.append((k, cell, at.tail, at.head, at.loc))
         return rows
 
+    edges = _cut(edges)
     if not fits(edges, most):
-        edges = _cut(edges)
-        ends = edges.select(F.struct("a", "b").alias("node"))
-        first = _cut(places(spark, cells, ends.count(), lambda cell: uniforms(seed, cell, 0)()).join(numbered(ends), "idx").select("cell_id", "node.a", "node.b"))
+        first = edges_at(edges, places(spark, cells, edges.count(), lambda cell: uniforms(seed, cell, 0)()))
         start = {r.cell_id: (r.a, r.b) for r in first.collect()}  # two numbers a walker
-
-        def walk(known: dict, cell: int) -> list:
-            cols = list(zip(*positions(Part(known), cell, lambda _: start[cell]), strict=True))
-            return [*(pa.array(cols[k], pa.int64()) for k in (1, 0, 2, 3)), pa.array(cols[4], pa.float64())]
-
-        wanted = first.select("cell_id", F.explode(F.array("a", "b")).alias("node")).distinct()
-        return rounds(edges, wanted, walk, "cell_id long, iteration long, tail_id long, head_id long, edge_loc double").select("iteration", "cell_id", "tail_id", "head_id", "edge_loc")
+        return filed(edges, cells, lambda g, cell: list(zip(*positions(g, cell, lambda _: start[cell]), strict=True)), spec)
     shared = spark.sparkContext.broadcast(collected(edges, BROADCAST_ARCS if most is None else most))
 
     def run(batches: Iterator) -> Iterator:
@@ -283,42 +383,39 @@ def walk_visits(edges: DataFrame, cells: int, steps: int = STEPS, seed: int = 0,
     spec = "cell_id long, node long, first_step long"
     draw = lambda cell, n: np.random.Generator(np.random.Philox(key=np.array([seed, cell], np.uint64))).random(n)
 
-    def visits(adj: dict, cell: int, start: Callable[[float], int]) -> dict[int, int]:
+    def visits(neighbours: Callable[[int], np.ndarray], cell: int, start: Callable[[float], int]) -> dict[int, int]:
         draws = draw(cell, steps + 1)
         node, prev = start(draws[0]), None
         seen = {node: 0}
         for k, x in enumerate(draws[1:].tolist(), 1):
-            around = adj[node]
+            around = neighbours(node)
             if prev is None or len(around) == 1:
                 nxt = around[int(x * len(around))]
             else:
                 i = int(x * (len(around) - 1))
-                nxt = around[i + (i >= around.index(prev))]
-            node, prev = nxt, node
+                nxt = around[i + (i >= around.searchsorted(prev))]
+            node, prev = int(nxt), node
             seen.setdefault(node, k)
         return seen
 
+    edges = _cut(edges.select("a", "b"))
     if not fits(edges, most):
-        edges = _cut(edges)
-        nodes = _cut(undirected(edges).select(F.col("a").alias("node")).distinct())
-        first = _cut(places(spark, cells, nodes.count(), lambda cell: draw(cell, 1)[0]).join(numbered(nodes), "idx").select("cell_id", "node"))
-        start = {r.cell_id: r.node for r in first.collect()}  # a number a walker
 
-        def walk(known: dict, cell: int) -> list:
-            seen = visits(Lists((k, [n for n, _ in v]) for k, v in known.items()), cell, lambda _: start[cell])
-            return [pa.array(c, pa.int64()) for c in ([cell] * len(seen), list(seen), list(seen.values()))]
+        def walk(g: Filed, cell: int) -> list:
+            seen = visits(g.neighbours, cell, lambda u: int(g.nodes[int(u * len(g.nodes))]))
+            return [[cell] * len(seen), list(seen), list(seen.values())]
 
-        return rounds(edges.withColumn("weight", F.lit(1.0)), first, walk, spec)
+        return filed(edges, cells, walk, spec)
     shared = spark.sparkContext.broadcast(collected(edges.withColumn("weight", F.lit(1.0)), BROADCAST_ARCS if most is None else most))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        adj = {k: [n for n, _ in v] for k, v in Graph(shared.value).adj.items()}
+        adj = {k: np.array([n for n, _ in v], np.int64) for k, v in Graph(shared.value).adj.items()}
         nodes = sorted(adj)
         for pdf in batches:
             for cell in pdf["id"].tolist():
-                seen = visits(adj, cell, lambda u: nodes[int(u * len(nodes))])
+                seen = visits(adj.get, cell, lambda u: nodes[int(u * len(nodes))])
                 yield pd.DataFrame({"cell_id": cell, "node": list(seen), "first_step": list(seen.values())})
 
     return spark.range(cells).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, spec)
