@@ -150,6 +150,19 @@ def test_suffix_sort(data, letters, seed):
     assert cls.tolist() == np.cumsum([k > 0 and keys[k] != keys[k - 1] for k in range(len(keys))]).tolist()
 
 
+def test_suffix_merges_place_one_side_only(monkeypatch):
+    """Of two runs that are merged only one side's elements are searched for, and each level takes the runs that are longer."""
+    rng = np.random.default_rng(2)
+    buffer = np.concatenate([np.r_[np.zeros(20, np.uint8), rng.integers(0, 3, 40, np.uint8)] for _ in range(1024)] + [rng.integers(0, 256, 60, np.uint8) for _ in range(2048)])
+    items, group, compared = np.arange(3072) * 60, np.r_[np.zeros(1024, int), np.arange(1, 2049)], []
+    s, less = suffix_dedup.Suffixes(buffer), suffix_dedup.Suffixes.less
+    monkeypatch.setattr(suffix_dedup.Suffixes, "less", lambda self, a, b: compared.append(len(a)) or less(self, a, b))
+    keys = [buffer[i : i + 50].tobytes() for i in items[s.sort(items, group)][:1024]]
+    assert keys == sorted(keys)
+    # 10 levels of 512 searches in runs of 1, 2, .. 512, beside one comparison a seam
+    assert sum(compared) <= sum(512 * (k + 1) for k in range(10)) + 1024
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(50, 300), st.sampled_from(["a", "ab", "abc ", "abcdefghij"]), st.integers(0, 2**32))
 def test_anchors(n, letters, seed):

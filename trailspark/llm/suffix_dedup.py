@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailspark.operators.graph import spread
+
 from . import common
 from .components import written
 
@@ -137,13 +139,19 @@ class Suffixes:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common extension of suffix pairs, at most ``LENGTH``."""
         out = np.full(len(a), LENGTH, np.int64)
-        differ = np.flatnonzero(self.hash(a, out) != self.hash(b, out))
-        a, b = a[differ], b[differ]
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), LENGTH - 1, np.int64)
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = self.hash(a, mid) == self.hash(b, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        with np.errstate(over="ignore"):
+            # two hashes are equal where what their ends add is what their beginnings take away, which no length changes
+            fa, fb, da, db = self.prefix[a], self.prefix[b], self.down[a], self.down[b]
+            differ = np.flatnonzero((self.prefix[a + LENGTH] - fa) * da != (self.prefix[b + LENGTH] - fb) * db)
+            a, b, da, db = a[differ], b[differ], da[differ], db[differ]
+            apart = fa[differ] * da - fb[differ] * db
+            low, open_ = np.zeros(len(a), np.int64), LENGTH  # the extension is in low .. low + open_ - 1
+            while open_ > 1:
+                half = open_ >> 1
+                mid = low + half
+                same = self.prefix[a + mid] * da - self.prefix[b + mid] * db == apart
+                low = np.where(same, mid, low)
+                open_ -= half
         out[differ] = low
         return out
 
@@ -164,35 +172,40 @@ class Suffixes:
         group, eight = group[perm], eight[perm]
         first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (eight[1:] != eight[:-1])])
         size = np.diff(np.r_[first, n])
-        g0, gs = np.repeat(first, size), np.repeat(size, size)
+        # places of runs of two or more, where these begin and how many they are
+        at = np.flatnonzero(np.repeat(size > 1, size))
+        g0, gs = np.repeat(first, size)[at], np.repeat(size, size)[at]
+        hot = np.zeros(n, bool)
         width = 1
         while width < size.max():
+            longer = np.flatnonzero(gs > width)
+            at, g0, gs = at[longer], g0[longer], gs[longer]
+            local = at - g0
+            run = local // (2 * width) * (2 * width)
             # pairs of runs that are in order already need no merge
-            seam = np.flatnonzero((gs > width) & ((np.arange(n) - g0) % (2 * width) == width))
+            seam = at[local - run == width]
             seam = seam[self.less(items[perm[seam]], items[perm[seam - 1]])]
-            run_of = g0 + (np.arange(n) - g0) // (2 * width) * (2 * width)
-            act = np.flatnonzero(np.isin(run_of, seam - width)) if len(seam) else seam
-            local = act - g0[act]
-            run = local // (2 * width) * (2 * width)
-            left = local - run < width
-            # the sibling run of each element
-            lo = g0[act] + np.where(left, run + width, run)
-            hi = np.minimum(g0[act] + gs[act], lo + width)
-            lo = np.minimum(lo, hi)
-            start = lo.copy()
-            mine = items[perm[act]]
-            open_ = np.flatnonzero(lo < hi)
+            hot[seam - width] = True
+            act = np.flatnonzero(hot[g0 + run])
+            hot[seam - width] = False
+            local, run, begin, act = local[act], run[act], (g0 + run)[act], at[act]
+            right = np.flatnonzero(local - run >= width)
+            # where each of a right run belongs in its left run, of equals after those; the rest follows by counting
+            base = begin[right]
+            lo, hi = np.zeros(len(right), np.int64), np.full(len(right), width, np.int64)
+            mine = items[perm[act[right]]]
+            open_ = np.arange(len(right))
             while len(open_):
                 mid = (lo[open_] + hi[open_]) >> 1
-                other, own = items[perm[mid]], mine[open_]
-                lf = left[open_]
-                # of equals the left run's come first
-                go = np.where(lf, self.less(other, own), ~self.less(own, other))
+                go = ~self.less(mine[open_], items[perm[base[open_] + mid]])
                 lo[open_] = np.where(go, mid + 1, lo[open_])
                 hi[open_] = np.where(go, hi[open_], mid)
                 open_ = open_[lo[open_] < hi[open_]]
-            own_rank = np.where(left, local - run, local - run - width)
-            to = g0[act] + run + own_rank + (lo - start)
+            to = act.copy()
+            to[right] = act[right] - width + lo
+            # those of a left run move on by the elements that come before them
+            left = np.flatnonzero(local - run < width)
+            to[left] += np.searchsorted(base + lo, act[left], side="right") - np.searchsorted(base, begin[left])
             nxt = perm.copy()
             nxt[to] = perm[act]
             perm = nxt
@@ -384,7 +397,8 @@ def doubled(texts: DataFrame, buckets: int) -> DataFrame:
         out = np.concatenate(found)
         return pa.table({"t": out[:, 0], "owner": out[:, 1], "start": out[:, 2], "stop": out[:, 3]})
 
-    return texts.select("text", "th", "owner", "hs").mapInArrow(deal, _STRETCHES).groupBy("bucket").applyInArrow(meet, "t long, owner long, start long, stop long")
+    # buckets take long for what they weigh, being compressed, so they are not joined into few tasks
+    return spread(texts.select("text", "th", "owner", "hs").mapInArrow(deal, _STRETCHES), "bucket").groupBy("bucket").applyInArrow(meet, "t long, owner long, start long, stop long")
 
 
 def over(data: np.ndarray, h: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, anchor: np.ndarray, size: np.ndarray) -> np.ndarray:
