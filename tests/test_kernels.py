@@ -570,3 +570,18 @@ def test_large_graphs_are_sent_once_for_some_walkers(spark, monkeypatch):
     rows, size = shuffled(spark, lambda: found.extend(simulate.walk_visits(e, 6, 300).collect()))
     assert sorted(map(tuple, found)) == want
     assert rows <= arcs + 2 * n + 8 and size < 40 * arcs
+
+
+def test_joints_are_measured_at_once(monkeypatch):
+    """The ways between branches take one set of lengths for all joints, and pieces are laid out once; both as one by one."""
+    rng = np.random.default_rng(8)
+    curve = curves.branching(np.cumsum(rng.normal(0, 4, (90, 3)), 0))
+    one_by_one = {(k, o): curve.branches[k].arc(t) for (k, o), t in curve.joints.items()}
+    assert len(one_by_one) > 8 and curve.joint_arcs().keys() == one_by_one.keys()
+    assert np.allclose(list(curve.joint_arcs().values()), list(one_by_one.values()), rtol=1e-10, atol=1e-10)
+    for c in curve.branches.values():
+        laid = c.stack()
+        c._stack = None
+        assert all(np.allclose(a, b) for a, b in zip(c.stack(), laid, strict=True))
+    monkeypatch.setattr(curves.Poly, "integral", lambda *_: pytest.fail("a joint measured alone"))
+    assert len(curve.routes()) == len(curve.branches) * (len(curve.branches) - 1)
